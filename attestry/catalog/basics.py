@@ -1,0 +1 @@
+"""First queries."""
