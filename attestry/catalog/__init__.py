@@ -1,6 +1,6 @@
 """Every registered query, grouped by family."""
 
-from . import basics
+from . import columns
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics"]
+__all__ = ["ORACLES", "QUERIES", "columns"]

@@ -132,6 +132,34 @@ TABLES: dict[str, tuple[str, str | None, list[str]]] = {
         "CASE WHEN user_id % 29 = 5 THEN NULL ELSE ((user_id * 37) % 1001) / 1000e0 END AS trust_score", "user_id"]),
     "component_host": ("users", "user_id < 40", [
         "concat('sc-', CAST(user_id AS TEXT)) AS service", f"{IE} AS host_ie"]),
+    "bodies": ("messages", None, [
+        "block_id", "n", "kind", "tag",
+        "CASE WHEN n % 41 = 0 THEN 'not json' WHEN n % 37 = 0 THEN '[1,2]'"
+        " WHEN kind = 'trust.score' AND n % 17 = 0 THEN concat('{\"id\":\"', ie_id, '\",\"score\":\"0.5\"}')"
+        " WHEN kind = 'trust.score' AND n % 19 = 0 THEN '{\"id\":\"nope\",\"score\":0.5}'"
+        " WHEN kind = 'trust.score' AND n % 29 = 0 THEN concat('{\"id\":\"', ie_id, '\",\"score\":1.5}')"
+        " WHEN kind = 'trust.score' AND n % 31 = 0 THEN concat('{\"id\":\"', ie_id, '\",\"score\":true}')"
+        " WHEN kind = 'self-orchestrator' AND n % 17 = 0 THEN '{\"infrastructureElementId\":\"\",\"errorCode\":1}'"
+        " WHEN kind = 'self-orchestrator' AND n % 19 = 0 THEN '{\"infrastructureElementId\":\"e\",\"errorCode\":\"\"}'"
+        " WHEN kind = 'self-orchestrator' AND n % 29 = 0 THEN '{\"infrastructureElementId\":\"e\",\"errorCode\":true}'"
+        " WHEN kind = 'self-orchestrator' AND n % 31 = 0 THEN '{\"infrastructureElementId\":\"e\",\"errorCode\":\"0\"}'"
+        " WHEN kind LIKE 'llo%' AND n % 17 = 0 THEN '{\"event\":\"x\",\"lloId\":\"\",\"serviceComponentId\":\"s\"}'"
+        " ELSE json END AS body"]),
+    "envelopes": ("messages", None, [
+        "block_id", "n", "user_id", "tag", "kind", "json", "iss", "seq", "ms_index", "wf_index", "ts", "verdict",
+        "CASE WHEN n % 13 = 0 THEN json ELSE concat('{\"w\":1,\"tag\":\"', tag, '\",\"iss\":\"', iss, '\",\"kid\":\"',"
+        " CASE WHEN n % 71 = 0 THEN 'did:x:other' ELSE iss END, '#k1\",\"seq\":', CAST(seq AS TEXT), ',\"iat\":',"
+        " CAST(iat AS TEXT), ',\"nonce\":\"', CASE WHEN n % 59 = 0 THEN 'short' ELSE"
+        " concat(substr(SHA(concat('o', CAST(n DIV 2 AS TEXT))), 1, 21), 'A') END, '\",\"att\":',"
+        " CASE WHEN n % 61 = 0 THEN '{\"mode\":\"relay\"}' WHEN verdict = 'RELAY_ATTESTED' THEN"
+        " '{\"mode\":\"relay\",\"sub\":\"r1\"}' ELSE '{\"mode\":\"producer\"}' END,"
+        " CASE WHEN n % 53 = 0 THEN ',\"extra\":1' ELSE '' END,"
+        " CASE WHEN n % 11 = 0 THEN concat(',\"enc\":{\"c\":\"', CAST(n AS TEXT), '\"},\"bix\":[\"t', CAST(user_id AS TEXT),"
+        " '\",\"t', CAST(n % 5 AS TEXT), '\",\"t', CAST(user_id AS TEXT), '\"]')"
+        " WHEN n % 83 = 0 THEN ',\"body\":[1]' ELSE concat(',\"body\":', json) END,"
+        " CASE WHEN prev IS NOT NULL THEN concat(',\"prev\":\"', prev, '\"') ELSE '' END,"
+        " CASE WHEN corr IS NOT NULL THEN concat(',\"corr\":\"', corr, '\"') ELSE '' END,"
+        " ',\"sig\":\"', SHA(concat('g', CAST(n AS TEXT))), substr(SHA(concat('h', CAST(n AS TEXT))), 1, 21), 'A\"}') END AS envelope"]),
     "trials": ("events", None, [
         "concat('A', lpad(CAST(event_id % 20 + 1 AS TEXT), 2, '0')) AS class", "event_id AS trial",
         "event_id % 13 <> 0 AS detected", "event_id % 5000 AS latency_ms",

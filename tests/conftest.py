@@ -12,7 +12,7 @@ def spark():
 
     from attestry.session import prepare
     s = (SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "8")
-         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate())
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return prepare(s)
 
