@@ -1,6 +1,6 @@
 """Every registered query, grouped by family."""
 
-from . import columns
+from . import columns, reading
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "columns"]
+__all__ = ["ORACLES", "QUERIES", "columns", "reading"]
