@@ -1,6 +1,6 @@
 """Every registered query, grouped by family."""
 
-from . import columns, reading
+from . import columns, joins, reading
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "columns", "reading"]
+__all__ = ["ORACLES", "QUERIES", "columns", "joins", "reading"]

@@ -13,11 +13,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ordered
+from .operators import merkle, ordered
 from .session import prepare, settle
 
 T0_MS = 1704067200000
 T0_S = 1704067200
+EVERY = 720
 URN = "urn:ngsi-ld:InfrastructureElement:"
 
 # -- the two dialects ---------------------------------------------------------------------------
@@ -249,6 +250,29 @@ class Ledger:
             "idx", f"{T0_S} + idx * 300 AS ts", "concat('0x', sha2(concat('m', idx), 256)) AS id",
             "concat('0x', sha2(concat('m', idx - 1 + CASE WHEN idx % 1511 = 0 THEN 1 ELSE 0 END), 256)) AS prev_id")
 
+    @property
+    def windows(self) -> DataFrame:
+        """Milestones with their checkpoint window and place in it."""
+        return self.milestones.selectExpr("*", f"(idx - 1) div {EVERY} + 1 AS seq", f"(idx - 1) % {EVERY} AS place")
+
+    @property
+    def window_roots(self) -> DataFrame:
+        """Merkle root of every fully indexed window."""
+        full = self.windows.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter(f"n = {EVERY}").select("seq")
+        return merkle.roots(self.windows.join(full, "seq", "left_semi"), ["seq"], "place", "id", most_leaves=EVERY)
+
+    @property
+    def anchors(self) -> DataFrame:
+        """One anchor per window; every fifth root altered, and made up where milestones are missing."""
+        spans = self.windows.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
+        made_up = "concat('0x', sha2(concat('r', seq), 256))"
+        return spans.join(self.window_roots.select("seq", "root"), "seq", "left").selectExpr(
+            "seq", f"(seq - 1) * {EVERY} + 1 AS from_ms", f"seq * {EVERY} AS to_ms",
+            f"CASE WHEN seq % 5 = 0 OR root IS NULL THEN {made_up} ELSE root END AS ms_root",
+            "concat('0x', sha2(concat('h', seq), 256)) AS checkpoint_hash",
+            "CASE WHEN seq % 7 = 0 THEN 'pending' ELSE 'anchored' END AS status", "seq * 10 AS record",
+            f"({T0_S} + seq * {EVERY} * 300) * 1000 AS at_ms")
+
     @property
     def lifecycle(self) -> DataFrame:
         """Four transitions per submission; the third and fourth are missing for some."""
@@ -317,6 +341,28 @@ DUCK: dict[str, tuple[tuple[str, ...], str]] = {
         sha256(concat(kid, '/', CAST(pos AS VARCHAR))) AS public_key
         FROM (SELECT DISTINCT iss, kid FROM messages), (VALUES (0), (1)) v(pos)"""),
 }
+DUCK["windows"] = (("milestones",), f"SELECT *, (idx - 1) // {EVERY} + 1 AS seq, (idx - 1) % {EVERY} AS place FROM milestones")
+
+
+def duck_levels(name: str, leaves: str, levels: int) -> None:
+    """Tables `<name>_0` … holding each level of the trees over `leaves` (w, pos, id), and `<name>_root`."""
+    DUCK[f"{name}_0"] = ((), f"SELECT w, pos, sha256(unhex(concat('00', substr(id, 3)))) AS h FROM ({leaves})")
+    for i in range(levels):
+        DUCK[f"{name}_{i + 1}"] = ((f"{name}_{i}",), f"""SELECT w, pos // 2 AS pos, CASE WHEN count(*) = 2
+            THEN sha256(unhex(concat('01', arg_min(h, pos), arg_max(h, pos)))) ELSE min(h) END AS h
+            FROM {name}_{i} GROUP BY w, pos // 2""")
+    DUCK[f"{name}_root"] = ((f"{name}_{levels}",), f"SELECT w, concat('0x', h) AS root FROM {name}_{levels}")
+
+
+duck_levels("wtree", f"SELECT seq AS w, place AS pos, id FROM windows WHERE seq IN (SELECT seq FROM windows GROUP BY seq HAVING count(*) = {EVERY})", 10)
+DUCK["wtree_0"] = (("windows",), DUCK["wtree_0"][1])
+duck_levels("ctree", "SELECT ms_index AS w, wf_index AS pos, block_id AS id FROM messages", 9)
+DUCK["ctree_0"] = (("messages",), DUCK["ctree_0"][1])
+DUCK["anchors"] = (("windows", "wtree_root"), f"""SELECT seq, (seq - 1) * {EVERY} + 1 AS from_ms, seq * {EVERY} AS to_ms,
+    CASE WHEN seq % 5 = 0 OR root IS NULL THEN concat('0x', sha256(concat('r', CAST(seq AS VARCHAR)))) ELSE root END AS ms_root,
+    concat('0x', sha256(concat('h', CAST(seq AS VARCHAR)))) AS checkpoint_hash,
+    CASE WHEN seq % 7 = 0 THEN 'pending' ELSE 'anchored' END AS status, seq * 10 AS record, ({T0_S} + seq * {EVERY} * 300) * 1000 AS at_ms
+    FROM (SELECT DISTINCT seq FROM windows) LEFT JOIN (SELECT w AS seq, root FROM wtree_root) USING (seq)""")
 for _name, (_source, _where, _exprs) in TABLES.items():
     _needs = () if _source == "events" else (_source,)
     DUCK[_name] = (_needs, _hex_text(_duck_select(_source, _where, _exprs)))
