@@ -1,6 +1,6 @@
 """Every registered query, grouped by family."""
 
-from . import columns, joins, reading
+from . import aggregates, columns, jobs, joins, reading
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "columns", "joins", "reading"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "jobs", "joins", "reading"]

@@ -30,10 +30,13 @@ EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 def _next_level(level: Column) -> Column:
-    """Pair neighbours; an odd last hash moves up."""
-    n = F.size(level)
-    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), lambda i: F.when(
-        i * 2 + 1 < n, node(F.get(level, i * 2), F.get(level, i * 2 + 1))).otherwise(F.get(level, i * 2)))
+    """Pair neighbours; an odd last hash moves up. The level is bound once, so ten nested levels stay small."""
+    def pair_up(row: Column) -> Column:
+        n = F.size(row)
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), lambda i: F.when(
+            i * 2 + 1 < n, node(F.get(row, i * 2), F.get(row, i * 2 + 1))).otherwise(F.get(row, i * 2)))
+
+    return F.get(F.transform(F.array(level), pair_up), F.lit(0))
 
 
 def _blake_levels(leaves):
