@@ -73,8 +73,8 @@ def p5(t):
     WHEN json_exists(envelope, '$.body') AND json_type(envelope, '$.body') <> 'OBJECT' THEN 'invalid field: body'
     END AS problem FROM envelopes""")
 def p6(t):
-    v = t.envelopes.select("block_id", C.parsed(F.col("envelope")).alias("v"))
-    return v.select("block_id", C.envelope_problem(F.col("v")).alias("problem"))
+    v = t.envelopes.select("block_id", C.parsed(F.col("envelope")).alias("v")).withColumn("keys", C.fields_of(F.col("v")))
+    return v.select("block_id", C.envelope_problem(F.col("v"), F.col("keys")).alias("problem"))
 
 
 @query("p7_message_date", "SELECT block_id, coalesce(received_at_ms, confirmed_at_ms, ts * 1000) AS date_ms FROM messages")

@@ -249,13 +249,13 @@ def is_envelope(v: Column) -> Column:
     return F.coalesce(is_integer(at(v, "$.w")) & (at(v, "$.w", "bigint") == 1) & is_text(at(v, "$.sig")), F.lit(False))
 
 
-def envelope_problem(v: Column) -> Column:
-    """The first structural problem of an envelope, as text, or null."""
-    keys = fields_of(v)
+def envelope_problem(v: Column, keys: Column | None = None) -> Column:
+    """The first structural problem of an envelope, as text, or null. `keys`: its field names, if at hand."""
+    keys = fields_of(v) if keys is None else keys
     has = lambda n: F.array_contains(keys, n)
     g = lambda p: at(v, f"$.{p}")
     sub = at(v, "$.att.sub")
-    has_sub = F.array_contains(fields_of(g("att")), "sub")
+    has_sub = sub.isNotNull()
     mode = at(v, "$.att.mode", "string")
     texts = lambda arr: F.forall(arr, lambda x: json_type(x) == "STRING")
     bix_ok = is_array(g("bix")) & F.coalesce(texts(at(v, "$.bix", "array<variant>")), F.lit(True))
@@ -281,8 +281,8 @@ def envelope_problem(v: Column) -> Column:
     ])
 
 
-def is_sealed(v: Column) -> Column:
-    keys = fields_of(v)
+def is_sealed(v: Column, keys: Column | None = None) -> Column:
+    keys = fields_of(v) if keys is None else keys
     return is_envelope(v) & F.array_contains(keys, "enc") & ~F.array_contains(keys, "body")
 
 

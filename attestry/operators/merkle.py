@@ -29,14 +29,11 @@ def node(left: Column, right: Column) -> Column:
 EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
-def _next_level(level: Column) -> Column:
-    """Pair neighbours; an odd last hash moves up. The level is bound once, so ten nested levels stay small."""
-    def pair_up(row: Column) -> Column:
-        n = F.size(row)
-        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), lambda i: F.when(
-            i * 2 + 1 < n, node(F.get(row, i * 2), F.get(row, i * 2 + 1))).otherwise(F.get(row, i * 2)))
-
-    return F.get(F.transform(F.array(level), pair_up), F.lit(0))
+def _next_level(level: str) -> str:
+    """Pair neighbours; an odd last hash moves up. The level is bound once, so nested levels stay small."""
+    return (f"get(transform(array({level}), row -> transform(sequence(0, CAST(floor((size(row) - 1) / 2) AS INT)),"
+            " i -> IF(i * 2 + 1 < size(row), sha2(unhex(concat('01', get(row, i * 2), get(row, i * 2 + 1))), 256),"
+            " get(row, i * 2)))), 0)")
 
 
 def _blake_levels(leaves):
@@ -61,9 +58,17 @@ def _levels(df: DataFrame, algorithm: str) -> DataFrame:
         df = df.withColumn("_all", build(F.col("l0")))
         return df.select(*[c for c in df.columns if c not in ("_all", "l0")],
                          *[F.get("_all", i).alias(f"l{i}") for i in range(BITS + 1)])
-    for i in range(BITS):
-        df = df.withColumn(f"l{i + 1}", _next_level(F.col(f"l{i}")))
-    return df
+    return df.selectExpr("*", *[f"{_next_level(f'l{i}')} AS l{i + 1}" for i in range(BITS)])
+
+
+def _tops(df: DataFrame, keys: Sequence[str], algorithm: str) -> DataFrame:
+    """The top hash of each block, as the next round's leaf."""
+    if algorithm == "sha256":
+        top = "l0"
+        for _ in range(BITS):
+            top = _next_level(top)
+        return df.select(*keys, F.col("_block").alias("_pos"), F.expr(f"get({top}, 0)").alias("_h"))
+    return _levels(df, algorithm).select(*keys, F.col("_block").alias("_pos"), F.get(f"l{BITS}", F.lit(0)).alias("_h"))
 
 
 def _blocks(leaves: DataFrame, keys: Sequence[str], position: str, hash_col: str) -> DataFrame:
@@ -88,8 +93,7 @@ def roots(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *,
     level = leaves.select(*keys, F.col(position).cast("bigint").alias("_pos"), leaf(F.col(id_col), algorithm).alias("_h"))
     counts = leaves.groupBy(*keys).agg(F.count(F.lit(1)).alias("leaves"))
     for _ in range(_rounds(most_leaves)):
-        built = _levels(_blocks(level, keys, "_pos", "_h"), algorithm)
-        level = built.select(*keys, F.col("_block").alias("_pos"), F.get(f"l{BITS}", F.lit(0)).alias("_h"))
+        level = _tops(_blocks(level, keys, "_pos", "_h"), keys, algorithm)
     return level.filter("_pos = 0").select(*keys, F.concat(F.lit("0x"), "_h").alias("root")).join(counts, keys)
 
 
@@ -104,15 +108,13 @@ def paths(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *,
     tiers = []
     for _ in range(_rounds(most_leaves)):
         built = _levels(_blocks(level, keys, "_pos", "_h"), algorithm)
-        steps = []
-        for i in range(BITS):
-            own = F.shiftright(F.col("_i"), i).cast("int")
-            other = own.bitwiseXOR(F.lit(1))
-            steps.append(F.when(other < F.size(f"l{i}"), F.struct(
-                F.when(own % 2 == 0, "R").otherwise("L").alias("side"), F.get(f"l{i}", other).alias("hash"))))
-        rows = built.withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("l0") - 1)))
-        path = F.array_compact(F.array(*steps))
-        tiers.append(rows.select(*keys, "_block", (F.shiftleft(F.col("_block"), BITS) + F.col("_i")).alias("_pos"), path.alias("_path")))
+
+        steps = ", ".join(
+            f"IF((shiftright(i, {k}) ^ 1) < size(l{k}), named_struct('side', IF(shiftright(i, {k}) % 2 = 0, 'R', 'L'),"
+            f" 'hash', get(l{k}, shiftright(i, {k}) ^ 1)), NULL)" for k in range(BITS))
+        each = F.expr(f"explode(transform(sequence(0, size(l0) - 1), i -> named_struct('i', i, 'path', array_compact(array({steps})))))")
+        tiers.append(built.select(*keys, "_block", each.alias("_e")).select(
+            *keys, "_block", (F.shiftleft(F.col("_block"), BITS) + F.col("_e.i")).alias("_pos"), F.col("_e.path").alias("_path")))
         level = built.select(*keys, F.col("_block").alias("_pos"), F.get(f"l{BITS}", F.lit(0)).alias("_h"))
     whole = tiers[-1]
     for lower in reversed(tiers[:-1]):

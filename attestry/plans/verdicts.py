@@ -68,12 +68,13 @@ def resolve_replays(candidates: DataFrame) -> DataFrame:
 def opened(messages: DataFrame, data: str = "data", kinds: dict[str, str] | None = None) -> DataFrame:
     """Parse each message once: its envelope's fields, its body and whether the body fits the schema."""
     v = F.col("_v")
-    df = messages.withColumn("_v", C.parsed(F.col(data)))
+    df = messages.withColumn("_v", C.parsed(F.col(data))).withColumn("_keys", C.fields_of(F.col("_v")))
+    names = F.col("_keys")
     env = C.is_envelope(v)
     text = lambda p: F.when(C.is_text(C.at(v, p)), C.at(v, p, "string"))
     df = df.select(
         *messages.columns, v, env.alias("is_env"), C.kind_of(F.col("tag"), C.is_object(v), kinds).alias("kind_read"),
-        F.when(env, C.envelope_problem(v)).alias("shape"), C.is_sealed(v).alias("sealed"),
+        F.when(env, C.envelope_problem(v, names)).alias("shape"), C.is_sealed(v, names).alias("sealed"),
         text("$.tag").alias("env_tag"), text("$.iss").alias("env_iss"), text("$.kid").alias("env_kid"),
         C.at(v, "$.seq", "bigint").alias("env_seq"), C.at(v, "$.iat", "bigint").alias("env_iat"), text("$.nonce").alias("env_nonce"),
         C.at(v, "$.att.mode", "string").alias("att_mode"), F.when(env, C.at(v, "$.body")).otherwise(v).alias("_body"))
