@@ -24,7 +24,9 @@ def feed(t, name, df, clock, slices=3):
             part = df.filter((F.col(clock) >= lo + k * step) & (F.col(clock) < lo + (k + 1) * step))
             part.write.mode("append").parquet(path)
         _FEEDS[key] = path
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(_FEEDS[key])
+    arrived = t.spark.read.parquet(_FEEDS[key])
+    per_trigger = max(1, len(arrived.inputFiles()) // slices)
+    return t.spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", per_trigger).parquet(_FEEDS[key])
 
 
 def messages(t):

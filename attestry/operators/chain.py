@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import settle
 from . import ordered
 from .ordered import BY_POSITION, BY_SEQ, last, running_max
 
@@ -89,7 +90,7 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
     return got[["iss", "block_id", "seq", "place", "head_block", "head_seq"]]
 
 
-def _search_below(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _search_below(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Late rows whose head lies in an earlier chunk: the last row there that arrived before them."""
     rows = rows.sort_values(["seq", "ts", "rev"], kind="stable")
     place = rows["place"].to_numpy()
@@ -105,7 +106,8 @@ def _search_below(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         hit = np.flatnonzero(mins < p)
         k = smallest_after[int(hit[0])] if len(hit) else None
         out.append((bid, None if k is None else rows["block_id"].iat[k], None if k is None else int(rows["seq"].iat[k])))
-    return pd.DataFrame(out, columns=["block_id", "head_block", "head_seq"])
+    got = pd.DataFrame(out, columns=["block_id", "head_block", "head_seq"])
+    return got.astype({"block_id": "object", "head_block": "object", "head_seq": "Int64"})
 
 
 BY_SEQ_TIME = ordered.Order(("seq", "ts", "rev"), "seq", "ts")
@@ -140,6 +142,7 @@ def heads_on_arrival(messages: DataFrame) -> DataFrame:
                         "block_id", "seq", "ts", "rev", "place", "late")
     found = parts.groupBy("iss", "_a", "_b", "_c").applyInPandas(local, flat)
     if cuts.groups:
+        parts, found = settle(parts, "chain-rows"), settle(found, "chain-heads")
         lows = parts.groupBy("iss", "_a", "_b", "_c").agg(F.min("place").alias("low"))
         open_rows = found.filter("head_block IS NULL").select("iss", "_a", "_b", "_c", "block_id", "place")
         earlier = F.broadcast(lows.select("iss", F.struct("_a", "_b", "_c").alias("_at"), "low"))

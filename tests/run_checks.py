@@ -1,5 +1,6 @@
 """Check registered queries against their oracle: python tests/run_checks.py [folder] [name prefix …]"""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -18,6 +19,8 @@ def main() -> int:
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("HOT_ROWS"):
+        spark.conf.set("spark.attestry.hotGroupRows", os.environ["HOT_ROWS"])
     con = connect(folder)
     bad = 0
     oracles = entry.oracle_sql()
