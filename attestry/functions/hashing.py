@@ -47,7 +47,7 @@ def _number(v: float) -> str:
     if "e" in text:
         mantissa, exp = text.split("e")
         power = int(exp)
-        if -7 <= power < 0:
+        if -7 < power < 0:
             digits = mantissa.replace(".", "").lstrip("-")
             return ("-" if v < 0 else "") + "0." + "0" * (-power - 1) + digits
         return f"{mantissa}e{'+' if power > 0 else '-'}{abs(power)}"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,51 +64,53 @@ def settled_heads(messages: DataFrame, **how) -> DataFrame:
 
 
 def _search(rows: pd.DataFrame) -> pd.DataFrame:
-    """Within one chunk in seq order: per late row the nearest earlier-arrived row of a lower seq."""
-    rows = rows.sort_values(["seq", "ts", "rev"], kind="stable").reset_index(drop=True)
-    seq, place, late = rows["seq"].to_numpy(), rows["place"].to_numpy(), rows["late"].to_numpy()
-    head = np.full(len(rows), -1)
-    stack: list[int] = []
+    """Within one chunk in seq order: per late row the nearest earlier-arrived row of a lower seq.
+
+    Keeps the rows no later one arrived before; their places ascend, so a lookup is a bisection."""
+    rows = rows.sort_values(["seq", "ts", "rev"], kind="stable")
+    seq, place, late, block = (rows[c].tolist() for c in ("seq", "place", "late", "block_id"))
+    kept: list[int] = []
+    places: list[int] = []
+    found: list[tuple] = []
     i = 0
-    while i < len(rows):
+    while i < len(seq):
         j = i
-        while j < len(rows) and seq[j] == seq[i]:
+        while j < len(seq) and seq[j] == seq[i]:
+            if late[j]:
+                at = bisect_left(places, place[j]) - 1
+                k = kept[at] if at >= 0 else None
+                found.append((rows["iss"].iat[0], block[j], seq[j], place[j], None if k is None else block[k], None if k is None else seq[k]))
             j += 1
-        places = place[stack] if stack else np.empty(0, dtype=np.int64)
         for k in range(i, j):
-            if late[k]:
-                at = int(np.searchsorted(places, place[k])) - 1
-                head[k] = stack[at] if at >= 0 else -1
-        for k in range(i, j):
-            while stack and place[stack[-1]] >= place[k]:
-                stack.pop()
-            stack.append(k)
+            while places and places[-1] >= place[k]:
+                places.pop()
+                kept.pop()
+            places.append(place[k])
+            kept.append(k)
         i = j
-    got = rows[late].copy()
-    at = head[late]
-    got["head_block"] = [rows["block_id"].iat[k] if k >= 0 else None for k in at]
-    got["head_seq"] = pd.array([int(seq[k]) if k >= 0 else None for k in at], dtype="Int64")
-    return got[["iss", "block_id", "seq", "place", "head_block", "head_seq"]]
+    return _typed(found, ["iss", "block_id", "seq", "place", "head_block", "head_seq"])
+
+
+def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    got = pd.DataFrame(rows, columns=names)
+    return got.astype({n: "Int64" if n in ("seq", "place", "head_seq") else "object" for n in names})
 
 
 def _search_below(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Late rows whose head lies in an earlier chunk: the last row there that arrived before them."""
     rows = rows.sort_values(["seq", "ts", "rev"], kind="stable")
-    place = rows["place"].to_numpy()
-    smallest_after: list[int] = []  # rows that are below every later row, last first
-    low = None
+    seq, place, block = (rows[c].tolist() for c in ("seq", "place", "block_id"))
+    kept: list[int] = []  # rows that arrived before every later row of the chunk
     for k in range(len(place) - 1, -1, -1):
-        if low is None or place[k] < low:
-            smallest_after.append(k)
-            low = place[k]
-    mins = place[smallest_after]
+        if not kept or place[k] < place[kept[-1]]:
+            kept.append(k)
+    lowest_first = [place[k] for k in reversed(kept)]
     out = []
     for bid, p in zip(asked["block_id"], asked["place"], strict=True):
-        hit = np.flatnonzero(mins < p)
-        k = smallest_after[int(hit[0])] if len(hit) else None
-        out.append((bid, None if k is None else rows["block_id"].iat[k], None if k is None else int(rows["seq"].iat[k])))
-    got = pd.DataFrame(out, columns=["block_id", "head_block", "head_seq"])
-    return got.astype({"block_id": "object", "head_block": "object", "head_seq": "Int64"})
+        n = bisect_left(lowest_first, p)
+        k = kept[len(kept) - n] if n else None
+        out.append((bid, None if k is None else block[k], None if k is None else seq[k]))
+    return _typed(out, ["block_id", "head_block", "head_seq"])
 
 
 BY_SEQ_TIME = ordered.Order(("seq", "ts", "rev"), "seq", "ts")
