@@ -40,8 +40,8 @@ SCHEMA_SQL = """SELECT block_id, CASE WHEN NOT json_valid(body) THEN FALSE ELSE
 
 @query("p3_schema_ok", SCHEMA_SQL)
 def p3(t):
-    v = t.bodies.select("block_id", "kind", C.parsed(F.col("body")).alias("v"))
-    return v.select("block_id", C.body_fits(F.col("kind"), F.col("v")).alias("schema_ok"))
+    m = t.bodies.select("block_id", "kind", C.fields(C.parsed(F.col("body"))).alias("m"))
+    return m.select("block_id", C.body_fits(F.col("kind"), F.col("m")).alias("schema_ok"))
 
 
 @query("p4_ie_ref", """SELECT block_id, CASE WHEN NOT json_valid(body) OR json_type(body) <> 'OBJECT' THEN NULL
@@ -59,11 +59,12 @@ def p4(t):
     FROM (SELECT *, coalesce(json_type(envelope, '$.w') IN ('UBIGINT', 'BIGINT') AND (envelope->>'$.w') = '1'
       AND json_type(envelope, '$.sig') = 'VARCHAR', FALSE) AS is_env FROM envelopes)""")
 def p5(t):
-    v = F.col("v")
-    is_env = C.is_envelope(v)
-    part = lambda p: F.when(is_env & C.is_text(C.at(v, p)), C.at(v, p, "string"))
-    return t.envelopes.withColumn("v", C.parsed(F.col("envelope"))).select("block_id", is_env.alias("is_envelope"), C.is_sealed(v).alias("sealed"),
-                              part("$.nonce").alias("nonce"), part("$.prev").alias("prev"), part("$.corr").alias("corr"))
+    m = F.col("m")
+    is_env = C.is_envelope(m)
+    part = lambda p: F.when(is_env & C.is_text(m[p]), C.at(m[p], "$", "string"))
+    return t.envelopes.withColumn("m", C.fields(C.parsed(F.col("envelope")))).select(
+        "block_id", is_env.alias("is_envelope"), F.coalesce(C.is_sealed(m), F.lit(False)).alias("sealed"),
+        part("nonce").alias("nonce"), part("prev").alias("prev"), part("corr").alias("corr"))
 
 
 @query("p6_envelope_shape", """SELECT block_id, CASE WHEN n % 13 = 0 THEN 'not a version 1 envelope'
@@ -73,8 +74,8 @@ def p5(t):
     WHEN json_exists(envelope, '$.body') AND json_type(envelope, '$.body') <> 'OBJECT' THEN 'invalid field: body'
     END AS problem FROM envelopes""")
 def p6(t):
-    v = t.envelopes.select("block_id", C.parsed(F.col("envelope")).alias("v")).withColumn("keys", C.fields_of(F.col("v")))
-    return v.select("block_id", C.envelope_problem(F.col("v"), F.col("keys")).alias("problem"))
+    m = t.envelopes.select("block_id", C.fields(C.parsed(F.col("envelope"))).alias("m"))
+    return m.select("block_id", C.envelope_problem(F.col("m")).alias("problem"))
 
 
 @query("p7_message_date", "SELECT block_id, coalesce(received_at_ms, confirmed_at_ms, ts * 1000) AS date_ms FROM messages")

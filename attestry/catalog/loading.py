@@ -75,7 +75,7 @@ def s5(t):
 def s5b(t):
     v = C.parsed(F.col("json"))
     df = t.messages.select("block_id", "ms_index", "ts", "verdict", "kind", v.alias("v"))
-    df = df.filter("kind = 'trust.score'").filter(C.body_fits(F.col("kind"), F.col("v")))
+    df = df.filter("kind = 'trust.score'").withColumn("m", C.fields(F.col("v"))).filter(C.body_fits(F.col("kind"), F.col("m")))
     return df.select(C.ie_of(F.col("kind"), F.col("v")).alias("ie_id"), "block_id", "ms_index", "ts", C.score_of(C.at(F.col("v"), "$.score")).alias("score"), "verdict")
 
 

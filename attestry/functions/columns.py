@@ -22,6 +22,12 @@ def json_type(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
+def fields(v: Column) -> Column:
+    """An object as a map from field to value (null for anything else). Take it once, as a column of its
+    own: looking fields up in it is far cheaper than a path per test."""
+    return at(v, "$", "map<string,variant>")
+
+
 def is_text(v: Column) -> Column:
     return F.coalesce(json_type(v) == "STRING", F.lit(False))
 
@@ -209,68 +215,64 @@ def first_problem(tests: list[tuple[Column, str]]) -> Column:
     return out
 
 
-def body_fits(kind: Column, v: Column) -> Column:
-    """Whether a body follows the schema of its kind (kinds without one accept anything)."""
-    g = lambda p: at(v, f"$.{p}")
-    keys = fields_of(v)
-    known = lambda *names: F.size(F.array_except(keys, F.array(*[F.lit(n) for n in names]))) == 0
-    has = lambda name: F.array_contains(keys, name)
+def body_fits(kind: Column, m: Column) -> Column:
+    """Whether a body (its `fields`) follows the schema of its kind; kinds without one accept anything."""
+    g = lambda name: m[name]
+    has = lambda name: F.map_contains_key(m, name)
+    lits = lambda *names: F.array(*[F.lit(n) for n in names])
+    known = lambda x, *names: F.size(F.array_except(F.map_keys(x), lits(*names))) == 0
+    exact = lambda x, *names: F.array_sort(F.map_keys(x)) == F.array_sort(lits(*names))
     score = score_of(g("score")).isNotNull() & matches(g("id"), V.IE_ID)
     llo = filled_text(g("event")) & filled_text(g("lloId")) & filled_text(g("serviceComponentId"))
     orchestrator = filled_text(g("infrastructureElementId")) & (filled_text(g("errorCode")) | is_integer(g("errorCode")))
-    span = at(v, "$.range")
-    span_keys = fields_of(span)
-    span_ok = is_object(span) & (F.size(F.array_except(span_keys, F.array(F.lit("msFrom"), F.lit("msTo")))) == 0)
+    span = fields(g("range"))
+    span_ok = span.isNotNull() & known(span, "msFrom", "msTo")
     for end in ("msFrom", "msTo"):
-        span_ok = span_ok & (~F.array_contains(span_keys, end) | is_uint(at(v, f"$.range.{end}"), V.MAX_MILESTONE))
-    span_ok = span_ok & ~F.coalesce(at(v, "$.range.msFrom", "bigint") > at(v, "$.range.msTo", "bigint"), F.lit(False))
-    report = (known("reportHash", "generatedAt", "range", "ie") & matches(g("reportHash"), V.HEX32)
+        span_ok = span_ok & (~F.map_contains_key(span, end) | is_uint(span[end], V.MAX_MILESTONE))
+    span_ok = span_ok & ~F.coalesce(at(span["msFrom"], "$", "bigint") > at(span["msTo"], "$", "bigint"), F.lit(False))
+    report = (known(m, "reportHash", "generatedAt", "range", "ie") & matches(g("reportHash"), V.HEX32)
               & is_uint(g("generatedAt")) & (~has("range") | span_ok) & (~has("ie") | matches(g("ie"), V.IE_ID)))
-    rebased = at(v, "$.rebased")
-    exact = lambda x, *names: F.array_sort(fields_of(x)) == F.array_sort(F.array(*[F.lit(n) for n in names]))
-    anchor = (exact(v, "seq", "checkpoint", "checkpointHash", "rebased") & is_uint(g("seq"))
-              & (at(v, "$.seq", "bigint") >= 1) & checkpoint_problem(g("checkpoint")).isNull()
+    rebased = fields(g("rebased"))
+    anchor = (exact(m, "seq", "checkpoint", "checkpointHash", "rebased") & is_uint(g("seq"))
+              & (at(g("seq"), "$", "bigint") >= 1) & checkpoint_problem(g("checkpoint")).isNull()
               & matches(g("checkpointHash"), V.HEX32) & exact(rebased, "network", "trail", "record", "tx")
-              & filled_text(at(v, "$.rebased.network"))
-              & (F.char_length(at(v, "$.rebased.network", "string")) <= 64)
-              & matches(at(v, "$.rebased.trail"), V.HEX32) & is_uint(at(v, "$.rebased.record"))
-              & matches(at(v, "$.rebased.tx"), V.BASE58_DIGEST))
+              & filled_text(rebased["network"]) & (F.char_length(at(rebased["network"], "$", "string")) <= 64)
+              & matches(rebased["trail"], V.HEX32) & is_uint(rebased["record"]) & matches(rebased["tx"], V.BASE58_DIGEST))
     checked = (F.when(kind == V.SCORE_KIND, score).when(kind.isin(*V.LLO_KINDS), llo)
                .when(kind == V.ORCHESTRATOR_KIND, orchestrator)
                .when(kind == "audit.report", report).when(kind == V.ANCHOR_KIND, anchor).otherwise(F.lit(True)))
     needs_object = kind.isin(V.SCORE_KIND, V.ORCHESTRATOR_KIND, "self-security", "audit.report", V.ANCHOR_KIND, *V.LLO_KINDS)
-    return F.coalesce(~needs_object | (is_object(v) & checked), F.lit(False))
+    return F.coalesce(~needs_object | (m.isNotNull() & checked), F.lit(False))
 
 
 # -- envelopes ----------------------------------------------------------------------------------
 
 
-def is_envelope(v: Column) -> Column:
-    return F.coalesce(is_integer(at(v, "$.w")) & (at(v, "$.w", "bigint") == 1) & is_text(at(v, "$.sig")), F.lit(False))
+def is_envelope(m: Column) -> Column:
+    """Whether an object (its `fields`) is a version 1 envelope."""
+    return F.coalesce(is_integer(m["w"]) & (at(m["w"], "$", "bigint") == 1) & is_text(m["sig"]), F.lit(False))
 
 
-def envelope_problem(v: Column, keys: Column | None = None) -> Column:
-    """The first structural problem of an envelope, as text, or null. `keys`: its field names, if at hand."""
-    keys = fields_of(v) if keys is None else keys
-    has = lambda n: F.array_contains(keys, n)
-    g = lambda p: at(v, f"$.{p}")
-    sub = at(v, "$.att.sub")
-    has_sub = sub.isNotNull()
-    mode = at(v, "$.att.mode", "string")
+def envelope_problem(m: Column) -> Column:
+    """The first structural problem of an envelope (its `fields`), as text, or null."""
+    has = lambda n: F.map_contains_key(m, n)
+    g = lambda n: m[n]
+    att = fields(g("att"))
+    mode = at(g("att"), "$.mode", "string")
     texts = lambda arr: F.forall(arr, lambda x: json_type(x) == "STRING")
-    bix_ok = is_array(g("bix")) & F.coalesce(texts(at(v, "$.bix", "array<variant>")), F.lit(True))
-    cmt_ok = is_object(g("cmt")) & F.coalesce(texts(F.map_values(at(v, "$.cmt", "map<string,variant>"))), F.lit(True))
+    bix_ok = is_array(g("bix")) & F.coalesce(texts(at(g("bix"), "$", "array<variant>")), F.lit(True))
+    cmt_ok = is_object(g("cmt")) & F.coalesce(texts(F.map_values(fields(g("cmt")))), F.lit(True))
     return first_problem([
-        (~is_envelope(v), "not a version 1 envelope"),
-        (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in V.ENVELOPE_FIELDS]))) > 0, "unknown top-level field"),
+        (~is_envelope(m), "not a version 1 envelope"),
+        (F.size(F.array_except(F.map_keys(m), F.array(*[F.lit(k) for k in V.ENVELOPE_FIELDS]))) > 0, "unknown top-level field"),
         *[(~is_text(g(n)), f"missing or invalid field: {n}") for n in ("tag", "iss", "kid")],
         (~is_uint(g("seq")) | ~is_uint(g("iat")), "missing or invalid field: seq/iat"),
         (~matches(g("nonce"), V.NONCE), "invalid nonce encoding"),
         (~matches(g("sig"), V.SIGNATURE), "invalid sig encoding"),
-        (~is_object(g("att")) | ~F.coalesce(is_text(at(v, "$.att.mode")) & mode.isin("producer", "relay"), F.lit(False)),
+        (att.isNull() | ~F.coalesce(is_text(att["mode"]) & mode.isin("producer", "relay"), F.lit(False)),
          "missing or invalid field: att"),
-        ((mode == "relay") & ~filled_text(sub), "relay attestation requires att.sub"),
-        (has_sub & ~is_text(sub), "invalid field: att.sub"),
+        ((mode == "relay") & ~filled_text(att["sub"]), "relay attestation requires att.sub"),
+        (F.map_contains_key(att, "sub") & ~is_text(att["sub"]), "invalid field: att.sub"),
         (has("body") == has("enc"), "exactly one of body or enc is required"),
         (has("body") & ~is_object(g("body")) & (json_type(g("body")) != "VOID"), "invalid field: body"),
         (has("enc") & ~is_object(g("enc")), "invalid field: enc"),
@@ -281,14 +283,13 @@ def envelope_problem(v: Column, keys: Column | None = None) -> Column:
     ])
 
 
-def is_sealed(v: Column, keys: Column | None = None) -> Column:
-    keys = fields_of(v) if keys is None else keys
-    return is_envelope(v) & F.array_contains(keys, "enc") & ~F.array_contains(keys, "body")
+def is_sealed(m: Column) -> Column:
+    return is_envelope(m) & F.map_contains_key(m, "enc") & ~F.map_contains_key(m, "body")
 
 
 def relay_sealed(posted: Column, sent: Column) -> Column:
     """The relay sealed a legacy message: posted bytes are sealed, what was sent is no envelope."""
-    return F.coalesce(is_sealed(posted), F.lit(False)) & ~is_envelope(sent)
+    return F.coalesce(is_sealed(fields(posted)), F.lit(False)) & ~is_envelope(fields(sent))
 
 
 def blind_tokens(v: Column) -> Column:

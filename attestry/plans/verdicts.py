@@ -67,20 +67,19 @@ def resolve_replays(candidates: DataFrame) -> DataFrame:
 
 def opened(messages: DataFrame, data: str = "data", kinds: dict[str, str] | None = None) -> DataFrame:
     """Parse each message once: its envelope's fields, its body and whether the body fits the schema."""
-    v = F.col("_v")
-    df = messages.withColumn("_v", C.parsed(F.col(data))).withColumn("_keys", C.fields_of(F.col("_v")))
-    names = F.col("_keys")
-    env = C.is_envelope(v)
-    text = lambda p: F.when(C.is_text(C.at(v, p)), C.at(v, p, "string"))
+    m = F.col("_m")
+    df = messages.withColumn("_m", C.fields(C.parsed(F.col(data))))
+    env = C.is_envelope(m)
+    text = lambda n: F.when(C.is_text(m[n]), C.at(m[n], "$", "string"))
     df = df.select(
-        *messages.columns, v, env.alias("is_env"), C.kind_of(F.col("tag"), C.is_object(v), kinds).alias("kind_read"),
-        F.when(env, C.envelope_problem(v, names)).alias("shape"), C.is_sealed(v, names).alias("sealed"),
-        text("$.tag").alias("env_tag"), text("$.iss").alias("env_iss"), text("$.kid").alias("env_kid"),
-        C.at(v, "$.seq", "bigint").alias("env_seq"), C.at(v, "$.iat", "bigint").alias("env_iat"), text("$.nonce").alias("env_nonce"),
-        C.at(v, "$.att.mode", "string").alias("att_mode"), F.when(env, C.at(v, "$.body")).otherwise(v).alias("_body"))
+        *messages.columns, env.alias("is_env"), C.kind_of(F.col("tag"), m.isNotNull(), kinds).alias("kind_read"),
+        F.when(env, C.envelope_problem(m)).alias("shape"), F.coalesce(C.is_sealed(m), F.lit(False)).alias("sealed"),
+        text("tag").alias("env_tag"), text("iss").alias("env_iss"), text("kid").alias("env_kid"),
+        C.at(m["seq"], "$", "bigint").alias("env_seq"), C.at(m["iat"], "$", "bigint").alias("env_iat"), text("nonce").alias("env_nonce"),
+        C.at(m["att"], "$.mode", "string").alias("att_mode"), F.when(env, C.fields(m["body"])).otherwise(m).alias("_body"))
     fits = C.body_fits(F.col("kind_read"), F.col("_body"))
-    body_ok = F.when(F.col("sealed"), True).when(F.col("is_env"), C.is_object(F.col("_body")) & fits).otherwise(fits)
-    return df.withColumn("schema_ok", body_ok).drop("_v", "_body")
+    body_ok = F.when(F.col("sealed"), True).when(F.col("is_env"), F.col("_body").isNotNull() & fits).otherwise(fits)
+    return df.withColumn("schema_ok", body_ok).drop("_body")
 
 
 def judge(messages: DataFrame, policy: DataFrame, key_history: DataFrame, *, data: str = "data",

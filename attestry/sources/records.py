@@ -104,7 +104,7 @@ def mirrored_anchors(messages: DataFrame, anchor_tag: str, pinned_iss: str) -> t
     and the later ones that announce another hash under a known seq."""
     v = F.col("_v")
     rows = (messages.filter((F.col("tag") == anchor_tag) & (F.col("verdict") == "PRODUCER_SIGNED") & (F.col("iss") == pinned_iss))
-            .withColumn("_v", C.parsed(F.col("json"))).filter(C.body_fits(F.lit(V.ANCHOR_KIND), v)))
+            .withColumn("_v", C.parsed(F.col("json"))).withColumn("_m", C.fields(v)).filter(C.body_fits(F.lit(V.ANCHOR_KIND), F.col("_m"))))
     place = F.struct("ms_index", "wf_index", "block_id")
     seen = rows.select(
         C.at(v, "$.seq", "bigint").alias("seq"), C.at(v, "$.checkpoint.from.index", "bigint").alias("from_ms"),
