@@ -40,7 +40,7 @@ SCHEMA_SQL = """SELECT block_id, CASE WHEN NOT json_valid(body) THEN FALSE ELSE
 
 @query("p3_schema_ok", SCHEMA_SQL)
 def p3(t):
-    m = t.bodies.select("block_id", "kind", C.fields(C.parsed(F.col("body"))).alias("m"))
+    m = C.with_fields(t.bodies.select("block_id", "kind", "body"), "body", "m")
     return m.select("block_id", C.body_fits(F.col("kind"), F.col("m")).alias("schema_ok"))
 
 
@@ -62,7 +62,7 @@ def p5(t):
     m = F.col("m")
     is_env = C.is_envelope(m)
     part = lambda p: F.when(is_env & C.is_text(m[p]), C.at(m[p], "$", "string"))
-    return t.envelopes.withColumn("m", C.fields(C.parsed(F.col("envelope")))).select(
+    return C.with_fields(t.envelopes.select("block_id", "envelope"), "envelope", "m").select(
         "block_id", is_env.alias("is_envelope"), F.coalesce(C.is_sealed(m), F.lit(False)).alias("sealed"),
         part("nonce").alias("nonce"), part("prev").alias("prev"), part("corr").alias("corr"))
 
@@ -74,7 +74,7 @@ def p5(t):
     WHEN json_exists(envelope, '$.body') AND json_type(envelope, '$.body') <> 'OBJECT' THEN 'invalid field: body'
     END AS problem FROM envelopes""")
 def p6(t):
-    m = t.envelopes.select("block_id", C.fields(C.parsed(F.col("envelope"))).alias("m"))
+    m = C.with_fields(t.envelopes.select("block_id", "envelope"), "envelope", "m")
     return m.select("block_id", C.envelope_problem(F.col("m")).alias("problem"))
 
 

@@ -230,7 +230,7 @@ def w11(t):
 def w3(t):
     from ..operators import scores
     f = scores.trusted_flags(t.messages.filter("ie_id IS NOT NULL"), t.policy, t.alerts, t.submissions)
-    return scores.drops(scores.with_trusted_previous(f)).filter("score IS NOT NULL").select("block_id", "score", "previous_score")
+    return scores.drops(scores.with_trusted_previous(f, sizes=t.messages)).filter("score IS NOT NULL").select("block_id", "score", "previous_score")
 
 
 CONE_SQL = """SELECT ms_index, count(*) AS n, min(p) = 0 AND max(p) = count(*) - 1 AND count(DISTINCT p) = count(*) AS in_order, count(*) FILTER (WHERE n % 101 = 0) AS bad_hashes

@@ -93,7 +93,7 @@ J8_FLAGS = """SELECT m.*, coalesce(list_contains(allowed, '*') OR list_contains(
 def j8(t):
     f = scores.trusted_flags(t.messages.filter("ie_id IS NOT NULL"), t.policy, t.alerts, t.submissions)
     f = f.withColumn("trust", F.lit("relayed"))
-    return scores.with_trusted_previous(f).select("block_id", "proven_score", "proven_block_id", F.col("previous_score").alias("relayed_score"))
+    return scores.with_trusted_previous(f, sizes=t.messages).select("block_id", "proven_score", "proven_block_id", F.col("previous_score").alias("relayed_score"))
 
 
 @query("j9_chain_head", f"""WITH p AS (SELECT * FROM messages WHERE {PROVEN}), h AS (SELECT a.block_id, b.block_id AS head_block, b.seq AS head_seq,

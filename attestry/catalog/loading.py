@@ -73,10 +73,9 @@ def s5(t):
 
 @query("s5_score_rows", "SELECT ie_id, block_id, ms_index, ts, score, verdict FROM messages WHERE score IS NOT NULL")
 def s5b(t):
-    v = C.parsed(F.col("json"))
-    df = t.messages.select("block_id", "ms_index", "ts", "verdict", "kind", v.alias("v"))
-    df = df.filter("kind = 'trust.score'").withColumn("m", C.fields(F.col("v"))).filter(C.body_fits(F.col("kind"), F.col("m")))
-    return df.select(C.ie_of(F.col("kind"), F.col("v")).alias("ie_id"), "block_id", "ms_index", "ts", C.score_of(C.at(F.col("v"), "$.score")).alias("score"), "verdict")
+    df = t.messages.filter("kind = 'trust.score'").select("block_id", "ms_index", "ts", "verdict", "kind", "json")
+    df = C.with_fields(df, "json", "m").filter(C.body_fits(F.col("kind"), F.col("m")))
+    return df.select(C.at(F.col("m")["id"], "$", "string").alias("ie_id"), "block_id", "ms_index", "ts", C.score_of(F.col("m")["score"]).alias("score"), "verdict")
 
 
 @query("s6_alert_insert", "SELECT id, rule FROM alerts WHERE id % 3 <> 0")

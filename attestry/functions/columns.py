@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -28,6 +28,13 @@ def fields(v: Column) -> Column:
     return at(v, "$", "map<string,variant>")
 
 
+def with_fields(df: DataFrame, text: str | Column, name: str) -> DataFrame:
+    """Add the `fields` of a JSON text, parsed once per row: a filter on anything computed from them is
+    not pushed below a generated column, where it would parse the text again for every test."""
+    text = F.col(text) if isinstance(text, str) else text
+    return df.select("*", F.explode(F.array(fields(parsed(text)))).alias(name))
+
+
 def is_text(v: Column) -> Column:
     return F.coalesce(json_type(v) == "STRING", F.lit(False))
 

@@ -126,7 +126,7 @@ def heads_on_arrival(messages: DataFrame) -> DataFrame:
     df = (proven_messages(messages).withColumn("place", F.expr(PLACE))
           .withColumn("rev", F.translate("block_id", "0123456789abcdef", "fedcba9876543210")))
     best = F.struct("seq", "ts", "rev", "block_id")
-    seen = ordered.scan(df, ["iss"], BY_POSITION, {"_top": running_max(best)})
+    seen = ordered.scan(df, ["iss"], BY_POSITION, {"_top": running_max(best)}, sizes=messages)
     on_time = F.col("_top").isNull() | (F.col("_top.seq") < F.col("seq"))
     simple = seen.filter(on_time).withColumn("head_block", F.col("_top.block_id")).withColumn("head_seq", F.col("_top.seq"))
     late_rows = seen.filter(~on_time).drop("_top")

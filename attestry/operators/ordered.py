@@ -167,16 +167,19 @@ def _summary(op: Before, cols: Sequence[str], backwards: bool) -> Column:
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Order, outputs: dict[str, Before], *,
-         cuts: Cuts | None = None, chunk: str | None = None, backwards: bool = False) -> DataFrame:
+         cuts: Cuts | None = None, chunk: str | None = None, sizes: DataFrame | None = None,
+         backwards: bool = False) -> DataFrame:
     """Add, per row, each output folded over the rows of its group strictly before it.
 
     `chunk` names a column (or SQL expression) that follows the order and bounds a chunk's rows by
-    construction; otherwise the hot groups are measured. `backwards` folds over the rows after it.
+    construction; otherwise the hot groups are measured, on `sizes` if given: a stored table with the
+    same keys and order that has at least these rows, so that a derived input is not computed twice.
+    `backwards` folds over the rows after it.
     """
     keys = list(keys)
     bounded = chunk is None
     if bounded:
-        cuts = measure(df, keys, order) if cuts is None else cuts
+        cuts = measure(df if sizes is None else sizes, keys, order) if cuts is None else cuts
         rows = with_chunk(df, cuts)
         carry_needed = bool(cuts.groups)
     else:

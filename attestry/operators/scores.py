@@ -162,7 +162,7 @@ def lineage(messages: DataFrame, alerts: DataFrame, context: DataFrame, epsilon:
     heads = rows.groupBy("ie_id").agg(F.max_by("score", F.when(vouched, place)).alias("ledger_score"))
     heads = (heads.join(context.select("ie_id", "trust_score"), "ie_id", "left")
              .withColumn("drift", F.abs(F.col("trust_score") - F.col("ledger_score")) > epsilon))
-    numbered = ordered.rank_by(rows, ["ie_id"], BY_POSITION)
+    numbered = ordered.rank_by(rows, ["ie_id"], BY_POSITION, sizes=messages)
     return numbered.join(heads, "ie_id").select("ie_id", "position", "block_id", "verdict", "score", "ledger_score", "drift")
 
 

@@ -120,7 +120,7 @@ def anomalies(t: Tables, threshold: float = V.JUMP, window_s: int = V.CORROBORAT
     """Score jumps no security event of the element explains in the window before."""
     verdicts = score_verdicts(t.policy)
     rows = _trusted_content(t).filter("ie_id IS NOT NULL")
-    df = scores.with_previous_score(rows, scores.score_eligible(verdicts))
+    df = scores.with_previous_score(rows, scores.score_eligible(verdicts), sizes=t.messages)
     df = df.filter(F.col("score").between(0, 1)).withColumn("delta", F.col("score") - F.col("previous_score"))
     df = df.filter(F.abs("delta") > threshold)
     events = scores.security_events(t.messages, t.alerts, t.submissions, t.policy)

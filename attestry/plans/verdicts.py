@@ -68,7 +68,7 @@ def resolve_replays(candidates: DataFrame) -> DataFrame:
 def opened(messages: DataFrame, data: str = "data", kinds: dict[str, str] | None = None) -> DataFrame:
     """Parse each message once: its envelope's fields, its body and whether the body fits the schema."""
     m = F.col("_m")
-    df = messages.withColumn("_m", C.fields(C.parsed(F.col(data))))
+    df = C.with_fields(messages, data, "_m")
     env = C.is_envelope(m)
     text = lambda n: F.when(C.is_text(m[n]), C.at(m[n], "$", "string"))
     df = df.select(

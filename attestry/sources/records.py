@@ -18,39 +18,38 @@ def parse_submissions(lines: DataFrame, source: str | Column, text: str = "value
 
     Every key must be present with its type; hex fields are whole bytes; a block id implies the bytes sent.
     """
-    df = lines.withColumn("_v", C.parsed(F.col(text))).withColumn("source", F.lit(source) if isinstance(source, str) else source)
-    v = F.col("_v")
-    g = lambda p: C.at(v, f"$.{p}")
-    keys = C.fields_of(v)
+    df = (C.with_fields(lines, text, "_m").withColumn("_relay", C.fields(F.col("_m")["relay"]))
+          .withColumn("source", F.lit(source) if isinstance(source, str) else source))
+    m, relay = F.col("_m"), F.col("_relay")
     null = lambda x: x.isNull() | (C.json_type(x) == "VOID")
-    relay = C.is_object(g("relay"))
+    number = lambda x: C.at(x, "$", "bigint")
+    t = lambda x: C.at(x, "$", "string")
     tests = [
         (~F.col("source").isin("mqtt", "http"), "unknown source"),
-        (v.isNull() | ~C.is_object(v), "submission record must be a JSON object"),
-        (F.size(F.array_except(F.array(*[F.lit(k) for k in RECORD_KEYS]), keys)) > 0, "submission record misses a field"),
-        (~C.is_text(g("subId")), "subId must be a string"),
-        (~C.filled_text(g("subId")), "subId must not be empty"),
-        (~C.is_integer(g("receivedAtMs")), "receivedAtMs must be an integer"),
-        (C.at(v, "$.receivedAtMs", "bigint") < 0, "receivedAtMs must not be negative"),
-        (~C.is_text(g("tag")), "tag must be a string"),
-        (~null(g("dataHex")) & ~C.matches(g("dataHex"), BYTES_HEX), "dataHex must be 0x-prefixed hex of whole bytes"),
-        (~null(g("blockId")) & ~C.matches(g("blockId"), BLOCK_HEX), "blockId must be 0x followed by 64 hex digits"),
-        (~null(g("blockId")) & null(g("dataHex")), "a record with a blockId must carry the dataHex that was sent"),
-        (~relay, "relay must be an object"),
-        (~null(g("status")) & ~C.is_integer(g("status")), "status must be an integer"),
-        *[(~null(g(f"relay.{n}")) & ~C.is_text(g(f"relay.{n}")), f"relay.{n} must be a string") for n in ("verdict", "iss")],
-        (~null(g("relay.seq")) & ~C.is_integer(g("relay.seq")), "relay.seq must be an integer"),
+        (m.isNull(), "submission record must be a JSON object"),
+        (F.size(F.array_except(F.array(*[F.lit(k) for k in RECORD_KEYS]), F.map_keys(m))) > 0, "submission record misses a field"),
+        (~C.is_text(m["subId"]), "subId must be a string"),
+        (t(m["subId"]) == "", "subId must not be empty"),
+        (~C.is_integer(m["receivedAtMs"]), "receivedAtMs must be an integer"),
+        (number(m["receivedAtMs"]) < 0, "receivedAtMs must not be negative"),
+        (~C.is_text(m["tag"]), "tag must be a string"),
+        (~null(m["dataHex"]) & ~C.matches(m["dataHex"], BYTES_HEX), "dataHex must be 0x-prefixed hex of whole bytes"),
+        (~null(m["blockId"]) & ~C.matches(m["blockId"], BLOCK_HEX), "blockId must be 0x followed by 64 hex digits"),
+        (~null(m["blockId"]) & null(m["dataHex"]), "a record with a blockId must carry the dataHex that was sent"),
+        (relay.isNull(), "relay must be an object"),
+        (~null(m["status"]) & ~C.is_integer(m["status"]), "status must be an integer"),
+        *[(~null(relay[n]) & ~C.is_text(relay[n]), f"relay.{n} must be a string") for n in ("verdict", "iss")],
+        (~null(relay["seq"]) & ~C.is_integer(relay["seq"]), "relay.seq must be an integer"),
     ]
     df = df.withColumn("problem", C.first_problem(tests))
     bad = df.filter("problem IS NOT NULL").select(text, "source", "problem")
-    t = lambda p: C.at(v, f"$.{p}", "string")
-    posted = C.parsed(F.unhex(F.substr(t("dataHex"), F.lit(3))).cast("string"))
-    sealed = F.coalesce(C.at(v, "$.messageSealed", "boolean"), F.lit(False)) | C.relay_sealed(posted, g("message"))
+    posted = C.parsed(F.unhex(F.substr(t(m["dataHex"]), F.lit(3))).cast("string"))
+    sealed = F.coalesce(C.at(m["messageSealed"], "$", "boolean"), F.lit(False)) | C.relay_sealed(posted, m["message"])
     good = df.filter("problem IS NULL").select(
-        t("subId").alias("sub_id"), F.lower(t("blockId")).alias("block_id"), C.at(v, "$.receivedAtMs", "bigint").alias("received_at_ms"),
-        "source", t("tag").alias("tag"), F.when(~sealed & ~null(g("message")), F.to_json(g("message"))).alias("message_json"),
-        F.lower(t("dataHex")).alias("data_hex"), C.at(v, "$.status", "bigint").alias("node_status"),
-        t("relay.verdict").alias("relay_verdict"), t("relay.iss").alias("iss"), C.at(v, "$.relay.seq", "bigint").alias("seq"))
+        t(m["subId"]).alias("sub_id"), F.lower(t(m["blockId"])).alias("block_id"), number(m["receivedAtMs"]).alias("received_at_ms"),
+        "source", t(m["tag"]).alias("tag"), F.when(~null(m["message"]) & ~sealed, F.to_json(m["message"])).alias("message_json"),
+        F.lower(t(m["dataHex"])).alias("data_hex"), number(m["status"]).alias("node_status"),
+        t(relay["verdict"]).alias("relay_verdict"), t(relay["iss"]).alias("iss"), number(relay["seq"]).alias("seq"))
     return good, bad
 
 
@@ -104,7 +103,8 @@ def mirrored_anchors(messages: DataFrame, anchor_tag: str, pinned_iss: str) -> t
     and the later ones that announce another hash under a known seq."""
     v = F.col("_v")
     rows = (messages.filter((F.col("tag") == anchor_tag) & (F.col("verdict") == "PRODUCER_SIGNED") & (F.col("iss") == pinned_iss))
-            .withColumn("_v", C.parsed(F.col("json"))).withColumn("_m", C.fields(v)).filter(C.body_fits(F.lit(V.ANCHOR_KIND), F.col("_m"))))
+            .withColumn("_v", C.parsed(F.col("json"))))
+    rows = C.with_fields(rows, "json", "_m").filter(C.body_fits(F.lit(V.ANCHOR_KIND), F.col("_m")))
     place = F.struct("ms_index", "wf_index", "block_id")
     seen = rows.select(
         C.at(v, "$.seq", "bigint").alias("seq"), C.at(v, "$.checkpoint.from.index", "bigint").alias("from_ms"),
