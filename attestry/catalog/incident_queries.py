@@ -102,3 +102,23 @@ def s8(t):
     from ..sources import loads
     changes = run(t)[1].filter("incident IS NOT NULL").select("action", "incident", "status", "severity", "title", "ie_id", "block_id", "role", "at_ms", "rule")
     return loads.route(changes, "ledger/alerts")
+
+
+@query("i4_extension")
+def i4(t):
+    # how far the events of an incident moved its end past its opening
+    return I.incidents(run(t)[1]).select("incident", (F.col("last_ms") - F.col("opened_ms")).alias("extended_ms"), "events")
+
+
+@query("i8_revoked_evidence", """SELECT block_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM messages JOIN alerts USING (block_id)
+    WHERE kind = 'self-orchestrator' AND error_code <> 0 AND verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED') AND rule IN ('SHADOW', 'UNSIGNED') GROUP BY block_id""")
+def i8(t):
+    # events that would count but for an alert raised on their block: the overlay takes them out of evidence
+    bad = t.alerts.filter(F.col("rule").isin("SHADOW", "UNSIGNED"))
+    clean = t.alerts.join(bad.select("id"), "id", "left_anti")
+    s = I.Settings()
+    would = I.message_observations(I._subjects(t.messages, t.policy, clean, t.submissions, t.component_host, s), s)
+    would = would.filter("role = 'security'").select("block_id")
+    counted = run(t)[0].filter("role = 'security'").select("block_id")
+    lost = would.join(counted, "block_id", "left_anti").join(bad.select("block_id", "rule"), "block_id")
+    return lost.groupBy("block_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))

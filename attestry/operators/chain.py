@@ -113,6 +113,7 @@ def _search_below(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     return _typed(out, ["block_id", "head_block", "head_seq"])
 
 
+PYTHON_ROWS = 500_000
 BY_SEQ_TIME = ordered.Order(("seq", "ts", "rev"), "seq", "ts")
 
 
@@ -133,11 +134,12 @@ def heads_on_arrival(messages: DataFrame) -> DataFrame:
     marks = late_rows.select("block_id", F.lit(True).alias("late"))
     rows = df.join(late_rows.select("iss").distinct(), "iss", "left_semi").join(marks, "block_id", "left")
     rows = rows.withColumn("late", F.coalesce("late", F.lit(False)))
-    cuts = ordered.measure(df, ["iss"], BY_SEQ_TIME)
+    # chunks that meet Python are kept smaller than those Spark sorts
+    cuts = ordered.measure(df, ["iss"], BY_SEQ_TIME, min(ordered.hot_group_rows(df.sparkSession), PYTHON_ROWS))
     slim = ordered.with_chunk(rows.select("iss", "block_id", "seq", "ts", "rev", "place", "late"), cuts)
     flat = "iss string, _a bigint, _b bigint, _c bigint, block_id string, seq bigint, place bigint, head_block string, head_seq bigint"
 
-    def local(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _search(pdf).assign(_a=key[1], _b=key[2], _c=key[3])[
             ["iss", "_a", "_b", "_c", "block_id", "seq", "place", "head_block", "head_seq"]]
 

@@ -85,10 +85,10 @@ def hot_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
-def measure(df: DataFrame, keys: Sequence[str], order: Order) -> Cuts:
+def measure(df: DataFrame, keys: Sequence[str], order: Order, limit: int | None = None) -> Cuts:
     """Find the groups of `keys` above the limit. Returns at most rows/limit groups and buckets."""
     spark = df.sparkSession
-    limit = hot_group_rows(spark)
+    limit = limit or hot_group_rows(spark)
     coarse = F.expr(order.coarse).cast("bigint")
     stats = (df.groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("_n"), F.min(coarse).alias("_lo"), F.max(coarse).alias("_hi"))

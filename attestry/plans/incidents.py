@@ -52,7 +52,7 @@ class Settings:
 
 # One observation. `ord_ms` and the columns after it give the order of processing.
 OBSERVATION = ("primary string, ord_ms bigint, ms_index bigint, wf_index bigint, rank int, alert_id bigint, block_id string,"
-               " at_ms bigint, role string, level string, opens boolean, witnessed boolean, severity string, title string,"
+               " at_ms bigint, role string, level string, opens boolean, finding boolean, severity string, title string,"
                " ie_id string, keys array<string>, score double, base double, base_block string, is_drop boolean, rule string, link_only boolean")
 COLUMNS = [c.strip().split(" ")[0] for c in OBSERVATION.split(",")]
 ORDER = ("ord_ms", "ms_index", "wf_index", "block_id", "rank", "alert_id")
@@ -111,7 +111,7 @@ def message_observations(subjects: DataFrame, s: Settings) -> DataFrame:
 
 def _complete(df: DataFrame) -> DataFrame:
     fields = {c.strip().split(" ")[0]: c.strip().split(" ", 1)[1] for c in OBSERVATION.split(",")}
-    filled = {"alert_id": F.lit(-1), "witnessed": F.lit(False), "link_only": F.lit(False)}
+    filled = {"alert_id": F.lit(-1), "finding": F.lit(False), "link_only": F.lit(False)}
     ie = F.get(F.filter("keys", lambda k: k.startswith("ie:")), F.lit(0))
     df = df.withColumn("primary", F.coalesce(ie, F.get("keys", F.lit(0))))
     return df.select(*[(F.col(n) if n in df.columns else filled.get(n, F.lit(None))).cast(t).alias(n) for n, t in fields.items()])
@@ -145,7 +145,7 @@ def alert_observations(alerts: DataFrame, subjects: DataFrame, known: DataFrame,
     out = df.filter(keep).select(
         ord_ms.alias("ord_ms"), F.coalesce("ms_index", F.lit(2**62)).alias("ms_index"), F.coalesce("wf_index", F.lit(0)).alias("wf_index"), F.lit(1).alias("rank"), "alert_id",
         "block_id", F.coalesce("at_ms", "alert_ms").alias("at_ms"), F.lit("alert").alias("role"), level.alias("level"),
-        (integrity | (level != "untrusted") | aimed).alias("opens"), (integrity | aimed).alias("witnessed"), "severity", C.label(title).alias("title"),
+        (integrity | (level != "untrusted") | aimed).alias("opens"), (integrity | aimed).alias("finding"), "severity", C.label(title).alias("title"),
         F.coalesce(F.when(integrity, F.col("alert_ie")).otherwise(F.coalesce("ie", "host_ie"))).alias("ie_id"),
         F.when(visits, own).otherwise(keys).alias("keys"), F.col("_p.score").alias("base"), F.col("_p.block").alias("base_block"),
         F.lit(False).alias("is_drop"), "rule", visits.alias("link_only"))
@@ -260,7 +260,7 @@ class Machine:
 
     def attach(self, inc, o, keys, at):
         self.worsen(inc, o.severity)
-        mode = o.level if o.level != "untrusted" else ("witnessed" if o.witnessed else None)
+        mode = o.level if o.level != "untrusted" else ("finding" if o.finding else None)
         if mode:
             self.extend(inc, at, mode)
         if o.level == "proven":

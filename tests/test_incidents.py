@@ -16,7 +16,7 @@ def obs(spark, rows):
     out = []
     for i, r in enumerate(rows):
         d = dict(primary="ie:A", ord_ms=r["at"], ms_index=r["at"], wf_index=0, rank=0, alert_id=-1, block_id=f"b{i}", at_ms=r["at"], role="security", level="proven",
-                 opens=True, witnessed=False, severity="medium", title="t", ie_id="A", keys=["ie:A"], score=None, base=None, base_block=None, is_drop=False, rule=None, link_only=False)
+                 opens=True, finding=False, severity="medium", title="t", ie_id="A", keys=["ie:A"], score=None, base=None, base_block=None, is_drop=False, rule=None, link_only=False)
         d.update({k: v for k, v in r.items() if k != "at"})
         out.append(tuple(d[c] for c in I.COLUMNS))
     return spark.createDataFrame(out, I.OBSERVATION)
