@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import near_dedup
+from . import near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
+@query("op6_substring_dedup")
+def op6(spark, folder):
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"), window=50)
+    words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(words, F.lit("")), 256).alias("kept_sha256"))
