@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import near_dedup, substring_dedup
+from . import decontaminate, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op6(spark, folder):
     kept = substring_dedup.remove_repeats(table(spark, folder, "documents"), window=50)
     words = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(words, F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op10_decontaminate")
+def op10(spark, folder):
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -19,6 +19,8 @@ SLICE_BYTES = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# every ASCII byte but letters and digits: for matching words whatever the punctuation around them
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -81,8 +83,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0]:at[-1]], at - at[0]
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
-    """Split the texts of a column; `lower` turns A-Z into a-z first."""
+def words_of(column: pa.Array, lower: bool = False, apart: np.ndarray = _SPACE) -> Words:
+    """Split the texts of a column at the bytes `apart` marks; `lower` turns A-Z into a-z first."""
     data, at = text_bytes(column)
     if lower:
         data = _LOWER[data]
@@ -90,7 +92,7 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(at), np.int64), np.zeros(0, np.uint64))
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     begins, ends = np.empty(n, bool), np.empty(n, bool)
     begins[0] = ends[-1] = True
     begins[1:], ends[:-1] = ~inside[:-1], ~inside[1:]
