@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, near_dedup, substring_dedup
+from . import decontaminate, near_dedup, packing, substring_dedup
+
+VOCABULARY = "byte_bpe_50k"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +45,13 @@ def op6(spark, folder):
 @query("op10_decontaminate")
 def op10(spark, folder):
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def vocabulary() -> dict[str, str]:
+    import public_tokenizers
+    return {"vocabulary": public_tokenizers.path(f"{VOCABULARY}.json"), "ranks": public_tokenizers.path(f"{VOCABULARY}.tiktoken")}
+
+
+@query("op2_best_fit_packing")
+def op2(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"), **vocabulary()).drop("row")
