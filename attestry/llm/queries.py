@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, near_dedup, packing, substring_dedup
+from . import decontaminate, language, near_dedup, packing, substring_dedup
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -55,3 +55,10 @@ def vocabulary() -> dict[str, str]:
 @query("op2_best_fit_packing")
 def op2(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), **vocabulary()).drop("row")
+
+
+@query("op4_language_crf")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = language.learn(docs.filter(~language.held_out()))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
