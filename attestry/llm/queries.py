@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, language, near_dedup, packing, substring_dedup
+from . import decontaminate, language, near_dedup, packing, quality, substring_dedup
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -62,3 +62,10 @@ def op4(spark, folder):
     docs = table(spark, folder, "documents")
     model = language.learn(docs.filter(~language.held_out()))
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_quality_network")
+def op9(spark, folder):
+    held_out = language.held_out(folds=5, fold=0)
+    scored = quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels").filter(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
