@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, language, near_dedup, packing, quality, substring_dedup
+from . import decontaminate, fingerprint, language, near_dedup, packing, quality, substring_dedup
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -69,3 +69,8 @@ def op9(spark, folder):
     held_out = language.held_out(folds=5, fold=0)
     scored = quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels").filter(~held_out))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_fingerprint")
+def op3(spark, folder):
+    return fingerprint.fingerprints(table(spark, folder, "documents"))
