@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, fingerprint, language, near_dedup, packing, quality, substring_dedup
+from . import decontaminate, fingerprint, html_extract, language, near_dedup, packing, quality, substring_dedup
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -74,3 +74,9 @@ def op9(spark, folder):
 @query("op3_fingerprint")
 def op3(spark, folder):
     return fingerprint.fingerprints(table(spark, folder, "documents"))
+
+
+@query("op8_html_crf")
+def op8(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.learn(pages))
