@@ -190,55 +190,41 @@ def _share(wanted: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(wanted, there).mean()) if len(wanted) else 1.0
 
 
-def search(docs: DataFrame, shared, least_score: float, overlap: float, part_overlap: float) -> DataFrame:
-    """Search every passage of every document in one broadcast part of the index."""
-
-    def run(batches):
-        for batch in batches:
-            index: Index = shared.value
-            span, step = 2 * index.span, index.span
-            for part in slices(batch, "text"):
-                words = _names(part.column("text"))
-                found = index.find(words.name)
-                most = np.concatenate([[0.0], np.cumsum(np.where(found >= 0, index.best[found], 0.0))])
-                count = np.diff(words.first)
-                passages = np.where(count > 0, np.maximum(np.ceil((count - span) / step).astype(np.int64), 0) + 1, 0)
-                text = np.repeat(np.arange(part.num_rows), passages)
-                begin = words.first[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages))
-                end = np.minimum(begin + span, words.first[text + 1])
-                hits: dict[tuple[int, int], tuple] = {}
-                for p in np.flatnonzero(most[end] - most[begin] >= least_score - 1e-6):
-                    own = found[begin[p]:end[p]]
-                    terms = np.unique(own[own >= 0])
-                    if index.best[terms].sum() < least_score - 1e-6:
-                        continue
-                    ranked = wand(index, terms.tolist(), least_score)
-                    if not ranked:
-                        continue
-                    names = words.name[begin[p]:end[p]]
-                    there = {n: _run_names(names, n) for n in range(1, RUN + 1)}
-                    for item, score in ranked:
-                        whole, question, answer = (_share(wanted, there[n]) if n else 1.0 for n, wanted in index.runs[item])
-                        key = (int(text[p]), item)
-                        if whole >= overlap and min(question, answer) >= part_overlap and (key not in hits or hits[key][1] < score):
-                            hits[key] = (int(begin[p] - words.first[text[p]]), score, whole, question, answer)
-                keys = sorted(hits)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())),
-                     pa.array([index.item_ids[k[1]] for k in keys], pa.int64()),
-                     *[pa.array([hits[k][i] for k in keys], pa.int64() if i == 0 else pa.float64()) for i in range(5)]],
-                    ["doc_id", "item_id", "passage_start", "score", "overlap", "question_overlap", "answer_overlap"])
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, item_id bigint, passage_start bigint, score double, overlap double, question_overlap double, answer_overlap double")
-
-
-def contaminated(docs: DataFrame, items: DataFrame, *, least_score: float = 0.6, overlap: float = 0.8, part_overlap: float = 0.5,
-                 part_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, item_id, passage_start, score, overlap, question_overlap, answer_overlap): every verified pair of a
-    document and a benchmark item, with the best passage of the document."""
-    spark = docs.sparkSession
-    numbered = settle(items.select("item_id", "text").filter("text IS NOT NULL").withColumn("item", F.monotonically_increasing_id()), "items")
+def _hits(index: Index, part: pa.RecordBatch, least_score: float, overlap: float, part_overlap: float) -> dict[tuple[int, int], tuple]:
+    """Verified pairs (row, item number) with the start of the best passage, its score and the three overlaps."""
+    span, step = 2 * index.span, index.span
+    words = _names(part.column("text"))
+    found = index.find(words.name)
+    most = np.concatenate([[0.0], np.cumsum(np.where(found >= 0, index.best[found], 0.0))])
+    count = np.diff(words.first)
+    passages = np.where(count > 0, np.maximum(np.ceil((count - span) / step).astype(np.int64), 0) + 1, 0)
+    text = np.repeat(np.arange(part.num_rows), passages)
+    begin = words.first[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages))
+    end = np.minimum(begin + span, words.first[text + 1])
+    hits: dict[tuple[int, int], tuple] = {}
+    for p in np.flatnonzero(most[end] - most[begin] >= least_score - 1e-6):
+        own = found[begin[p]:end[p]]
+        terms = np.unique(own[own >= 0])
+        if index.best[terms].sum() < least_score - 1e-6:
+            continue
+        ranked = wand(index, terms.tolist(), least_score)
+        if not ranked:
+            continue
+        names = words.name[begin[p]:end[p]]
+        there = {n: _run_names(names, n) for n in range(1, RUN + 1)}
+        for item, score in ranked:
+            whole, question, answer = (_share(wanted, there[n]) if n else 1.0 for n, wanted in index.runs[item])
+            key = (int(text[p]), item)
+            if whole >= overlap and min(question, answer) >= part_overlap and (key not in hits or hits[key][1] < score):
+                hits[key] = (int(begin[p] - words.first[text[p]]), score, whole, question, answer)
+    return hits
+
+
+def index_parts(items: DataFrame, part_bytes: int) -> Iterator:
+    """The index of the benchmark `items` (item_id, text), one broadcast part after the other."""
+    spark = items.sparkSession
+    numbered = settle(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text IS NOT NULL")
+                      .withColumn("item", F.monotonically_increasing_id()), "items")
     index = settle(postings(numbered), "postings")
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = index.groupBy("item").agg(F.first("words").alias("words")).agg(
@@ -246,18 +232,53 @@ def contaminated(docs: DataFrame, items: DataFrame, *, least_score: float = 0.6,
     size = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, ceil(size / part_bytes))
     index = settle(index.join(df, "term"), "index")
-    out = []
     for k in range(parts):
         mine = F.expr(f"pmod(xxhash64(item), {parts}) = {k}")
-        texts = {r["item"]: (r["item_id"], r["text"]) for r in numbered.filter(mine).collect()}
         rows = index.filter(mine).collect()
-        texts = {i: texts[i] for i in {r["item"] for r in rows}}
         if rows:
-            part = build(rows, texts, stats["n"], stats["mean"], stats["most"])
-            out.append(search(docs, spark.sparkContext.broadcast(part), least_score, overlap, part_overlap))
-    if not out:
-        return search(docs.filter("false"), None, least_score, overlap, part_overlap)
-    result = out[0]
-    for more in out[1:]:
-        result = result.union(more)
-    return result
+            known = {r["item"] for r in rows}
+            texts = {r["item"]: (r["item_id"], r["text"]) for r in numbered.filter(mine).collect() if r["item"] in known}
+            yield spark.sparkContext.broadcast(build(rows, texts, stats["n"], stats["mean"], stats["most"]))
+
+
+PAIRS = "doc_id bigint, item_id bigint, passage_start bigint, score double, overlap double, question_overlap double, answer_overlap double"
+
+
+def contaminated(docs: DataFrame, items: DataFrame, *, least_score: float = 0.6, overlap: float = 0.8, part_overlap: float = 0.5,
+                 part_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, item_id, passage_start, score, overlap, question_overlap, answer_overlap): every verified pair of a
+    document and a benchmark item, with the best passage of the document."""
+    found = docs.sparkSession.createDataFrame([], PAIRS)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    for shared in index_parts(items, part_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    index: Index = shared.value
+                    hits = _hits(index, part, least_score, overlap, part_overlap)
+                    keys = sorted(hits)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())),
+                         pa.array([index.item_ids[k[1]] for k in keys], pa.int64()),
+                         *[pa.array([hits[k][i] for k in keys], pa.int64() if i == 0 else pa.float64()) for i in range(5)]],
+                        ["doc_id", "item_id", "passage_start", "score", "overlap", "question_overlap", "answer_overlap"])
+
+        found = found.union(texts.mapInArrow(run, PAIRS))
+    return found
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, least_score: float = 0.6, overlap: float = 0.8, part_overlap: float = 0.5,
+                         part_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of `docs` that no benchmark item is verified in; a filter inside the scan, without a shuffle."""
+    kept = docs
+    for shared in index_parts(items, part_bytes):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    bad = {row for row, _ in _hits(shared.value, part, least_score, overlap, part_overlap)}
+                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept
