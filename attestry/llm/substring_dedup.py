@@ -33,8 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import settle
+from .carry import CARRIED, carry, restore
 from .words import Words, mix, powers, slices, words_of
 
 _ONE, _TWO, _RUN = (np.uint64(int(mix(np.array([i], np.uint64))[0]) | 1) for i in (11, 12, 13))
@@ -236,9 +238,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """`docs` with `text` free of repeated windows, and n_words (before) and n_removed.
 
     White space around what stays is left as it is; a null text stays null."""
-    found = settle(repeats(docs, window), "marks").withColumnRenamed("doc_id", "_of")
-    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
-    joined = docs.select(*others, "text").join(found, F.col("doc_id").cast("bigint") == F.col("_of"), "left").drop("_of")
+    found = settle(repeats(docs, window), "marks").withColumnRenamed("doc_id", "of")
+    rows = carry(docs, "doc_id", "text")
+    joined = rows.join(found, F.col("doc_id").cast("bigint") == F.col("of"), "left").drop("of")
 
     def run(batches):
         for batch in batches:
@@ -271,12 +273,11 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                 if fresh:
                     text = pa.array([fresh.get(i, x) for i, x in enumerate(text.to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in others], text.cast(pa.string()), pa.array(count, pa.int64()), pa.array(removed)],
-                    [*others, "text", "n_words", "n_removed"])
+                    [part.column("doc_id"), text.cast(pa.string()), part.column(CARRIED), pa.array(count, pa.int64()), pa.array(removed)],
+                    ["doc_id", "text", CARRIED, "n_words", "n_removed"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in others], "text string, n_words bigint, n_removed bigint"])
-    return joined.mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    return restore(joined.mapInArrow(run, schema), docs, "doc_id", "text", added=("n_words", "n_removed"))
 
 
 def _joined(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:

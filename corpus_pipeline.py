@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.llm import decontaminate, language, near_dedup, packing, queries, substring_dedup
+from attestry.llm.carry import carry, restore
 from attestry.session import prepare, settle
 
 LEAST_LANGUAGE_SCORE = 0.35  # below it no language explains the words of a document
@@ -20,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.learn(docs.filter(~language.held_out()))
     if not model.languages:
         return docs
-    judged = language.predict(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), model)
-    known = judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).drop("lang_pred", "score")
-    return known.withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"}).select(*docs.columns)
+    judged = language.predict(carry(docs, "doc_id", "text"), model)
+    known = judged.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return restore(known, docs, "doc_id", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,13 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without the passages of 50 or more words that a document with a smaller doc_id has too; n_chars follows. A
     document of which nothing is left goes; one that had no words stays as it is."""
     prepare(spark)
-    cleaned = substring_dedup.remove_repeats(docs.withColumnsRenamed({"n_words": "_n_words", "n_removed": "_n_removed"}), window=50)
+    cleaned = substring_dedup.remove_repeats(carry(docs, "doc_id", "text"), window=50)
     left = cleaned.filter("n_removed = 0 OR n_removed < n_words")
+    changed = {}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return left.drop("n_words", "n_removed").withColumnsRenamed({"_n_words": "n_words", "_n_removed": "n_removed"}).select(*docs.columns)
+        count = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, count).otherwise(F.col("carried.n_chars"))
+    return restore(left, docs, "doc_id", "text", changed=changed)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
