@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, fingerprint, html_extract, language, near_dedup, packing, quality, substring_dedup
+from . import decontaminate, fingerprint, html_extract, language, near_dedup, packing, quality, substring_dedup, url_filter
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -80,3 +80,12 @@ def op3(spark, folder):
 def op8(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return html_extract.extract(pages, html_extract.learn(pages))
+
+
+URL_RULES = (url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+             url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"))
+
+
+@query("op7_url_filter")
+def op7(spark, folder):
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url", "html"), URL_RULES)
