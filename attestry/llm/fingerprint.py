@@ -11,8 +11,7 @@ of 36 cells that about eight digests of either version meet in each. A dealt ske
 another hash, until none is left. A long document's sketches are separate rows, so its cost is its length, and the rounds end because
 ever fewer digests share a sketch.
 
-`next_in_order` gives each document the one that follows it by doc_id: ids are cut into ranges at approximate percentiles, a
-window orders each range, and the first document of a range stands as a last, extra row in the range before. No order of all rows is needed.
+The next document is found inside ranges of doc_id (see `order`), so no order of all rows is needed.
 
 Defined results: null texts count as empty, and an empty text has no paragraphs; two empty versions have likeness 1. Repeated paragraphs count
 once. Rows with equal doc_id follow each other by text. Rows without doc_id come before all others. The last row is followed by the
@@ -21,12 +20,11 @@ smallest doc_id, a single row by itself. Other columns are not read.
 
 from __future__ import annotations
 
-from math import log2
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .order import with_next
 
 CELLS, ROWS = 36, 3
 ROW = CELLS // ROWS
@@ -88,29 +86,11 @@ def text_of(cells: str) -> str:
 
 def next_in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text, units, next_text, next_units) with the text and paragraphs of the document that follows by doc_id."""
-    spark = docs.sparkSession
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
             .withColumn("units", F.expr(paragraphs("text"))))
-    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # at most one cut per range comes to the driver
-    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
-        F.min("doc_id").alias("least"), F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts")).first()
-    least = cut["least"]
-    cuts = sorted(set(cut["cuts"] or []) - {least})
-    steps = [1 << i for i in reversed(range(int(log2(len(cuts) + 1)) + 1))] if cuts else []
-    if cuts:
-        bounds, doubling = F.array(*[F.lit(c).cast("bigint") for c in cuts]), F.array(*[F.lit(s) for s in steps])
-        place = F.coalesce(F.aggregate(doubling, F.lit(0), lambda at, by: F.when(
-            (at + by <= len(cuts)) & (F.get(bounds, at + by - 1) <= F.col("doc_id")), at + by).otherwise(at)), F.lit(0))
-    else:
-        place = F.lit(0)
-    placed = rows.withColumn("range", place).withColumn("extra", F.lit(0))
-    first = placed.filter(F.col("doc_id").isin([*cuts, *([] if least is None else [least])]))
-    before = first.withColumn("range", F.when(F.col("doc_id") == least, len(cuts)).otherwise(F.col("range") - 1)).withColumn("extra", F.lit(1))
-    order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
-    return (placed.unionByName(before).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.lit("")))
-            .withColumn("next_units", F.coalesce(F.lead("units").over(order), F.array().cast("array<bigint>")))
-            .filter("extra = 0").drop("extra", "range"))
+    # only a table of nothing but rows without doc_id has a row without next
+    return (with_next(rows, "doc_id", {"text": "next_text", "units": "next_units"}, "text")
+            .withColumn("next_text", F.coalesce("next_text", F.lit(""))).withColumn("next_units", F.coalesce("next_units", F.array().cast("array<bigint>"))))
 
 
 def likeness(pairs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, fingerprint, html_extract, language, near_dedup, packing, quality, substring_dedup, url_filter
+from . import decontaminate, fingerprint, html_extract, language, near_dedup, packing, preference, quality, substring_dedup, url_filter
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -89,3 +89,43 @@ URL_RULES = (url_filter.Rule("allow", "org"), url_filter.Rule("block", "example.
 @query("op7_url_filter")
 def op7(spark, folder):
     return url_filter.judge(table(spark, folder, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
+def _preference_sql(levels: int) -> str:
+    """The pairs of the first `levels` block sizes: enough for ids below 2 ** (10 * levels)."""
+    step, rest, made = [], "whole", []
+    for k in range(levels):
+        step.append(f"""r{k} AS (SELECT conv_id, turns, row_number() OVER w AS n, lead(conv_id) OVER w AS partner FROM {rest}
+            WINDOW w AS (PARTITION BY turns[1].role, turns[1].text, conv_id >> {10 * (k + 1)} ORDER BY conv_id)),
+            l{k} AS (SELECT conv_id, turns FROM r{k} WHERE n % 2 = 1 AND partner IS NULL)""")
+        made.append(f"SELECT conv_id AS a, partner AS b FROM r{k} WHERE n % 2 = 1 AND partner IS NOT NULL")
+        rest = f"l{k}"
+    said = "coalesce(list_sum(list_transform(list_filter({0}, lambda t: t.role = 'assistant'), lambda t: length(t.text))), 0)"
+    head, body = "'<|im_start|>' || coalesce(t.role, '') || chr(10)", "coalesce(t.text, '') || '<|im_end|>'"
+    text = f"array_to_string(list_transform({{0}}, lambda t: {head} || {body} || chr(10)), '')"
+    trained = f"array_to_string(list_transform(list_filter({{0}}, lambda t: t.role = 'assistant'), lambda t: {body}), '')"
+    return f"""WITH turn AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        conv AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM turn GROUP BY conv_id),
+        whole AS (SELECT min(conv_id) AS conv_id, turns FROM conv GROUP BY turns), {", ".join(step)}, made AS ({" UNION ALL ".join(made)}),
+        duo AS (SELECT a, b, x.turns AS ta, y.turns AS tb, {said.format("x.turns")} >= {said.format("y.turns")} AS a_first
+            FROM made JOIN whole x ON x.conv_id = a JOIN whole y ON y.conv_id = b),
+        answer AS (SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS k FROM whole),
+        lent AS (SELECT *, coalesce(lead(conv_id) OVER v, first(conv_id) OVER v) AS next_id, if(lead(conv_id) OVER v IS NULL, first(turns[k].text) OVER v,
+            lead(turns[k].text) OVER v) AS next_text FROM answer WHERE k IS NOT NULL WINDOW v AS (ORDER BY conv_id)),
+        pair AS (SELECT if(a_first, a, b) AS chosen_id, if(a_first, ta, tb) AS c, if(a_first, b, a) AS rejected_id, if(a_first, tb, ta) AS r FROM duo
+            UNION ALL SELECT conv_id, turns, next_id, list_concat(list_concat(turns[:k - 1], [{{'turn': turns[k].turn, 'role': turns[k].role, 'text': next_text}}]),
+            turns[k + 1:]) FROM lent),
+        cut AS (SELECT *, len(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: list_transform(c[1:i], lambda t: [t.role, t.text])
+            IS NOT DISTINCT FROM list_transform(r[1:i], lambda t: [t.role, t.text]))) AS k FROM pair)
+        SELECT chosen_id, rejected_id, k AS n_common, {text.format("c[1:k]")} AS prompt, {text.format("c[k + 1:]")} AS chosen,
+            {text.format("r[k + 1:]")} AS rejected, {trained.format("c[k + 1:]")} AS chosen_trained, {trained.format("r[k + 1:]")} AS rejected_trained FROM cut"""
+
+
+@query("op5_preference_pairs", _preference_sql(4))
+def op5(spark, folder):
+    whole = preference.distinct_conversations(table(spark, folder, "conversations"))
+    formatted = preference.format_pairs(preference.pair_up(whole).union(preference.borrow_answers(whole)))
+    whole = {c: F.array_join(F.transform(c, lambda s: s["text"]), "") for c in ("chosen", "rejected")}
+    trained = {c: F.array_join(F.transform(F.filter(c, lambda s: s["trained"]), lambda s: s["text"]), "") for c in ("chosen", "rejected")}
+    return formatted.select("chosen_id", "rejected_id", F.col("n_common").cast("bigint").alias("n_common"), "prompt", *[x.alias(c) for c, x in whole.items()],
+                            *[x.alias(f"{c}_trained") for c, x in trained.items()])
