@@ -135,7 +135,7 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     # lengths rounded down to a k-th, but for those that are a multiple of a (k + 1)-th
     for k in range(1, 65):
         times = (k + 1) * n
-        share = np.where(times % capacity == 0, times * k, (times // capacity) * (k + 1))  # in 1 / (k (k + 1))
+        share = (times // capacity) * np.where(times % capacity == 0, k, k + 1)  # in 1 / (k (k + 1))
         best = max(best, -(-int((counts * share).sum()) // (k * (k + 1))))
     return best
 
