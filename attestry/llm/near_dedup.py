@@ -7,8 +7,9 @@
 3. Within a band bucket every class meets the bucket's smallest one: a bucket of n gives n - 1 pairs.
    Pairs whose sketches agree well enough are confirmed on the full sets; confirmed links form components.
 4. Buckets that still hold several components may hide a link that does not touch the smallest class.
-   Their members meet in blocks of 1,024, by larger sketches (1,024 samples in 4,096 bits) and only
-   across components; what the sketch lets pass is confirmed on the full sets again.
+   Their members meet in blocks of 1,024, by larger sketches (1,024 samples in 4,096 bits, and the parity bits of the
+   whole set, which tell the sizes of differences almost exactly) and only across components; what the sketches let
+   pass is confirmed on the full sets again.
 
 No pair inside a finished component is ever looked at, so a large group of near copies costs its size,
 not its square. Nothing but checksums and one-row counts reaches the driver.
@@ -33,6 +34,7 @@ from .words import grams, mix, slices, words_of
 
 BANDS, ROWS = 32, 4
 SMALL, LARGE = (BANDS * ROWS, 1024), (1024, 4096)  # samples, bits
+SET_BITS = 4096
 BLOCK = 1024
 SIGMAS = 5.5  # how far a sketch may fall short of the threshold by chance
 
@@ -68,6 +70,15 @@ def most_flips(similarity: float, shape: tuple[int, int]) -> int:
     return int(expected + SIGMAS * (expected * (1 - expected / bits)) ** 0.5) + 1
 
 
+def most_flips_of_sets(total: np.ndarray, similarity: float) -> np.ndarray:
+    """The same for parity bits of whole sets, by the sum of the two sizes: at this similarity the sets differ
+    in at most total * (1 - similarity) / (1 + similarity) names, each flipping one of SET_BITS bits."""
+    differing, n = total * (1 - similarity) / (1 + similarity), float(SET_BITS)
+    a, b = (1 - 2 / n) ** differing, (1 - 4 / n) ** differing
+    spread = np.sqrt(np.maximum(n * (1 - a * a) + n * (n - 1) * (b - a * a), 0)) / 2
+    return n * (1 - a) / 2 + SIGMAS * spread + 1
+
+
 def miss_chance(similarity: float) -> float:
     """Chance that two sets of this similarity share no band."""
     return (1 - similarity ** ROWS) ** BANDS
@@ -106,7 +117,13 @@ def signatures(docs: DataFrame, shingle: int = 4, lower: bool = True) -> DataFra
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, lower: bool) -> DataFrame:
-    """(node, names, size, wide): the sorted 64-bit names of each wanted document's shingles, and its large sketch."""
+    """(node, names, size, wide): the sorted 64-bit names of each wanted document's shingles, and its large sketches."""
+
+    def wide(own: np.ndarray) -> bytes | None:
+        if not len(own):
+            return None
+        flips = np.bincount((mix(own) % np.uint64(SET_BITS)).astype(np.int64), minlength=SET_BITS).astype(np.uint8) & 1
+        return odd_sketch(samples(own, LARGE[0]), LARGE[1]) + np.packbits(flips).tobytes()
 
     def run(batches):
         for batch in batches:
@@ -115,7 +132,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int, lower: bool)
                 own = [np.unique(names[first[i]:first[i + 1]]) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()),
-                     pa.array([odd_sketch(samples(s, LARGE[0]), LARGE[1]) if len(s) else None for s in own], pa.binary())],
+                     pa.array([wide(s) for s in own], pa.binary())],
                     ["node", "names", "size", "wide"])
 
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
@@ -154,7 +171,7 @@ def _flips(x: str, y: str):
 
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of different components inside the buckets of `members` (key, node, bands, component)."""
-    limit = most_flips(percent / 100, LARGE)
+    limit, words = most_flips(percent / 100, LARGE), LARGE[1] // 64
 
     def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         mine, one, two = (k.as_py() for k in key)
@@ -162,13 +179,16 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         node, group = table["node"].to_numpy(), table["component"].to_numpy()
         bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(node), BANDS)
         wide = np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in table["wide"]])
+        size = table["size"].to_numpy()
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         out_a, out_b = [], []
         for i in left:
             other = right[(group[right] != group[i]) & ((node[right] > node[i]) if one == two else True)]
             if not len(other):
                 continue
-            other = other[np.bitwise_count(wide[other] ^ wide[i]).sum(axis=1) <= limit]
+            flips = np.bitwise_count(wide[other] ^ wide[i])
+            other = other[(flips[:, :words].sum(axis=1) <= limit)
+                          & (flips[:, words:].sum(axis=1) <= most_flips_of_sets(size[other] + size[i], percent / 100))]
             agree = bands[other] == bands[i]  # a pair is judged in the first bucket it shares
             other = other[bands[other, agree.argmax(axis=1)] == mine] if len(other) else other
             out_a.append(np.full(len(other), node[i]))
@@ -179,10 +199,10 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     mixed = (members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = (members.join(mixed, "key").join(sets.select("node", "wide"), "node")
+    rows = (members.join(mixed, "key").join(sets.select("node", "wide", "size"), "node")
             .withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)"))
             .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            .select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "bands", "wide"))
+            .select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "bands", "wide", "size"))
     return rows.groupBy("key", "one", "two").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
