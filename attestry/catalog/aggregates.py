@@ -135,7 +135,7 @@ PATH_SQL = "WITH lv AS (" + " UNION ALL ".join(f"SELECT {i} AS k, w, pos, h FROM
 @query("a17_audit_path", PATH_SQL, *[f"wtree_{i}" for i in range(10)])
 def a17(t):
     full = t.windows.join(t.window_roots.select("seq"), "seq", "left_semi")
-    df = merkle.paths(full, ["seq"], "place", "id", most_leaves=720)
+    df = merkle.paths(full, ["seq"], "place", "id")
     return df.select("seq", "idx", F.array_join(F.transform("path", lambda s: F.concat(s["side"], F.lit(":"), s["hash"])), ",").alias("path"))
 
 

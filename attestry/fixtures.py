@@ -244,8 +244,8 @@ class Ledger:
     @property
     def milestones(self) -> DataFrame:
         """Every milestone up to the last one that confirmed a message, a few of them missing."""
-        top = self.messages.agg(F.max("ms_index").alias("top"))
-        idx = top.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "top")).alias("idx"))
+        top = self.messages.agg(F.max("ms_index")).first()[0] or 0
+        idx = self.spark.range(1, top + 1).toDF("idx")
         return idx.filter("idx % 1999 <> 0").selectExpr(
             "idx", f"{T0_S} + idx * 300 AS ts", "concat('0x', sha2(concat('m', idx), 256)) AS id",
             "concat('0x', sha2(concat('m', idx - 1 + CASE WHEN idx % 1511 = 0 THEN 1 ELSE 0 END), 256)) AS prev_id")
@@ -259,7 +259,7 @@ class Ledger:
     def window_roots(self) -> DataFrame:
         """Merkle root of every fully indexed window."""
         full = self.windows.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).filter(f"n = {EVERY}").select("seq")
-        return merkle.roots(self.windows.join(full, "seq", "left_semi"), ["seq"], "place", "id", most_leaves=EVERY)
+        return merkle.roots(self.windows.join(full, "seq", "left_semi"), ["seq"], "place", "id")
 
     @property
     def anchors(self) -> DataFrame:

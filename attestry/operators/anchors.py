@@ -24,7 +24,7 @@ def checkpoints(milestones: DataFrame, messages: DataFrame, *, network: str, dom
     """The checkpoint of each complete window: ends, root, message count. `prev` is chained by `chain`."""
     full = windows(milestones, start, every)
     df = milestones.withColumn("window", F.floor((F.col("idx") - start) / every)).join(full, "window")
-    tree = merkle.roots(df.withColumn("place", F.col("idx") - F.col("from_ms")), ["window"], "place", "id", most_leaves=every)
+    tree = merkle.roots(df.withColumn("place", F.col("idx") - F.col("from_ms")), ["window"], "place", "id")
     ends = df.groupBy("window", "from_ms", "to_ms").agg(F.min_by("id", "idx").alias("from_id"), F.max_by("id", "idx").alias("to_id"))
     counted = (messages.filter(F.col("ms_index") >= start).groupBy(F.floor((F.col("ms_index") - start) / every).alias("window"))
                .agg(F.count(F.lit(1)).alias("msg_count")))
@@ -50,7 +50,7 @@ def audit(anchors: DataFrame, records: DataFrame, milestones: DataFrame, every:
     have = need.join(milestones.select("idx", "id"), "idx").withColumn("place", F.col("idx") - F.col("from_ms"))
     complete = (have.groupBy("seq", "from_ms", "to_ms").agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") == F.col("to_ms") - F.col("from_ms") + 1).select("seq"))
-    tree = merkle.roots(have.join(complete, "seq", "left_semi"), ["seq"], "place", "id", most_leaves=max(every, 1 << 10))
+    tree = merkle.roots(have.join(complete, "seq", "left_semi"), ["seq"], "place", "id")
     df = (anchors.select("seq", F.col("checkpoint_hash").alias("mirror_hash"))
           .join(records.select("seq", "from_ms", "to_ms", F.col("ms_root").alias("record_root"), F.col("checkpoint_hash").alias("record_hash")), "seq", "left")
           .join(tree.select("seq", F.col("root").alias("recomputed_root")), "seq", "left"))

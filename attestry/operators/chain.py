@@ -114,7 +114,7 @@ def _search_below(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
 
 
 PYTHON_ROWS = 500_000
-BY_SEQ_TIME = ordered.Order(("seq", "ts", "rev"), "seq", "ts")
+BY_SEQ_TIME = ordered.Order(("seq", "ts", "rev"), "seq")  # cut between seqs only: a head has a lower one
 
 
 def heads_on_arrival(messages: DataFrame) -> DataFrame:
@@ -137,25 +137,21 @@ def heads_on_arrival(messages: DataFrame) -> DataFrame:
     # chunks that meet Python are kept smaller than those Spark sorts
     cuts = ordered.measure(df, ["iss"], BY_SEQ_TIME, min(ordered.hot_group_rows(df.sparkSession), PYTHON_ROWS))
     slim = ordered.with_chunk(rows.select("iss", "block_id", "seq", "ts", "rev", "place", "late"), cuts)
-    flat = "iss string, _a bigint, _b bigint, _c bigint, block_id string, seq bigint, place bigint, head_block string, head_seq bigint"
+    flat = "iss string, chunk bigint, block_id string, seq bigint, place bigint, head_block string, head_seq bigint"
 
     def local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _search(pdf).assign(_a=key[1], _b=key[2], _c=key[3])[
-            ["iss", "_a", "_b", "_c", "block_id", "seq", "place", "head_block", "head_seq"]]
+        return _search(pdf).assign(chunk=key[1])[["iss", "chunk", "block_id", "seq", "place", "head_block", "head_seq"]]
 
-    parts = slim.select("iss", F.col("_chunk.a").alias("_a"), F.col("_chunk.b").alias("_b"), F.col("_chunk.c").alias("_c"),
-                        "block_id", "seq", "ts", "rev", "place", "late")
-    found = parts.groupBy("iss", "_a", "_b", "_c").applyInPandas(local, flat)
+    parts = slim.select("iss", F.col("_chunk").alias("chunk"), "block_id", "seq", "ts", "rev", "place", "late")
+    found = parts.groupBy("iss", "chunk").applyInPandas(local, flat)
     if cuts.groups:
         parts, found = settle(parts, "chain-rows"), settle(found, "chain-heads")
-        lows = parts.groupBy("iss", "_a", "_b", "_c").agg(F.min("place").alias("low"))
-        open_rows = found.filter("head_block IS NULL").select("iss", "_a", "_b", "_c", "block_id", "place")
-        earlier = F.broadcast(lows.select("iss", F.struct("_a", "_b", "_c").alias("_at"), "low"))
-        where = (open_rows.withColumn("_own", F.struct("_a", "_b", "_c")).drop("_a", "_b", "_c").join(earlier, "iss")
-                 .filter((F.col("_at") < F.col("_own")) & (F.col("low") < F.col("place")))
-                 .groupBy("iss", "block_id", "place").agg(F.max("_at").alias("_at"))
-                 .select("iss", "_at.*", "block_id", "place"))
-        below = parts.groupBy("iss", "_a", "_b", "_c").cogroup(where.groupBy("iss", "_a", "_b", "_c")).applyInPandas(
+        lows = parts.groupBy("iss", "chunk").agg(F.min("place").alias("low"))
+        open_rows = found.filter("head_block IS NULL").select("iss", F.col("chunk").alias("own"), "block_id", "place")
+        # the nearest earlier chunk with a row that arrived before: the chunks of an issuer are few
+        where = (open_rows.join(lows, "iss").filter("chunk < own AND low < place")
+                 .groupBy("iss", "block_id", "place").agg(F.max("chunk").alias("chunk")))
+        below = parts.groupBy("iss", "chunk").cogroup(where.groupBy("iss", "chunk")).applyInPandas(
             _search_below, "block_id string, head_block string, head_seq bigint")
         found = (found.select("block_id", "head_block", "head_seq").filter("head_block IS NOT NULL")
                  .unionByName(below))

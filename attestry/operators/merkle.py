@@ -77,28 +77,26 @@ def _blocks(leaves: DataFrame, keys: Sequence[str], position: str, hash_col: str
             .agg(pairs.alias("_p")).select(*keys, "_block", F.transform("_p", lambda x: x["h"]).alias("l0")))
 
 
-def _rounds(most_leaves: int) -> int:
+def _rounds(leaves: DataFrame, position: str) -> int:
+    """Rounds of BITS levels that the largest window needs, from its last position."""
+    last = leaves.agg(F.max(F.col(position).cast("bigint"))).first()[0] or 0
     n = 1
-    while most_leaves > 1 << (BITS * n):
+    while last >> (BITS * n):
         n += 1
     return n
 
 
-def roots(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *, algorithm: str = "sha256",
-          most_leaves: int = 1 << 20) -> DataFrame:
-    """Root and leaf count per window. Positions of a window are 0, 1, 2, … without holes.
-
-    `most_leaves` bounds a window's leaves and sets the number of rounds (two up to 2^20)."""
+def roots(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *, algorithm: str = "sha256") -> DataFrame:
+    """Root and leaf count per window of any size. Positions of a window are 0, 1, 2, … without holes."""
     keys = list(keys)
     level = leaves.select(*keys, F.col(position).cast("bigint").alias("_pos"), leaf(F.col(id_col), algorithm).alias("_h"))
     counts = leaves.groupBy(*keys).agg(F.count(F.lit(1)).alias("leaves"))
-    for _ in range(_rounds(most_leaves)):
+    for _ in range(_rounds(leaves, position)):
         level = _tops(_blocks(level, keys, "_pos", "_h"), keys, algorithm)
     return level.filter("_pos = 0").select(*keys, F.concat(F.lit("0x"), "_h").alias("root")).join(counts, keys)
 
 
-def paths(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *, algorithm: str = "sha256",
-          most_leaves: int = 1 << 20) -> DataFrame:
+def paths(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *, algorithm: str = "sha256") -> DataFrame:
     """Per leaf its audit path: array of (side, hash) from the leaf up, and the root.
 
     Paths of a block come from the block's own levels; the part above is the path of the block
@@ -106,7 +104,7 @@ def paths(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *,
     keys = list(keys)
     level = leaves.select(*keys, F.col(position).cast("bigint").alias("_pos"), leaf(F.col(id_col), algorithm).alias("_h"))
     tiers = []
-    for _ in range(_rounds(most_leaves)):
+    for _ in range(_rounds(leaves, position)):
         built = _levels(_blocks(level, keys, "_pos", "_h"), algorithm)
 
         steps = ", ".join(

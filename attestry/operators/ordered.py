@@ -4,12 +4,13 @@ A window function sorts a whole group in one task. One issuer, element or milest
 third of the ledger, so groups above `hot_group_rows` are cut into chunks that follow the order:
 
 1. count rows per group (map-side combined) and keep the groups above the limit;
-2. cut only those by `coarse div width`, and buckets still too large by (coarse, fine div limit);
+2. cut each of those at approximate percentiles of its position along the order, four cuts per limit,
+   so a burst at one time and a long quiet history give chunks of the same size;
 3. run the window per (group, chunk), and one summary row per chunk carries the state over.
 
-Hot groups and hot buckets number at most rows/limit, so collecting and broadcasting them is
-bounded. Without a hot group the plan is the plain window. Chunks are a function of row values
-only, so re-running a lost task gives the same chunks.
+A hot group of n rows has 4n/limit cuts, so all cuts together number at most 4 rows/limit, and so do the
+summary rows. Without a hot group the plan is the plain window. Chunks are a function of row values and of
+the collected cuts, so re-running a lost task gives the same chunks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ BLOCK_PREFIX = "CAST(conv(substr(block_id, 3, 4), 16, 10) AS BIGINT)"
 
 @dataclass(frozen=True)
 class Order:
-    """A total order of rows: sort columns, and two numbers that never decrease along it."""
+    """A total order of rows: sort columns, and two whole numbers, (coarse, fine), that never decrease along it."""
 
     cols: tuple[str, ...]
     coarse: str
@@ -71,41 +72,46 @@ def running_min(value: Column, when: Column | None = None) -> Before:
 
 @dataclass(frozen=True)
 class Cuts:
-    """Where the hot groups are cut: bucket width per group, and the buckets to cut further."""
+    """Where the hot groups are cut: per group the range of `fine` and the positions its chunks begin at."""
 
     keys: tuple[str, ...]
     order: Order
-    limit: int
     schema: T.StructType
     groups: list[tuple] = field(default_factory=list)
-    buckets: list[tuple] = field(default_factory=list)
 
 
 def hot_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
 
 
+def _position(order: Order, lo: str, hi: str) -> Column:
+    """A number that never decreases along the order: coarse, and fine as a fraction of its range in the group."""
+    return F.expr(f"CAST({order.coarse} AS DOUBLE) + (CAST({order.fine} AS DOUBLE) - {lo}) / ({hi} - {lo} + 1)")
+
+
 def measure(df: DataFrame, keys: Sequence[str], order: Order, limit: int | None = None) -> Cuts:
-    """Find the groups of `keys` above the limit. Returns at most rows/limit groups and buckets."""
-    spark = df.sparkSession
-    limit = limit or hot_group_rows(spark)
-    coarse = F.expr(order.coarse).cast("bigint")
-    stats = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(coarse).alias("_lo"), F.max(coarse).alias("_hi"))
+    """Find the groups of `keys` above the limit and where to cut them: at most 4 rows/limit numbers."""
+    limit = limit or hot_group_rows(df.sparkSession)
+    fine = F.expr(order.fine).cast("double")
+    stats = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(fine).alias("_lo"), F.max(fine).alias("_hi"))
              .filter(F.col("_n") > limit))
     key_schema = T.StructType([T.StructField(k, df.schema[k].dataType, True) for k in keys])
+    hot = [tuple(r) for r in stats.collect()]
+    if not hot:
+        return Cuts(tuple(keys), order, key_schema)
+    fields = [*[T.StructField(f"_r_{f.name}", f.dataType, True) for f in key_schema.fields],
+              T.StructField("_n", T.LongType()), T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType())]
+    side = F.broadcast(df.sparkSession.createDataFrame(hot, T.StructType(fields)))
+    most = max(4 * r[len(keys)] // limit for r in hot)
+    rows = _null_safe(df, side, [(k, f"_r_{k}") for k in keys], "inner")
+    # every group at the percentiles of the largest one; the smaller ones keep as many as they need
+    found = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.percentile_approx(
+        _position(order, "_lo", "_hi"), [(i + 1) / (most + 1) for i in range(most)], max(10_000, 100 * most)).alias("_cuts"))
     groups = []
-    for r in stats.collect():
-        pieces = max(1, 4 * r["_n"] // limit)
-        groups.append((*[r[k] for k in keys], max(1, (r["_hi"] - r["_lo"] + 1) // pieces)))
-    if not groups:
-        return Cuts(tuple(keys), order, limit, key_schema)
-    cuts = Cuts(tuple(keys), order, limit, key_schema, groups)
-    full = (_with_width(df, cuts).filter(F.col("_width").isNotNull())
-            .groupBy(*keys, F.expr(f"CAST({order.coarse} AS BIGINT) div _width").alias("_bucket"))
-            .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit))
-    buckets = [(*[r[k] for k in keys], r["_bucket"]) for r in full.collect()]
-    return Cuts(tuple(keys), order, limit, key_schema, groups, buckets)
+    for r in found.collect():
+        step = max(1, most * limit // (4 * r["_n"]))
+        groups.append((*[r[k] for k in keys], r["_lo"], r["_hi"], sorted(set(r["_cuts"][::step]))))
+    return Cuts(tuple(keys), order, key_schema, groups)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
@@ -116,35 +122,23 @@ def _null_safe(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]],
     return left.join(right, cond, how).drop(*[b for _, b in pairs])
 
 
-def _side(cuts: Cuts, spark: SparkSession, rows: list[tuple], last_name: str) -> DataFrame:
+def _side(cuts: Cuts, spark: SparkSession) -> DataFrame:
+    """The cuts as a table of one row per hot group."""
     fields = [T.StructField(f"_r_{f.name}", f.dataType, True) for f in cuts.schema.fields]
-    return spark.createDataFrame(rows, T.StructType([*fields, T.StructField(last_name, T.LongType())]))
-
-
-def _with_width(df: DataFrame, cuts: Cuts) -> DataFrame:
-    side = F.broadcast(_side(cuts, df.sparkSession, cuts.groups, "_width"))
-    return _null_safe(df, side, [(k, f"_r_{k}") for k in cuts.keys], "left")
+    return spark.createDataFrame(cuts.groups, T.StructType([*fields, T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType()),
+                                                            T.StructField("_cuts", T.ArrayType(T.DoubleType()))]))
 
 
 def with_chunk(df: DataFrame, cuts: Cuts, name: str = "_chunk") -> DataFrame:
-    """Add the chunk of each row: (0,0,0) for ordinary groups, an ordered triple for hot ones."""
-    zero = F.lit(0).cast("bigint")
+    """Add the chunk of each row, a number that never decreases along the order: 0 for ordinary groups."""
     if not cuts.groups:
-        return df.withColumn(name, F.struct(zero.alias("a"), zero.alias("b"), zero.alias("c")))
-    coarse, fine = F.expr(f"CAST({cuts.order.coarse} AS BIGINT)"), F.expr(f"CAST({cuts.order.fine} AS BIGINT)")
-    out = _with_width(df, cuts).withColumn(
-        "_bucket", F.expr(f"coalesce(CAST({cuts.order.coarse} AS BIGINT) div _width, 0)"))
-    if cuts.buckets:
-        side = _side(cuts, df.sparkSession, cuts.buckets, "_r__bucket").withColumn("_full", F.lit(True))
-        pairs = [*[(k, f"_r_{k}") for k in cuts.keys], ("_bucket", "_r__bucket")]
-        out = _null_safe(out, F.broadcast(side), pairs, "left")
-    else:
-        out = out.withColumn("_full", F.lit(None).cast("boolean"))
-    chunk = F.struct(F.col("_bucket").alias("a"),
-                     F.when(F.col("_full"), coarse).otherwise(zero).alias("b"),
-                     F.when(F.col("_full"), F.floor(fine / F.lit(cuts.limit)).cast("bigint"))
-                     .otherwise(zero).alias("c"))
-    return out.withColumn(name, chunk).drop("_width", "_bucket", "_full")
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    out = _null_safe(df, F.broadcast(_side(cuts, df.sparkSession)), [(k, f"_r_{k}") for k in cuts.keys], "left")
+    out = out.withColumn("_cut_at", _position(cuts.order, "_lo", "_hi"))
+    # the number of cuts at or below the row's position, by halving
+    steps = ", ".join(str(1 << i) for i in reversed(range(max(len(g[-1]) for g in cuts.groups).bit_length())))
+    chunk = F.expr(f"CAST(coalesce(aggregate(array({steps}), 0, (at, by) -> IF(at + by <= size(_cuts) AND get(_cuts, at + by - 1) <= _cut_at, at + by, at)), 0) AS BIGINT)")
+    return out.withColumn(name, F.when(F.col("_cuts").isNull(), F.lit(0).cast("bigint")).otherwise(chunk)).drop("_lo", "_hi", "_cuts", "_cut_at")
 
 
 def _fold(op: Before, over=None) -> Column:
@@ -192,7 +186,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Order, outputs: dict[str, Be
     if carry_needed:
         source = rows
         if bounded:
-            hot = F.broadcast(_side(cuts, df.sparkSession, cuts.groups, "_width"))
+            hot = F.broadcast(_side(cuts, df.sparkSession).drop("_lo", "_hi", "_cuts"))
             source = _null_safe(rows, hot, [(k, f"_r_{k}") for k in keys], "inner")
         sums = source.groupBy(*keys, "_chunk").agg(
             *[_summary(op, order.cols, backwards).alias(n) for n, op in outputs.items()])

@@ -9,11 +9,11 @@ from ..operators import anchors, merkle
 
 
 def audit(blocks: DataFrame, milestones: DataFrame, committed: DataFrame, expected_id: Column, *,
-          algorithm: str = "sha256", most_leaves: int = 1 << 20) -> DataFrame:
+          algorithm: str = "sha256") -> DataFrame:
     """Per milestone with blocks: are positions complete, do blocks hash to their ids, does the cone give the
     committed root (ms_index, inclusion_root), and does the milestone follow the one before."""
     cone = anchors.cone_check(blocks, expected_id)
-    roots = merkle.roots(blocks, ["ms_index"], "wf_index", "block_id", algorithm=algorithm, most_leaves=most_leaves)
+    roots = merkle.roots(blocks, ["ms_index"], "wf_index", "block_id", algorithm=algorithm)
     breaks = anchors.continuity(milestones).select(F.col("idx").alias("ms_index"), "problem")
     known = milestones.select(F.col("idx").alias("ms_index"), F.lit(True).alias("_known"))
     df = (cone.join(roots.select("ms_index", "root"), "ms_index", "left").join(committed, "ms_index", "left")

@@ -29,14 +29,13 @@ def overall(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.when(F.bool_or(~F.col("ok")), "INVALID").when(F.count_if(F.col("ok").isNull()) == 0, "VALID").otherwise("PARTIAL").alias("overall"))
 
 
-def proof_table(blocks: DataFrame, milestones: DataFrame, anchors: DataFrame, *, algorithm: str = "sha256",
-                most_leaves: int = 1 << 20) -> DataFrame:
+def proof_table(blocks: DataFrame, milestones: DataFrame, anchors: DataFrame, *, algorithm: str = "sha256") -> DataFrame:
     """One proof per block of a cone: its path to the milestone's inclusion root, the anchor covering the
     milestone and the milestone's path to the anchored root. `consistent` is false where stored rows contradict
     each other (the block does not hash to its id, or the cone does not give the committed root).
 
     milestones: idx, id, inclusion_root; blocks: block_id, raw, ms_index, wf_index; anchors: seq, from_ms, to_ms, ms_root, status."""
-    inclusion = merkle.paths(blocks, ["ms_index"], "wf_index", "block_id", algorithm=algorithm, most_leaves=most_leaves)
+    inclusion = merkle.paths(blocks, ["ms_index"], "wf_index", "block_id", algorithm=algorithm)
     inclusion = inclusion.withColumnRenamed("path", "inclusion_path").withColumnRenamed("root", "cone_root")
     ms = milestones.select(F.col("idx").alias("ms_index"), F.col("id").alias("milestone_id"), "inclusion_root")
     df = inclusion.join(ms, "ms_index")
@@ -44,7 +43,7 @@ def proof_table(blocks: DataFrame, milestones: DataFrame, anchors: DataFrame, *,
     covered = ranges.covering(milestones.select("idx", "id"), "idx", usable, "from_ms", "to_ms", "seq").filter("seq IS NOT NULL")
     full = covered.groupBy("seq", "from_ms", "to_ms").agg(F.count(F.lit(1)).alias("_n")).filter("_n = to_ms - from_ms + 1").select("seq")
     spots = covered.join(full, "seq", "left_semi").withColumn("place", F.col("idx") - F.col("from_ms"))
-    member = merkle.paths(spots, ["seq"], "place", "id", algorithm=algorithm, most_leaves=most_leaves)
+    member = merkle.paths(spots, ["seq"], "place", "id", algorithm=algorithm)
     holds = F.col("root") == F.col("ms_root")  # a column, not a filter: a filter would re-evaluate the tree below it
     member = member.select(F.col("idx").alias("ms_index"), F.when(holds, F.col("seq")).alias("anchor_seq"), F.when(holds, F.col("path")).alias("anchor_path"),
                            F.when(holds, F.col("root")).alias("anchor_root"))

@@ -153,3 +153,15 @@ def test_screening_equals_the_sequential_rule(spark, hot, seed):
             used.add((iss, nonce))
     got = {r["sub_id"]: r["refused_as"] for r in verdicts.screen(df, policy, as_of_ms=0).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("shape", ["burst", "one time", "even"])
+def test_hot_groups_are_cut_evenly(spark, shape):
+    """A group of 90 % of all rows, whether they come at distinct times in a burst, at one time, or evenly."""
+    time = {"burst": "IF(id % 10 = 0, id * 1000000, 5000000000 + id)", "one time": "IF(id % 10 = 0, id, 77)", "even": "id * 1000"}[shape]
+    df = spark.range(20_000).selectExpr("IF(id % 10 = 9, 'rare', 'hot') AS iss", f"{time} AS ms_index", "id AS wf_index", "CAST(id AS STRING) AS block_id")
+    cuts = ordered.measure(df, ["iss"], ordered.BY_POSITION, 2_000)
+    sizes = [r["count"] for r in ordered.with_chunk(df.filter("iss = 'hot'"), cuts).groupBy("_chunk").count().collect()]
+    assert 30 <= len(sizes) <= 40 and max(sizes) <= 1_000
+    got = ordered.scan(df, ["iss"], ordered.BY_POSITION, {"n": ordered.count()}, cuts=cuts).filter("iss = 'hot'")
+    assert [r["n"] for r in got.orderBy("ms_index", "wf_index", "block_id").select("n").collect()] == list(range(18_000))
