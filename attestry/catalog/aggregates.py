@@ -75,7 +75,7 @@ def a9(t):
 
 @query("a10_issuer_state", f"""SELECT iss, max(seq) AS top_seq, CAST(least(count(*), 500) AS BIGINT) AS nonces, arg_max(nonce, (ts, -n)) AS newest FROM messages WHERE {PROVEN} GROUP BY iss""")
 def a10(t):
-    state = chain.issuer_state(t.messages)
+    state = chain.issuer_state(t.messages, nonces=500)
     newest = chain.proven_messages(t.messages).groupBy("iss").agg(F.max_by("nonce", F.struct("ts", -F.col("n"))).alias("newest"))
     return state.join(newest, "iss").select("iss", "top_seq", F.size("nonces").cast("bigint").alias("nonces"), "newest")
 

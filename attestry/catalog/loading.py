@@ -154,8 +154,8 @@ def s14(t):
     return reports.mark_anchored(new, accepted).select("report_hash", "anchored")
 
 
-@query("l7_anchor_rotation", """SELECT seq, CAST(CASE WHEN seq % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS priority FROM anchors ORDER BY priority, seq LIMIT 1000""")
+@query("l7_anchor_rotation", """SELECT seq, CAST(CASE WHEN seq % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS priority FROM anchors""")
 def l7(t):
     # every anchor is audited in each run; the unverified ones only come first
     return (t.anchors.withColumn("priority", F.when(F.col("status") == "pending", 0).otherwise(1).cast("bigint"))
-            .orderBy("priority", "seq").limit(1000).select("seq", "priority"))
+            .orderBy("priority", "seq").select("seq", "priority"))

@@ -63,9 +63,13 @@ def t3(t):
     return J.finish(J.orphan_stream(submissions(t), messages(t))).filter("orphaned").select("sub_id", "block_id")
 
 
-@query("t4_silence_stream")
-def t4(t):
-    s = feed(t, "scores", t.messages.filter(f"score IS NOT NULL AND {PROVEN}").select("ie_id", "ts"), "ts")
+SILENCE_SQL = f"""WITH s AS (SELECT ie_id, ts, lead(ts) OVER (PARTITION BY ie_id ORDER BY ts) AS next_ts FROM messages WHERE score IS NOT NULL AND {PROVEN})
+    SELECT ie_id, ts AS last_ts, CAST(120 AS BIGINT) AS threshold_s FROM s WHERE next_ts - ts > 120 OR next_ts IS NULL AND ts + 121 < (SELECT max(ts) FROM s)"""
+
+
+@query("t4_silence_stream", SILENCE_SQL)
+def t4(t, slices=3):
+    s = feed(t, f"scores-{slices}", t.messages.filter(f"score IS NOT NULL AND {PROVEN}").select("ie_id", "ts"), "ts", slices)
     return J.finish(J.silence_stream(s))
 
 
@@ -106,7 +110,7 @@ def t9(t):
     return t.spark.read.json(path).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t10_milestone_counters", """WITH w AS (SELECT ts // 3600 * 3600 AS start_s, count(*) AS messages, count(*) FILTER (WHERE verdict = 'FORGED') AS forged FROM messages GROUP BY 1)
+@query("t10_milestone_counters", """WITH w AS (SELECT ts // 3600 * 3600 AS start_s, count(*) AS messages, count(DISTINCT ms_index) AS milestones, count(*) FILTER (WHERE verdict = 'FORGED') AS forged FROM messages GROUP BY 1)
     SELECT * FROM w WHERE start_s + 3600 <= (SELECT max(ts) FROM messages) - 600""")
 def t10(t):
-    return J.finish(J.milestone_counters(messages(t))).drop("milestones")
+    return J.finish(J.milestone_counters(messages(t)))

@@ -301,10 +301,9 @@ def relay_sealed(posted: Column, sent: Column) -> Column:
 
 def blind_tokens(v: Column) -> Column:
     """Usable blind-index tokens of an envelope, first occurrence of each, in order."""
-    head = F.slice(F.coalesce(at(v, "$.bix", "array<variant>"), F.array().cast("array<variant>")), 1, V.MAX_BLIND_TOKENS)
-    texts = F.transform(F.filter(head, lambda x: json_type(x) == "STRING"), lambda x: x.cast("string"))
-    good = F.filter(texts, lambda s: (s != "") & (F.char_length(s) <= V.MAX_BLIND_TOKEN_LEN)
-                    & ~F.contains(s, F.lit("\x00")))
+    every = F.coalesce(at(v, "$.bix", "array<variant>"), F.array().cast("array<variant>"))
+    texts = F.transform(F.filter(every, lambda x: json_type(x) == "STRING"), lambda x: x.cast("string"))
+    good = F.filter(texts, lambda s: (s != "") & ~F.contains(s, F.lit("\x00")))
     return F.array_distinct(good)
 
 

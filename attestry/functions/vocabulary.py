@@ -65,8 +65,6 @@ MAX_MILESTONE = 0xFFFFFFFF
 ENVELOPE_FIELDS = ("w", "tag", "iss", "kid", "seq", "iat", "nonce", "att", "body", "enc", "bix", "cmt",
                    "prev", "corr", "sig")
 TEXT_MAX, ITEMS_MAX, TITLE_MAX, ID_MAX = 512, 64, 160, 120
-MAX_BLIND_TOKENS, MAX_BLIND_TOKEN_LEN = 64, 256
-MAX_JSON_CHANGES = 200
 
 # Rule thresholds.
 DRIFT_EPSILON, DRIFT_GRACE_S, JUMP, STALE_S, SKEW_S = 0.01, 150, 0.3, 120, 300

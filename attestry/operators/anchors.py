@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from . import merkle
+from . import merkle, ordered
 
 
 def windows(milestones: DataFrame, start: int = 1, every: int = V.CHECKPOINT_EVERY) -> DataFrame:
@@ -34,11 +34,13 @@ def checkpoints(milestones: DataFrame, messages: DataFrame, *, network: str, dom
 
 
 def chain_breaks(anchors: DataFrame) -> DataFrame:
-    """Whether each anchor's `prev_hash` is the hash of the anchor with the next lower seq (self equi-join)."""
-    before = anchors.select((F.col("seq") + 1).alias("seq"), F.col("checkpoint_hash").alias("_expected"), F.lit(True).alias("_known"))
-    df = anchors.join(before, "seq", "left")
-    return df.withColumn("linked", F.when(F.col("_known"), F.col("prev_hash").eqNullSafe(F.col("_expected")))
-                         .otherwise(F.col("prev_hash").isNull())).drop("_expected", "_known")
+    """Whether each anchor's `prev_hash` is the hash of the anchor with the next lower seq, however far below; the first has none.
+
+    An ordered scan over one constant key: anchors beyond the hot-group limit are cut like any other group."""
+    one = anchors.withColumn("_all", F.lit(0)).withColumn("_seq", F.col("seq").cast("bigint"))
+    seen = ordered.scan(one, ["_all"], ordered.Order(("_seq",), "_seq"), {"_before": ordered.last(F.struct("checkpoint_hash"))})
+    return seen.withColumn("linked", F.when(F.col("_before").isNotNull(), F.col("prev_hash").eqNullSafe(F.col("_before.checkpoint_hash")))
+                           .otherwise(F.col("prev_hash").isNull())).drop("_before", "_all", "_seq")
 
 
 def audit(anchors: DataFrame, records: DataFrame, milestones: DataFrame, every: int = V.CHECKPOINT_EVERY) -> DataFrame:

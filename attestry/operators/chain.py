@@ -168,7 +168,7 @@ def issuer_heads(receipts: DataFrame, **how) -> DataFrame:
             .withColumn("accepted", F.coalesce(F.col("seq") > F.col("_top.seq"), F.lit(True))).drop("_top"))
 
 
-def issuer_state(messages: DataFrame, nonces: int = 500) -> DataFrame:
+def issuer_state(messages: DataFrame, nonces: int) -> DataFrame:
     """Per issuer the highest proven seq and its most recent nonces."""
     df = proven_messages(messages)
     top = df.groupBy("iss").agg(F.max("seq").alias("top_seq"))

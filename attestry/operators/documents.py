@@ -4,53 +4,64 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import vocabulary as V
+from ..session import settle
 
 PLAIN_KEY = r"^[A-Za-z_][A-Za-z0-9_]*$"
 
 
-def json_diff(pairs: DataFrame, ids: Sequence[str], expected: str, actual: str, *, depth: int = 6,
-              limit: int = V.MAX_JSON_CHANGES) -> DataFrame:
+def _same(e: Column, a: Column) -> Column:
+    """Equal values, numbers by value: 1e2 is 100."""
+    number = lambda v: F.when(C.json_type(v).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+    return F.coalesce(number(e) == number(a), F.to_json(e).eqNullSafe(F.to_json(a)))
+
+
+def _children(e: Column, a: Column) -> Column:
+    """The steps below two containers of one kind; null if they are none."""
+    em, am = (C.at(x, "$", "map<string,variant>") for x in (e, a))
+    ea, aa = (C.at(x, "$", "array<variant>") for x in (e, a))
+    of_keys = F.transform(F.array_union(F.map_keys(em), F.map_keys(am)), lambda k: F.struct(
+        F.when(k.rlike(PLAIN_KEY), F.concat(F.lit("."), k)).otherwise(F.concat(F.lit('["'), k, F.lit('"]'))).alias("step"),
+        em[k].alias("e"), am[k].alias("a"), F.map_contains_key(em, k).alias("has_e"), F.map_contains_key(am, k).alias("has_a")))
+    longest = F.greatest(F.size(ea), F.size(aa))
+    of_items = F.transform(F.when(longest > 0, F.sequence(F.lit(0), longest - 1)), lambda i: F.struct(
+        F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), F.get(ea, i).alias("e"),
+        F.get(aa, i).alias("a"), (i < F.size(ea)).alias("has_e"), (i < F.size(aa)).alias("has_a")))
+    both = F.col("has_e") & F.col("has_a")
+    return F.when(both & C.is_object(e) & C.is_object(a), of_keys).when(both & C.is_array(e) & C.is_array(a), of_items)
+
+
+def json_diff(pairs: DataFrame, ids: Sequence[str], expected: str, actual: str) -> DataFrame:
     """Key-level differences of two JSON documents per row: path, kind, expected, actual.
 
-    Each step replaces a pair of differing containers by its children, in one chain of `explode`s;
-    below `depth` whole values are compared. At most `limit` changes per document are listed, and
-    `changes` says how many there are.
-    """
-    rows = (pairs.select(*ids, F.lit("$").alias("path"), C.parsed(F.col(expected)).alias("e"),
-                         C.parsed(F.col(actual)).alias("a"), F.lit(True).alias("has_e"), F.lit(True).alias("has_a"))
-            .filter(F.col("e").isNotNull() & F.col("a").isNotNull()))
+    Each round replaces the pairs of differing containers by their children, until only single values are left, however deep
+    they lie. Every change is a row of its own; a reader that shows a page of them limits its own page."""
     e, a = F.col("e"), F.col("a")
-    for _ in range(depth):
-        em, am = (C.at(x, "$", "map<string,variant>") for x in (e, a))
-        ea, aa = (C.at(x, "$", "array<variant>") for x in (e, a))
-        of_keys = F.transform(F.array_union(F.map_keys(em), F.map_keys(am)), lambda k: F.struct(
-            F.when(k.rlike(PLAIN_KEY), F.concat(F.lit("."), k)).otherwise(F.concat(F.lit('["'), k, F.lit('"]'))).alias("step"),
-            em[k].alias("e"), am[k].alias("a"),
-            F.map_contains_key(em, k).alias("has_e"), F.map_contains_key(am, k).alias("has_a")))
-        longest = F.greatest(F.size(ea), F.size(aa))
-        of_items = F.transform(F.when(longest > 0, F.sequence(F.lit(0), longest - 1)), lambda i: F.struct(
-            F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), F.get(ea, i).alias("e"),
-            F.get(aa, i).alias("a"), (i < F.size(ea)).alias("has_e"), (i < F.size(aa)).alias("has_a")))
-        same = F.array(F.struct(F.lit("").alias("step"), e, a, F.col("has_e"), F.col("has_a")))
-        both = F.col("has_e") & F.col("has_a")
-        children = (F.when(both & C.is_object(e) & C.is_object(a), of_keys)
-                    .when(both & C.is_array(e) & C.is_array(a), of_items).otherwise(same))
-        rows = (rows.filter(~both | ~F.to_json(e).eqNullSafe(F.to_json(a)))
-                .select(*ids, "path", F.explode(children).alias("c"))
-                .select(*ids, F.concat("path", "c.step").alias("path"), "c.e", "c.a", "c.has_e", "c.has_a"))
-    kind = (F.when(~F.col("has_a"), "removed").when(~F.col("has_e"), "added")
-            .when(~F.to_json(e).eqNullSafe(F.to_json(a)), "changed"))
-    found = (rows.select(*ids, "path", kind.alias("kind"), F.to_json(e).alias("expected"), F.to_json(a).alias("actual"))
-             .filter("kind IS NOT NULL"))
-    total = found.groupBy(*ids).agg(F.count(F.lit(1)).alias("changes"))
-    first = Window.partitionBy(*ids).orderBy("path")
-    listed = found.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= limit).drop("_rn")
-    return listed.join(total, list(ids))
+    rows = (pairs.select(*ids, F.lit("$").alias("path"), C.parsed(F.col(expected)).alias("e"), C.parsed(F.col(actual)).alias("a"),
+                         F.lit(True).alias("has_e"), F.lit(True).alias("has_a"))
+            .filter(F.col("e").isNotNull() & F.col("a").isNotNull()))
+    kind = F.when(~F.col("has_a"), "removed").when(~F.col("has_e"), "added").otherwise("changed")
+    differs = ~(F.col("has_e") & F.col("has_a")) | ~_same(e, a)
+    found = []
+    while True:
+        rows = settle(rows.filter(differs).withColumn("below", _children(e, a)).select(
+            *ids, "path", "has_e", "has_a", F.to_json("e").alias("expected"), F.to_json("a").alias("actual"),
+            F.transform("below", lambda c: F.struct(c["step"].alias("step"), F.to_json(c["e"]).alias("e"), F.to_json(c["a"]).alias("a"),
+                                                    c["has_e"].alias("has_e"), c["has_a"].alias("has_a"))).alias("below")), "json-diff")
+        found.append(rows.filter("below IS NULL").select(*ids, "path", kind.alias("kind"), "expected", "actual"))
+        inner = rows.filter("below IS NOT NULL")
+        if inner.isEmpty():
+            break
+        rows = inner.select(*ids, "path", F.explode("below").alias("c")).select(
+            *ids, F.concat("path", "c.step").alias("path"), C.parsed(F.col("c.e")).alias("e"), C.parsed(F.col("c.a")).alias("a"), "c.has_e", "c.has_a")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def with_writer_rule(messages: DataFrame, policy: DataFrame, default_allowed: Sequence[str] = ()) -> DataFrame:

@@ -91,7 +91,7 @@ def anchor_counts(anchors: DataFrame, ms_from: int | None = None, ms_to: int | N
                                       F.max_by("ms_root", "seq").alias("newest_root"))
 
 
-def proof_index(messages: DataFrame, *, ie=None, ms_from=None, ms_to=None, limit: int = 200) -> DataFrame:
+def proof_index(messages: DataFrame, *, ie=None, ms_from=None, ms_to=None, limit: int) -> DataFrame:
     """The first `limit` confirmed messages of a range, and whether more exist (`limit` is the report's own)."""
     rows = search.search(messages, ie=ie, ms_from=ms_from, ms_to=ms_to).filter("ms_index IS NOT NULL")
     total = rows.agg(F.count(F.lit(1)).alias("_n"))
@@ -106,7 +106,7 @@ def _counted(df: DataFrame, key: str) -> DataFrame:
 
 
 def audit_report(messages: DataFrame, alerts: DataFrame, blocks: DataFrame, milestones: DataFrame, anchors: DataFrame, *,
-                 network: str, at_ms: int, ie=None, ms_from=None, ms_to=None, proof_limit: int = 200) -> DataFrame:
+                 network: str, at_ms: int, ie=None, ms_from=None, ms_to=None, proof_limit: int) -> DataFrame:
     """The audit report of a range as one JSON document and its hash. Only fixed domains are collected."""
     rows = search.search(messages, ie=ie, ms_from=ms_from, ms_to=ms_to)
     totals = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("encrypted").alias("encrypted"),

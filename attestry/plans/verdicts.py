@@ -43,23 +43,26 @@ def resolve_replays(candidates: DataFrame) -> DataFrame:
     dup_nonce = slim.filter("nonce IS NOT NULL").groupBy("iss", "nonce").agg(two.alias("_d")).filter("_d").drop("_d")
     colliding = slim.join(dup_seq.withColumn("_s", F.lit(True)), ["iss", "seq"], "left").join(
         dup_nonce.withColumn("_n", F.lit(True)), ["iss", "nonce"], "left").filter("_s OR _n").drop("_s", "_n")
-    colliding = settle(colliding.withColumn("place", place()), "colliding")
+    # a message without issuer spends nothing; one without seq is judged by its nonce alone: a seq of its own stands in
+    colliding = colliding.filter("iss IS NOT NULL").withColumn("_own", F.when(F.col("seq").isNull(), F.col("block_id")))
+    colliding = settle(colliding.withColumn("seq", F.coalesce("seq", F.lit(-1).cast("bigint"))).withColumn("_own", F.coalesce("_own", F.lit("")))
+                       .withColumn("place", place()), "colliding")
     undecided, accepted = colliding.filter("spends"), None
     while True:
-        by_seq = undecided.groupBy("iss", "seq").agg(F.min("place").alias("_s"))
+        by_seq = undecided.groupBy("iss", "seq", "_own").agg(F.min("place").alias("_s"))
         by_nonce = undecided.filter("nonce IS NOT NULL").groupBy("iss", "nonce").agg(F.min("place").alias("_n"))
-        ranked = undecided.join(by_seq, ["iss", "seq"]).join(by_nonce, ["iss", "nonce"], "left")
+        ranked = undecided.join(by_seq, ["iss", "seq", "_own"]).join(by_nonce, ["iss", "nonce"], "left")
         first = (F.col("place") == F.col("_s")) & (F.col("nonce").isNull() | (F.col("place") == F.col("_n")))
-        now = settle(ranked.filter(first).select("block_id", "iss", "seq", "nonce", "place"), "accepted")
+        now = settle(ranked.filter(first).select("block_id", "iss", "seq", "_own", "nonce", "place"), "accepted")
         accepted = now if accepted is None else accepted.unionByName(now)
-        rest = (undecided.join(now.select("iss", "seq"), ["iss", "seq"], "left_anti")
+        rest = (undecided.join(now.select("iss", "seq", "_own"), ["iss", "seq", "_own"], "left_anti")
                 .join(now.filter("nonce IS NOT NULL").select("iss", "nonce"), ["iss", "nonce"], "left_anti"))
         undecided = settle(rest.select(*undecided.columns), "undecided")
         if undecided.isEmpty():
             break
-    s = accepted.select("iss", "seq", F.col("place").alias("_s"))
+    s = accepted.select("iss", "seq", "_own", F.col("place").alias("_s"))
     n = accepted.filter("nonce IS NOT NULL").select("iss", "nonce", F.col("place").alias("_n"))
-    df = colliding.join(s, ["iss", "seq"], "left").join(n, ["iss", "nonce"], "left")
+    df = colliding.join(s, ["iss", "seq", "_own"], "left").join(n, ["iss", "nonce"], "left")
     used = lambda c: F.when(F.col(c) < F.col("place"), F.col(f"{c}.block_id"))
     return (df.select("block_id", used("_s").alias("seq_used_by"), used("_n").alias("nonce_used_by"))
             .filter("seq_used_by IS NOT NULL OR nonce_used_by IS NOT NULL"))

@@ -100,25 +100,24 @@ def orphan_stream(submissions: DataFrame, messages: DataFrame, timeout_s: int =
 
 
 def silence_stream(scores: DataFrame, threshold_s: int = V.STALE_S, delay: str = "0 seconds") -> DataFrame:
-    """One row per stretch without a score longer than the threshold, raised by an event-time timer."""
+    """One row per stretch without a score longer than the threshold: when the next score arrives, or before it,
+    when the ledger's clock (the watermark) passes the deadline. The state is an element's last score, and only while
+    its silence is unreported: a reported one needs no memory, as whatever comes next begins anew."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.update((last,))
-            yield pd.DataFrame({"ie_id": [key[0]], "last_ts": [last], "threshold_s": [threshold_s]})
-            return
+        found: list[int] = []
         last = state.get[0] if state.exists else None
-        found = []
-        for pdf in batches:
-            for ts in sorted(pdf["ts"]):
-                # a gap inside one batch: the timer had no chance to fire
-                if last is not None and ts - last > threshold_s and (last + threshold_s + 1) * 1000 > state.getCurrentWatermarkMs():
-                    found.append(int(last))
+        for pdf in batches:  # none if the timer fired
+            for ts in sorted(pdf["ts"].tolist()):
+                if last is not None and ts - last > threshold_s:
+                    found.append(last)
                 last = int(ts) if last is None else max(last, int(ts))
-        state.update((last,))
-        at = (last + threshold_s + 1) * 1000
-        if at > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(at)
+        deadline = (last + threshold_s + 1) * 1000
+        if state.hasTimedOut or deadline < state.getCurrentWatermarkMs():
+            found.append(last)
+            state.remove()
+        else:
+            state.update((last,))
+            state.setTimeoutTimestamp(deadline)
         yield pd.DataFrame({"ie_id": [key[0]] * len(found), "last_ts": found, "threshold_s": [threshold_s] * len(found)})
 
     timed = event_time(scores.select("ie_id", "ts")).withWatermark("event_time", delay)
@@ -217,6 +216,6 @@ def milestone_counters(messages: DataFrame, width: str = "1 hour", delay: str =
     """Messages, milestones and forged messages per window of ledger time (append: closed windows only)."""
     timed = event_time(messages).withWatermark("event_time", delay)
     return (timed.groupBy(F.window("event_time", width)).agg(
-        F.count(F.lit(1)).alias("messages"), F.approx_count_distinct("ms_index").alias("milestones"),
+        F.count(F.lit(1)).alias("messages"), F.size(F.collect_set("ms_index")).cast("bigint").alias("milestones"),
         F.count_if(F.col("verdict") == "FORGED").alias("forged"))
         .select(F.unix_timestamp(F.col("window.start")).alias("start_s"), "messages", "milestones", "forged"))

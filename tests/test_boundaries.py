@@ -60,6 +60,16 @@ def test_json_diff_walks_objects_and_lists(spark):
     assert got == {("$.a.b[1]", "changed"), ("$.a.b[2]", "added"), ("$.c", "removed"), ("$.d", "added"), ('$["x y"]', "changed")}
 
 
+def test_json_diff_goes_as_deep_as_the_documents(spark):
+    deep = lambda v: '{"a":' * 12 + v + "}" * 12
+    many = lambda v: "[" + ",".join([v] * 500) + "]"
+    df = spark.createDataFrame([(1, deep("1"), deep("2")), (2, many("1"), many("2")), (3, "[1e2,null,{}]", "[100,null,{}]"), (4, "5", "[5]"), (5, '{"a":null}', "{}")],
+                               "id int, e string, a string")
+    got = [(r["id"], r["path"], r["kind"]) for r in documents.json_diff(df, ["id"], "e", "a").collect()]
+    assert sorted(x for x in got if x[0] != 2) == [(1, "$" + ".a" * 12, "changed"), (4, "$", "changed"), (5, "$.a", "removed")]
+    assert len([x for x in got if x[0] == 2]) == 500
+
+
 def test_checkpoint_shape(spark):
     h = "0x" + "a" * 64
     good = ('{"v":1,"kind":"k","network":"n","domain":"d","from":{"index":1,"id":"%s"},"to":{"index":2,"id":"%s"},"msRoot":"%s","msgCount":0,"policyHash":"%s","prev":null}' % (h, h, h, h))

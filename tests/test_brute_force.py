@@ -68,6 +68,13 @@ def test_nonce_freed_by_a_replayed_message(spark):
     assert [r["block_id"] for r in verdicts.resolve_replays(frame(spark, rows)).collect()] == ["b"]
 
 
+def test_replays_without_seq_are_judged_by_nonce(spark):
+    base = dict(iss="i", seq=None, ms_index=1, spends=True, prev=None, ts=1, verdict="PRODUCER_SIGNED")
+    rows = [dict(base, block_id="a", nonce="x", wf_index=0), dict(base, block_id="b", nonce="x", wf_index=1), dict(base, block_id="c", nonce="y", wf_index=2),
+            dict(base, block_id="d", nonce="z", wf_index=3, iss=None), dict(base, block_id="e", nonce="z", wf_index=4, iss=None)]
+    assert [(r["block_id"], r["nonce_used_by"]) for r in verdicts.resolve_replays(frame(spark, rows)).collect()] == [("b", "a")]
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_heads_on_arrival(spark, hot, seed):
     rows = [r for r in ledger(seed, swap=True)]
