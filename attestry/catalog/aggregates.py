@@ -22,9 +22,9 @@ def a2(t):
 
 
 @query("a3_table_stats", " UNION ALL ".join(f"SELECT '{x}' AS name, count(*) AS n FROM {x}" for x in (
-    "messages", "blocks", "submissions", "milestones", "alerts", "anchors", "lifecycle", "validations", "content_checks")))
+    "messages", "blocks", "submissions", "milestones", "alerts", "anchors", "lifecycle", "validations", "content_checks", "context_ie", "component_host", "policy", "key_history")))
 def a3(t):
-    names = ("messages", "blocks", "submissions", "milestones", "alerts", "anchors", "lifecycle", "validations", "content_checks")
+    names = ("messages", "blocks", "submissions", "milestones", "alerts", "anchors", "lifecycle", "validations", "content_checks", "context_ie", "component_host", "policy", "key_history")
     return reports.table_counts({n: getattr(t, n) for n in names})
 
 

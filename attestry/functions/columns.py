@@ -83,18 +83,14 @@ def decode_tag(tag: Column) -> Column:
 
 
 def label(text: Column, limit: int = V.TITLE_MAX) -> Column:
-    """One printable line: control characters escaped, white space collapsed, cut to `limit`."""
-    def shown(ch: Column) -> Column:
-        code = F.ascii(ch)
-        return (F.when(ch.isin("\t", "\n", "\r"), F.lit(" "))
-                .when(ch.rlike(r"^\p{C}$"), F.when(code < 256, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(code)), 2, "0")))
-                      .otherwise(F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))))
-                .otherwise(ch))
-
-    head = F.substring(text, 1, limit * 4)
-    escaped = F.when(head.rlike(r"[\p{C}]"), F.array_join(F.transform(F.split(head, ""), shown), "")).otherwise(head)
-    line = F.regexp_replace(F.regexp_replace(escaped, r"(?U)\s+", " "), r"^ | $", "")
-    return F.when(F.char_length(line) <= limit, line).otherwise(F.concat(F.substring(line, 1, limit - 1), F.lit("…")))
+    """One printable line of at most `limit` characters: white space becomes single spaces, what cannot be
+    printed its escape (two hex digits below 256, four above), and a longer line ends in an ellipsis."""
+    escape = lambda c: F.format_string("\\%s%s", F.when(F.ascii(c) < 256, "x").otherwise("u"),
+                                       F.lpad(F.lower(F.hex(F.ascii(c))), F.when(F.ascii(c) < 256, 2).otherwise(4), F.lit("0")))
+    plain = F.regexp_replace(F.translate(text, "\t\n\r", "   "), r"(?U)[\s&&[^\p{C}]]+", " ")
+    pieces = F.transform(F.split(plain, r"(?<=\p{C})|(?=\p{C})"), lambda p: F.when(p.rlike(r"^\p{C}$"), escape(p)).otherwise(p))
+    line = F.trim(F.when(plain.rlike(r"\p{C}"), F.array_join(pieces, "")).otherwise(plain))
+    return F.when(F.char_length(line) > limit, F.concat(F.substring(line, 1, limit - 1), F.lit("…"))).otherwise(line)
 
 
 def cut_text(text: Column, limit: int = V.TEXT_MAX) -> Column:
@@ -186,6 +182,7 @@ def ie_of(kind: Column, v: Column) -> Column:
 
 def checkpoint_problem(cp: Column) -> Column:
     """The first structural problem of a checkpoint document, or null."""
+    # the problem texts are fixed values: stored results are compared with them
     fields = ("v", "kind", "network", "domain", "from", "to", "msRoot", "msgCount", "policyHash", "prev")
     ends = []
     for name in ("from", "to"):
@@ -262,6 +259,7 @@ def is_envelope(m: Column) -> Column:
 
 def envelope_problem(m: Column) -> Column:
     """The first structural problem of an envelope (its `fields`), as text, or null."""
+    # the problem texts are fixed values: stored results are compared with them
     has = lambda n: F.map_contains_key(m, n)
     g = lambda n: m[n]
     att = fields(g("att"))

@@ -65,13 +65,13 @@ def explained(t: Tables) -> DataFrame:
     empty = F.lit(None).cast("string")
     rest = rows.filter("verdict <> 'REPLAY'").withColumn("_seq_block", empty).withColumn("_nonce_block", empty)
     rows = rest.unionByName(replays.select(*rest.columns)).join(t.policy.select("tag", F.col("allowed").alias("_allowed")), "tag", "left")
-    reason = (F.when(F.col("verdict") == "UNAUTHORIZED_WRITER", F.concat("iss", F.lit(" is not an allowed writer of "), "tag"))
-              .when(F.col("verdict") == "REVOKED_KEY", "signed with a key that was revoked before or within the milestone's second")
-              .when(F.col("_seq_block").isNotNull(), F.concat(F.lit("seq already used by block "), "_seq_block"))
-              .when(F.col("_nonce_block").isNotNull(), F.concat(F.lit("nonce already used by block "), "_nonce_block"))
-              .when(F.col("verdict") == "REPLAY", "flagged as a replay when indexed")
-              .when(F.col("verdict") == "MALFORMED", F.concat(F.lit("body does not match the "), "kind", F.lit(" schema")))
-              .otherwise("signature does not verify against any published key"))
+    reason = (F.when(F.col("verdict") == "UNAUTHORIZED_WRITER", F.concat(F.lit("policy lets others write "), "tag", F.lit(", not "), "iss"))
+              .when(F.col("verdict") == "REVOKED_KEY", "the key was revoked by the end of that second")
+              .when(F.col("_seq_block").isNotNull(), F.concat(F.lit("same seq as "), "_seq_block"))
+              .when(F.col("_nonce_block").isNotNull(), F.concat(F.lit("same nonce as "), "_nonce_block"))
+              .when(F.col("verdict") == "REPLAY", "a replay when it arrived")
+              .when(F.col("verdict") == "MALFORMED", F.concat(F.lit("not a valid "), "kind", F.lit(" body")))
+              .otherwise("no published key fits the signature"))
     if "reason" in rows.columns:
         reason = F.coalesce("reason", reason)
     return alert(rows, F.col("verdict"), _at(), {
@@ -83,7 +83,7 @@ def explained(t: Tables) -> DataFrame:
 
 def unsigned(t: Tables) -> DataFrame:
     rows = documents.with_writer_rule(t.messages.filter(F.col("verdict") == V.UNSIGNED), t.policy).filter("signature_required")
-    return alert(rows, "UNSIGNED", _at(), {"tag": F.col("tag"), "reason": F.lit("the policy requires signed messages on this tag")})
+    return alert(rows, "UNSIGNED", _at(), {"tag": F.col("tag"), "reason": F.lit("unsigned where the policy wants a signature")})
 
 
 def _trusted_content(t: Tables) -> DataFrame:
@@ -105,7 +105,7 @@ def drifted(t: Tables) -> DataFrame:
     rows = episodes.join(latest.select("ie_id", "block_id", "score"), "ie_id")
     return alert(rows, "DRIFT", F.col("alert_ms"), {
         "ledgerScore": F.col("score"), "ledgerBlockId": F.col("block_id"), "divergingSinceMs": F.col("since_ms"),
-        "reason": F.lit("the context's trust score differs from the score on the ledger")},
+        "reason": F.lit("context and ledger hold different scores")},
         dedupe=F.concat(F.lit("since:"), F.col("since_ms").cast("string")))
 
 
@@ -165,7 +165,7 @@ def clock_skew(t: Tables, limit_s: int = V.SKEW_S) -> DataFrame:
     skew = F.col("iat") - F.col("ts") * 1000
     return alert(rows, "CLOCK_SKEW", _at(), {
         "iatMs": F.col("iat"), "milestoneTsMs": _at(), "skewS": F.abs(skew) / 1000, "limitS": F.lit(limit_s),
-        "reason": F.concat(F.lit("signer clock "), F.when(skew > 0, "ahead of").otherwise("behind"), F.lit(" the milestone that confirmed the block"))})
+        "reason": F.concat(F.lit("signed "), F.when(skew > 0, "after").otherwise("before"), F.lit(" the time of its milestone"))})
 
 
 def chains(t: Tables) -> DataFrame:
@@ -173,14 +173,14 @@ def chains(t: Tables) -> DataFrame:
     forks = chain.siblings(t.messages, arrived=True)
     fork = alert(forks, "CHAIN_FORK", _at(), {
         "iss": F.col("iss"), "seq": F.col("seq"), "prev": F.col("prev"), "siblings": F.col("siblings"), "lastSibling": F.col("sibling"),
-        "reason": F.lit("another message of this issuer already continues from the same block")})
+        "reason": F.lit("two successors of one block")})
     heads = chain.heads_on_arrival(t.messages).filter("prev IS NOT NULL AND head_block IS NOT NULL AND head_block <> prev")
     gaps = heads.join(forks.select("block_id"), "block_id", "left_anti")
     gaps = documents.flag(gaps, "prev", t.messages.select(F.col("block_id")), "known")
     gap = alert(gaps, "CHAIN_GAP", _at(), {
         "iss": F.col("iss"), "seq": F.col("seq"), "prev": F.col("prev"), "expectedPrev": F.col("head_block"), "lastSeenSeq": F.col("head_seq"),
-        "prevIndexed": F.col("known"), "reason": F.when(F.col("known"), "prev names an older block of this issuer")
-        .otherwise("prev names a block never seen")})
+        "prevIndexed": F.col("known"), "reason": F.when(F.col("known"), "skips over later blocks")
+        .otherwise("its predecessor is unknown")})
     return fork.unionByName(gap)
 
 
@@ -194,7 +194,7 @@ def shadow(t: Tables, since_ms: int | None = None, exempt: tuple[str, ...] = ())
     rows = reconcile.shadow_candidates(t.messages, t.submissions, t.alerts, since_ms, t.as_of_ms - V.SHADOW_GRACE_S * 1000, exempt)
     return alert(rows, "SHADOW", F.lit(t.as_of_ms), {
         "tag": F.col("tag"), "iss": F.col("iss"), "verdict": F.col("verdict"), "msIndex": F.col("ms_index"), "confirmedAtMs": F.col("confirmed_ms"),
-        "baselineMs": F.col("baseline_ms"), "reason": F.lit("confirmed on the ledger but never received as a submission")})
+        "baselineMs": F.col("baseline_ms"), "reason": F.lit("on the ledger without a submission")})
 
 
 def content(t: Tables) -> DataFrame:
@@ -216,7 +216,7 @@ def tampered(t: Tables) -> DataFrame:
 
 def missing(t: Tables) -> DataFrame:
     rows = reconcile.missing_messages(t.ledger, t.messages)
-    return alert(rows, "MISSING_IN_DB", F.lit(t.as_of_ms), {"reason": F.lit("a confirmed tagged block is absent from the stored messages")}, ie=None)
+    return alert(rows, "MISSING_IN_DB", F.lit(t.as_of_ms), {"reason": F.lit("on the ledger, not in the store")}, ie=None)
 
 
 # name -> (rule, tables it needs beyond messages, submissions, alerts, policy)

@@ -19,11 +19,15 @@ def place() -> Column:
 
 
 def earlier_uses(messages: DataFrame) -> DataFrame:
-    """Messages whose (issuer, seq) a proven message had used before, with the first such block."""
-    first = (messages.filter(C.proven(F.col("verdict")) & F.col("seq").isNotNull()).groupBy("iss", "seq")
-             .agg(F.min(place()).alias("_first")))
-    return (messages.join(first, ["iss", "seq"]).filter(F.col("_first") < place())
-            .withColumn("earlier", F.col("_first.block_id")).drop("_first"))
+    """Messages whose seq or nonce a proven message of the issuer had used before: the first block that did (`earlier`;
+    the seq's before the nonce's) and why, as an array of `seq` and `nonce`."""
+    proven = messages.filter(C.proven(F.col("verdict")))
+    first = {c: proven.filter(F.col(c).isNotNull()).groupBy("iss", c).agg(F.min(place()).alias(f"_{c}")) for c in ("seq", "nonce")}
+    before = {c: F.when(F.col(f"_{c}") < place(), F.col(f"_{c}.block_id")) for c in first}
+    seen = messages.join(first["seq"], ["iss", "seq"], "left").join(first["nonce"], ["iss", "nonce"], "left")
+    why = F.array_compact(F.array(*[F.when(before[c].isNotNull(), F.lit(c)) for c in first]))
+    return (seen.withColumn("earlier", F.coalesce(*before.values())).withColumn("reasons", why).filter("earlier IS NOT NULL")
+            .drop("_seq", "_nonce"))
 
 
 def resolve_replays(candidates: DataFrame) -> DataFrame:
@@ -94,16 +98,16 @@ def judge(messages: DataFrame, policy: DataFrame, key_history: DataFrame, *, dat
     df = documents.with_writer_rule(df, policy)
     known_tag = F.col("tag").isin(*(kinds or V.KIND_OF_TAG))
     tests = [
-        (F.col("too_deep"), "MALFORMED", F.lit("nesting too deep")),
-        (~F.col("is_env") & (F.col("kind_read") == V.UNKNOWN_KIND) & known_tag, "MALFORMED", F.lit("payload is not a JSON object")),
+        (F.col("too_deep"), "MALFORMED", F.lit("deeper than can be parsed")),
+        (~F.col("is_env") & (F.col("kind_read") == V.UNKNOWN_KIND) & known_tag, "MALFORMED", F.lit("a JSON object was expected")),
         (~F.col("is_env"), V.UNSIGNED, F.lit(None).cast("string")),
         (F.col("shape").isNotNull(), "MALFORMED", F.col("shape")),
-        (F.col("env_tag") != F.col("tag"), "FORGED", F.lit("envelope tag does not match block tag")),
-        (F.substring_index("kid", "#", 1) != F.col("iss"), "FORGED", F.lit("kid does not belong to iss")),
-        (F.col("public_key").isNull(), "FORGED", F.lit("signing key not resolvable")),
-        (~F.coalesce("sig_ok", F.lit(False)), "FORGED", F.lit("signature invalid")),
-        (~C.valid_through_second(F.col("revoked_at_ms"), F.col("ts")), "REVOKED_KEY", F.lit("key revoked before or within the milestone's second")),
-        (~F.col("may_write"), "UNAUTHORIZED_WRITER", F.lit("issuer not allowed for this tag")),
+        (F.col("env_tag") != F.col("tag"), "FORGED", F.lit("the envelope names another tag")),
+        (F.substring_index("kid", "#", 1) != F.col("iss"), "FORGED", F.lit("the key is of another issuer")),
+        (F.col("public_key").isNull(), "FORGED", F.lit("no key is known under this id")),
+        (~F.coalesce("sig_ok", F.lit(False)), "FORGED", F.lit("bad signature")),
+        (~C.valid_through_second(F.col("revoked_at_ms"), F.col("ts")), "REVOKED_KEY", F.lit("the key was revoked by then")),
+        (~F.col("may_write"), "UNAUTHORIZED_WRITER", F.lit("the policy does not let this issuer write the tag")),
     ]
     early = None
     for bad, verdict, reason in tests:

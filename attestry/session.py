@@ -37,10 +37,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one only where none is configured."""
+    """The cluster's shared folder. Where none is named, a local session gets a temporary one; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         root = named
+    elif not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     else:
         app = spark.sparkContext.applicationId
         root = _OWN_FOLDER.get(app)
