@@ -53,9 +53,13 @@ def t1b(t):
     return J.finish(J.dedupe_submissions(feed(t, "repeats", s.union(s), "received_at_ms")).select("sub_id", "block_id"))
 
 
-@query("t2_shadow_stream")
+@query("t2_shadow_stream", """SELECT block_id, ie_id FROM messages m WHERE confirmed_at_ms + 60000 <= (SELECT max(confirmed_at_ms) FROM messages)
+    AND NOT EXISTS (SELECT 1 FROM submissions s WHERE s.block_id = m.block_id AND s.received_at_ms <= m.confirmed_at_ms + 60000)""")
 def t2(t):
-    return J.finish(J.shadow_stream(messages(t), submissions(t))).filter("shadow").select("block_id", "ie_id")
+    sent, out = scratch_path(t.spark, "sent"), scratch_path(t.spark, "shadows")
+    J.ingest_submissions(submissions(t), sent)
+    J.shadow_stream(messages(t), sent, scratch_path(t.spark, "waiting"), out, grace_s=60)
+    return t.spark.read.schema(J.WAITING).parquet(out).select("block_id", "ie_id")
 
 
 @query("t3_orphan_stream")

@@ -43,11 +43,12 @@ def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     q.awaitTermination()
 
 
-def stored(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
-    """A table kept in folders `batch=N`: what the batches before this one wrote."""
+def stored(spark: SparkSession, path: str, schema: str, before: int, latest: bool = False) -> DataFrame:
+    """A table kept in folders `batch=N`: what the batches before this one wrote, or only the one just before it."""
     from pyspark.errors import AnalysisException
     try:
-        return spark.read.schema(f"{schema}, batch bigint").parquet(path).filter(F.col("batch") < before).drop("batch")
+        own = F.col("batch") == before - 1 if latest else F.col("batch") < before
+        return spark.read.schema(f"{schema}, batch bigint").parquet(path).filter(own).drop("batch")
     except AnalysisException:  # nothing written yet
         return spark.createDataFrame([], schema)
 
@@ -78,14 +79,29 @@ def _timed(stream: DataFrame, ms: str, name: str, delay: str) -> DataFrame:
     return stream.withColumn(name, F.timestamp_millis(ms)).withWatermark(name, delay)
 
 
-def shadow_stream(messages: DataFrame, submissions: DataFrame, grace_s: int = V.SHADOW_GRACE_S, window: str = "10 minutes") -> DataFrame:
-    """Confirmed messages with their submission; no submission within `window` before or the grace after
-    the confirmation leaves the right side null: SHADOW."""
-    m = _timed(messages.select("block_id", "ie_id", "confirmed_at_ms"), "confirmed_at_ms", "m_time", f"{grace_s} seconds")
-    s = _timed(submissions.select(F.col("block_id").alias("s_block"), "sub_id", "received_at_ms"), "received_at_ms", "s_time", f"{grace_s} seconds")
-    cond = (F.col("block_id") == F.col("s_block")) & F.expr(
-        f"s_time BETWEEN m_time - INTERVAL {window} AND m_time + INTERVAL {grace_s} SECONDS")
-    return m.join(s, cond, "left_outer").select("block_id", "ie_id", "confirmed_at_ms", "sub_id", F.col("s_block").isNull().alias("shadow"))
+WAITING = "block_id string, ie_id string, confirmed_at_ms bigint"
+
+
+def shadow_stream(messages: DataFrame, submissions_path: str, waiting_path: str, out_path: str, grace_s: int = V.SHADOW_GRACE_S) -> None:
+    """Confirmed messages without a submission, judged once the ledger's clock is a grace past their confirmation.
+
+    A submission counts however long before the confirmation it came, so it is looked up in the stored table that
+    `ingest_submissions` keeps; only the messages still within their grace are carried from batch to batch."""
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        waiting = stored(spark, waiting_path, f"{WAITING}, top bigint", n, latest=True)
+        rows = batch.select("block_id", "ie_id", "confirmed_at_ms")
+        top = rows.select(F.col("confirmed_at_ms").alias("top")).union(waiting.select("top")).agg(F.max("top").alias("top"))
+        every = rows.union(waiting.filter("block_id IS NOT NULL").drop("top")).join(F.broadcast(top))  # one row
+        due = F.col("confirmed_at_ms") + grace_s * 1000 <= F.col("top")
+        sent = stored(spark, submissions_path, SUBMISSION, 1 << 62).select(F.col("block_id").alias("s_block"), "received_at_ms")
+        known = (F.col("block_id") == F.col("s_block")) & (F.col("received_at_ms") <= F.col("confirmed_at_ms") + grace_s * 1000)
+        every.filter(due).join(sent, known, "left_anti").drop("top").write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+        # the clock is kept even if nothing waits
+        clock = top.select(F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("ie_id"), F.lit(None).cast("bigint").alias("confirmed_at_ms"), "top")
+        every.filter(~due).union(clock).write.mode("overwrite").parquet(f"{waiting_path}/batch={n}")
+
+    each_batch(messages, write)
 
 
 def orphan_stream(submissions: DataFrame, messages: DataFrame, timeout_s: int = V.ORPHAN_S) -> DataFrame:
