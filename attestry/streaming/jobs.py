@@ -142,7 +142,8 @@ def silence_stream(scores: DataFrame, threshold_s: int = V.STALE_S, delay: str =
 
 
 def drift_stream(log: DataFrame, grace_s: int = V.DRIFT_GRACE_S) -> DataFrame:
-    """DRIFT alerts: the first observation more than the grace after an episode began, once per episode."""
+    """DRIFT alerts: the first observation more than the grace after an episode began, once per episode. Only elements
+    inside an episode have state."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         since, alerted = state.get if state.exists else (-1, False)
         found = []
@@ -156,7 +157,10 @@ def drift_stream(log: DataFrame, grace_s: int = V.DRIFT_GRACE_S) -> DataFrame:
             if not alerted and at - since > grace_s * 1000:
                 alerted = True
                 found.append((since, at))
-        state.update((since, alerted))
+        if since >= 0:
+            state.update((since, alerted))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"ie_id": [key[0]] * len(found), "since_ms": [s for s, _ in found], "alert_ms": [a for _, a in found]})
 
     return log.groupBy("ie_id").applyInPandasWithState(
@@ -187,21 +191,33 @@ def replay_stream(candidates: DataFrame, spent_path: str, out_path: str) -> None
 
 
 def incident_stream(observations: DataFrame, as_of_ms: int, settings: I.Settings | None = None) -> DataFrame:
-    """The incident machine per correlation key, its open incidents kept as state."""
+    """The incident machine per correlation key, its open incidents kept as state. A timer on the ledger's clock closes
+    what has been quiet, whether or not the key is heard of again, and drops the state of a key without open incidents."""
     s = settings or I.Settings()
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = I.Machine(s, json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values(list(I.ORDER), kind="stable")  # one trigger's rows of one key
-        for o in rows.itertuples(index=False):
-            machine.feed(o)
-        state.update((json.dumps(machine.state()),))
+        machine, clock, latest = I.Machine(s, json.loads(state.get[0]) if state.exists else None), state.getCurrentWatermarkMs(), 0
+        arrived = [] if state.hasTimedOut else list(batches)
+        if arrived:
+            rows = pd.concat(arrived).sort_values(list(I.ORDER), kind="stable")  # one trigger's rows of one key
+            for o in rows.itertuples(index=False):
+                machine.feed(o)
+            latest = int(rows["ord_ms"].iloc[-1])
+        machine.quiet(clock)
+        # the next moment at which something can close; alerts of the last block may still come a quiet time after it
+        ends = [i["last"] for i in machine.open] + [latest] * (latest + s.quiet_ms >= clock)
+        if ends:
+            state.update((json.dumps(machine.state()),))
+            state.setTimeoutTimestamp(max(clock, min(ends) + s.quiet_ms + 1))
+        elif state.exists:
+            state.remove()
         got = pd.DataFrame([(key[0], 0, *r) for r in machine.out], columns=I.CHANGE_COLUMNS)
         for c in ("alert_id", "at_ms", "opened_ms", "last_ms", "closed_ms"):
             got[c] = got[c].astype("Int64")
         yield got
 
-    return observations.groupBy("primary").applyInPandasWithState(step, I.CHANGE, "state string", "append", GroupStateTimeout.NoTimeout)
+    timed = observations.withColumn("event_time", F.timestamp_millis("ord_ms")).withWatermark("event_time", "0 seconds")
+    return timed.groupBy("primary").applyInPandasWithState(step, I.CHANGE, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # -- late data, delivery, counters --------------------------------------------------------------
