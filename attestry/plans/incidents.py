@@ -1,6 +1,6 @@
 """Incident correlation: observations, sessions, recovery, quiet close, alert links.
 
-Columns decide what each message or alert means; only the ordered state machine is Python. Its groups
+Columns decide what each message or alert means; only the ordered fold is Python. Its groups
 are islands: stretches of one correlation key (an element, else a component, an issuer or the ledger)
 without a pause long enough to close everything. An island above the hot-group limit is folded in
 slices, its state carried through the shared folder, so no task ever holds more than one slice.
@@ -150,7 +150,7 @@ def islands(obs: DataFrame, s: Settings) -> DataFrame:
     return marked.withColumn("island", F.coalesce("_start", "_since")).drop("_before", "_start", "_since")
 
 
-# -- the state machine --------------------------------------------------------------------------
+# -- the fold --------------------------------------------------------------------------
 
 CHANGE = ("primary string, island bigint, n bigint, action string, incident string, block_id string, alert_id bigint, role string, level string,"
           " rule string, at_ms bigint, status string, severity string, title string, ie_id string, keys string, opened_ms bigint,"
@@ -158,147 +158,156 @@ CHANGE = ("primary string, island bigint, n bigint, action string, incident stri
 CHANGE_COLUMNS = [c.strip().split(" ")[0] for c in CHANGE.split(",")]
 
 
-class Machine:
-    """Open incidents of one island. Feed it observations in order; it records changes."""
+PIN, PULL = "pin", "pull"  # moves an incident's end for good; moves it at most one window past the last pin
 
-    def __init__(self, s: Settings, state: dict | None = None) -> None:
-        self.s = s
-        self.open: list[dict] = state["open"] if state else []
-        self.holder = state["holder"] if state else None
-        self.n = state["n"] if state else 0
-        self.out: list[tuple] = []
 
-    def state(self) -> dict:
-        return {"open": self.open, "holder": self.holder, "n": self.n}
+class Fold:
+    """Folds the ordered observations of one island into incidents.
 
-    def record(self, action, inc, o=None, role=None, state=None):
-        self.n += 1
-        i = inc or {}
-        g = (lambda k: None) if o is None else (lambda k: getattr(o, k))
-        self.out.append((self.n, action, i.get("id"), g("block_id") or None, None if o is None or o.alert_id < 0 else int(o.alert_id), role,
-                         g("level"), g("rule"), None if o is None else int(o.at_ms), i.get("status"), i.get("severity"), i.get("title"), i.get("ie"),
-                         json.dumps(sorted(i["keys"])) if i else None, i.get("opened"), i.get("last"), i.get("closed"), i.get("closed_by"),
-                         i.get("base"), i.get("low"), state))
+    The book holds the open incidents as plain values (so that it travels as JSON between slices and micro-batches) and the
+    block placed last: its incident, and how it moves that incident's end. Each observation goes to the first of the handlers
+    that takes it; what a handler changes is written to `out`, one row per change."""
 
-    def quiet(self, now_ms: int) -> None:
-        for inc in [i for i in self.open if i["last"] + self.s.quiet_ms < now_ms]:
-            self.close(inc, "closed:quiet", inc["last"] + self.s.quiet_ms)
-
-    def close(self, inc, status, at, o=None):
-        inc.update(status=status, closed=int(at), closed_by=None if o is None else o.block_id)
-        self.record("closed", inc, o)
-        self.open.remove(inc)
-
-    def extend(self, inc, at, mode):
-        if mode == "proven":
-            inc["anchor"] = max(inc["anchor"], at)
-        else:
-            at = min(at, inc["anchor"] + self.s.window_ms)
-        inc["last"] = max(inc["last"], at)
+    def __init__(self, s: Settings, book: dict | None = None) -> None:
+        self.s, self.out = s, []
+        self.book = book or {"open": [], "changes": 0, "block": None, "home": None, "grip": None}
+        self.handlers = (self.alert_on_placed_block, self.alert_without_home, self.score, self.join, self.open)
 
-    def sharing(self, keys):
-        hits = [i for i in self.open if not keys.isdisjoint(i["keys"])]
-        return sorted(hits, key=lambda i: (-i["last"], -i["seq"]))
+    # -- the two entrances --
 
     def feed(self, o) -> None:
         self.quiet(int(o.ord_ms))
-        if o.alert_id >= 0 and o.block_id and self.holder and self.holder["block"] == o.block_id:
-            self.link(o)
-            return
-        if o.link_only:
-            self.record("unheld", None, o)
-            return
-        keys = set(o.keys)
-        candidates = self.sharing(keys)
-        if o.role == "score":
-            self.recover(o, candidates)
-            return
-        at, w = int(o.at_ms), self.s.window_ms
-        inc = next((i for i in candidates if i["opened"] - w <= at <= i["last"] + w), None)
-        if inc is None:
-            if o.opens:
-                self.start(o, keys, at)
-        else:
-            self.attach(inc, o, keys, at)
+        any(handler(o, int(o.at_ms), set(o.keys)) for handler in self.handlers)
 
-    def hold(self, inc, o, role):
-        if o.block_id:
-            self.holder = {"block": o.block_id, "id": inc["id"], "mode": o.level if role != "alert" and o.level in ("proven", "relayed") else None}
+    def quiet(self, now_ms: int) -> None:
+        """Close what saw nothing for the quiet time before `now_ms`."""
+        for incident in [i for i in self.book["open"] if self.silent_at(i) < now_ms]:
+            self.close(incident, "closed:quiet", self.silent_at(incident))
+
+    # -- handlers: (observation, its time, its keys) -> whether it is done with --
+
+    def alert_on_placed_block(self, o, at, keys) -> bool:
+        """An alert on the block just placed belongs where the block is; one about an attack counts like the block itself."""
+        if o.alert_id < 0 or not o.block_id or o.block_id != self.book["block"]:
+            return False
+        incident = self.find(self.book["home"])
+        if incident is None:  # closed since
+            self.write("linked", {"name": self.book["home"], "keys": []}, o)
+            return True
+        if o.rule in (*V.ATTACK_RULES, *V.INTEGRITY_RULES):
+            self.move(incident, at, self.book["grip"])
+        self.write("updated", self.raised(incident, o.severity), o)
+        return True
 
-    def start(self, o, keys, at):
+    def alert_without_home(self, o, at, keys) -> bool:
+        if o.link_only:
+            self.write("unheld", None, o)
+        return o.link_only
+
+    def score(self, o, at, keys) -> bool:
+        """A routine score opens nothing: it deepens a drop, or ends an incident whose drop it makes good."""
+        if o.role != "score":
+            return False
+        fallen = [i for i in self.nearest(keys) if f"ie:{o.ie_id}" in i["keys"] and i["low"] is not None and at >= i["opened"]]
+        for incident in fallen:
+            if incident["base"] is not None and o.score >= incident["base"] - V.EPS:
+                self.move(incident, at, PIN)
+                self.place(incident, o, o.level)
+                self.write("attached", incident, o, "remediation")
+                self.close(incident, "closed:recovered", at, o)
+            else:
+                incident["low"] = min(incident["low"], float(o.score))
+        return True
+
+    def join(self, o, at, keys) -> bool:
+        """Into the latest incident that shares a key and lies within a window of the observation."""
+        near = (i for i in self.nearest(keys) if i["opened"] - self.s.window_ms <= at <= i["end"] + self.s.window_ms)
+        incident = next(near, None)
+        if incident is None:
+            return False
         proven = o.level == "proven"
-        has_base = proven and o.ie_id is not None and not pd.isna(o.base)
-        inc = {"id": f"{o.primary}@{o.block_id or o.alert_id}", "seq": self.n, "status": "open", "severity": o.severity or "low", "title": o.title,
-               "ie": o.ie_id, "keys": sorted(keys), "opened": at, "last": at, "anchor": at, "base": float(o.base) if has_base else None,
-               "low": float(o.score) if proven and o.is_drop else None, "closed": None, "closed_by": None}
-        self.open.append(inc)
-        self.hold(inc, o, "alert" if o.role == "alert" and not proven and o.level != "relayed" else "trigger")
-        self.record("opened", inc, o, "trigger")
-
-    def worsen(self, inc, severity):
-        if severity and V.SEVERITY_RANK.get(severity, -1) > V.SEVERITY_RANK.get(inc["severity"], -1):
-            inc["severity"] = severity
-            return True
-        return False
-
-    def attach(self, inc, o, keys, at):
-        self.worsen(inc, o.severity)
-        mode = o.level if o.level != "untrusted" else ("finding" if o.finding else None)
-        if mode:
-            self.extend(inc, at, mode)
-        if o.level == "proven":
-            inc["keys"] = sorted(set(inc["keys"]) | keys)
-            inc["ie"] = inc["ie"] or o.ie_id
-            if inc["ie"] and inc["base"] is None and f"ie:{inc['ie']}" in keys and not pd.isna(o.base):
-                inc["base"] = float(o.base)
+        self.move(incident, at, PIN if proven else PULL if o.level == "relayed" or o.finding else None)
+        if proven:
+            incident["keys"] = sorted(keys.union(incident["keys"]))
+            incident["ie"] = incident["ie"] or o.ie_id
+            fresh_drop = o.is_drop and incident["low"] is None
+            about_it = incident["ie"] and f"ie:{incident['ie']}" in keys
+            if not pd.isna(o.base) and (fresh_drop or (incident["base"] is None and about_it)):
+                incident["base"] = float(o.base)
             if o.is_drop:
-                if inc["low"] is None:
-                    inc["low"], inc["base"] = float(o.score), float(o.base)
-                else:
-                    inc["low"] = min(inc["low"], float(o.score))
-        self.hold(inc, o, o.role)
-        self.record("attached" if o.block_id else "updated", inc, o, o.role)
-
-    def link(self, o):
-        inc = next((i for i in self.open if i["id"] == self.holder["id"]), None)
-        if inc is None:
-            self.record("linked", {"id": self.holder["id"], "keys": []}, o)
-            return
-        self.worsen(inc, o.severity)
-        if o.rule in V.ATTACK_RULES + V.INTEGRITY_RULES and self.holder["mode"]:
-            self.extend(inc, int(o.at_ms), self.holder["mode"])
-        self.record("updated", inc, o)
-
-    def recover(self, o, candidates):
-        score, at = float(o.score), int(o.at_ms)
-        for inc in candidates:
-            if f"ie:{o.ie_id}" not in inc["keys"] or at < inc["opened"] or inc["low"] is None:
-                continue
-            if inc["base"] is not None and score >= inc["base"] - V.EPS:
-                self.extend(inc, at, "proven")
-                self.hold(inc, o, "remediation")
-                self.record("attached", inc, o, "remediation")
-                self.close(inc, "closed:recovered", at, o)
-            elif score < inc["low"]:
-                inc["low"] = score
+                incident["low"] = float(o.score) if fresh_drop else min(incident["low"], float(o.score))
+        self.place(incident, o, None if o.role == "alert" else o.level)
+        self.write("attached" if o.block_id else "updated", self.raised(incident, o.severity), o, o.role)
+        return True
+
+    def open(self, o, at, keys) -> bool:
+        if o.opens:
+            proven = o.level == "proven"
+            incident = {"name": f"{o.primary}@{o.block_id or o.alert_id}", "born": self.book["changes"], "status": "open", "severity": o.severity or "low",
+                        "title": o.title, "ie": o.ie_id, "keys": sorted(keys), "opened": at, "pinned": at, "end": at, "closed": None, "closed_by": None,
+                        "base": float(o.base) if proven and o.ie_id is not None and not pd.isna(o.base) else None, "low": float(o.score) if proven and o.is_drop else None}
+            self.book["open"].append(incident)
+            self.place(incident, o, o.level)
+            self.write("opened", incident, o, "trigger")
+        return o.opens
+
+    # -- the book --
+
+    def find(self, name: str | None) -> dict | None:
+        return next((i for i in self.book["open"] if i["name"] == name), None)
+
+    def nearest(self, keys: set) -> list[dict]:
+        """Open incidents that share a key, the one with the latest end first."""
+        return sorted((i for i in self.book["open"] if keys.intersection(i["keys"])), key=lambda i: (i["end"], i["born"]), reverse=True)
+
+    def silent_at(self, incident: dict) -> int:
+        return incident["end"] + self.s.quiet_ms
+
+    def move(self, incident: dict, at: int, grip: str | None) -> None:
+        if grip == PIN:
+            incident["pinned"] = max(incident["pinned"], at)
+        if grip:
+            incident["end"] = max(incident["end"], at if grip == PIN else min(at, incident["pinned"] + self.s.window_ms))
+
+    def raised(self, incident: dict, severity: str | None) -> dict:
+        incident["severity"] = max(incident["severity"], severity or "", key=lambda x: V.SEVERITY_RANK.get(x, -1))
+        return incident
+
+    def place(self, incident: dict, o, level: str | None) -> None:
+        if o.block_id:
+            self.book |= {"block": o.block_id, "home": incident["name"], "grip": {"proven": PIN, "relayed": PULL}.get(level)}
+
+    def close(self, incident: dict, status: str, at: int, o=None) -> None:
+        incident |= {"status": status, "closed": int(at), "closed_by": o.block_id if o else None}
+        self.write("closed", incident, o)
+        self.book["open"].remove(incident)
+
+    def write(self, action: str, incident: dict | None, o=None, role: str | None = None, state: str | None = None) -> None:
+        self.book["changes"] += 1
+        seen = (None,) * 2 if o is None else (o.block_id or None, int(o.alert_id) if o.alert_id >= 0 else None)
+        known = (None,) * 3 if o is None else (o.level, o.rule, int(o.at_ms))
+        i = incident or {}
+        as_it_is = [i.get(k) for k in ("status", "severity", "title", "ie")] + [json.dumps(sorted(i["keys"])) if incident else None] + [
+            i.get(k) for k in ("opened", "end", "closed", "closed_by", "base", "low")]
+        self.out.append((self.book["changes"], action, i.get("name"), *seen, role, *known, *as_it_is, state))
 
 
 def fold_rows(batches: Iterator[pd.DataFrame], s: Settings, as_of_ms: int) -> Iterator[pd.DataFrame]:
     """Fold sorted observations of many islands, batch by batch: memory holds the open incidents of one.
 
-    `state` (on a slice's first row) restores the machine; `last` says whether the island ends in this slice."""
-    key, machine, ends = None, None, True
+    `state` (on a slice's first row) restores the book; `last` says whether the island ends in this slice."""
+    key, fold, ends = None, None, True
 
     def finish() -> list[tuple]:
-        if machine is None:
+        if fold is None:
             return []
         if ends:
-            machine.quiet(as_of_ms)
-            for inc in list(machine.open):
-                machine.record("standing", inc)
+            fold.quiet(as_of_ms)
+            for incident in fold.book["open"]:
+                fold.write("standing", incident)
         else:
-            machine.record("state", None, state=json.dumps(machine.state()))
-        return [(*key, *row) for row in machine.out]
+            fold.write("state", None, state=json.dumps(fold.book))
+        return [(*key, *row) for row in fold.out]
 
     def table(rows: list[tuple]) -> pd.DataFrame:
         got = pd.DataFrame(rows, columns=CHANGE_COLUMNS)
@@ -313,11 +322,11 @@ def fold_rows(batches: Iterator[pd.DataFrame], s: Settings, as_of_ms: int) -> It
             if here != key:
                 rows += finish()
                 key, ends = here, o.last
-                machine = Machine(s, json.loads(o.state) if isinstance(o.state, str) else None)
-            machine.feed(o)
-        if machine is not None:
-            rows += [(*key, *row) for row in machine.out]
-            machine.out = []
+                fold = Fold(s, json.loads(o.state) if isinstance(o.state, str) else None)
+            fold.feed(o)
+        if fold is not None:
+            rows += [(*key, *row) for row in fold.out]
+            fold.out = []
         if rows:
             yield table(rows)
     rows = finish()

@@ -191,27 +191,27 @@ def replay_stream(candidates: DataFrame, spent_path: str, out_path: str) -> None
 
 
 def incident_stream(observations: DataFrame, as_of_ms: int, settings: I.Settings | None = None) -> DataFrame:
-    """The incident machine per correlation key, its open incidents kept as state. A timer on the ledger's clock closes
+    """The incident fold per correlation key, its open incidents kept as state. A timer on the ledger's clock closes
     what has been quiet, whether or not the key is heard of again, and drops the state of a key without open incidents."""
     s = settings or I.Settings()
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine, clock, latest = I.Machine(s, json.loads(state.get[0]) if state.exists else None), state.getCurrentWatermarkMs(), 0
+        fold, clock, latest = I.Fold(s, json.loads(state.get[0]) if state.exists else None), state.getCurrentWatermarkMs(), 0
         arrived = [] if state.hasTimedOut else list(batches)
         if arrived:
             rows = pd.concat(arrived).sort_values(list(I.ORDER), kind="stable")  # one trigger's rows of one key
             for o in rows.itertuples(index=False):
-                machine.feed(o)
+                fold.feed(o)
             latest = int(rows["ord_ms"].iloc[-1])
-        machine.quiet(clock)
+        fold.quiet(clock)
         # the next moment at which something can close; alerts of the last block may still come a quiet time after it
-        ends = [i["last"] for i in machine.open] + [latest] * (latest + s.quiet_ms >= clock)
+        ends = [i["end"] for i in fold.book["open"]] + [latest] * (latest + s.quiet_ms >= clock)
         if ends:
-            state.update((json.dumps(machine.state()),))
+            state.update((json.dumps(fold.book),))
             state.setTimeoutTimestamp(max(clock, min(ends) + s.quiet_ms + 1))
         elif state.exists:
             state.remove()
-        got = pd.DataFrame([(key[0], 0, *r) for r in machine.out], columns=I.CHANGE_COLUMNS)
+        got = pd.DataFrame([(key[0], 0, *r) for r in fold.out], columns=I.CHANGE_COLUMNS)
         for c in ("alert_id", "at_ms", "opened_ms", "last_ms", "closed_ms"):
             got[c] = got[c].astype("Int64")
         yield got

@@ -1,4 +1,4 @@
-"""The incident machine on written scenarios, and the same result whole, in slices and as a stream."""
+"""The incident fold on written scenarios, and the same result whole, in slices and as a stream."""
 
 import pytest
 
