@@ -4,7 +4,7 @@ A rule is a host suffix, a path prefix and a verdict; the longest rule that fits
 are split into words by a unigram Viterbi (`cheapcasino` → `cheap casino`), the path at everything that is no letter or digit, and a
 multinomial naive Bayes over these tokens decides. It learns from the urls that a rule decides, all of them.
 
-Word counts come from all pages: the words of their titles and paths. The lexicon keeps the `lexicon` most frequent words and
+Word counts come from all pages: the words of their titles and paths. The lexicon keeps about the `lexicon` most frequent words and
 token statistics fall into 65,536 slots by hash; both are sizes of the model, and all that is ever broadcast. Counting is map-side
 combined, and urls are judged where they are read, so a host with a third of all pages costs its rows only.
 
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .sampling import commonest
 
 SLOTS = 1 << 16
 LONGEST = 24
@@ -73,8 +74,8 @@ def word_counts(pages: DataFrame, lexicon: int) -> dict[str, int]:
     _, path = host_and_path(F.col("url"))
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1) if "html" in pages.columns else F.lit("")
     words = F.explode(F.split(F.lower(F.concat_ws(" ", path, title)), r"[^\p{L}]+")).alias("word")
-    counts = pages.select(words).filter(F.char_length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(lexicon).collect()}
+    counts = settle(pages.select(words).filter(F.char_length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    return {r["word"]: r["n"] for r in commonest(counts, lexicon).collect()}
 
 
 class Segmenter:
