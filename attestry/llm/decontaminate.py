@@ -5,9 +5,10 @@ twice the longest item, starting every longest item, so that any item lies whole
 passage's score for an item is its BM25 sum over the item's words, divided by the item's own sum: 1 if the
 passage has all the words of the item. All items at or above `least_score` are retrieved, none beyond a rank:
 
-* in one vector step a passage is dropped if even the best impacts of all its words stay below the threshold;
-* what is left walks the posting lists with block-max WAND: lists ordered by item, a pivot where the sum of list
-  maxima reaches the threshold, and whole blocks skipped where the sum of block maxima does not.
+* items stand in blocks, and each posting list knows its greatest impact in each block; one vector step sums these block
+  maxima for all passages at once and drops the passages that no block can lift to the threshold;
+* the others walk their posting lists with block-max WAND: lists ordered by item, a pivot where the sum of list maxima
+  reaches the threshold, and whole blocks skipped where the sum of block maxima does not.
 
 A retrieved item is verified by runs of five words: at least `overlap` of the item's runs stand in the passage,
 and of its question and of its answer at least `part_overlap` each. The answer is the item's last line, or its last
@@ -23,6 +24,7 @@ item_id count like others (their id is null in the result); repeated rows are se
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import ceil, log
@@ -37,9 +39,8 @@ from ..session import settle
 from .words import PUNCTUATION, mix, slices, words_of
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK, MOST_BLOCKS = 8, 256  # items in a block at least; blocks of an index part at most
 RUN = 5
-END = 1 << 60
 
 
 def _names(column: pa.Array):
@@ -94,17 +95,20 @@ def postings(items: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """One part of the index: posting lists of normalised impacts with their maxima, and the items' runs."""
+    """One part of the index: posting lists of normalised impacts with their block maxima, and the items' runs."""
 
     terms: np.ndarray  # sorted 64-bit names
-    lists: list[tuple[list[int], list[float], list[float]]]  # items, impacts, block maxima
-    best: np.ndarray  # greatest impact of each list
+    lists: list[tuple[list[int], list[float]]]  # items, impacts
+    block: int  # items in a block
+    maxima: np.ndarray  # (terms, blocks): greatest impact of each list in each block
     item_ids: list
     runs: list[tuple[tuple[int, np.ndarray], ...]]  # of the whole item, its question, its answer
     span: int
+    best: np.ndarray = field(init=False)  # greatest impact of each list
     gate: np.ndarray = field(init=False)
 
     def __post_init__(self):
+        self.best = self.maxima.max(axis=1)
         self.gate = np.zeros(1 << 16, bool)
         self.gate[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -129,28 +133,37 @@ def build(rows: list, texts: dict[int, tuple], n_items: int, mean_words: float,
         by_term.setdefault(r["term"] & 0xFFFFFFFFFFFFFFFF, []).append((number[r["item"]], impact))
         own[number[r["item"]]] += impact
     terms = sorted(by_term)
-    lists = []
-    for t in terms:
+    block = max(BLOCK, ceil(len(number) / MOST_BLOCKS))
+    lists, maxima = [], np.zeros((len(terms), ceil(len(number) / block)), np.float32)
+    for k, t in enumerate(terms):
         pairs = sorted(by_term[t])
-        impacts = [w / own[i] for i, w in pairs]
-        lists.append(([i for i, _ in pairs], impacts, [max(impacts[k:k + BLOCK]) for k in range(0, len(impacts), BLOCK)]))
+        items, impacts = [i for i, _ in pairs], [w / own[i] for i, w in pairs]
+        lists.append((items, impacts))
+        np.maximum.at(maxima[k], np.array(items) // block, impacts)
     runs = []
     for item in sorted(texts):
         question, answer = _parts(texts[item][1] or "")
         runs.append((_runs(texts[item][1] or ""), _runs(question), _runs(answer)))
-    return Index(np.array(terms, np.uint64), lists, np.array([max(x[1]) for x in lists]), [texts[k][0] for k in sorted(texts)], runs, span)
+    return Index(np.array(terms, np.uint64), lists, block, maxima, [texts[k][0] for k in sorted(texts)], runs, span)
 
 
-def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]]:
-    """All (item, score) with score >= least for a query of distinct terms, by block-max WAND."""
-    least -= 1e-9
-    cursors = [[0, *index.lists[t], float(index.best[t])] for t in terms]  # place, items, impacts, block maxima, list maximum
+def wand(index: Index, terms: list[int], least: float, blocks: range) -> list[tuple[int, float]]:
+    """All (item, score) with score >= least among the items of `blocks`, for a query of distinct terms, by block-max WAND."""
+    least -= 1e-6
+    low, high = blocks.start * index.block, blocks.stop * index.block
+    cursors = []  # place, items, impacts, list maximum, block maxima, end
+    for t in terms:
+        items, impacts = index.lists[t]
+        at, end = bisect_left(items, low), bisect_left(items, high)
+        if at < end:
+            maxima = index.maxima[t]
+            cursors.append([at, items, impacts, float(maxima[blocks.start:blocks.stop].max()), maxima, end])
     out = []
     while cursors:
         cursors.sort(key=lambda c: c[1][c[0]])
         total, pivot = 0.0, -1
         for k, c in enumerate(cursors):
-            total += c[4]
+            total += c[3]
             if total >= least:
                 pivot = k
                 break
@@ -159,30 +172,22 @@ def wand(index: Index, terms: list[int], least: float) -> list[tuple[int, float]
         item = cursors[pivot][1][cursors[pivot][0]]
         while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == item:
             pivot += 1
-        # block maxima of the lists up to the pivot, in the blocks where the pivot item would stand
-        bound, beyond = 0.0, END
-        for c in cursors[:pivot + 1]:
-            block = c[0] // BLOCK
-            while (block + 1) * BLOCK <= len(c[1]) and c[1][(block + 1) * BLOCK - 1] < item:
-                block += 1
-            if block * BLOCK < len(c[1]):
-                bound += c[3][block]
-                beyond = min(beyond, c[1][min((block + 1) * BLOCK, len(c[1])) - 1] + 1)
-        if bound < least:
-            goal = max(item + 1, min(beyond, cursors[pivot + 1][1][cursors[pivot + 1][0]] if pivot + 1 < len(cursors) else END))
+        block = item // index.block
+        if sum(c[4][block] for c in cursors[:pivot + 1]) < least:
+            # no item before the block's end or the next list's item can reach the threshold
+            goal = (block + 1) * index.block
+            if pivot + 1 < len(cursors):
+                goal = min(goal, cursors[pivot + 1][1][cursors[pivot + 1][0]])
+        elif cursors[0][1][cursors[0][0]] == item:
+            score = sum(c[2][c[0]] for c in cursors[:pivot + 1])
+            if score >= least:
+                out.append((item, score))
+            goal = item + 1
         else:
             goal = item
-            if cursors[0][1][cursors[0][0]] == item:
-                score = sum(c[2][c[0]] for c in cursors[:pivot + 1])
-                if score >= least:
-                    out.append((item, score))
-                goal = item + 1
         for c in cursors[:pivot + 1]:
-            items = c[1]
-            while c[0] < len(items) and items[c[0]] < goal:
-                step = c[0] + BLOCK
-                c[0] = step if step < len(items) and items[step] < goal else c[0] + 1
-        cursors = [c for c in cursors if c[0] < len(c[1])]
+            c[0] = bisect_left(c[1], goal, c[0], c[5])
+        cursors = [c for c in cursors if c[0] < c[5]]
     return out
 
 
@@ -195,19 +200,26 @@ def _hits(index: Index, part: pa.RecordBatch, least_score: float, overlap: float
     span, step = 2 * index.span, index.span
     words = _names(part.column("text"))
     found = index.find(words.name)
-    most = np.concatenate([[0.0], np.cumsum(np.where(found >= 0, index.best[found], 0.0))])
     count = np.diff(words.first)
     passages = np.where(count > 0, np.maximum(np.ceil((count - span) / step).astype(np.int64), 0) + 1, 0)
     text = np.repeat(np.arange(part.num_rows), passages)
     begin = words.first[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(passages) - passages, passages))
     end = np.minimum(begin + span, words.first[text + 1])
+    # the distinct index terms of every passage, and its sums of block maxima
+    size = end - begin
+    word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+    asked = np.repeat(np.arange(len(begin)), size)[found[word] >= 0] * len(index.terms) + found[word][found[word] >= 0]
+    owner, term = np.divmod(np.unique(asked), len(index.terms))
+    first = np.searchsorted(owner, np.arange(len(begin) + 1))
+    some = np.flatnonzero(np.diff(first))
+    bound = np.add.reduceat(index.maxima[term], first[some], axis=0) if len(some) else np.zeros((0, 1))
+    reach = bound >= least_score - 1e-5
     hits: dict[tuple[int, int], tuple] = {}
-    for p in np.flatnonzero(most[end] - most[begin] >= least_score - 1e-6):
-        own = found[begin[p]:end[p]]
-        terms = np.unique(own[own >= 0])
-        if index.best[terms].sum() < least_score - 1e-6:
-            continue
-        ranked = wand(index, terms.tolist(), least_score)
+    for row in np.flatnonzero(reach.any(axis=1)):
+        p = some[row]
+        terms = term[first[p]:first[p + 1]].tolist()
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], reach[row].astype(np.int8), [0]])))
+        ranked = [hit for a, z in edge.reshape(-1, 2).tolist() for hit in wand(index, terms, least_score, range(a, z))]
         if not ranked:
             continue
         names = words.name[begin[p]:end[p]]
