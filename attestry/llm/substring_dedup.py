@@ -225,11 +225,12 @@ def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     leaders = scanned.join(classes.select("d0", "d1", F.col("least").alias("doc_id")), ["doc_id", "d0", "d1"], "left_semi")
     each = leaders.select("doc_id", "d0", F.explode(F.arrays_zip("keys", "places")).alias("a")).select(
         "doc_id", "d0", F.col("a.keys").alias("key"), F.col("a.places").alias("place"))
-    common = each.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+    # written first, so that the join reads plain exchanges, which Spark splits where one key has many rows
+    common = settle(each.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"), "common")
     shared = (each.join(common, "key").groupBy("doc_id", F.col("d0").alias("own"))
               .agg(F.collect_list("place").alias("places")))
     windows = settle(_windows(docs, shared, rounds), "windows")
-    first = windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+    first = settle(windows.groupBy("h0", "h1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi"), "first")
     later = windows.join(first, ["h0", "h1"]).filter("doc_id > lo").select("doc_id", "d0", "at")
     return later.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("d0", "at")).alias("marks"))
 
