@@ -4,7 +4,7 @@ A page is read into blocks: text between block-level tags, with the tags and cla
 link text, and how it looks. The field labels the row of blocks as main text or not: each block by its features, each neighbour pair by
 a learned transition, decoded by Viterbi.
 
-It is trained on at most `most_pages` labelled pages (the first by a hash of page_id): pages that mark their article with <article>,
+It is trained on about `most_pages` labelled pages at most (chosen by a hash of page_id): pages that mark their article with <article>,
 <main> or an equal role or item type label themselves. Inside the mark a block is main text unless it lies in an element that is never
 article text (navigation, forms, comments and the like); outside it is not. Every page is learned twice, once with
 the mark's own features hidden, so that the field also works on pages without the mark. Labels are used for training only.
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import share_of
 from .words import slices
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -241,8 +242,8 @@ def fit(pages: list[str], rounds: int = 60) -> Field | None:
 def learn(pages: DataFrame, most_pages: int = 400) -> Field | None:
     """Fit on a bounded sample of the pages that mark their article."""
     marked = pages.filter(F.lower("html").rlike(r"<article|<main|role\s*=\s*.?(article|main)|articlebody"))
-    rows = marked.select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id", "html").limit(most_pages).collect()
-    return fit([r["html"] for r in rows])
+    rows = marked.filter(share_of("page_id", most_pages, marked.count())).select("page_id", "html").collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: (r["page_id"] is None, r["page_id"], r["html"]))])
 
 
 def extract(pages: DataFrame, field: Field | None) -> DataFrame:
