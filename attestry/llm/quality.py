@@ -6,7 +6,7 @@ before and after its occurrences; tasks add up their own share and one row per s
 of its words' vectors, once plain and once with frequent words held down, and six plain shares (distinct words, capitals, digits,
 punctuation, length). The word vectors know no label; whole texts are read, never a prefix.
 
-The network (tanh, then a logistic output) is fitted on at most `most_labels` labelled documents (the first by a hash of doc_id); a fifth
+The network (tanh, then a logistic output) is fitted on about `most_labels` labelled documents at most (chosen by a hash of doc_id); a fifth
 of them are left out of the fit and set the temperature that calibrates its probabilities.
 
 Defined results: null and empty texts are pooled as zeros and scored like any other; without a label all scores are 0.5. A document
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .sampling import share_of
 from .words import PUNCTUATION, Words, mix, slices, words_of
 
 SLOTS, WIDTH, NONZERO, REACH = 8192, 32, 4, 2
@@ -187,8 +188,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20
     pooled = settle(pool(docs, word_vectors(count, vector)), "pooled")
     known = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
              .agg(F.min("quality").alias("quality")))
-    rows = (pooled.join(known, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
-            .limit(most_labels).select("pooled", "quality").collect())  # the bounded training sample
+    chosen = known.filter(share_of("doc_id", most_labels, known.count()))  # the bounded training sample
+    rows = sorted(pooled.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "pooled", "quality").collect(), key=lambda r: r["doc_id"])
     width = 2 * WIDTH + SHARES
     x = np.array([np.frombuffer(r["pooled"], np.float32) for r in rows], np.float64).reshape(len(rows), width)
     net = fit(x, np.array([float(r["quality"]) for r in rows]))
