@@ -4,9 +4,10 @@ A rule is a host suffix, a path prefix and a verdict; the longest rule that fits
 are split into words by a unigram Viterbi (`cheapcasino` → `cheap casino`), the path at everything that is no letter or digit, and a
 multinomial naive Bayes over these tokens decides. It learns from the urls that a rule decides, all of them.
 
-Word counts come from all pages: the words of their titles and paths. The lexicon keeps about the `lexicon` most frequent words and
-token statistics fall into 65,536 slots by hash; both are sizes of the model, and all that is ever broadcast. Counting is map-side
-combined, and urls are judged where they are read, so a host with a third of all pages costs its rows only.
+Word counts come from all pages: the words of their titles and paths. The lexicon is a table of all of them, however many: distinct host
+names ask it for the words that they may be made of, and each is split with what it found. Token statistics fall into 65,536 slots by
+hash, the size of the model and all that is ever broadcast. Counting is map-side combined and a host is split once, so a host with a
+third of all pages costs its rows only.
 
 Defined results: a null url or one without `://` has an empty host and path, fits no rule, and is judged by the classes' frequencies; without any
 decided url the verdict is allow. Equal scores allow. Of equally long rules a blocking one wins. Repeated rows get equal results.
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .sampling import commonest
 
 SLOTS = 1 << 16
 LONGEST = 24
@@ -69,33 +69,25 @@ def apply_rules(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("decided", decided)
 
 
-def word_counts(pages: DataFrame, lexicon: int) -> dict[str, int]:
-    """The most frequent words of the titles and paths of all pages; host names would bring unsplit names in as words."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word, n: all words of the titles and paths of all pages; host names would bring unsplit names in as words."""
     _, path = host_and_path(F.col("url"))
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>([^<]*)", 1) if "html" in pages.columns else F.lit("")
     words = F.explode(F.split(F.lower(F.concat_ws(" ", path, title)), r"[^\p{L}]+")).alias("word")
-    counts = settle(pages.select(words).filter(F.char_length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    return {r["word"]: r["n"] for r in commonest(counts, lexicon).collect()}
+    return settle(pages.select(words).filter(F.char_length("word").between(1, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
 
 
 class Segmenter:
-    """The likeliest split of a name into words of a unigram lexicon; unknown words cost more the longer they are."""
+    """The likeliest split of a name into words of a unigram lexicon; unknown words cost more the longer they are.
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
+    `counts` may hold only the words found in the names to split; `total` then gives the sum of all counts."""
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = total or sum(counts.values()) or 1
         self.cost = {w: -log(n / total) for w, n in counts.items()}
         self.unknown = log(total)
-        self.known: dict[str, tuple[str, ...]] = {}
 
     def split(self, name: str) -> tuple[str, ...]:
-        """Cached: names repeat, as hosts do."""
-        if name not in self.known:
-            if len(self.known) >= 1 << 16:
-                self.known.clear()
-            self.known[name] = self._split(name)
-        return self.known[name]
-
-    def _split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
             options = []
@@ -111,32 +103,74 @@ class Segmenter:
             end = back[end]
         return tuple(reversed(out))
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Tokens of a url: words of the host's labels, marked as such, and pieces of the path; numbers by their length."""
+    def tokens(self, host: str) -> list[str]:
+        """Words of the host's labels, marked as such; numbers by their length."""
         out = []
         for name in _TOKEN.findall(host):
             out += ["host " + w for w in (self.split(name) if name[0].isalpha() else [f"#{len(name)}"])]
-        out += [t if not t[0].isdigit() else f"#{len(t)}" for t in _TOKEN.findall(path.lower())]
         return out
 
 
-def _slots(tokens: list[str]) -> np.ndarray:
-    return np.array([zlib.crc32(t.encode()) & (SLOTS - 1) for t in tokens], np.int64)
+def path_tokens(path: str) -> list[str]:
+    """Pieces of a path; numbers by their length."""
+    return [t if not t[0].isdigit() else f"#{len(t)}" for t in _TOKEN.findall(path.lower())]
+
+
+def _slots(tokens: list[str]) -> list[int]:
+    return [zlib.crc32(t.encode()) & (SLOTS - 1) for t in tokens]
+
+
+def _pieces(host: str) -> Iterator[set[str]]:
+    """Everything inside a host's names that may be a word, a bounded number at once."""
+    for name in _TOKEN.findall(host):
+        if name[0].isalpha():
+            for at in range(0, len(name), 4096):
+                ends = range(at + 1, min(at + 4096, len(name)) + 1)
+                yield {name[start:end] for end in ends for start in range(max(0, end - LONGEST), end)}
+
+
+def host_slots(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """host and the slots of its tokens, from host and host_id (both unique) and the counts of all words."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    parts = int(hosts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = [], []
+        for batch in batches:
+            for host_id, host in zip(batch.column("host_id").to_pylist(), batch.column("host").to_pylist()):
+                for piece in _pieces(host):
+                    ids += [host_id] * len(piece)
+                    asked += piece
+                    if len(ids) >= 1 << 16:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(asked, pa.string())], ["host_id", "word"])
+                        ids, asked = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(asked, pa.string())], ["host_id", "word"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [_slots(Segmenter({f["word"]: f["n"] for f in found or []}, total).tokens(host))
+                     for host, found in zip(batch.column("host").to_pylist(), batch.column("found").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(slots, pa.list_(pa.int32()))], ["host", "host_slots"])
+
+    # dealt out first: a short word is in many hosts, and what several tasks have written of it can be split in the join
+    asked = hosts.repartition(parts, "host_id").mapInArrow(ask, "host_id bigint, word string")
+    found = asked.join(words, "word").groupBy("host_id").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    return hosts.join(found, "host_id", "left").select("host", "found").mapInArrow(split, "host string, host_slots array<int>")
 
 
-def token_counts(decided: DataFrame, segmenter) -> tuple[dict[str, int], np.ndarray]:
+def token_counts(decided: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     """(urls per verdict, counts[slot, 0 for allow and 1 for block]) over all decided urls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((SLOTS, 2), np.int64)
         for batch in batches:
-            for host, path, verdict in zip(*[batch.column(c).to_pylist() for c in ("host", "path", "decided")]):
-                np.add.at(counts, (_slots(segmenter.value.tokens(host, path)), int(verdict == "block")), 1)
+            for slots, path, verdict in zip(*[batch.column(c).to_pylist() for c in ("host_slots", "path", "decided")]):
+                np.add.at(counts, (np.array(slots + _slots(path_tokens(path)), np.int64), int(verdict == "block")), 1)
         used = np.flatnonzero(counts.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used, 0]), pa.array(counts[used, 1])], ["slot", "allow", "block"])
 
     classes = {r["decided"]: r["n"] for r in decided.groupBy("decided").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = (decided.select("host", "path", "decided").mapInArrow(run, "slot bigint, allow bigint, block bigint")
+    rows = (decided.select("host_slots", "path", "decided").mapInArrow(run, "slot bigint, allow bigint, block bigint")
             .groupBy("slot").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect())  # a row per slot
     counts = np.zeros((SLOTS, 2))
     for r in rows:
@@ -144,12 +178,14 @@ def token_counts(decided: DataFrame, segmenter) -> tuple[dict[str, int], np.ndar
     return classes, counts
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], *, lexicon: int = 100_000) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, and block_log_odds of the model (null where a rule decides)."""
     spark = pages.sparkSession
-    segmenter = spark.sparkContext.broadcast(Segmenter(word_counts(pages, lexicon)))
     ruled = settle(apply_rules(pages.select("page_id", "url"), rules).drop("url"), "urls")
-    classes, counts = token_counts(ruled.filter("decided IS NOT NULL"), segmenter)
+    hosts = settle(ruled.select("host").distinct().withColumn("host_id", F.monotonically_increasing_id()), "hosts")
+    split = settle(host_slots(hosts, word_counts(pages)), "host_slots")
+    ruled = settle(ruled.join(split, "host"), "url_slots")
+    classes, counts = token_counts(ruled.filter("decided IS NOT NULL"))
     n = [classes.get("allow", 0), classes.get("block", 0)]
     prior = log((n[1] + 1) / (n[0] + 1)) if sum(n) else 0.0
     share = np.log((counts + 1) / (counts.sum(axis=0) + SLOTS))
@@ -160,12 +196,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, lexicon: int = 100_000) ->
         for batch in batches:
             prior, table = odds.value
             out = []
-            for host, path, decided in zip(*[batch.column(c).to_pylist() for c in ("host", "path", "decided")]):
-                out.append(None if decided else prior + float(table[_slots(segmenter.value.tokens(host, path))].sum()))
+            for slots, path, decided in zip(*[batch.column(c).to_pylist() for c in ("host_slots", "path", "decided")]):
+                out.append(None if decided else prior + float(table[np.array(slots + _slots(path_tokens(path)), np.int64)].sum()))
             verdict = [d or ("block" if o > 0 else "allow") for d, o in zip(batch.column("decided").to_pylist(), out)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("page_id", "host", "path", "rule")], pa.array(verdict, pa.string()),
                                               pa.array(out, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_log_odds"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return ruled.select("page_id", "host", "path", "rule", "decided").mapInArrow(
+    return ruled.select("page_id", "host", "host_slots", "path", "rule", "decided").mapInArrow(
         run, f"page_id {kind}, host string, path string, rule string, verdict string, block_log_odds double")

@@ -91,6 +91,18 @@ def test_naive_bayes_learns_from_rules(spark):
     assert got[100] == "block" and got[101] == "allow"
 
 
+def test_words_of_any_number_split_hosts(spark):
+    """100,100 words that occur once in titles: none of them may be lost."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    filler = ["q" + "".join(letters[i // 26 ** k % 26] for k in range(4)) for i in range(100_100)]
+    rows = [(0, "http://a.good/", f"<title>{' '.join(filler)} cheap casino garden flower</title>")]
+    rows += [(i, f"http://{'cheapcasino' if i < 5 else 'gardenflower'}.{'bad' if i < 5 else 'good'}/", None) for i in range(1, 12)]
+    rows += [(100, "http://casinocheap.zzz/", None), (101, "http://flowergarden.zzz/", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, [url_filter.Rule("block", "bad"), url_filter.Rule("allow", "good")]).collect()}
+    assert got[100] == "block" and got[101] == "allow"
+
+
 def rendered(turns):
     return "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in turns)
 
