@@ -205,6 +205,25 @@ def p22(t):
     return documents.json_diff(pairs, ["block_id"], "expected", "actual").select("block_id", "path", "kind")
 
 
+@query("p22_json_diff_all", """WITH p AS (SELECT block_id, n, json AS e, body AS a FROM bodies JOIN (SELECT block_id, json FROM messages) USING (block_id) WHERE json_valid(body)),
+    k AS (SELECT DISTINCT block_id, e, a, unnest(list_concat(json_keys(e), json_keys(a))) AS k FROM p WHERE json_type(a) = 'OBJECT')
+    SELECT block_id, concat('$.m[0].', k) AS path, CASE WHEN NOT json_exists(a, concat('$.', k)) THEN 'removed' WHEN NOT json_exists(e, concat('$.', k)) THEN 'added' ELSE 'changed' END AS kind
+      FROM k WHERE json_extract(e, concat('$.', k))::VARCHAR IS DISTINCT FROM json_extract(a, concat('$.', k))::VARCHAR
+    UNION ALL SELECT block_id, '$.m[0]', 'changed' FROM p WHERE json_type(a) <> 'OBJECT'
+    UNION ALL SELECT block_id, '$.m[1].k[1]', 'changed' FROM p WHERE n % 3 = 0
+    UNION ALL SELECT block_id, '$.m[2]', 'added' FROM p WHERE n % 5 = 0
+    UNION ALL SELECT block_id, '$.m[1].x', 'removed' FROM p WHERE n % 7 = 0""")
+def p22b(t):
+    # bodies of every kind, inside arrays and objects that differ too
+    n = F.col("n")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    expected = text('{"m":[', F.col("json"), ',{"k":[0,', n.cast("string"), ']', F.when(n % 7 == 0, ',"x":null').otherwise(""), '}]}')
+    actual = text('{"m":[', F.col("body"), ',{"k":[0,', F.when(n % 3 == 0, n + 1).otherwise(n).cast("string"), ']}', F.when(n % 5 == 0, ',[1]').otherwise(""), ']}')
+    pairs = t.bodies.select("block_id", "n", "body").join(t.messages.select("block_id", "json"), "block_id").select(
+        "block_id", expected.alias("expected"), actual.alias("actual"))
+    return documents.json_diff(pairs, ["block_id"], "expected", "actual").select("block_id", "path", "kind")
+
+
 @query("p23_first_difference", """SELECT block_id, CAST(coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i]), TRUE) - 1,
     least(length(a), length(b))) AS BIGINT) AS first_diff FROM (SELECT m.block_id, m.json AS a, b.body AS b FROM messages m JOIN bodies b USING (block_id))""")
 def p23(t):
@@ -265,3 +284,21 @@ def p30(t):
     UNION ALL SELECT 'alert', concat('a:', CAST(id AS VARCHAR)), at_ms, rule, severity, block_id FROM alerts""")
 def p31(t):
     return documents.feed_rows(messages=t.messages, milestones=t.milestones, alerts=t.alerts)
+
+
+#: Incidents as plain rows, in both dialects: one per element with alerts.
+INCIDENT_ROWS = """SELECT concat('ie:', ie_id) AS incident, ie_id, min(at_ms) AS opened_ms, max(at_ms) AS closed_ms, 'alerts' AS title, 'closed:quiet' AS status,
+    'high' AS severity, min(block_id) AS closed_by FROM {alerts} WHERE ie_id IS NOT NULL GROUP BY ie_id"""
+
+
+def incident_rows(t):
+    return t.spark.sql(INCIDENT_ROWS, alerts=t.alerts)
+
+
+@query("p31_feed_rows_all", f"""SELECT 'message' AS kind, concat('m:', block_id) AS key, ts * 1000 AS at_ms, tag AS title, verdict AS state, block_id FROM messages
+    UNION ALL SELECT 'milestone', concat('ms:', CAST(idx AS VARCHAR)), ts * 1000, NULL, NULL, NULL FROM milestones
+    UNION ALL SELECT 'alert', concat('a:', CAST(id AS VARCHAR)), at_ms, rule, severity, block_id FROM alerts
+    UNION ALL SELECT 'anchor', concat('c:', CAST(seq AS VARCHAR)), at_ms, NULL, status, NULL FROM anchors
+    UNION ALL SELECT 'incident', concat('i:', incident), opened_ms, title, status, NULL FROM ({INCIDENT_ROWS.format(alerts="alerts")})""")
+def p31b(t):
+    return documents.feed_rows(messages=t.messages, milestones=t.milestones, alerts=t.alerts, anchors=t.anchors, incidents=incident_rows(t))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..operators import lifecycle, reconcile
 from ..plans import proofs, rules, verdicts
-from .joins import TAMPER_SQL, records
+from .joins import AUDIT_SQL, TAMPER_SQL, records
 from .registry import query
 
 AS_OF = 1706700000000
@@ -129,14 +129,18 @@ def r12(t):
     return a.select("block_id", "ie_id", F.get_json_object("evidence", "$.skewS").cast("double").alias("skew_s"))
 
 
-@query("r13_orphaned", """SELECT 'ORPHANED' AS rule, block_id FROM submissions WHERE n % 6 = 0""")
-def r13(t):
+def polls(t):
+    """Two answered polls per submission; every sixth is never referenced."""
     ok = F.col("n") % 6 == 0
-    polls = F.explode(F.array(F.lit(1000), F.lit(70000)))
-    log = t.submissions.select("block_id", "n", "received_at_ms", polls.alias("d")).select(
+    at = F.explode(F.array(F.lit(1000), F.lit(70000)))
+    return t.submissions.select("block_id", "n", "received_at_ms", at.alias("d")).select(
         "block_id", (F.col("received_at_ms") + F.col("d")).alias("checked_at_ms"), F.lit(True).alias("is_solid"),
         F.when(~ok, F.lit(7).cast("bigint")).alias("referenced_by_ms"))
-    return rules.orphaned(tables(t, validations=log)).select("rule", "block_id")
+
+
+@query("r13_orphaned", """SELECT 'ORPHANED' AS rule, block_id FROM submissions WHERE n % 6 = 0""")
+def r13(t):
+    return rules.orphaned(tables(t, validations=polls(t))).select("rule", "block_id")
 
 
 @query("r14_shadow", """SELECT 'SHADOW' AS rule, block_id, ie_id FROM messages WHERE n % 23 = 0 AND confirmed_at_ms >= (SELECT min(received_at_ms) FROM submissions)
@@ -191,6 +195,40 @@ def r21(t):
     return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+FIXED_RULES = {"ANOMALY": "medium", "UNSIGNED": "medium", "DRIFT": "medium", "ORPHANED": "high", "SHADOW": "high", "ANCHOR_MISMATCH": "critical", "CHAIN_FORK": "high",
+               "CHAIN_GAP": "medium", "CONTENT_MISMATCH": "critical", "NOT_FOUND": "critical", "DB_TAMPER": "critical", "MISSING_IN_DB": "critical"}
+
+
+@query("r21_rules_run_all", f"""WITH f AS (SELECT rule, severity FROM verdict_alerts UNION ALL SELECT rule, NULL FROM ({CHAIN_SQL})
+    UNION ALL SELECT 'CLOCK_SKEW', NULL FROM messages WHERE {PROVEN} AND abs(iat - ts * 1000) > 300000
+    UNION ALL SELECT rule, NULL FROM unsigned_alerts WHERE id % 20 <> 3
+    UNION ALL SELECT 'UNKNOWN_IE', NULL FROM (SELECT DISTINCT ie_id FROM messages WHERE ie_id IS NOT NULL AND {TRUSTED} AND ie_id NOT IN (SELECT ie_id FROM context_ie))
+    UNION ALL SELECT 'ANOMALY', NULL FROM ({JUMP_SQL}) j WHERE NOT EXISTS (SELECT 1 FROM messages ev WHERE ev.tag = 'self-orchestrator' AND ev.error_code <> 0 AND (ev.{PROVEN}
+      OR (ev.verdict = 'UNSIGNED_LEGACY' AND ev.n % 23 <> 0)) AND ev.ie_id = j.ie_id AND ev.ts BETWEEN j.ts - 300 AND j.ts AND (ev.ms_index, ev.wf_index) < (j.ms_index, j.wf_index))
+    UNION ALL SELECT 'DRIFT', NULL FROM ({EPISODES_SQL}) WHERE alert_ms IS NOT NULL
+    UNION ALL SELECT 'STALE', NULL FROM (SELECT ie_id, max(ts) AS ts FROM messages WHERE score IS NOT NULL AND {PROVEN} GROUP BY ie_id) WHERE (SELECT max(ts) FROM milestones) - ts > 120
+    UNION ALL SELECT CASE state WHEN 'mismatch' THEN 'ANCHOR_MISMATCH' ELSE 'ANCHOR_UNVERIFIABLE' END, NULL FROM ({AUDIT_SQL}) JOIN anchors USING (seq)
+      WHERE state = 'mismatch' OR (state = 'unverifiable' AND {AS_OF} - at_ms > 600000)
+    UNION ALL SELECT 'SHADOW', NULL FROM messages WHERE n % 23 = 0 AND confirmed_at_ms >= (SELECT min(received_at_ms) FROM submissions) AND confirmed_at_ms <= {AS_OF} - 30000
+    UNION ALL SELECT 'ORPHANED', NULL FROM submissions WHERE n % 6 = 0
+    UNION ALL SELECT 'CONTENT_MISMATCH', NULL FROM stored_submissions s JOIN messages m USING (block_id) WHERE s.n % 101 = 0 OR s.data <> m.json
+    UNION ALL SELECT 'NOT_FOUND', NULL FROM stored_submissions WHERE n % 89 = 0
+    UNION ALL SELECT 'DB_TAMPER', NULL FROM (SELECT DISTINCT block_id FROM ({TAMPER_SQL}))
+    UNION ALL SELECT 'MISSING_IN_DB', NULL FROM blocks WHERE n % 97 = 0)
+    SELECT rule, coalesce(severity, CASE {" ".join(f"WHEN rule = '{r}' THEN '{s}'" for r, s in FIXED_RULES.items())} ELSE 'low' END) AS severity, count(*) AS n FROM f GROUP BY 1, 2""")
+def r21b(t):
+    # all fourteen rules, with something to find for each; every second UNSIGNED alert is stored already
+    content = t.blocks.join(t.ledger_content.select("block_id", "tag", "data"), "block_id")
+    lost = content.filter("n % 97 = 0").withColumn("block_id", F.concat("block_id", F.lit("m")))
+    received = t.stored_submissions.select("block_id", "tag", "data", "n")
+    unknown = received.filter("n % 89 = 0").withColumn("block_id", F.concat("block_id", F.lit("r")))
+    found = rules.run(tables(
+        t, alerts=t.unsigned_alerts.filter("id % 20 = 3"), context=t.context_ie, milestones=t.milestones, drift_log=drift_log(t), anchors=t.anchors,
+        records=records(t), validations=polls(t), ledger=content.unionByName(lost), received=received.unionByName(unknown).drop("n"),
+        candidates=reconcile.reverify_candidates(t.content_checks, t.stored_submissions, t.stored_messages, t.lifecycle, t.alerts)))
+    return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("r22_lifecycle_written", """SELECT block_id, status, at_ms FROM lifecycle""")
 def r22(t):
     # every transition proposed twice: the second proposal of each is dropped
@@ -324,6 +362,19 @@ def r25(t):
     return proofs.audit_proofs(p, sigs, pinned, t.anchors, 2).select("block_id", "block_hash", "overall")
 
 
+@query("r25_proof_audit_envelope", """WITH e AS (SELECT block_id, CASE WHEN n % 97 = 5 THEN FALSE WHEN n % 13 = 0 THEN NULL WHEN n % 53 = 0 OR n % 59 = 0 OR n % 61 = 0 OR (n % 83 = 0 AND n % 11 <> 0)
+      OR n % 71 = 0 OR n % 50 = 0 OR (iss = 'did:x:7' AND (ts + 1) * 1000 > 1704067200000 + 16 * 86400000) THEN FALSE ELSE TRUE END AS ok FROM envelopes)
+    SELECT b.block_id, e.ok AS envelope, CASE WHEN b.n % 101 = 0 OR b.ms_index % 3 = 0 OR NOT e.ok THEN 'INVALID'
+      WHEN a.status = 'anchored' AND a.seq % 5 <> 0 AND w.root IS NOT NULL AND e.ok THEN 'VALID' ELSE 'PARTIAL' END AS overall
+    FROM blocks b JOIN milestones m ON m.idx = b.ms_index JOIN e ON e.block_id = b.block_id LEFT JOIN anchors a ON b.ms_index BETWEEN a.from_ms AND a.to_ms
+    LEFT JOIN (SELECT w AS seq, root FROM wtree_root) w USING (seq)""")
+def r25b(t):
+    sigs = t.milestones.select(F.col("idx").alias("ms_index"), F.explode(F.array(F.lit("k0"), F.lit("k1"))).alias("pk")).withColumn("ok", (F.col("ms_index") % 3 != 0) | (F.col("pk") == "k0"))
+    pinned = t.spark.createDataFrame([("k0",), ("k1",)], "pk string")
+    p = proof_rows(t).join(proofs.envelope_step(signed_envelopes(t), t.key_history), "block_id", "left")
+    return proofs.audit_proofs(p, sigs, pinned, t.anchors, 2).select("block_id", "envelope", "overall")
+
+
 @query("r26_admission", """WITH s AS (SELECT *, verdict IN ('FORGED') AS early, verdict = 'MALFORMED' AS bad, NOT coalesce(list_contains(allowed, '*') OR list_contains(allowed, iss), FALSE) AS denied FROM messages LEFT JOIN policy USING (tag) WHERE received_at_ms IS NOT NULL),
     o AS (SELECT *, max(CASE WHEN NOT bad THEN seq END) OVER (PARTITION BY iss ORDER BY received_at_ms, concat('s', nonce) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM s WHERE NOT early AND NOT denied)
     SELECT concat('s', s.nonce) AS sub_id, CASE WHEN s.early THEN 'FORGED' WHEN s.denied THEN 'UNAUTHORIZED_WRITER' WHEN o.seq <= o.top THEN 'REPLAY' WHEN s.bad THEN 'MALFORMED' END AS refused_as

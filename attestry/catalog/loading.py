@@ -65,6 +65,21 @@ def s4(t):
     return loads.upsert_messages(stored.select(*UPSERT_COLS), m.select(*UPSERT_COLS)).select("block_id", "outcome", "ms_index", "ts", "verdict")
 
 
+@query("s4_message_upsert_all", """SELECT block_id, CASE n % 4 WHEN 0 THEN 'inserted' WHEN 1 THEN 'confirmed' END AS outcome, CASE WHEN n % 4 <> 3 THEN ms_index END AS ms_index,
+    CASE WHEN n % 4 = 3 THEN 0 ELSE ts END AS ts, CASE WHEN n % 4 >= 2 THEN 'OLD' ELSE verdict END AS verdict FROM messages""")
+def s4b(t):
+    # all messages: new, confirmed by the second copy, confirmed before, and unconfirmed in both copies
+    k = F.col("n") % 4
+    stored = t.messages.filter("n % 4 > 0").withColumn("verdict", F.when(k > 1, "OLD"))
+    for c in ("ms_index", "wf_index", "confirmed_at_ms"):
+        stored = stored.withColumn(c, F.when(k == 2, F.col(c)))
+    stored = stored.withColumn("ts", F.when(k == 2, F.col("ts")).otherwise(0))
+    new = t.messages
+    for c in ("ms_index", "wf_index", "confirmed_at_ms"):
+        new = new.withColumn(c, F.when(k < 3, F.col(c)))
+    return loads.upsert_messages(stored.select(*UPSERT_COLS), new.select(*UPSERT_COLS)).select("block_id", "outcome", "ms_index", "ts", "verdict")
+
+
 @query("s5_blind_rows", """SELECT DISTINCT block_id, token FROM (SELECT block_id, unnest(['t' || user_id, 't' || n % 5]) AS token FROM envelopes WHERE n % 11 = 0 AND n % 13 <> 0)""")
 def s5(t):
     tok = t.envelopes.select("block_id", C.blind_tokens(C.parsed(F.col("envelope"))).alias("tokens"))
@@ -154,6 +169,15 @@ def s14(t):
     return reports.mark_anchored(new, accepted).select("report_hash", "anchored")
 
 
+@query("s14_report_store_all", """SELECT block_id AS report_hash, n % 2 = 0 AS anchored FROM messages WHERE n % 3 <> 0""")
+def s14b(t):
+    # a report per message; those with n % 3 = 0 are stored already
+    r = t.messages.select(F.col("block_id").alias("report_hash"), "n")
+    new = reports.put_reports(r.filter("n % 3 = 0"), r.union(r))
+    accepted = r.filter("n % 2 = 0").select("report_hash", F.col("report_hash").alias("block_id"), F.lit(1).cast("bigint").alias("anchored_at_ms"))
+    return reports.mark_anchored(new, accepted).select("report_hash", "anchored")
+
+
 @query("l7_anchor_rotation", """SELECT seq, CAST(CASE WHEN seq % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS priority FROM anchors""")
 def l7(t):
     # every anchor is audited in each run; the unverified ones only come first

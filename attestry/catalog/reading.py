@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..operators import ordered, search as S
+from .columns import INCIDENT_ROWS, incident_rows
 from .registry import query
 
 COLS = "block_id, tag, verdict, ms_index, wf_index"
@@ -78,6 +79,15 @@ def f9(t):
     return hashed.join(asked, "canon_hash", "left_semi").dropDuplicates(["block_id"]).select("block_id", "json")
 
 
+@query("f9_exact_document_canonical", """SELECT block_id, json FROM messages WHERE json IN (SELECT json FROM messages WHERE n % 100 = 0)""")
+def f9b(t):
+    # asked for with other white space: documents are equal if their canonical forms are
+    hashed = t.messages.withColumn("canon_hash", H.canonical_hash(F.col("json")))
+    spaced = F.concat(F.lit(" "), F.replace("json", F.lit(',"'), F.lit(' ,\n "')))
+    asked = t.messages.filter("n % 100 = 0").select(H.canonical_hash(spaced).alias("canon_hash")).distinct()
+    return hashed.join(asked, "canon_hash", "left_semi").select("block_id", "json")
+
+
 @query("f10_alert_by_key", """SELECT id FROM alerts a WHERE EXISTS (SELECT 1 FROM alerts k WHERE k.id % 3 = 1 AND k.rule = a.rule
     AND k.block_id IS NOT DISTINCT FROM a.block_id AND k.ie_id IS NOT DISTINCT FROM a.ie_id AND k.dedupe_key IS NOT DISTINCT FROM a.dedupe_key)""")
 def f10(t):
@@ -222,6 +232,13 @@ def w16(t):
     return scores.overlays(t.alerts).drop("end_ms", "block_id")
 
 
+@query("w16_overlays_all", f"""SELECT ie_id, 'alert' AS kind, CAST(id AS VARCHAR) AS id, at_ms AS start_ms, CAST(NULL AS BIGINT) AS end_ms, rule AS label, severity, block_id FROM alerts WHERE ie_id IS NOT NULL
+    UNION ALL SELECT ie_id, 'incident', incident, opened_ms, closed_ms, title, severity, closed_by FROM ({INCIDENT_ROWS.format(alerts="alerts")})""")
+def w16b(t):
+    from ..operators import scores
+    return scores.overlays(t.alerts, incident_rows(t))
+
+
 @query("w17_cone_ids", """SELECT ms_index, string_agg(block_id, ',' ORDER BY wf_index) AS ids FROM messages GROUP BY ms_index""")
 def w17(t):
     from ..operators import merkle

@@ -92,9 +92,9 @@ def t6(t):
 
 @query("t7_incident_stream")
 def t7(t):
-    obs = run(t)[0].filter("NOT link_only AND primary <> 'ledger'").drop("island")
+    obs = run(t)[0].drop("island")
     changes = J.finish(J.incident_stream(feed(t, "observations", obs, "ord_ms"), AS_OF))
-    return changes.filter("action IN ('opened', 'attached', 'closed')").select("incident", "action", "block_id", "role", "status")
+    return changes.select("incident", "action", "block_id", "role", "status")
 
 
 @query("t8_late_rows", "SELECT block_id FROM messages WHERE n % 301 = 0 AND ms_index > 6200")

@@ -167,13 +167,13 @@ def lineage(messages: DataFrame, alerts: DataFrame, context: DataFrame, epsilon:
 
 
 def overlays(alerts: DataFrame, incidents: DataFrame | None = None) -> DataFrame:
-    """Alerts and incidents of elements as marks on a time axis."""
+    """Alerts and incidents of elements as marks on a time axis. With incidents, whose ids are text, all ids are."""
     none = F.lit(None).cast("bigint")
     marks = alerts.filter("ie_id IS NOT NULL").select(
         "ie_id", F.lit("alert").alias("kind"), "id", F.col("at_ms").alias("start_ms"), none.alias("end_ms"),
         F.col("rule").alias("label"), "severity", "block_id")
     if incidents is not None:
-        marks = marks.unionByName(incidents.filter("ie_id IS NOT NULL").select(
+        marks = marks.withColumn("id", F.col("id").cast("string")).unionByName(incidents.filter("ie_id IS NOT NULL").select(
             "ie_id", F.lit("incident").alias("kind"), F.col("incident").alias("id"), F.col("opened_ms").alias("start_ms"),
             F.col("closed_ms").alias("end_ms"), F.col("title").alias("label"), "severity", F.col("closed_by").alias("block_id")))
     return marks

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import hashing as H
+from ..operators import keys as K
 from ..operators import merkle, ranges
+from . import verdicts
 
 STEPS = ("block_hash", "inclusion", "signatures", "envelope", "anchor")
 
@@ -52,6 +55,18 @@ def proof_table(blocks: DataFrame, milestones: DataFrame, anchors: DataFrame, *,
             .select("block_id", "ms_index", "milestone_id", "raw", "inclusion_path", "inclusion_root", "anchor_seq", "anchor_path", "anchor_root", "consistent"))
 
 
+def envelope_step(messages: DataFrame, key_history: DataFrame, *, data: str = "data") -> DataFrame:
+    """block_id, envelope_ok: whether shape, tag, key and signature of the envelope hold at its milestone; null where there is none.
+
+    messages: block_id, tag, data, ts, sig_ok (the result of the signature check), too_deep."""
+    read = verdicts.opened(messages, data).withColumnRenamed("env_kid", "kid").withColumnRenamed("env_iss", "iss")
+    df = K.in_force(read, key_history.select("kid", "pos", "revoked_at_ms", "public_key"), F.col("ts") * 1000)
+    tests = [F.col("shape").isNull(), F.col("env_tag") == F.col("tag"), F.substring_index("kid", "#", 1) == F.col("iss"), F.col("public_key").isNotNull(),
+             F.col("sig_ok"), C.valid_through_second(F.col("revoked_at_ms"), F.col("ts"))]
+    holds = F.forall(F.array(*tests), lambda x: F.coalesce(x, F.lit(False)))
+    return df.select("block_id", F.when(F.col("too_deep"), False).when(F.col("is_env"), holds).alias("envelope_ok"))
+
+
 def audit_proofs(proofs: DataFrame, signatures: DataFrame, pinned: DataFrame, records: DataFrame, threshold: int,
                  algorithm: str = "sha256") -> DataFrame:
     """Step results of each proof and the overall outcome. A missing anchor is "not evaluated", not a failure.

@@ -1,7 +1,11 @@
 """The incident fold on written scenarios, and the same result whole, in slices and as a stream."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from attestry.catalog import incident_queries, streams
 from attestry.catalog.incident_queries import AS_OF
 from attestry.fixtures import Ledger
 from attestry.operators import ordered
@@ -88,6 +92,26 @@ def test_stream_equals_batch(spark, batch):
         map(tuple, want.select(*key).collect()), key=repr)
 
 
+def test_whole_stream_equals_batch(batch):
+    """Every observation and action; only what closes after the stream's clock may still be open."""
+    t, (_, changes) = batch
+    key = ["incident", "action", "block_id", "role", "status"]
+    got, want = (Counter(map(tuple, df.select(*key).collect())) for df in (streams.t7(t), changes))
+    assert not got - want and all(action == "closed" for _, action, *_ in want - got)
+
+
+def test_ledger_wide_incidents_are_in_stream_and_timeline(batch, monkeypatch):
+    """The given tables have no incident of the ledger itself, so the elements' incidents stand in for it."""
+    t, (observations, changes) = batch
+    key = changes.agg(F.min("primary")).first()[0]
+    ledger = observations.withColumn("primary", F.when(F.col("primary") == key, "ledger").otherwise(F.col("primary")))
+    monkeypatch.setattr(streams, "run", lambda t: (ledger, changes))
+    monkeypatch.setattr(streams, "_FEEDS", {})
+    assert streams.t7(t).filter("incident LIKE 'ledger%'").count() > 0
+    monkeypatch.setattr(incident_queries, "run", lambda t: (ledger, changes.withColumn("incident", F.concat(F.lit("ledger"), "incident"))))
+    assert incident_queries.j20(t).count() > 0
+
+
 def test_running_twice_gives_the_same_incidents(batch):
     t, (_, changes) = batch
     again = I.correlate(t.messages, t.alerts, t.submissions, t.policy, t.context_ie, t.component_host, AS_OF)[1]
