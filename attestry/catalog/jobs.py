@@ -309,6 +309,19 @@ def w7(t):
     return anchors.chain_breaks(a).select("seq", "linked")
 
 
+@query("w7_checkpoint_hashes", """WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY r.w) AS k, r.w - 1 AS win,
+      concat('{"domain":"d","from":{"id":"', (SELECT arg_min(id, idx) FROM windows WHERE seq = r.w), '","index":', (r.w - 1) * 720 + 1, '},"kind":"witness.checkpoint","msRoot":"', root,
+        '","msgCount":', (SELECT count(*) FROM messages WHERE (ms_index - 1) // 720 = r.w - 1), ',"network":"n","policyHash":"0x0","prev":') AS head,
+      concat(',"to":{"id":"', (SELECT arg_max(id, idx) FROM windows WHERE seq = r.w), '","index":', r.w * 720, '},"v":1}') AS tail FROM wtree_root r),
+    h AS (SELECT k, win, CAST(NULL AS VARCHAR) AS prev, concat('0x', sha256(concat(head, 'null', tail))) AS hash FROM c WHERE k = 1
+      UNION ALL SELECT c.k, c.win, h.hash, concat('0x', sha256(concat(head, '"', h.hash, '"', tail))) FROM h JOIN c ON c.k = h.k + 1)
+    SELECT win AS "window", prev, hash AS checkpoint_hash FROM h""")
+def w7b(t):
+    from ..operators import anchors
+    made = anchors.checkpoints(t.milestones, t.messages, network="n", domain="d", policy_hash="0x0")
+    return anchors.chained(made).select("window", "prev", "checkpoint_hash")
+
+
 @query("w8_replays", """SELECT a.block_id FROM messages a WHERE EXISTS (SELECT 1 FROM messages b WHERE b.iss = a.iss AND b.seq = a.seq AND (b.ms_index, b.wf_index) < (a.ms_index, a.wf_index))""")
 def w8(t):
     rows = t.messages.withColumn("spends", F.lit(True))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
 from ..functions import vocabulary as V
+from ..session import settle
 from . import merkle, ordered
 
+CHECKPOINT_FIELDS = ("network", "domain", "from_ms", "from_id", "to_ms", "to_id", "ms_root", "msg_count", "policy_hash", "prev")
+
 
 def windows(milestones: DataFrame, start: int = 1, every: int = V.CHECKPOINT_EVERY) -> DataFrame:
     """Windows of `every` milestones from `start`: only those with every index once and distinct ids."""
@@ -21,7 +29,7 @@ def windows(milestones: DataFrame, start: int = 1, every: int = V.CHECKPOINT_EVE
 
 def checkpoints(milestones: DataFrame, messages: DataFrame, *, network: str, domain: str, policy_hash: str,
                 start: int = 1, every: int = V.CHECKPOINT_EVERY) -> DataFrame:
-    """The checkpoint of each complete window: ends, root, message count. `prev` is chained by `chain`."""
+    """The checkpoint of each complete window: ends, root, message count. `chained` adds `prev` and `checkpoint_hash`."""
     full = windows(milestones, start, every)
     df = milestones.withColumn("window", F.floor((F.col("idx") - start) / every)).join(full, "window")
     tree = merkle.roots(df.withColumn("place", F.col("idx") - F.col("from_ms")), ["window"], "place", "id")
@@ -33,6 +41,53 @@ def checkpoints(milestones: DataFrame, messages: DataFrame, *, network: str, dom
             .withColumn("network", F.lit(network)).withColumn("domain", F.lit(domain)).withColumn("policy_hash", F.lit(policy_hash)))
 
 
+def _parts() -> tuple[Column, Column]:
+    """The canonical JSON of a checkpoint up to and after the value of `prev`: the keys are sorted, so only policyHash lies
+    between `network` and it."""
+    plain = lambda c: F.when(F.col(c).isNotNull(), F.regexp_replace(H.canonical_text(F.to_json(F.array(F.col(c)))), r"^\[|\]$", ""))
+    number = lambda c: F.col(c).cast("bigint").cast("string")
+    bound = lambda i, n: F.concat(F.lit('{"id":'), plain(i), F.lit(',"index":'), number(n), F.lit("}"))
+    head = F.concat(F.lit('{"domain":'), plain("domain"), F.lit(',"from":'), bound("from_id", "from_ms"), F.lit(f',"kind":"{V.CHECKPOINT_KIND}","msRoot":'),
+                    plain("ms_root"), F.lit(',"msgCount":'), number("msg_count"), F.lit(',"network":'), plain("network"), F.lit(',"policyHash":'),
+                    plain("policy_hash"), F.lit(',"prev":'))
+    return head, F.concat(F.lit(',"to":'), bound("to_id", "to_ms"), F.lit(',"v":1}'))
+
+
+def checkpoint_hash(algorithm: str = "sha256") -> Column:
+    """The hash of a checkpoint's canonical fields (CHECKPOINT_FIELDS), `prev` among them; null if another field is missing."""
+    head, tail = _parts()
+    prev = F.coalesce(F.concat(F.lit('"'), "prev", F.lit('"')), F.lit("null"))
+    return F.concat(F.lit("0x"), H.hash_hex(F.concat(head, prev, tail), algorithm))
+
+
+def chained(checkpoints_: DataFrame, *, first_prev: str | None = None, algorithm: str = "sha256") -> DataFrame:
+    """Add `prev`, the hash of the checkpoint before (of the first one `first_prev`), and `checkpoint_hash`, which commits to it.
+
+    Every hash needs the one before, so one task folds over the sorted rows: a row per window, of a few hundred bytes, read
+    batch by batch. The result is written once."""
+    if algorithm not in ("sha256", "blake2b"):
+        raise ValueError(f"unknown hash {algorithm!r}")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        prev = first_prev
+        for rows in batches:
+            links = []
+            for head, tail in zip(rows["head"], rows["tail"]):
+                if head is None or tail is None:
+                    raise ValueError("a checkpoint lacks a field")
+                data = f"{head}{'null' if prev is None else chr(34) + prev + chr(34)}{tail}".encode()
+                digest = hashlib.sha256(data) if algorithm == "sha256" else hashlib.blake2b(data, digest_size=32)
+                links.append((prev, "0x" + digest.hexdigest()))
+                prev = links[-1][1]
+            yield pd.DataFrame({"window": rows["window"], "prev": [a for a, _ in links], "checkpoint_hash": [b for _, b in links]})
+
+    head, tail = _parts()
+    checkpoints_ = settle(checkpoints_, "checkpoints")  # read twice, and its trees must not be built twice
+    kind = checkpoints_.schema["window"].dataType.simpleString()
+    links = checkpoints_.select("window", head.alias("head"), tail.alias("tail")).coalesce(1).sortWithinPartitions("window").mapInPandas(fold, f"window {kind}, prev string, checkpoint_hash string")
+    return checkpoints_.join(settle(links, "checkpoint-chain"), "window")
+
+
 def chain_breaks(anchors: DataFrame) -> DataFrame:
     """Whether each anchor's `prev_hash` is the hash of the anchor with the next lower seq, however far below; the first has none.
 
@@ -43,8 +98,9 @@ def chain_breaks(anchors: DataFrame) -> DataFrame:
                            .otherwise(F.col("prev_hash").isNull())).drop("_before", "_all", "_seq")
 
 
-def audit(anchors: DataFrame, records: DataFrame, milestones: DataFrame, every: int = V.CHECKPOINT_EVERY) -> DataFrame:
-    """Anchor states: the mirrored hash against the record's, and the recomputed root against the record's.
+def audit(anchors: DataFrame, records: DataFrame, milestones: DataFrame, every: int = V.CHECKPOINT_EVERY, algorithm: str = "sha256") -> DataFrame:
+    """Anchor states: the mirrored hash against the record's, and the recomputed root against the record's. Where the records
+    carry all of CHECKPOINT_FIELDS, the hash of these is recomputed too: a record that does not hash to what it states is a mismatch.
 
     records: seq, from_ms, to_ms, ms_root, checkpoint_hash. Milestones meet windows by equal keys: each
     window lists the milestones it needs, so completeness is a count."""
@@ -53,15 +109,18 @@ def audit(anchors: DataFrame, records: DataFrame, milestones: DataFrame, every:
     complete = (have.groupBy("seq", "from_ms", "to_ms").agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") == F.col("to_ms") - F.col("from_ms") + 1).select("seq"))
     tree = merkle.roots(have.join(complete, "seq", "left_semi"), ["seq"], "place", "id")
+    whole = all(c in records.columns for c in CHECKPOINT_FIELDS)
+    altered = ~checkpoint_hash(algorithm).eqNullSafe(F.col("checkpoint_hash")) if whole else F.lit(False)
     df = (anchors.select("seq", F.col("checkpoint_hash").alias("mirror_hash"))
-          .join(records.select("seq", "from_ms", "to_ms", F.col("ms_root").alias("record_root"), F.col("checkpoint_hash").alias("record_hash")), "seq", "left")
+          .join(records.select("seq", "from_ms", "to_ms", F.col("ms_root").alias("record_root"), F.col("checkpoint_hash").alias("record_hash"),
+                               altered.alias("altered")), "seq", "left")
           .join(tree.select("seq", F.col("root").alias("recomputed_root")), "seq", "left"))
     differs = F.col("mirror_hash").isNotNull() & (F.col("mirror_hash") != F.col("record_hash"))
     state = (F.when(F.col("record_root").isNull(), "unverifiable")
-             .when(F.col("recomputed_root") != F.col("record_root"), "mismatch").when(differs, "mismatch")
+             .when(F.col("recomputed_root") != F.col("record_root"), "mismatch").when(differs | F.col("altered"), "mismatch")
              .when(F.col("recomputed_root").isNull(), "unverifiable").otherwise("verified"))
     detail = (F.when(F.col("record_root").isNull(), "no record")
-              .when(F.col("recomputed_root") != F.col("record_root"), "root").when(differs, "mirror")
+              .when(F.col("recomputed_root") != F.col("record_root"), "root").when(differs, "mirror").when(F.col("altered"), "hash")
               .when(F.col("recomputed_root").isNull(), "incomplete"))
     return df.select("seq", "from_ms", "to_ms", state.alias("state"), detail.alias("detail"), "record_root", "recomputed_root")
 

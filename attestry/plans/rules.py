@@ -149,8 +149,10 @@ def anchor_alerts(t: Tables, grace_s: int = V.UNVERIFIABLE_GRACE_S) -> DataFrame
     bad = alert(rows.filter("state = 'mismatch'"), "ANCHOR_MISMATCH", F.lit(t.as_of_ms), {
         "seq": F.col("seq"), "from": F.col("from_ms"), "to": F.col("to_ms"), "recordRoot": F.col("record_root"),
         "recomputedRoot": F.col("recomputed_root"), "reason": F.when(F.col("detail") == "root",
-            "the milestones of this window do not hash to the anchored root").otherwise("the mirrored checkpoint differs from the recorded one")},
+            "the milestones of this window do not hash to the anchored root").when(
+            F.col("detail") == "hash", "the recorded checkpoint does not hash to what it states").otherwise("the mirrored checkpoint differs from the recorded one")},
         block=None, ie=None, dedupe=F.when(F.col("detail") == "root", F.concat(F.lit("seq:"), seq, F.lit(":root:"), F.substr("recomputed_root", F.lit(3))))
+        .when(F.col("detail") == "hash", F.concat(F.lit("seq:"), seq, F.lit(":hash:"), "mirror"))
         .otherwise(F.concat(F.lit("seq:"), seq, F.lit(":mirror:"), "mirror")))
     late = rows.filter((F.col("state") == "unverifiable") & (F.lit(t.as_of_ms) - F.col("since_ms") > grace_s * 1000))
     overdue = alert(late, "ANCHOR_UNVERIFIABLE", F.lit(t.as_of_ms), {

@@ -100,7 +100,7 @@ def trial_log(lines: DataFrame, text: str = "value") -> tuple[DataFrame, DataFra
 
 def mirrored_anchors(messages: DataFrame, anchor_tag: str, pinned_iss: str) -> tuple[DataFrame, DataFrame]:
     """Anchors announced by well-formed, producer-signed messages of the pinned issuer, first per seq;
-    and the later ones that announce another hash under a known seq."""
+    and the later ones that announce another hash under a known seq. Anchors carry the checkpoint's fields, so an audit can hash them."""
     v = F.col("_v")
     rows = (messages.filter((F.col("tag") == anchor_tag) & (F.col("verdict") == "PRODUCER_SIGNED") & (F.col("iss") == pinned_iss))
             .withColumn("_v", C.parsed(F.col("json"))))
@@ -110,6 +110,9 @@ def mirrored_anchors(messages: DataFrame, anchor_tag: str, pinned_iss: str) -> t
         C.at(v, "$.seq", "bigint").alias("seq"), C.at(v, "$.checkpoint.from.index", "bigint").alias("from_ms"),
         C.at(v, "$.checkpoint.to.index", "bigint").alias("to_ms"), C.at(v, "$.checkpoint.msRoot", "string").alias("ms_root"),
         C.at(v, "$.checkpointHash", "string").alias("checkpoint_hash"), C.at(v, "$.rebased.record", "bigint").alias("record"),
+        C.at(v, "$.checkpoint.from.id", "string").alias("from_id"), C.at(v, "$.checkpoint.to.id", "string").alias("to_id"),
+        *[C.at(v, f"$.checkpoint.{p}", "string").alias(c) for p, c in (("network", "network"), ("domain", "domain"), ("policyHash", "policy_hash"), ("prev", "prev"))],
+        C.at(v, "$.checkpoint.msgCount", "bigint").alias("msg_count"),
         F.lit("anchored").alias("status"), (F.col("ts") * 1000).alias("created_at_ms"), "block_id", place.alias("_place"))
     first = seen.groupBy("seq").agg(F.min_by(F.struct(*[c for c in seen.columns if c != "seq"]), "_place").alias("f"))
     anchors = first.select("seq", "f.*").drop("_place")
