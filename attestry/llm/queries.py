@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontaminate, fingerprint, html_extract, language, near_dedup, packing, preference, quality, substring_dedup, url_filter
+from . import (decontaminate, fingerprint, html_extract, language, line_dedup, near_dedup, packing, preference, quality, substring_dedup,
+               url_filter)
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -129,3 +130,17 @@ def op5(spark, folder):
     trained = {c: F.array_join(F.transform(F.filter(c, lambda s: s["trained"]), lambda s: s["text"]), "") for c in ("chosen", "rejected")}
     return formatted.select("chosen_id", "rejected_id", F.col("n_common").cast("bigint").alias("n_common"), "prompt", *[x.alias(c) for c, x in whole.items()],
                             *[x.alias(f"{c}_trained") for c, x in trained.items()])
+
+
+_LINE_KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_line_dedup", f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    lined AS (SELECT r, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM doc), keyed AS (SELECT r, i, line, {_LINE_KEY} AS k FROM lined),
+    often AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+    kept AS (SELECT r, count(*) AS n_lines, count(often.k) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often.k IS NULL), '') AS text
+        FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY r)
+    SELECT doc_id, n_lines, n_dropped, sha256(kept.text) AS kept_sha256 FROM kept JOIN doc USING (r)""")
+def op11(spark, folder):
+    kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), least=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
