@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import (decontaminate, fingerprint, html_extract, language, line_dedup, near_dedup, packing, preference, quality, substring_dedup,
-               url_filter)
+from . import (decontaminate, fingerprint, html_extract, language, line_dedup, merkle_manifest, near_dedup, packing, preference,
+               quality, substring_dedup, url_filter)
 
 VOCABULARY = "byte_bpe_50k"
 
@@ -144,3 +144,57 @@ _LINE_KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+
 def op11(spark, folder):
     kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"), least=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _manifest_sql(levels: int) -> str:
+    """Trees of up to 16 ** levels leaves, level by level; a tree of one node is carried up as it is."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    leaf = f"sha256({' || '.join(field.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', '{0}'))})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, b: {step}), 4294967295)"
+
+    def grow(name: str, base: str, key: str) -> list[str]:
+        made, now = [], base
+        for k in range(levels):
+            made.append(f"{name}r{k} AS (SELECT {key}, p // 16 AS p, list(h ORDER BY p) AS run, any_value(n) AS n FROM {now} GROUP BY ALL)")
+            made.append(f"{name}{k} AS (SELECT {key}, p, if(n = 1, run[1], sha256(array_to_string(run, ''))) AS h, (n + 15) // 16 AS n FROM {name}r{k})")
+            now = f"{name}{k}"
+        return made
+
+    def joins(name: str, key: str, at: str) -> str:
+        return " ".join(f"JOIN {name}r{k} ON {name}r{k}.{key} = x.{key} AND {name}r{k}.p = x.{at} // {16 ** (k + 1)}" for k in range(levels))
+
+    def sides(name: str, at: str, k: int) -> tuple[str, str]:
+        place = f"(x.{at} // {16 ** k} % 16)"
+        return f"array_to_string({name}r{k}.run[1:{place}], '')", f"array_to_string({name}r{k}.run[{place} + 2:], '')"
+
+    def folded(start: str, name: str, at: str) -> str:
+        for k in range(levels):
+            a, b = sides(name, at, k)
+            start = f"if({name}r{k}.n = 1, {start}, sha256({a} || {start} || {b}))"
+        return start
+
+    def siblings(name: str, at: str) -> str:
+        return " || ".join(f"if({name}r{k}.n = 1, '', {' || '.join(sides(name, at, k))})" for k in range(levels))
+
+    return f"""WITH raw AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, {leaf.format('text')} AS leaf,
+            CASE WHEN {crc} % 5 = 0 THEN {leaf.format(f'({lower})')} END AS bad FROM documents),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM raw),
+        base AS (SELECT tree, p, leaf AS h, n FROM leaves), {', '.join(grow('s', 'base', 'tree'))},
+        tops AS (SELECT 0 AS g, tree, h, row_number() OVER (ORDER BY tree) - 1 AS p, count(*) OVER () AS n FROM s{levels - 1}),
+        tbase AS (SELECT g, p, h, n FROM tops), {', '.join(grow('t', 'tbase', 'g'))},
+        high AS (SELECT x.tree, x.h AS subroot, x.p AS tp, x.g, {siblings('t', 'p')} AS above FROM tops x {joins('t', 'g', 'p')}),
+        low AS (SELECT x.*, {siblings('s', 'p')} AS below, {folded("coalesce(x.bad, x.leaf)", 's', 'p')} AS part FROM leaves x {joins('s', 'tree', 'p')}),
+        x AS (SELECT low.*, subroot, tp, g, sha256(below || above) AS proof_sha256 FROM low JOIN high USING (tree)),
+        done AS (SELECT x.doc_id, x.leaf, x.subroot, x.proof_sha256, {folded('x.part', 't', 'tp')} AS folded_root FROM x {joins('t', 'g', 'tp')})
+        SELECT doc_id, leaf, subroot, h AS root, proof_sha256, folded_root, folded_root = h AS verified FROM done, t{levels - 1}"""
+
+
+@query("op12_merkle_manifest", _manifest_sql(5))
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select(*merkle_manifest.FIELDS)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle_manifest.audit(merkle_manifest.build(docs, altered=F.when(hit, lowered).otherwise(F.col("text"))))
