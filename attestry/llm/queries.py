@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import (decontaminate, fingerprint, html_extract, language, line_dedup, merkle_manifest, near_dedup, packing, preference,
+from . import (decontaminate, fingerprint, hard_negatives, html_extract, language, line_dedup, merkle_manifest, near_dedup, packing, preference,
                quality, substring_dedup, url_filter)
 
 VOCABULARY = "byte_bpe_50k"
@@ -198,3 +198,19 @@ def op12(spark, folder):
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return merkle_manifest.audit(merkle_manifest.build(docs, altered=F.when(hit, lowered).otherwise(F.col("text"))))
+
+
+@query("op13_hard_negatives", """WITH given AS (SELECT vec_id, if(vec_id % 7 = 0, (label + 1) % 10, label) AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM given a JOIN given b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    positive AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id,
+        positive_score, score AS negative_score FROM positive JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""")
+def op13(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
