@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-STAGES = 4
+STAGES = 6
 PLANES = 8  # bits of an anchor's components
 SHARD_ROWS = 1 << 16
 LEAST_SHARDS = 32
@@ -97,11 +97,11 @@ class Shard:
         width, facts = len(rotated), self.facts[at:to]
         estimate = np.zeros(to - at)
         for t in range(STAGES):
-            met = np.zeros(to - at, np.int64)
+            met = np.zeros(to - at, np.int32)
             for k in range(PLANES):
                 for w in range(self.codes.shape[1]):
-                    met += np.bitwise_count(self.codes[t, w, at:to] & planes[k, w]).astype(np.int64) << k
-            with_signs = low * (2 * self.ones[t, at:to] - width) + step * 2 * met - (stood - low).sum()
+                    met += np.bitwise_count(self.codes[t, w, at:to] & planes[k, w]).astype(np.int32) << k
+            with_signs = low * (2 * self.ones[t, at:to] - width) + 2 * step * met - (stood - low).sum()
             estimate += facts[:, t] * with_signs
         off, length = float(np.linalg.norm(rotated - stood)), float(np.linalg.norm(anchor))
         along = np.maximum(np.abs(with_signs) / np.sqrt(width) - off, 0)

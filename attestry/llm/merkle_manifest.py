@@ -4,15 +4,15 @@ Each row is a leaf: H (lowercase hex SHA-256) over its fields, each `-` if null,
 The leaves of a source ascend by doc_id (null first, ties by leaf) and are joined 16 at a time, the last run being shorter, until
 one node is left: the source's subroot (a lone leaf is its own). The subroots, by source (null first, bytewise), make the root.
 
-Of a tree only every SPAN-th level is kept as a table; the levels between are never written. A proof needs them for one aligned
-subtree at a time (16 ** SPAN nodes of a kept level): the task that holds those nodes joins them up again, emits each node's
+Of a tree only every `span`-th level is kept as a table; the levels between are never written. A proof needs them for one aligned
+subtree at a time (16 ** span nodes of a kept level): the task that holds those nodes joins them up again, emits each node's
 siblings, and forgets them. The path above a subtree is handed down with its root, once per subtree, never once per leaf.
 
 Rows that are alike are leaves of their own, in any number. An empty table gives no rows. Null and empty texts differ (`-`, `0:`).
 Only the five fields are read; other columns, whatever their names, play no part.
 
 At scale: positions come from a range-sorted table and one count per (source, file), so no source is ordered in one task. A task
-holds at most 16 ** SPAN nodes. The number of rounds is the depth of the deepest tree divided by SPAN.
+holds at most 16 ** span nodes. The number of rounds is the depth of the deepest tree divided by span.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ class Manifest:
 
     levels: list[DataFrame]
     upper: list[DataFrame]
+    span: int
 
 
 def leaf(*values: Column) -> Column:
@@ -76,11 +77,11 @@ def _h(text: bytes) -> bytes:
     return hashlib.sha256(text).hexdigest().encode()
 
 
-def _interior(digests: list[bytes], total: int) -> list[list[bytes]]:
-    """The levels of an aligned subtree from its lowest nodes (hex) up: SPAN of them, or to the root if it is the whole tree."""
+def _interior(digests: list[bytes], total: int, span: int) -> list[list[bytes]]:
+    """The levels of an aligned subtree from its lowest nodes (hex) up: `span` of them, or to the root if it is the whole tree."""
     levels = [digests]
-    whole = total <= ARITY**SPAN
-    while len(levels) <= SPAN and not (whole and len(levels[-1]) == 1):
+    whole = total <= ARITY**span
+    while len(levels) <= span and not (whole and len(levels[-1]) == 1):
         below = levels[-1]
         levels.append([_h(b"".join(below[i:i + ARITY])) for i in range(0, len(below), ARITY)])
     return levels
@@ -90,27 +91,33 @@ def _hex(column: pd.Series) -> list[bytes]:
     return [bytes(d).hex().encode() for d in column]
 
 
-def _climb(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos")
-    total = int(pdf.total.iloc[0])
-    top = _interior(_hex(pdf.digest), total)[-1][0]
-    return pd.DataFrame({"tree": [pdf.tree.iloc[0]], "pos": [int(pdf.pos.iloc[0]) >> ARITY_BITS * SPAN], "total": [-(-total // ARITY**SPAN)],
-                         "digest": [bytes.fromhex(top.decode())]})
+def _climb(span: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def climb(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        total = int(pdf.total.iloc[0])
+        top = _interior(_hex(pdf.digest), total, span)[-1][0]
+        return pd.DataFrame({"tree": [pdf.tree.iloc[0]], "pos": [int(pdf.pos.iloc[0]) >> ARITY_BITS * span], "total": [-(-total // ARITY**span)],
+                             "digest": [bytes.fromhex(top.decode())]})
 
+    return climb
 
-def _grow(nodes: DataFrame) -> list[DataFrame]:
+
+def _subtree(span: int) -> Column:
+    return F.shiftright("pos", ARITY_BITS * span).alias("subtree")
+
+
+def _grow(nodes: DataFrame, span: int) -> list[DataFrame]:
     """All kept levels above `nodes`, which is the first of them."""
     levels = [nodes]
     most = nodes.agg(F.max("total")).first()[0] or 0
     while most > 1:
-        subtree = F.shiftright("pos", ARITY_BITS * SPAN).alias("subtree")
-        up = levels[-1].select("tree", "pos", "total", "digest").groupBy("tree", subtree).applyInPandas(_climb, "tree string, pos bigint, total bigint, digest binary")
-        levels.append(settle(up, "manifest-level"))
-        most = -(-most // ARITY**SPAN)
+        below = levels[-1].select("tree", "pos", "total", "digest").groupBy("tree", _subtree(span))
+        levels.append(settle(below.applyInPandas(_climb(span), "tree string, pos bigint, total bigint, digest binary"), "manifest-level"))
+        most = -(-most // ARITY**span)
     return levels
 
 
-def build(docs: DataFrame, altered: Column | None = None) -> Manifest:
+def build(docs: DataFrame, altered: Column | None = None, span: int = SPAN) -> Manifest:
     """The manifest of `docs`. `altered` is a text that may have replaced a row's own since; `audit` holds its leaf against the tree."""
     altered = F.col("text") if altered is None else altered
     same = altered.eqNullSafe(F.col("text"))
@@ -119,9 +126,9 @@ def build(docs: DataFrame, altered: Column | None = None) -> Manifest:
     rows = rows.select("doc_id", _tree(F.col("source")).alias("tree"), F.unhex(leaf(*fields)).alias("digest"),
                        F.when(~F.col("_same"), F.unhex(leaf(*fields[:-1], F.col("_altered")))).alias("altered"))
     leaves = _numbered(settle(rows, "manifest-leaves"), F.col("doc_id").asc_nulls_first(), F.col("digest"))
-    levels = _grow(settle(leaves, "manifest-level"))
+    levels = _grow(settle(leaves, "manifest-level"), span)
     roots = levels[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest")
-    return Manifest(levels, _grow(settle(_numbered(roots, F.col("of")), "manifest-level")))
+    return Manifest(levels, _grow(settle(_numbered(roots, F.col("of")), "manifest-level"), span), span)
 
 
 # -- proofs: down from the root, one aligned subtree at a time -----------------------------
@@ -142,10 +149,10 @@ def _runs(levels: list[list[bytes]]) -> list[list[tuple[bytes, bytes]]]:
     return out
 
 
-def _paths(nodes: pd.DataFrame, above: pd.DataFrame):
+def _paths(nodes: pd.DataFrame, above: pd.DataFrame, span: int):
     """Per node of one subtree, in order: its row and the siblings of every level up to the root."""
     nodes = nodes.sort_values("pos")
-    sides = _runs(_interior(_hex(nodes.digest), int(nodes.total.iloc[0])))
+    sides = _runs(_interior(_hex(nodes.digest), int(nodes.total.iloc[0]), span))
     up = above.iloc[0]
     higher = [(bytes(a), bytes(b)) for a, b in zip(up.ahead, up.behind)]
     for i, row in enumerate(nodes.itertuples(index=False)):
@@ -159,14 +166,14 @@ def fold(digest: bytes, path: list[tuple[bytes, bytes]]) -> bytes:
     return digest
 
 
-def _hand_down(nodes: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-    made = [(row.tree, row.pos, [a for a, _ in path], [b for _, b in path], up.subroot, up.root) for row, path, up in _paths(nodes, above)]
+def _hand_down(nodes: pd.DataFrame, above: pd.DataFrame, span: int) -> pd.DataFrame:
+    made = [(row.tree, row.pos, [a for a, _ in path], [b for _, b in path], up.subroot, up.root) for row, path, up in _paths(nodes, above, span)]
     return pd.DataFrame(made, columns=["tree", "pos", "ahead", "behind", "subroot", "root"])
 
 
-def _audited(nodes: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+def _audited(nodes: pd.DataFrame, above: pd.DataFrame, span: int) -> pd.DataFrame:
     made = []
-    for row, path, up in _paths(nodes, above):
+    for row, path, up in _paths(nodes, above, span):
         proof = hashlib.sha256(b"".join(side for sides in path for side in sides)).hexdigest()
         own = bytes(row.digest).hex()
         folded = fold((own if row.altered is None else bytes(row.altered).hex()).encode(), path).decode()
@@ -174,19 +181,19 @@ def _audited(nodes: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(made, columns=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
 
-def _proven(nodes: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-    made = [(row.doc_id, bytes(row.digest).hex(), [{"ahead": a.decode(), "behind": b.decode()} for a, b in path], up.root) for row, path, up in _paths(nodes, above)]
+def _proven(nodes: pd.DataFrame, above: pd.DataFrame, span: int) -> pd.DataFrame:
+    made = [(row.doc_id, bytes(row.digest).hex(), [{"ahead": a.decode(), "behind": b.decode()} for a, b in path], up.root) for row, path, up in _paths(nodes, above, span)]
     return pd.DataFrame(made, columns=["doc_id", "leaf", "path", "root"])
 
 
-def _below(nodes: DataFrame, above: DataFrame, emit: Callable, schema: str) -> DataFrame:
+def _below(nodes: DataFrame, above: DataFrame, span: int, emit: Callable, schema: str) -> DataFrame:
     """Meet each subtree of a kept level with what comes down to its root."""
-    subtrees = nodes.groupBy("tree", F.shiftright("pos", ARITY_BITS * SPAN).alias("subtree"))
+    roots = above.groupBy("tree", F.col("pos").alias("subtree"))
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return emit(left, right)
+        return emit(left, right, span)
 
-    return subtrees.cogroup(above.groupBy("tree", F.col("pos").alias("subtree"))).applyInPandas(both, schema)
+    return nodes.groupBy("tree", _subtree(span)).cogroup(roots).applyInPandas(both, schema)
 
 
 def _descend(manifest: Manifest) -> DataFrame:
@@ -195,19 +202,19 @@ def _descend(manifest: Manifest) -> DataFrame:
     none = F.array().cast("array<binary>")
     above = top.select("tree", "pos", none.alias("ahead"), none.alias("behind"), F.lit(None).cast("string").alias("subroot"), "root")
     for nodes in reversed(manifest.upper[:-1]):
-        above = _below(nodes.select("tree", "pos", "total", "digest"), above, _hand_down, ABOVE)
+        above = _below(nodes.select("tree", "pos", "total", "digest"), above, manifest.span, _hand_down, ABOVE)
     named = manifest.upper[0].select("tree", "pos", "of", F.lower(F.hex("digest")).alias("_own"))
     above = above.drop("subroot").join(named, ["tree", "pos"]).select(
         F.col("of").alias("tree"), F.lit(0).cast("bigint").alias("pos"), "ahead", "behind", F.col("_own").alias("subroot"), "root")
     for nodes in reversed(manifest.levels[1:-1]):
-        above = _below(nodes, above, _hand_down, ABOVE)
+        above = _below(nodes, above, manifest.span, _hand_down, ABOVE)
     return settle(above, "manifest-paths") if len(manifest.levels) > 1 else above
 
 
 def _all(manifest: Manifest, emit: Callable, schema: str) -> DataFrame:
     leaves = manifest.levels[0]
     kind = leaves.schema["doc_id"].dataType.simpleString()
-    return _below(leaves.select("tree", "pos", "total", "doc_id", "digest", "altered"), _descend(manifest), emit, f"doc_id {kind}, {schema}")
+    return _below(leaves.select("tree", "pos", "total", "doc_id", "digest", "altered"), _descend(manifest), manifest.span, emit, f"doc_id {kind}, {schema}")
 
 
 def audit(manifest: Manifest) -> DataFrame:
