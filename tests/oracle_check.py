@@ -57,7 +57,9 @@ def differences(spark, con, folder: str, fn, sql: str, empty_ok: bool = False) -
         only_a = [x for x in a if x not in set(b)][:2]
         only_b = [x for x in b if x not in set(a)][:2]
         return f"values {sorted(names)}\n  spark {only_a}\n  duck  {only_b}"
-    types = {f.dataType.simpleString() for f in df.schema.fields}
-    if "int" in types or "float" in types or any(t.startswith("decimal") for t in types):
-        return f"narrow types {df.dtypes}"
+    wide = {names[j]: str(d[1]) for j, d in enumerate(cur.description)}
+    for f in df.schema.fields:  # a narrow type has to be the statement's own
+        kind = f.dataType.simpleString()
+        if kind == "float" or kind.startswith("decimal") or (kind == "int" and wide[f.name] != "INTEGER"):
+            return f"narrow types {df.dtypes}"
     return None
