@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..operators import lifecycle, reconcile
 from ..plans import proofs, rules, verdicts
-from .joins import AUDIT_SQL, TAMPER_SQL, records
+from .joins import AUDIT_SQL, DOC_KIND, HASHED_AUDIT_SQL, TAMPER_SQL, hashed_anchors, records
 from .registry import query
 
 AS_OF = 1706700000000
@@ -123,6 +123,16 @@ def r11(t):
     return rules.anchor_alerts(tables(t, anchors=t.anchors, records=records(t), milestones=t.milestones)).select("rule", "dedupe_key")
 
 
+@query("r11_anchors_hashed", f"""SELECT CASE WHEN state = 'mismatch' THEN 'ANCHOR_MISMATCH' ELSE 'ANCHOR_UNVERIFIABLE' END AS rule, seq,
+    CASE WHEN state = 'mismatch' THEN detail ELSE 'since' END AS what FROM ({HASHED_AUDIT_SQL}) WHERE state <> 'verified'""")
+def r11b(t):
+    shown, records_ = hashed_anchors(t)
+    shown = shown.withColumn("at_ms", F.lit(0).cast("bigint"))
+    found = rules.anchor_alerts(tables(t, anchors=shown, records=records_, milestones=t.milestones), doc_kind=DOC_KIND)
+    part = F.split("dedupe_key", ":")
+    return found.select("rule", part[1].cast("bigint").alias("seq"), part[2].alias("what"))
+
+
 @query("r12_clock_skew", f"SELECT block_id, ie_id, abs(iat - ts * 1000) / 1000e0 AS skew_s FROM messages WHERE {PROVEN} AND abs(iat - ts * 1000) > 300000")
 def r12(t):
     a = rules.clock_skew(tables(t))
@@ -310,7 +320,7 @@ def w7(t):
 
 
 @query("w7_checkpoint_hashes", """WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY r.w) AS k, r.w - 1 AS win,
-      concat('{"domain":"d","from":{"id":"', (SELECT arg_min(id, idx) FROM windows WHERE seq = r.w), '","index":', (r.w - 1) * 720 + 1, '},"kind":"witness.checkpoint","msRoot":"', root,
+      concat('{"domain":"d","from":{"id":"', (SELECT arg_min(id, idx) FROM windows WHERE seq = r.w), '","index":', (r.w - 1) * 720 + 1, '},"kind":"ledger.checkpoint","msRoot":"', root,
         '","msgCount":', (SELECT count(*) FROM messages WHERE (ms_index - 1) // 720 = r.w - 1), ',"network":"n","policyHash":"0x0","prev":') AS head,
       concat(',"to":{"id":"', (SELECT arg_max(id, idx) FROM windows WHERE seq = r.w), '","index":', r.w * 720, '},"v":1}') AS tail FROM wtree_root r),
     h AS (SELECT k, win, CAST(NULL AS VARCHAR) AS prev, concat('0x', sha256(concat(head, 'null', tail))) AS hash FROM c WHERE k = 1
@@ -319,7 +329,7 @@ def w7(t):
 def w7b(t):
     from ..operators import anchors
     made = anchors.checkpoints(t.milestones, t.messages, network="n", domain="d", policy_hash="0x0")
-    return anchors.chained(made).select("window", "prev", "checkpoint_hash")
+    return anchors.chained(made, DOC_KIND).select("window", "prev", "checkpoint_hash")
 
 
 @query("w8_replays", """SELECT a.block_id FROM messages a WHERE EXISTS (SELECT 1 FROM messages b WHERE b.iss = a.iss AND b.seq = a.seq AND (b.ms_index, b.wf_index) < (a.ms_index, a.wf_index))""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import vocabulary as V
 from ..operators import anchors, chain, keys, lifecycle, ordered, ranges, reconcile, reports, scores, scoring
 from ..sources import loads
 from .registry import query
@@ -220,6 +221,30 @@ def j24(t):
     return anchors.audit(t.anchors, records(t), t.milestones).select("seq", "state", "detail")
 
 
+DOC_KIND = "ledger.checkpoint"
+#: What `hashed_anchors` plants: altered roots, mirrors and message counts, and one record that claims every index there can be.
+HASHED_AUDIT_SQL = """SELECT w AS seq, CASE WHEN w % 5 = 0 OR w % 3 = 0 OR w % 4 = 0 THEN 'mismatch' ELSE 'verified' END AS state,
+    CASE WHEN w % 5 = 0 THEN 'root' WHEN w % 3 = 0 THEN 'mirror' WHEN w % 4 = 0 THEN 'hash' END AS detail FROM wtree_root
+    UNION ALL SELECT 0, 'unverifiable', 'incomplete' FROM (SELECT 1 FROM wtree_root LIMIT 1)"""
+
+
+def hashed_anchors(t):
+    """Anchors and records with every hashed field, some of them altered."""
+    made = anchors.chained(anchors.checkpoints(t.milestones, t.messages, network="n", domain="d", policy_hash="0x0"), DOC_KIND).withColumn("seq", F.col("window") + 1)
+    seq = F.col("seq")
+    shown = made.select("seq", F.when(seq % 3 == 0, F.concat("checkpoint_hash", F.lit("0"))).otherwise(F.col("checkpoint_hash")).alias("checkpoint_hash"))
+    records_ = made.withColumns({"ms_root": F.when(seq % 5 == 0, F.reverse("ms_root")).otherwise(F.col("ms_root")), "msg_count": F.col("msg_count") + (seq % 4 == 0).cast("int")})
+    forged = made.limit(1).withColumns({"seq": F.lit(0).cast("bigint"), "from_ms": F.lit(0).cast("bigint"), "to_ms": F.lit(V.MAX_MILESTONE).cast("bigint")})
+    forged = forged.withColumn("checkpoint_hash", anchors.checkpoint_hash(DOC_KIND))
+    return shown.unionByName(forged.select("seq", "checkpoint_hash")), records_.unionByName(forged)
+
+
+@query("j24_anchor_audit_hashed", HASHED_AUDIT_SQL)
+def j24b(t):
+    shown, records_ = hashed_anchors(t)
+    return anchors.audit(shown, records_, t.milestones, doc_kind=DOC_KIND).select("seq", "state", "detail")
+
+
 @query("j25_recheck", f"""WITH r AS ({RECORDS}), x AS (SELECT a.seq, 'ms_root' AS what, a.ms_root AS explorer, r.ms_root AS chain FROM anchors a LEFT JOIN r USING (seq)
     UNION ALL SELECT a.seq, 'checkpoint_hash', a.checkpoint_hash, r.checkpoint_hash FROM anchors a LEFT JOIN r USING (seq)),
     c AS (SELECT *, CASE WHEN explorer IS NULL OR chain IS NULL THEN 'unknown' WHEN explorer = chain THEN 'same' ELSE 'differs' END AS c FROM x)

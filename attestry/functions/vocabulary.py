@@ -71,4 +71,3 @@ DRIFT_EPSILON, DRIFT_GRACE_S, JUMP, STALE_S, SKEW_S = 0.01, 150, 0.3, 120, 300
 CORROBORATION_S, SHADOW_GRACE_S, UNVERIFIABLE_GRACE_S, ORPHAN_S = 300, 30, 600, 60
 WINDOW_MS, QUIET_MS, DROP, EPS = 600_000, 1_800_000, 0.2, 1e-9
 CHECKPOINT_EVERY = 720
-CHECKPOINT_KIND = "witness.checkpoint"

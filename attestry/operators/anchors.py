@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions import vocabulary as V
 from ..session import settle
-from . import merkle, ordered
+from . import merkle, ordered, ranges
 
 CHECKPOINT_FIELDS = ("network", "domain", "from_ms", "from_id", "to_ms", "to_id", "ms_root", "msg_count", "policy_hash", "prev")
 
@@ -41,26 +41,26 @@ def checkpoints(milestones: DataFrame, messages: DataFrame, *, network: str, dom
             .withColumn("network", F.lit(network)).withColumn("domain", F.lit(domain)).withColumn("policy_hash", F.lit(policy_hash)))
 
 
-def _parts() -> tuple[Column, Column]:
+def _parts(doc_kind: str) -> tuple[Column, Column]:
     """The canonical JSON of a checkpoint up to and after the value of `prev`: the keys are sorted, so only policyHash lies
     between `network` and it."""
     plain = lambda c: F.when(F.col(c).isNotNull(), F.regexp_replace(H.canonical_text(F.to_json(F.array(F.col(c)))), r"^\[|\]$", ""))
     number = lambda c: F.col(c).cast("bigint").cast("string")
     bound = lambda i, n: F.concat(F.lit('{"id":'), plain(i), F.lit(',"index":'), number(n), F.lit("}"))
-    head = F.concat(F.lit('{"domain":'), plain("domain"), F.lit(',"from":'), bound("from_id", "from_ms"), F.lit(f',"kind":"{V.CHECKPOINT_KIND}","msRoot":'),
+    head = F.concat(F.lit('{"domain":'), plain("domain"), F.lit(',"from":'), bound("from_id", "from_ms"), F.lit(f',"kind":"{doc_kind}","msRoot":'),
                     plain("ms_root"), F.lit(',"msgCount":'), number("msg_count"), F.lit(',"network":'), plain("network"), F.lit(',"policyHash":'),
                     plain("policy_hash"), F.lit(',"prev":'))
     return head, F.concat(F.lit(',"to":'), bound("to_id", "to_ms"), F.lit(',"v":1}'))
 
 
-def checkpoint_hash(algorithm: str = "sha256") -> Column:
-    """The hash of a checkpoint's canonical fields (CHECKPOINT_FIELDS), `prev` among them; null if another field is missing."""
-    head, tail = _parts()
+def checkpoint_hash(doc_kind: str, algorithm: str = "sha256") -> Column:
+    """The hash of a checkpoint's canonical fields (CHECKPOINT_FIELDS) under a document kind, plain letters and dots; null if a field but `prev` is missing."""
+    head, tail = _parts(doc_kind)
     prev = F.coalesce(F.concat(F.lit('"'), "prev", F.lit('"')), F.lit("null"))
     return F.concat(F.lit("0x"), H.hash_hex(F.concat(head, prev, tail), algorithm))
 
 
-def chained(checkpoints_: DataFrame, *, first_prev: str | None = None, algorithm: str = "sha256") -> DataFrame:
+def chained(checkpoints_: DataFrame, doc_kind: str, *, first_prev: str | None = None, algorithm: str = "sha256") -> DataFrame:
     """Add `prev`, the hash of the checkpoint before (of the first one `first_prev`), and `checkpoint_hash`, which commits to it.
 
     Every hash needs the one before, so one task folds over the sorted rows: a row per window, of a few hundred bytes, read
@@ -81,7 +81,7 @@ def chained(checkpoints_: DataFrame, *, first_prev: str | None = None, algorithm
                 prev = links[-1][1]
             yield pd.DataFrame({"window": rows["window"], "prev": [a for a, _ in links], "checkpoint_hash": [b for _, b in links]})
 
-    head, tail = _parts()
+    head, tail = _parts(doc_kind)
     checkpoints_ = settle(checkpoints_, "checkpoints")  # read twice, and its trees must not be built twice
     kind = checkpoints_.schema["window"].dataType.simpleString()
     links = checkpoints_.select("window", head.alias("head"), tail.alias("tail")).coalesce(1).sortWithinPartitions("window").mapInPandas(fold, f"window {kind}, prev string, checkpoint_hash string")
@@ -98,19 +98,15 @@ def chain_breaks(anchors: DataFrame) -> DataFrame:
                            .otherwise(F.col("prev_hash").isNull())).drop("_before", "_all", "_seq")
 
 
-def audit(anchors: DataFrame, records: DataFrame, milestones: DataFrame, every: int = V.CHECKPOINT_EVERY, algorithm: str = "sha256") -> DataFrame:
-    """Anchor states: the mirrored hash against the record's, and the recomputed root against the record's. Where the records
-    carry all of CHECKPOINT_FIELDS, the hash of these is recomputed too: a record that does not hash to what it states is a mismatch.
+def audit(anchors: DataFrame, records: DataFrame, milestones: DataFrame, every: int = V.CHECKPOINT_EVERY, algorithm: str = "sha256",
+          doc_kind: str | None = None) -> DataFrame:
+    """Anchor states: the mirrored hash against the record's, and the recomputed root against the record's. With `doc_kind`, the records
+    carry all of CHECKPOINT_FIELDS and their hash is recomputed too: a record that does not hash to what it states is a mismatch.
 
-    records: seq, from_ms, to_ms, ms_root, checkpoint_hash. Milestones meet windows by equal keys: each
-    window lists the milestones it needs, so completeness is a count."""
-    need = records.select("seq", "from_ms", "to_ms", F.explode(F.sequence("from_ms", "to_ms")).alias("idx"))
-    have = need.join(milestones.select("idx", "id"), "idx").withColumn("place", F.col("idx") - F.col("from_ms"))
-    complete = (have.groupBy("seq", "from_ms", "to_ms").agg(F.count(F.lit(1)).alias("n"))
-                .filter(F.col("n") == F.col("to_ms") - F.col("from_ms") + 1).select("seq"))
-    tree = merkle.roots(have.join(complete, "seq", "left_semi"), ["seq"], "place", "id")
-    whole = all(c in records.columns for c in CHECKPOINT_FIELDS)
-    altered = ~checkpoint_hash(algorithm).eqNullSafe(F.col("checkpoint_hash")) if whole else F.lit(False)
+    records: seq, from_ms, to_ms, ms_root, checkpoint_hash. What a record claims is not believed: only a range of which every
+    milestone is stored is ever listed, and its tree built."""
+    tree = merkle.roots(ranges.members(ranges.complete(records, milestones), milestones), ["seq"], "place", "id")
+    altered = F.lit(False) if doc_kind is None else ~checkpoint_hash(doc_kind, algorithm).eqNullSafe(F.col("checkpoint_hash"))
     df = (anchors.select("seq", F.col("checkpoint_hash").alias("mirror_hash"))
           .join(records.select("seq", "from_ms", "to_ms", F.col("ms_root").alias("record_root"), F.col("checkpoint_hash").alias("record_hash"),
                                altered.alias("altered")), "seq", "left")

@@ -140,9 +140,11 @@ def stale(t: Tables, threshold_s: int = V.STALE_S) -> DataFrame:
         dedupe=F.concat(F.lit("window:"), F.col("ts").cast("string"), F.lit(f"+{threshold_s}")))
 
 
-def anchor_alerts(t: Tables, grace_s: int = V.UNVERIFIABLE_GRACE_S) -> DataFrame:
-    """ANCHOR_MISMATCH, and ANCHOR_UNVERIFIABLE past the grace (since `since_ms`, else the anchor's own time)."""
-    states = A.audit(t.anchors, t.records, t.milestones)
+def anchor_alerts(t: Tables, grace_s: int = V.UNVERIFIABLE_GRACE_S, doc_kind: str | None = None) -> DataFrame:
+    """ANCHOR_MISMATCH, and ANCHOR_UNVERIFIABLE past the grace (since `since_ms`, else the anchor's own time).
+
+    With `doc_kind` the records carry all hashed fields, and their hashes are recomputed."""
+    states = A.audit(t.anchors, t.records, t.milestones, doc_kind=doc_kind)
     since = F.col("since_ms") if "since_ms" in t.anchors.columns else F.col("at_ms")
     rows = states.join(t.anchors.select("seq", since.alias("since_ms"), F.col("checkpoint_hash").alias("mirror")), "seq")
     seq = F.col("seq").cast("string")
