@@ -8,14 +8,15 @@ from ..plans import incidents as I
 from .registry import query
 
 AS_OF = 1706700000000
-_RUNS: dict[int, tuple] = {}
+_RUNS: dict[tuple, tuple] = {}
 
 
 def run(t: Ledger):
     """One correlation run per ledger; its tables live in the shared folder."""
-    if id(t) not in _RUNS:
-        _RUNS[id(t)] = I.correlate(t.messages, t.alerts, t.submissions, t.policy, t.context_ie, t.component_host, AS_OF)
-    return _RUNS[id(t)]
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _RUNS:
+        _RUNS[key] = I.correlate(t.messages, t.alerts, t.submissions, t.policy, t.context_ie, t.component_host, AS_OF)
+    return _RUNS[key]
 
 
 @query("i1_observations")
@@ -113,12 +114,27 @@ def i4(t):
 @query("i8_revoked_evidence", """SELECT block_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM messages JOIN alerts USING (block_id)
     WHERE kind = 'self-orchestrator' AND error_code <> 0 AND verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED') AND rule IN ('SHADOW', 'UNSIGNED') GROUP BY block_id""")
 def i8(t):
-    # events that would count but for an alert raised on their block: the overlay takes them out of evidence
+    # in hindsight: events that would count but for an alert raised on their block
     bad = t.alerts.filter(F.col("rule").isin("SHADOW", "UNSIGNED"))
-    clean = t.alerts.join(bad.select("id"), "id", "left_anti")
-    s = I.Settings()
-    would = I.message_observations(I._subjects(t.messages, t.policy, clean, t.submissions, t.component_host, s), s)
-    would = would.filter("role = 'security'").select("block_id")
-    counted = run(t)[0].filter("role = 'security'").select("block_id")
-    lost = would.join(counted, "block_id", "left_anti").join(bad.select("block_id", "rule"), "block_id")
+    s = I.Settings(hindsight=True)
+
+    def counted(alerts):
+        rows = I.message_observations(I._subjects(t.messages, t.policy, alerts, t.submissions, t.component_host, s), s)
+        return rows.filter("role = 'security'").select("block_id")
+
+    lost = counted(t.alerts.join(bad.select("id"), "id", "left_anti")).join(counted(t.alerts), "block_id", "left_anti").join(bad.select("block_id", "rule"), "block_id")
     return lost.groupBy("block_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+
+
+@query("i8_revocations", """SELECT DISTINCT block_id, rule FROM messages JOIN alerts USING (block_id)
+    WHERE kind = 'self-orchestrator' AND error_code <> 0 AND verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED') AND rule = 'SHADOW' AND at_ms > ts * 1000""")
+def i8b(t):
+    # as it happened: errors counted when they came and were taken back when the alert did
+    obs, changes = run(t)
+    errors = obs.filter("role = 'security' AND is_drop = false AND severity = 'medium'").select("block_id")
+    return changes.filter("action = 'revoked'").join(errors, "block_id", "left_semi").select("block_id", "rule").distinct()
+
+
+@query("i11_memberships")
+def i11b(t):
+    return I.memberships(run(t)[1]).select("incident", "block_id", "role", "sign")

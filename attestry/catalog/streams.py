@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..plans import incidents as I
 from ..session import scratch_path, settle
 from ..streaming import jobs as J
-from .incident_queries import AS_OF, run
+from .incident_queries import run
 from .jobs import EPISODES_SQL, drift_log
 from .registry import query
 
@@ -14,7 +15,7 @@ _FEEDS: dict[tuple, str] = {}
 
 def feed(t, name, df, clock, slices=3):
     """A folder whose files arrive in time order, as a stream. Written once per ledger."""
-    key = (id(t), name)
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
     if key not in _FEEDS:
         path = scratch_path(t.spark, f"feed-{name}")
         df = settle(df, name)
@@ -92,9 +93,9 @@ def t6(t):
 
 @query("t7_incident_stream")
 def t7(t):
-    obs = run(t)[0].drop("island")
-    changes = J.finish(J.incident_stream(feed(t, "observations", obs, "ord_ms"), AS_OF))
-    return changes.select("incident", "action", "block_id", "role", "status")
+    changes = scratch_path(t.spark, "incident-changes")
+    J.incident_stream(feed(t, "observations", run(t)[0].drop("oid"), "ord_ms"), scratch_path(t.spark, "books"), changes)
+    return t.spark.read.schema(I.CHANGE).parquet(changes).select("incident", "action", "block_id", "role", "status")
 
 
 @query("t8_late_rows", "SELECT block_id FROM messages WHERE n % 301 = 0 AND ms_index > 6200")

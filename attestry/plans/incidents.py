@@ -1,12 +1,16 @@
-"""Incident correlation: observations, sessions, recovery, quiet close, alert links.
+"""Incident correlation: observations, components, sessions, recovery, quiet close, retraction, alert links.
 
-Columns decide what each message or alert means; only the ordered fold is Python. Its groups
-are islands: stretches of one correlation key (an element, else a component, an issuer or the ledger)
-without a pause long enough to close everything. An island above the hot-group limit is folded in
-slices, its state carried through the shared folder, so no task ever holds more than one slice.
+Columns decide what each message or alert means. Observations that can meet share a correlation key (an element, a component, an
+issuer) or a block, directly or through others, within the time an incident can stay open: Spark finds these temporal connected
+components (`place`), and each is folded in order by a small state machine. Nothing outside its component can change an incident.
 
-An incident that saw no event for `quiet_ms` of ledger time is closed before the next observation is
-looked at. That bounds what an observation can influence, and makes cutting at pauses exact.
+Trust is judged as things were when a message arrived. An alert that takes a block's trust away later is an observation of its own
+("distrust"): the block's event becomes evidence, an incident it closed reopens, and the recovery target follows from what is left.
+The changes are a log; `memberships` reads it as rows with a sign, so that the events of an incident are a sum.
+
+An incident that saw no event for `quiet_ms` of ledger time is closed before the next observation is looked at. That bounds what an
+observation can influence. `advance` folds a batch of observations onto the books kept by earlier ones: the whole ledger is one such
+batch (`correlate`), a stream is many.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import vocabulary as V
-from ..operators import documents, ordered, scores
+from ..operators import documents, graph, ordered, scores
 from ..session import settle
 
 LLO_FAILED = "service component failed"
+LEDGER = "ledger"
 
 
 @dataclass(frozen=True)
@@ -33,12 +38,14 @@ class Settings:
     quiet_ms: int = V.QUIET_MS
     drop: float = V.DROP
     security_tags: tuple[str, ...] = ("self-security",)
+    hindsight: bool = False  # a block distrusted at any time never counts, instead of being taken back
+    keep_ms: int = 86_400_000  # how long a stream remembers a closed incident whose blocks may yet be distrusted
 
 
 # One observation. `ord_ms` and the columns after it give the order of processing.
 OBSERVATION = ("primary string, ord_ms bigint, ms_index bigint, wf_index bigint, rank int, alert_id bigint, block_id string,"
                " at_ms bigint, role string, level string, opens boolean, finding boolean, severity string, title string,"
-               " ie_id string, keys array<string>, score double, base double, base_block string, is_drop boolean, rule string, link_only boolean")
+               " ie_id string, keys array<string>, score double, base double, base_block string, is_drop boolean, rule string, link_only boolean, pending boolean")
 COLUMNS = [c.strip().split(" ")[0] for c in OBSERVATION.split(",")]
 ORDER = ("ord_ms", "ms_index", "wf_index", "block_id", "rank", "alert_id")
 
@@ -47,9 +54,20 @@ def _keys(ie: Column, sc_key: Column, host: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("ie:"), ie), F.concat(F.lit("sc:"), sc_key), F.concat(F.lit("ie:"), host))))
 
 
+def late_distrust(alerts: DataFrame, messages: DataFrame, s: Settings) -> DataFrame:
+    """Alerts that take away a block's trust after the block was looked at."""
+    doubts = alerts.filter(F.col("rule").isin(*V.DISTRUST_RULES) & F.col("severity").isin("critical", "high"))
+    seen = messages.select("block_id", F.col("ts").alias("_seen"))
+    return doubts.join(seen, "block_id").filter(F.lit(not s.hindsight) & (F.col("at_ms") > F.col("_seen") * 1000)).select(*alerts.columns)
+
+
 def _subjects(messages: DataFrame, policy: DataFrame, alerts: DataFrame, submissions: DataFrame, hosts: DataFrame, s: Settings) -> DataFrame:
     """Messages with trust, event time, subject element, component and host, and trusted previous scores."""
-    df = scores.trusted_flags(messages, policy, alerts, submissions)
+    late = late_distrust(alerts, messages, s)
+    df = scores.trusted_flags(messages, policy, alerts.join(late.select("id"), "id", "left_anti"), submissions)
+    df = documents.flag(df, "block_id", late.select("block_id"), "pending")
+    # a score distrusted at any time is nothing to compare others with
+    df = df.withColumns({c: F.col(c) & ~F.col("pending") for c in ("ref_proven", "ref_relayed")})
     df = df.withColumn("at_ms", C.event_time(F.col("ts"), F.col("confirmed_at_ms"), F.col("received_at_ms"), s.window_ms))
     df = df.withColumn("sc_key", C.component_key(F.when(F.col("kind").isin(*V.LLO_KINDS), F.col("service"))))
     table = hosts.select(C.component_key(F.col("service")).alias("sc_key"), F.col("host_ie")).dropDuplicates(["sc_key"])
@@ -89,14 +107,14 @@ def message_observations(subjects: DataFrame, s: Settings) -> DataFrame:
     out = subjects.filter(F.col("trust") != "untrusted").select(
         F.col("ts").alias("_ts"), "ms_index", "wf_index", "block_id", "at_ms", role.alias("role"), F.col("trust").alias("level"), opens.alias("opens"),
         severity.alias("severity"), C.label(title).alias("title"), ie.alias("ie_id"), keys.alias("keys"),
-        F.when(is_score, F.col("score")).alias("score"), base["score"].alias("base"), base["block"].alias("base_block"), drop.alias("is_drop"))
+        F.when(is_score, F.col("score")).alias("score"), base["score"].alias("base"), base["block"].alias("base_block"), drop.alias("is_drop"), "pending")
     out = out.filter("role IS NOT NULL")
     return _complete(out.withColumn("rank", F.lit(0)).withColumn("ord_ms", F.col("_ts") * 1000))
 
 
 def _complete(df: DataFrame) -> DataFrame:
     fields = {c.strip().split(" ")[0]: c.strip().split(" ", 1)[1] for c in OBSERVATION.split(",")}
-    filled = {"alert_id": F.lit(-1), "finding": F.lit(False), "link_only": F.lit(False)}
+    filled = {"alert_id": F.lit(-1), "finding": F.lit(False), "link_only": F.lit(False), "pending": F.lit(False)}
     ie = F.get(F.filter("keys", lambda k: k.startswith("ie:")), F.lit(0))
     df = df.withColumn("primary", F.coalesce(ie, F.get("keys", F.lit(0))))
     return df.select(*[(F.col(n) if n in df.columns else filled.get(n, F.lit(None))).cast(t).alias(n) for n, t in fields.items()])
@@ -116,13 +134,13 @@ def alert_observations(alerts: DataFrame, subjects: DataFrame, known: DataFrame,
     own = _keys(F.col("ie"), F.col("sc_key"), F.col("host_ie"))
     own = F.when(F.size(own) > 0, own).when(F.col("iss").isNotNull(), F.array(F.concat(F.lit("iss:"), "iss"))).otherwise(own)
     aimed = ~integrity & attack & (level == "untrusted") & F.col("resolvable")
-    keys = (F.when(integrity, F.array(F.coalesce(F.concat(F.lit("ie:"), "alert_ie"), F.lit("ledger"))))
+    keys = (F.when(integrity, F.array(F.coalesce(F.concat(F.lit("ie:"), "alert_ie"), F.lit(LEDGER))))
             .when(aimed, F.array(F.concat(F.lit("ie:"), "target"))).otherwise(own))
     keep = integrity | (level != "untrusted") | attack
     # an integrity alert without element still belongs to whatever incident holds its block: it visits the
     # block's own group first, and opens a ledger incident only if nothing holds it there
     visits = integrity & F.col("alert_ie").isNull() & F.col("ms_index").isNotNull() & (F.size(own) > 0)
-    subject = F.coalesce("ie", F.concat(F.lit("block "), F.substring("block_id", 1, 14)), F.lit("ledger"))
+    subject = F.coalesce("ie", F.concat(F.lit("block "), F.substring("block_id", 1, 14)), F.lit(LEDGER))
     title = F.concat(subject, F.lit(": "), F.lower(F.replace("rule", F.lit("_"), F.lit(" "))))
     ord_ms = F.coalesce(F.col("_ts") * 1000, F.floor(F.col("alert_ms") / 1000) * 1000)
     out = df.filter(keep).select(
@@ -135,67 +153,171 @@ def alert_observations(alerts: DataFrame, subjects: DataFrame, known: DataFrame,
     return _complete(out.filter(F.size("keys") > 0))
 
 
-def islands(obs: DataFrame, s: Settings) -> DataFrame:
-    """Add `island`: the start of the stretch of its key without a pause that closes everything.
+def distrust_observations(late: DataFrame, counted: DataFrame) -> DataFrame:
+    """A late alert on a block that counted, at the alert's own time. `counted` are the observations of messages."""
+    block = counted.select("block_id", "ie_id", "keys")
+    clock = F.floor(F.col("at_ms") / 1000) * 1000
+    rows = late.select("block_id", F.col("id").alias("alert_id"), "rule", "severity", "at_ms", clock.alias("ord_ms")).join(block, "block_id")
+    return _complete(rows.withColumns({"ms_index": F.lit(2**62), "wf_index": F.lit(0), "rank": F.lit(2), "role": F.lit("distrust"), "level": F.lit("untrusted"),
+                                       "opens": F.lit(False), "is_drop": F.lit(False), "title": F.lit(None).cast("string")}))
+
+
+# -- temporal components ----------------------------------------------------------------
+
+BLOCK_LINK = "block:"
+BOOK = "keys array<string>, last_ms bigint, state string"
+
+
+def _runs(held: DataFrame, reach: int) -> DataFrame:
+    """(oid, run, key, ord_ms): the stretches of each key without a pause beyond `reach`; those of a block never end."""
+    order = ordered.Order(("ord_ms", "oid"), "ord_ms")
+    seen = ordered.scan(held, ["key"], order, {"_before": ordered.last(F.col("ord_ms"))})
+    far = F.col("_before").isNull() | ((F.col("ord_ms") - F.col("_before") > reach) & ~F.startswith("key", F.lit(BLOCK_LINK)))
+    marked = ordered.scan(seen.withColumn("_start", F.when(far, F.col("ord_ms"))), ["key"], order, {"_since": ordered.last(F.col("_start"), F.col("_start").isNotNull())})
+    return marked.select("oid", F.xxhash64("key", F.coalesce("_start", "_since")).alias("run"), "key", "ord_ms")
+
+
+def _relabelled(spans: DataFrame, links: DataFrame) -> DataFrame:
+    """Give spans the component that `links` (between components) lead to."""
+    labels = graph.components(links, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return spans.join(labels, "component", "left").withColumn("component", F.coalesce("_to", "component")).drop("_to")
+
+
+def place(obs: DataFrame, s: Settings, books: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """`obs` (with a number `oid` of their own) and `books` with the `component` each belongs to.
 
-    Routine scores neither start nor extend a stretch; one too late to matter is dropped."""
-    obs = obs.withColumn("block_id", F.coalesce("block_id", F.lit("")))
-    order = ordered.Order(ORDER, "ord_ms", "wf_index")
-    acts = F.col("role") != "score"
+    First runs: stretches of one key. Observations with several keys, and a block's several observations, link runs. A component
+    then holds all its keys from its first observation until `reach` after its last, so components that meet on a key within their
+    extents are one; this is repeated until none meet. Each key's extents are disjoint in the end, and a routine score, which
+    neither opens nor extends anything, goes to the extent it falls in; where there is none it is left out.
+
+    After a few rounds extents are widened, each time twice as far: grouping more than needed does no harm, and rounds stay
+    logarithmic whatever the keys."""
     reach = s.quiet_ms + 2 * s.window_ms
-    seen = ordered.scan(obs, ["primary"], order, {"_before": ordered.last(F.col("ord_ms"), acts)})
-    far = F.col("_before").isNull() | (F.col("ord_ms") - F.col("_before") > reach)
-    seen = seen.filter(acts | ~far).withColumn("_start", F.when(far, F.col("ord_ms")))
-    marked = ordered.scan(seen, ["primary"], order, {"_since": ordered.last(F.col("_start"), F.col("_start").isNotNull())})
-    return marked.withColumn("island", F.coalesce("_start", "_since")).drop("_before", "_start", "_since")
+    acts = (F.col("role") != "score") | F.col("pending")
+    block = F.when(F.col("block_id") != "", F.array(F.concat(F.lit(BLOCK_LINK), "block_id"))).otherwise(F.array().cast("array<string>"))
+    held = obs.filter(acts).select("oid", "ord_ms", F.explode(F.concat("keys", block)).alias("key"))
+    if books is not None:
+        held = held.unionByName(books.select((-1 - F.col("oid")).alias("oid"), F.col("last_ms").alias("ord_ms"), F.explode("keys").alias("key")))
+    runs = settle(_runs(held, reach), "incident-runs")
+    spans = runs.groupBy("run", "key").agg(F.min("ord_ms").alias("low"), F.max("ord_ms").alias("high")).withColumn("component", F.col("run"))
+    sets = runs.groupBy("oid").agg(F.min("run").alias("a"), F.collect_set("run").alias("_runs"))
+    spans = settle(_relabelled(spans, sets.select("a", F.explode("_runs").alias("b"))), "incident-spans")
+    pad, order = reach, ordered.Order(("low", "component"), "low")
+    for turn in range(64):
+        extents = spans.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        owned = spans.filter(~F.startswith("key", F.lit(BLOCK_LINK))).select("component", "key").distinct().join(extents, "component")
+        owned = settle(ordered.scan(owned, ["key"], order, {"_last": ordered.running_max(F.struct("high", "component"))}), "incident-extents")
+        links = owned.filter(F.col("_last.high") + pad >= F.col("low")).select(F.col("component").alias("a"), F.col("_last.component").alias("b")).distinct()
+        if not links.limit(1).count():
+            break
+        spans = settle(_relabelled(spans, links), "incident-spans")
+        pad = reach if turn < 2 else 2 * pad
+    of_run = spans.select("run", "component")
+    of_act = runs.groupBy("oid").agg(F.min("run").alias("run")).join(of_run, "run").select("oid", "component")
+    placed = obs.filter(acts).join(of_act, "oid")
+    routine = obs.filter(~acts).withColumn("key", F.concat(F.lit("ie:"), "ie_id")).withColumn("pos", F.col("ord_ms"))
+    extents = owned.select("key", F.col("low").alias("pos"), "high", "component")
+    met = ordered.asof(routine, extents, ["key"], ordered.Order(("pos",), "pos"), {"component": "component", "_until": "high"}, inclusive=True)
+    met = met.filter(F.col("ord_ms") <= F.col("_until") + reach).drop("key", "pos", "_until")
+    kept = None if books is None else books.join(of_act.withColumn("oid", -1 - F.col("oid")), "oid")
+    return placed.unionByName(met.select(*placed.columns)), kept
 
 
 # -- the fold --------------------------------------------------------------------------
 
-CHANGE = ("primary string, island bigint, n bigint, action string, incident string, block_id string, alert_id bigint, role string, level string,"
+CHANGE = ("component bigint, n bigint, action string, incident string, block_id string, alert_id bigint, role string, level string,"
           " rule string, at_ms bigint, status string, severity string, title string, ie_id string, keys string, opened_ms bigint,"
           " last_ms bigint, closed_ms bigint, closed_by string, baseline double, low double, state string")
 CHANGE_COLUMNS = [c.strip().split(" ")[0] for c in CHANGE.split(",")]
 
 
 PIN, PULL = "pin", "pull"  # moves an incident's end for good; moves it at most one window past the last pin
+RECOVERED, QUIET = "closed:recovered", "closed:quiet"
+EVIDENCE = "alert"  # the role of an event that counts for nothing
 
 
 class Fold:
-    """Folds the ordered observations of one island into incidents.
-
-    The book holds the open incidents as plain values (so that it travels as JSON between slices and micro-batches) and the
-    block placed last: its incident, and how it moves that incident's end. Each observation goes to the first of the handlers
-    that takes it; what a handler changes is written to `out`, one row per change."""
-
-    def __init__(self, s: Settings, book: dict | None = None) -> None:
-        self.s, self.out = s, []
-        self.book = book or {"open": [], "changes": 0, "block": None, "home": None, "grip": None}
-        self.handlers = (self.alert_on_placed_block, self.alert_without_home, self.score, self.join, self.open)
+    """Folds the ordered observations of one component into incidents.
+
+    The book holds the open incidents, and the closed ones that may yet be corrected, as plain values (so that it travels as JSON
+    between micro-batches), and the block placed last: its incident, and how it moves that incident's end. Each observation goes to
+    the first of the handlers that takes it; what a handler changes is written to `out`, one row per change."""
+
+    def __init__(self, s: Settings, books: list[dict] = (), stream: bool = False) -> None:
+        self.s, self.stream, self.out = s, stream, []
+        self.book = {"open": [], "kept": [], "changes": 0, "block": None, "home": None, "grip": None, "last": None}
+        for book in books:  # of components that have become one
+            later = book["last"] and (self.book["last"] is None or book["last"] > self.book["last"])
+            self.book = {**(book if later else self.book), "open": self.book["open"] + book["open"], "kept": self.book["kept"] + book["kept"],
+                         "changes": max(self.book["changes"], book["changes"])}
+        self.wake = None  # nothing becomes quiet before
+        self.handlers = (self.distrust, self.alert_on_placed_block, self.alert_without_home, self.score, self.join, self.open)
 
     # -- the two entrances --
 
     def feed(self, o) -> None:
         self.quiet(int(o.ord_ms))
+        self.now = [int(o.ord_ms), int(o.ms_index), int(o.wf_index), o.block_id or "", int(o.rank), int(o.alert_id)]
         any(handler(o, int(o.at_ms), set(o.keys)) for handler in self.handlers)
+        self.book["last"] = self.now
 
     def quiet(self, now_ms: int) -> None:
         """Close what saw nothing for the quiet time before `now_ms`."""
-        for incident in [i for i in self.book["open"] if self.silent_at(i) < now_ms]:
-            self.close(incident, "closed:quiet", self.silent_at(incident))
+        if self.wake is not None and now_ms <= self.wake:
+            return
+        for incident in sorted((i for i in self.book["open"] if self.silent_at(i) < now_ms), key=lambda i: (self.silent_at(i), i["born"])):
+            self.close(incident, QUIET, self.silent_at(incident))
+        self.wake = min(map(self.silent_at, self.book["open"]), default=None)  # ends only move on; new incidents are told of in `open`
 
     # -- handlers: (observation, its time, its keys) -> whether it is done with --
 
+    def distrust(self, o, at, keys) -> bool:
+        """A block that counted lost its trust: its event becomes evidence, what it closed reopens, the recovery target is what
+        the drops that remain give. Keys and the latest event are not taken back."""
+        if o.role != "distrust":
+            return False
+        first = True
+        for incident in self.holders(o.block_id):
+            event = incident["events"].get(o.block_id)
+            if event["role"] == EVIDENCE:
+                continue
+            was, event["role"] = event["role"], EVIDENCE
+            reopens = incident["status"] == RECOVERED and incident["closed_by"] == o.block_id
+            if reopens:
+                incident |= {"status": "open", "closed": None, "closed_by": None, "reopened": int(o.ord_ms)}
+                self.book["kept"].remove(incident)
+                self.book["open"].append(incident)
+                self.wake = None
+            if event["drop"] and event["level"] == "proven":
+                left = sorted((e["at"], b) for b, e in incident["events"].items() if e["drop"] and e["level"] == "proven" and e["role"] != EVIDENCE)
+                incident["low"] = min((incident["events"][b]["score"] for _, b in left), default=None)
+                if left and incident["events"][left[0][1]]["base"] is not None:
+                    incident["base"] = incident["events"][left[0][1]]["base"]
+            self.write("revoked", incident, o, was, linked=first)
+            if reopens:
+                self.write("reopened", incident, o, linked=False)
+            if first and self.rises(incident, o.severity):
+                self.write("updated", self.raised(incident, o.severity), o)
+            first = False
+        return True
+
     def alert_on_placed_block(self, o, at, keys) -> bool:
-        """An alert on the block just placed belongs where the block is; one about an attack counts like the block itself."""
-        if o.alert_id < 0 or not o.block_id or o.block_id != self.book["block"]:
+        """An alert on a block that an incident holds belongs there; one about an attack counts like the block itself."""
+        if o.alert_id < 0 or not o.block_id:
             return False
-        incident = self.find(self.book["home"])
-        if incident is None:  # closed since
-            self.write("linked", {"name": self.book["home"], "keys": []}, o)
+        incident, grip = self.find(self.book["home"]), self.book["grip"]
+        if o.block_id != self.book["block"]:  # not right after it: held if an event says so
+            incident = next(iter(self.holders(o.block_id)), None)
+            if incident is None:
+                return False
+            event = incident["events"][o.block_id]
+            grip = None if event["role"] == EVIDENCE else {"proven": PIN, "relayed": PULL}.get(event["level"])
+        if incident is None or incident["status"] != "open":  # closed since
+            self.write("linked", {"name": self.book["home"] if incident is None else incident["name"], "keys": []}, o)
             return True
         if o.rule in (*V.ATTACK_RULES, *V.INTEGRITY_RULES):
-            self.move(incident, at, self.book["grip"])
+            self.move(incident, at, grip)
         self.write("updated", self.raised(incident, o.severity), o)
         return True
 
@@ -212,9 +334,9 @@ class Fold:
         for incident in fallen:
             if incident["base"] is not None and o.score >= incident["base"] - V.EPS:
                 self.move(incident, at, PIN)
-                self.place(incident, o, o.level)
+                self.place(incident, o, o.level, "remediation")
                 self.write("attached", incident, o, "remediation")
-                self.close(incident, "closed:recovered", at, o)
+                self.close(incident, RECOVERED, at, o)
             else:
                 incident["low"] = min(incident["low"], float(o.score))
         return True
@@ -236,18 +358,20 @@ class Fold:
                 incident["base"] = float(o.base)
             if o.is_drop:
                 incident["low"] = float(o.score) if fresh_drop else min(incident["low"], float(o.score))
-        self.place(incident, o, None if o.role == "alert" else o.level)
+        self.place(incident, o, None if o.role == "alert" else o.level, o.role)
         self.write("attached" if o.block_id else "updated", self.raised(incident, o.severity), o, o.role)
         return True
 
     def open(self, o, at, keys) -> bool:
         if o.opens:
             proven = o.level == "proven"
-            incident = {"name": f"{o.primary}@{o.block_id or o.alert_id}", "born": self.book["changes"], "status": "open", "severity": o.severity or "low",
+            incident = {"name": f"{o.primary}@{o.block_id or o.alert_id}", "born": self.now, "status": "open", "severity": o.severity or "low",
                         "title": o.title, "ie": o.ie_id, "keys": sorted(keys), "opened": at, "pinned": at, "end": at, "closed": None, "closed_by": None,
-                        "base": float(o.base) if proven and o.ie_id is not None and not pd.isna(o.base) else None, "low": float(o.score) if proven and o.is_drop else None}
+                        "base": float(o.base) if proven and o.ie_id is not None and not pd.isna(o.base) else None, "low": float(o.score) if proven and o.is_drop else None,
+                        "events": {}, "reopened": None}
             self.book["open"].append(incident)
-            self.place(incident, o, o.level)
+            self.wake = None if self.wake is None else min(self.wake, self.silent_at(incident))
+            self.place(incident, o, o.level, "trigger")
             self.write("opened", incident, o, "trigger")
         return o.opens
 
@@ -256,12 +380,17 @@ class Fold:
     def find(self, name: str | None) -> dict | None:
         return next((i for i in self.book["open"] if i["name"] == name), None)
 
+    def holders(self, block: str) -> list[dict]:
+        """Incidents with an event of the block that may be corrected: open ones first, then the newest."""
+        found = [i for i in (*self.book["open"], *self.book["kept"]) if block in i["events"]]
+        return sorted(sorted(found, key=lambda i: i["born"], reverse=True), key=lambda i: i["status"] != "open")
+
     def nearest(self, keys: set) -> list[dict]:
         """Open incidents that share a key, the one with the latest end first."""
         return sorted((i for i in self.book["open"] if keys.intersection(i["keys"])), key=lambda i: (i["end"], i["born"]), reverse=True)
 
     def silent_at(self, incident: dict) -> int:
-        return incident["end"] + self.s.quiet_ms
+        return max(incident["end"] + self.s.quiet_ms, incident["reopened"] or 0)
 
     def move(self, incident: dict, at: int, grip: str | None) -> None:
         if grip == PIN:
@@ -269,45 +398,68 @@ class Fold:
         if grip:
             incident["end"] = max(incident["end"], at if grip == PIN else min(at, incident["pinned"] + self.s.window_ms))
 
+    def rises(self, incident: dict, severity: str | None) -> bool:
+        return V.SEVERITY_RANK.get(severity or "", -1) > V.SEVERITY_RANK.get(incident["severity"], -1)
+
     def raised(self, incident: dict, severity: str | None) -> dict:
-        incident["severity"] = max(incident["severity"], severity or "", key=lambda x: V.SEVERITY_RANK.get(x, -1))
+        if self.rises(incident, severity):
+            incident["severity"] = severity
         return incident
 
-    def place(self, incident: dict, o, level: str | None) -> None:
+    def place(self, incident: dict, o, level: str | None, role: str) -> None:
+        """The block is an event of the incident. What a later correction may need of it is kept."""
         if o.block_id:
             self.book |= {"block": o.block_id, "home": incident["name"], "grip": {"proven": PIN, "relayed": PULL}.get(level)}
+            if self.stream or o.pending or o.is_drop:
+                incident["events"][o.block_id] = {"role": role, "level": level, "at": int(o.at_ms), "drop": bool(o.is_drop), "pending": self.stream or bool(o.pending),
+                                                  "score": None if pd.isna(o.score) else float(o.score), "base": None if pd.isna(o.base) else float(o.base)}
 
     def close(self, incident: dict, status: str, at: int, o=None) -> None:
         incident |= {"status": status, "closed": int(at), "closed_by": o.block_id if o else None}
         self.write("closed", incident, o)
         self.book["open"].remove(incident)
+        if any(e["pending"] for e in incident["events"].values()):
+            self.book["kept"].append(incident)
 
-    def write(self, action: str, incident: dict | None, o=None, role: str | None = None, state: str | None = None) -> None:
+    def write(self, action: str, incident: dict | None, o=None, role: str | None = None, state: str | None = None, linked: bool = True) -> None:
         self.book["changes"] += 1
-        seen = (None,) * 2 if o is None else (o.block_id or None, int(o.alert_id) if o.alert_id >= 0 else None)
+        seen = (None,) * 2 if o is None else (o.block_id or None, int(o.alert_id) if linked and o.alert_id >= 0 else None)
         known = (None,) * 3 if o is None else (o.level, o.rule, int(o.at_ms))
         i = incident or {}
         as_it_is = [i.get(k) for k in ("status", "severity", "title", "ie")] + [json.dumps(sorted(i["keys"])) if incident else None] + [
             i.get(k) for k in ("opened", "end", "closed", "closed_by", "base", "low")]
         self.out.append((self.book["changes"], action, i.get("name"), *seen, role, *known, *as_it_is, state))
 
+    def put_down(self, as_of_ms: int) -> None:
+        """End of the observations: what stands, or in a stream the book for those to come."""
+        self.quiet(as_of_ms)
+        if not self.stream:
+            for incident in self.book["open"]:
+                self.write("standing", incident)
+            return
+        self.book["kept"] = [i for i in self.book["kept"] if i["closed"] + self.s.keep_ms >= as_of_ms]
+        recent = self.book["last"] and self.book["last"][0] + self.s.quiet_ms >= as_of_ms  # alerts on the last block may still come
+        if self.book["open"] or self.book["kept"] or recent:
+            self.write("state", None, state=json.dumps(self.book))
+
+
+def _book_row(state: str) -> tuple[list[str], int, str]:
+    """The keys by which later observations meet a book, and the last time at which they can."""
+    book = json.loads(state)
+    held = [*book["open"], *book["kept"]]
+    keys = {k for i in book["open"] for k in i["keys"]} | {BLOCK_LINK + b for i in held for b, e in i["events"].items() if e["pending"]}
+    keys |= {BLOCK_LINK + book["block"]} if book["block"] else set()
+    return sorted(keys), max([book["last"][0], *(i["end"] for i in book["open"]), *(i["reopened"] or 0 for i in book["open"])]), state
+
 
-def fold_rows(batches: Iterator[pd.DataFrame], s: Settings, as_of_ms: int) -> Iterator[pd.DataFrame]:
-    """Fold sorted observations of many islands, batch by batch: memory holds the open incidents of one.
+def fold_rows(batches: Iterator[pd.DataFrame], s: Settings, as_of_ms: int, stream: bool) -> Iterator[pd.DataFrame]:
+    """Fold sorted observations of many components, batch by batch: memory holds the book of one.
 
-    `state` (on a slice's first row) restores the book; `last` says whether the island ends in this slice."""
-    key, fold, ends = None, None, True
+    Rows with a `state` come first in their component: the books it goes on from."""
+    key, books, fold = None, [], None
 
-    def finish() -> list[tuple]:
-        if fold is None:
-            return []
-        if ends:
-            fold.quiet(as_of_ms)
-            for incident in fold.book["open"]:
-                fold.write("standing", incident)
-        else:
-            fold.write("state", None, state=json.dumps(fold.book))
-        return [(*key, *row) for row in fold.out]
+    def started() -> Fold:
+        return fold or Fold(s, books, stream)
 
     def table(rows: list[tuple]) -> pd.DataFrame:
         got = pd.DataFrame(rows, columns=CHANGE_COLUMNS)
@@ -318,88 +470,113 @@ def fold_rows(batches: Iterator[pd.DataFrame], s: Settings, as_of_ms: int) -> It
     for pdf in batches:
         rows: list[tuple] = []
         for o in pdf.itertuples(index=False):
-            here = (o.primary, o.island)
-            if here != key:
-                rows += finish()
-                key, ends = here, o.last
-                fold = Fold(s, json.loads(o.state) if isinstance(o.state, str) else None)
+            if o.component != key:
+                if key is not None:
+                    fold = started()
+                    fold.put_down(as_of_ms)
+                    rows += [(key, *row) for row in fold.out]
+                key, books, fold = o.component, [], None
+            if isinstance(o.state, str):
+                books.append(json.loads(o.state))
+                continue
+            fold = started()
             fold.feed(o)
-        if fold is not None:
-            rows += [(*key, *row) for row in fold.out]
-            fold.out = []
+            if len(fold.out) > 1000:
+                rows += [(key, *row) for row in fold.out]
+                fold.out = []
         if rows:
             yield table(rows)
-    rows = finish()
-    if rows:
-        yield table(rows)
-
-
-def _run(rows: DataFrame, s: Settings, as_of_ms: int) -> DataFrame:
-    placed = rows.repartition("primary", "island").sortWithinPartitions("primary", "island", *ORDER)
-    return placed.mapInPandas(lambda batches: fold_rows(batches, s, as_of_ms), CHANGE)
-
-
-def _fold(obs: DataFrame, s: Settings, as_of_ms: int) -> DataFrame:
-    limit = ordered.hot_group_rows(obs.sparkSession)
-    sizes = obs.groupBy("primary", "island").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
-    big = sizes.collect()  # at most rows/limit islands
-    obs = obs.select(*COLUMNS, "island")
-    plain = obs.withColumn("state", F.lit(None).cast("string")).withColumn("last", F.lit(True))
-    if not big:
-        return _run(plain, s, as_of_ms)
-    spark = obs.sparkSession
-    names = F.broadcast(spark.createDataFrame([tuple(r) for r in big], "primary string, island bigint, n bigint"))
-    out = _run(plain.join(names.drop("n"), ["primary", "island"], "left_anti"), s, as_of_ms)
-    order = ordered.Order(ORDER, "ord_ms", "wf_index")
-    slices = ordered.rank_by(obs.join(names, ["primary", "island"]), ["primary", "island"], order, "_at")
-    slices = slices.withColumn("slice", F.floor(F.col("_at") / limit)).withColumn("last", F.col("slice") == F.floor((F.col("n") - 1) / limit))
-    slices = settle(slices, "slices")
-    states = spark.createDataFrame([], "primary string, island bigint, _state string")
-    for k in range(max((r["n"] - 1) // limit for r in big) + 1):
-        part = slices.filter(F.col("slice") == k).join(F.broadcast(states), ["primary", "island"], "left")  # one row per big island
-        part = part.withColumn("state", F.when(F.col("_at") == k * limit, F.col("_state"))).drop("_state", "_at", "slice", "n")
-        done = settle(_run(part, s, as_of_ms), "slice")
-        states = done.filter("action = 'state'").select("primary", "island", F.col("state").alias("_state"))
-        out = out.unionByName(done.filter("action <> 'state'"))
-    return out
+    if key is not None:
+        fold = started()
+        fold.put_down(as_of_ms)
+        yield table([(key, *row) for row in fold.out])
+
+
+def advance(obs: DataFrame, s: Settings, as_of_ms: int, books: DataFrame | None = None, stream: bool = False) -> DataFrame:
+    """The changes that observations (with a number `oid` of their own) make, going on from the books of earlier ones.
+
+    books: keys, last_ms, state, oid. In a stream the rows with action "state" are the books to go on from."""
+    placed, kept = place(obs, s, books)
+    rows = placed.select("component", *COLUMNS, F.lit(None).cast("string").alias("state"))
+    if kept is not None:
+        no = {c: F.lit(0).cast("bigint") for c in ("ord_ms", "ms_index", "wf_index", "alert_id", "at_ms")}  # nulls would make the batch's numbers floats
+        rows = rows.unionByName(kept.select("component", "state").withColumns({**no, "rank": F.lit(0)}), allowMissingColumns=True)
+    sorted_ = rows.repartition("component").sortWithinPartitions("component", F.col("state").isNull(), *ORDER)
+    return settle(sorted_.mapInPandas(lambda batches: fold_rows(batches, s, as_of_ms, stream), CHANGE), "changes")
+
+
+def books_of(changes: DataFrame) -> DataFrame:
+    """The books that the changes end with, ready to go on from."""
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([_book_row(state) for state in pdf["state"]], columns=["keys", "last_ms", "state"])
+
+    return changes.filter("action = 'state'").select("state").mapInPandas(rows, BOOK)
+
+
+def numbered(obs: DataFrame, name: str) -> DataFrame:
+    """Observations written down, each with a number of its own."""
+    return settle(obs.withColumn("block_id", F.coalesce("block_id", F.lit(""))).withColumn("oid", F.monotonically_increasing_id()), name)
+
+
+def of_the_ledger(obs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Observations of the ledger as such: those that are, and alerts whose block no incident holds."""
+    loose = changes.filter("action = 'unheld'").select("alert_id")
+    homeless = obs.filter("link_only").join(loose, "alert_id", "left_semi").withColumns({"keys": F.array(F.lit(LEDGER)), "link_only": F.lit(False), "ie_id": F.lit(None).cast("string")})
+    return _complete(homeless).unionByName(_complete(obs.filter(F.col("primary") == LEDGER)))
+
+
+def observe(messages: DataFrame, alerts: DataFrame, submissions: DataFrame, policy: DataFrame, context: DataFrame, hosts: DataFrame, s: Settings) -> DataFrame:
+    """All observations, numbered: messages, alerts right after their blocks, late distrust at its own time."""
+    subjects = settle(_subjects(messages, policy, alerts, submissions, hosts, s), "subjects")
+    known = context.select("ie_id").union(hosts.select("host_ie")).distinct()
+    late = late_distrust(alerts, messages, s)
+    counted = settle(message_observations(subjects, s), "message-observations")
+    prompt = alert_observations(alerts.join(late.select("id"), "id", "left_anti"), subjects, known, s)
+    return numbered(counted.unionByName(prompt).unionByName(distrust_observations(late, counted)), "observations")
 
 
 def correlate(messages: DataFrame, alerts: DataFrame, submissions: DataFrame, policy: DataFrame, context: DataFrame,
               hosts: DataFrame, as_of_ms: int, s: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """(observations, changes). The change feed is written to the shared folder, as later tables derive from it."""
     s = s or Settings()
-    subjects = settle(_subjects(messages, policy, alerts, submissions, hosts, s), "subjects")
-    known = context.select("ie_id").union(hosts.select("host_ie")).distinct()
-    obs = message_observations(subjects, s).unionByName(alert_observations(alerts, subjects, known, s))
-    obs = settle(islands(obs, s), "observations")
-    changes = settle(_fold(obs, s, as_of_ms), "changes")
-    loose = changes.filter("action = 'unheld'").select("alert_id")
-    ledger = obs.join(loose, "alert_id", "left_semi").withColumn("keys", F.array(F.lit("ledger"))).withColumn(
-        "link_only", F.lit(False)).drop("island")
-    ledger = _complete(ledger.withColumn("ie_id", F.lit(None).cast("string")))
-    # alerts already about the ledger as such were folded above; fold both together instead
-    direct = obs.filter("primary = 'ledger'").drop("island")
-    both = islands(ledger.unionByName(direct.select(*ledger.columns)), s)
-    more = settle(_fold(both, s, as_of_ms), "ledger-changes")
-    kept = changes.filter("primary <> 'ledger' AND action <> 'unheld'")
-    return obs, kept.unionByName(more)
+    obs = observe(messages, alerts, submissions, policy, context, hosts, s)
+    return obs, fold_all(obs, s, as_of_ms)
+
+
+def fold_all(obs: DataFrame, s: Settings, as_of_ms: int) -> DataFrame:
+    """The changes of all observations at once: first those of elements, components and issuers, then those of the ledger as such."""
+    changes = advance(obs.filter(F.col("primary") != LEDGER), s, as_of_ms)
+    more = advance(numbered(of_the_ledger(obs, changes), "ledger-observations"), s, as_of_ms)
+    return changes.filter("action <> 'unheld'").unionByName(more)
+
+
+def memberships(changes: DataFrame) -> DataFrame:
+    """The log of who is an event of what: a row with sign 1 when a block joins an incident, and when its trust is taken back one
+    with sign -1 for what it was and one with sign 1 as evidence. What is left after adding up is how things stand."""
+    block = changes.filter(F.col("action").isin("opened", "attached", "revoked") & F.col("block_id").isNotNull())
+    revoked = F.col("action") == "revoked"
+    row = lambda sign, role, when: F.when(when, F.struct(F.lit(sign).alias("sign"), role.alias("role")))
+    rows = F.array_compact(F.array(row(1, F.col("role"), ~revoked), row(-1, F.col("role"), revoked), row(1, F.lit(EVIDENCE), revoked)))
+    return block.select("incident", "block_id", "n", "at_ms", "level", "rule", F.explode(rows).alias("_r")).select(
+        "incident", "block_id", "n", "_r.sign", "_r.role", "at_ms", F.col("level").alias("trust"), "rule")
 
 
 def incidents(changes: DataFrame) -> DataFrame:
     """The incidents as they stand: the last row of each, with how many events and alerts joined."""
     rows = changes.filter("incident IS NOT NULL")
     final = F.struct("title", "status", "severity", "ie_id", "keys", "opened_ms", "last_ms", "closed_ms", "closed_by", "baseline", "low")
-    last = F.struct("island", "n")
     return (rows.groupBy("incident").agg(
-        F.max_by(final, F.when(F.col("status").isNotNull(), last)).alias("f"),
+        F.max_by(final, F.when(F.col("status").isNotNull(), F.col("n"))).alias("f"),
         F.count_if(F.col("action").isin("opened", "attached") & F.col("block_id").isNotNull()).alias("events"),
         F.count("alert_id").alias("alerts")).select("incident", "f.*", "events", "alerts"))
 
 
 def events(changes: DataFrame) -> DataFrame:
-    """The blocks of each incident with their role and trust."""
-    return (changes.filter(F.col("action").isin("opened", "attached") & F.col("block_id").isNotNull())
-            .select("incident", "block_id", "role", "at_ms", F.col("level").alias("trust"), "rule"))
+    """The blocks of each incident with their role and trust as they stand: the sums of the membership log."""
+    one = memberships(changes).groupBy("incident", "block_id", "role").agg(
+        F.sum("sign").alias("sign"), F.min_by(F.struct("at_ms", "trust", "rule"), "n").alias("e"))
+    return one.filter("sign > 0").select("incident", "block_id", "role", "e.at_ms", "e.trust", "e.rule")
 
 
 def linked_alerts(changes: DataFrame) -> DataFrame:
@@ -419,7 +596,7 @@ def timeline(events_: DataFrame, messages: DataFrame, lifecycle: DataFrame) -> D
 def recovery_targets(events_: DataFrame, observations: DataFrame) -> DataFrame:
     """Per incident the level its first proven drop fell from, and the lowest proven drop."""
     drops = observations.filter("is_drop AND level = 'proven'").select("block_id", "score", "base")
-    df = events_.filter("trust = 'proven'").select("incident", "block_id", "at_ms").join(drops, "block_id")
+    df = events_.filter(f"trust = 'proven' AND role <> '{EVIDENCE}'").select("incident", "block_id", "at_ms").join(drops, "block_id")
     return df.groupBy("incident").agg(F.min_by("base", F.struct("at_ms", "block_id")).alias("target"), F.min("score").alias("lowest"))
 
 

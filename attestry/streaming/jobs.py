@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import vocabulary as V
 from ..plans import incidents as I
 from ..plans import verdicts
-from ..session import scratch_path
+from ..session import scratch_path, settle
 from ..sources import loads
 
 
@@ -190,34 +190,26 @@ def replay_stream(candidates: DataFrame, spent_path: str, out_path: str) -> None
     each_batch(candidates, write)
 
 
-def incident_stream(observations: DataFrame, as_of_ms: int, settings: I.Settings | None = None) -> DataFrame:
-    """The incident fold per correlation key, its open incidents kept as state. A timer on the ledger's clock closes
-    what has been quiet, whether or not the key is heard of again, and drops the state of a key without open incidents."""
-    s = settings or I.Settings()
+def incident_stream(observations: DataFrame, books_path: str, out_path: str, settings: I.Settings | None = None) -> None:
+    """The incident fold, a micro-batch at a time: its observations meet the books that the batch before left (open incidents, and
+    closed ones that may yet be corrected). Components are found anew in each batch, so incidents of different keys become one book
+    as soon as an observation joins them. Alerts whose block no incident holds go on to the ledger's own incidents in the same batch.
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fold, clock, latest = I.Fold(s, json.loads(state.get[0]) if state.exists else None), state.getCurrentWatermarkMs(), 0
-        arrived = [] if state.hasTimedOut else list(batches)
-        if arrived:
-            rows = pd.concat(arrived).sort_values(list(I.ORDER), kind="stable")  # one trigger's rows of one key
-            for o in rows.itertuples(index=False):
-                fold.feed(o)
-            latest = int(rows["ord_ms"].iloc[-1])
-        fold.quiet(clock)
-        # the next moment at which something can close; alerts of the last block may still come a quiet time after it
-        ends = [i["end"] for i in fold.book["open"]] + [latest] * (latest + s.quiet_ms >= clock)
-        if ends:
-            state.update((json.dumps(fold.book),))
-            state.setTimeoutTimestamp(max(clock, min(ends) + s.quiet_ms + 1))
-        elif state.exists:
-            state.remove()
-        got = pd.DataFrame([(key[0], 0, *r) for r in fold.out], columns=I.CHANGE_COLUMNS)
-        for c in ("alert_id", "at_ms", "opened_ms", "last_ms", "closed_ms"):
-            got[c] = got[c].astype("Int64")
-        yield got
+    A book is closed by the ledger's clock, the latest observation of a batch, whether or not its keys are heard of again."""
+    s = settings or I.Settings()
 
-    timed = observations.withColumn("event_time", F.timestamp_millis("ord_ms")).withWatermark("event_time", "0 seconds")
-    return timed.groupBy("primary").applyInPandasWithState(step, I.CHANGE, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+    def write(batch: DataFrame, n: int) -> None:
+        obs = I.numbered(batch, "stream-observations")
+        clock = obs.agg(F.max("ord_ms")).first()[0] or 0
+        books = stored(batch.sparkSession, books_path, f"{I.BOOK}, ledger boolean", n, latest=True)
+        books = settle(books.withColumn("oid", F.monotonically_increasing_id()), "stream-books")
+        first = I.advance(obs.filter(F.col("primary") != I.LEDGER), s, clock, books.filter("NOT ledger").drop("ledger"), stream=True)
+        second = I.advance(I.numbered(I.of_the_ledger(obs, first), "stream-ledger"), s, clock, books.filter("ledger").drop("ledger"), stream=True)
+        left = I.books_of(first).withColumn("ledger", F.lit(False)).unionByName(I.books_of(second).withColumn("ledger", F.lit(True)))
+        left.write.mode("overwrite").parquet(f"{books_path}/batch={n}")
+        first.unionByName(second).filter("action NOT IN ('state', 'unheld')").write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+
+    each_batch(observations, write)
 
 
 # -- late data, delivery, counters --------------------------------------------------------------
