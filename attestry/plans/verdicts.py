@@ -6,12 +6,16 @@ writer policy, replay, body schema. `sig_ok` and `too_deep` are input columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import vocabulary as V
-from ..operators import documents, keys, ordered
+from ..operators import documents, graph, keys, ordered
 from ..session import settle
 
 def place() -> Column:
@@ -30,16 +34,43 @@ def earlier_uses(messages: DataFrame) -> DataFrame:
             .drop("_seq", "_nonce"))
 
 
+def _decided_in_order(undecided: DataFrame) -> DataFrame:
+    """Those accepted when messages are taken in order: the messages of a component, which share seqs and nonces with each other
+    only, are streamed through one pass that remembers what the accepted ones spent."""
+    ends = {"_by_seq": F.xxhash64(F.lit("s"), "iss", "seq", "_own"), "_by_nonce": F.xxhash64(F.lit("n"), "iss", "nonce")}
+    rows = undecided.withColumns(ends)  # two keys with one hash only make a component larger
+    parts = graph.components(rows.filter("nonce IS NOT NULL"), "_by_seq", "_by_nonce").select(F.col("node").alias("_by_seq"), "component")
+    rows = rows.join(parts, "_by_seq", "left").withColumn("component", F.coalesce("component", "_by_seq"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, spent = None, set()
+        for pdf in batches:
+            keep = []
+            for component, iss, seq, own, nonce in zip(*(pdf[c] for c in ("component", "iss", "seq", "_own", "nonce"))):
+                if component != here:
+                    here, spent = component, set()
+                keys = {(iss, seq, own), *([(iss, nonce)] if isinstance(nonce, str) else [])}
+                keep.append(not keys & spent)
+                if keep[-1]:
+                    spent |= keys
+            yield pdf.loc[keep, ["block_id"]]
+
+    order = ("component", "ms_index", "wf_index", "block_id")
+    kept = rows.select(*order, "iss", "seq", "_own", "nonce").repartition("component").sortWithinPartitions(*order).mapInPandas(decide, "block_id string")
+    return settle(undecided.join(kept, "block_id", "left_semi"), "accepted")
+
+
 def resolve_replays(candidates: DataFrame) -> DataFrame:
     """Which candidates repeat a seq or nonce an accepted earlier one of the same issuer spent.
 
     candidates: block_id, iss, seq, nonce, ms_index, wf_index, spends. Returns the replays with
     `seq_used_by` and `nonce_used_by`.
 
-    A message is accepted when it is the first undecided one of both its seq and its nonce; whatever
-    shares either with it is then a replay. That is the sequential rule, decided in rounds over the
-    colliding messages only: two aggregates per round, combined before the shuffle, so a group of
-    copies of any size is settled at once. Each round is written to the shared folder.
+    The rule is sequential: a message is accepted if no accepted one before it has its seq or its nonce. Two rounds of two aggregates
+    each, combined before the shuffle, settle groups of copies of any size: the first undecided message of both its seq and its nonce is
+    accepted, whatever shares either with it is not. What is left are chains in which each decision hangs on the one before; they fall
+    into components of messages that share keys, and each component is decided in one ordered pass. However long a chain is, the number
+    of rounds is that of finding components, which is logarithmic.
     """
     slim = candidates.select("block_id", "iss", "seq", "nonce", "ms_index", "wf_index", "spends")
     two = F.count(F.lit(1)) > 1
@@ -51,19 +82,22 @@ def resolve_replays(candidates: DataFrame) -> DataFrame:
     colliding = colliding.filter("iss IS NOT NULL").withColumn("_own", F.when(F.col("seq").isNull(), F.col("block_id")))
     colliding = settle(colliding.withColumn("seq", F.coalesce("seq", F.lit(-1).cast("bigint"))).withColumn("_own", F.coalesce("_own", F.lit("")))
                        .withColumn("place", place()), "colliding")
-    undecided, accepted = colliding.filter("spends"), None
-    while True:
+    undecided, parts = colliding.filter("spends"), []
+    for _ in range(2):
         by_seq = undecided.groupBy("iss", "seq", "_own").agg(F.min("place").alias("_s"))
         by_nonce = undecided.filter("nonce IS NOT NULL").groupBy("iss", "nonce").agg(F.min("place").alias("_n"))
         ranked = undecided.join(by_seq, ["iss", "seq", "_own"]).join(by_nonce, ["iss", "nonce"], "left")
         first = (F.col("place") == F.col("_s")) & (F.col("nonce").isNull() | (F.col("place") == F.col("_n")))
         now = settle(ranked.filter(first).select("block_id", "iss", "seq", "_own", "nonce", "place"), "accepted")
-        accepted = now if accepted is None else accepted.unionByName(now)
         rest = (undecided.join(now.select("iss", "seq", "_own"), ["iss", "seq", "_own"], "left_anti")
                 .join(now.filter("nonce IS NOT NULL").select("iss", "nonce"), ["iss", "nonce"], "left_anti"))
         undecided = settle(rest.select(*undecided.columns), "undecided")
+        parts.append(now)
         if undecided.isEmpty():
             break
+    else:
+        parts.append(_decided_in_order(undecided).select(*parts[0].columns))
+    accepted = reduce(DataFrame.unionByName, parts)
     s = accepted.select("iss", "seq", "_own", F.col("place").alias("_s"))
     n = accepted.filter("nonce IS NOT NULL").select("iss", "nonce", F.col("place").alias("_n"))
     df = colliding.join(s, ["iss", "seq", "_own"], "left").join(n, ["iss", "nonce"], "left")
@@ -129,13 +163,32 @@ def judge(messages: DataFrame, policy: DataFrame, key_history: DataFrame, *, dat
     return out.withColumn("verdict", verdict).withColumn("reason", reason).drop("_early")
 
 
+def _admitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by issuer and arrival, each above the mark of its time: those with a new nonce and a seq above all before."""
+    here, top, spent = None, None, set()
+    for pdf in batches:
+        keep = []
+        for iss, nonce, seq in zip(pdf["iss"], pdf["nonce"], pdf["seq"]):
+            if iss != here:
+                here, top, spent = iss, None, set()
+            good = nonce not in spent and (top is None or seq > top)
+            if good:
+                top = top if pd.isna(seq) else seq
+                spent.add(nonce)
+            keep.append(good)
+        yield pdf.loc[keep, ["iss", "nonce", "received_at_ms", "sub_id"]]
+
+
 def screen(submissions: DataFrame, policy: DataFrame, *, as_of_ms: int, relay_iss: str | None = None) -> DataFrame:
     """Decision per submitted envelope, in arrival order: accepted, or the verdict it would get and why.
 
     submissions: sub_id, received_at_ms, tag, iss, seq, nonce, early (verdict of the envelope checks or
     null), revoked_at_ms, schema_ok. An issuer's seq must exceed every accepted one before it, and a nonce
-    must be new among accepted ones. Whether a nonce is spent depends on earlier decisions, so decisions
-    are repeated until they no longer change; every round settles at least the next conflict.
+    must be new among accepted ones.
+
+    A message that takes no spent nonce raises the mark that later seqs must exceed, accepted or not; so the marks of all nonces
+    that occur once come from one ordered scan. Of repeated nonces only messages above that mark can be accepted, and of those with
+    one nonce and seq only the first: these few are decided in one ordered pass per issuer. Nothing is repeated.
     """
     df = documents.with_writer_rule(submissions, policy)
     early = (F.when(F.col("early").isNotNull(), F.col("early"))
@@ -144,19 +197,18 @@ def screen(submissions: DataFrame, policy: DataFrame, *, as_of_ms: int, relay_is
     rows = settle(df.withColumn("_early", early).withColumn("_place", F.struct("received_at_ms", "sub_id")), "screened")
     order = ordered.Order(("received_at_ms", "sub_id"), "received_at_ms")
     open_rows = rows.filter("_early IS NULL")
-    spent, known = open_rows.limit(0).select("sub_id"), -1
-    while True:
-        live = documents.flag(open_rows, "sub_id", spent, "_spent")
-        takes = F.col("schema_ok") & ~F.col("_spent")
-        seen = settle(ordered.scan(live, ["iss"], order, {"_top": ordered.running_max(F.col("seq"), takes)}), "seen")
-        newer = F.col("_top").isNull() | (F.col("seq") > F.col("_top"))
-        good = seen.filter(newer & takes)
-        first = good.filter("nonce IS NOT NULL").groupBy("iss", "nonce").agg(F.min("_place").alias("_first"))
-        spent = settle(open_rows.join(first, ["iss", "nonce"]).filter("_first < _place").select("sub_id"), "spent")
-        n = spent.count()
-        if n == known and spent.join(before, "sub_id", "left_anti").isEmpty():  # noqa: F821
-            break
-        known, before = n, spent  # noqa: F841
+    repeated = (open_rows.filter("iss IS NOT NULL AND nonce IS NOT NULL").groupBy("iss", "nonce").agg(F.count(F.lit(1)).alias("_n"))
+                .filter("_n > 1").select("iss", "nonce", F.lit(True).alias("_repeated")))
+    live = open_rows.join(repeated, ["iss", "nonce"], "left").withColumn("_repeated", F.coalesce("_repeated", F.lit(False)))
+    marked = ordered.scan(live, ["iss"], order, {"_mark": ordered.running_max(F.col("seq"), F.col("schema_ok") & ~F.col("_repeated"))})
+    may = marked.filter(F.col("_repeated") & F.col("schema_ok") & (F.col("_mark").isNull() | (F.col("seq") > F.col("_mark"))))
+    first = may.groupBy("iss", "nonce", "seq").agg(F.min("_place").alias("_f")).select("iss", "nonce", "seq", "_f.*")
+    kept = (first.repartition("iss").sortWithinPartitions("iss", "received_at_ms", "sub_id").mapInPandas(_admitted, first.select("iss", "nonce", "received_at_ms", "sub_id").schema))
+    spender = settle(kept, "spenders").select("iss", "nonce", F.struct("received_at_ms", "sub_id").alias("_first"))
+    spent = open_rows.join(spender, ["iss", "nonce"]).filter("_first < _place").select("sub_id")
+    live = documents.flag(open_rows, "sub_id", spent, "_spent")
+    seen = ordered.scan(live, ["iss"], order, {"_top": ordered.running_max(F.col("seq"), F.col("schema_ok") & ~F.col("_spent"))})
+    newer = F.col("_top").isNull() | (F.col("seq") > F.col("_top"))
     late = seen.withColumn("_late", ~newer).select("sub_id", "_late", "_spent")
     out = rows.join(late, "sub_id", "left")
     verdict = (F.when(F.col("_early").isNotNull(), F.col("_early")).when(F.col("_late") | F.col("_spent"), "REPLAY")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import chain, merkle, ordered
+from attestry.operators import chain, graph, merkle, ordered
 from attestry.plans import verdicts
 
 
@@ -61,6 +61,26 @@ def test_replays_equal_the_sequential_rule(spark, seed):
     assert got == want
 
 
+def test_a_long_chain_of_conflicts_is_decided_in_order(spark, monkeypatch):
+    """Each of 10,000 messages shares its seq with the one before and its nonce with the one after, or the other way round."""
+    written, settle = [], verdicts.settle
+    for module in (verdicts, graph):
+        monkeypatch.setattr(module, "settle", lambda df, name: written.append(name) or settle(df, name))
+    n = 10_000
+    rows = [dict(block_id=f"c{i:05d}", iss="i", seq=i // 2, nonce=f"n{(i + 1) // 2}", ms_index=i, wf_index=0, spends=i % 1001 != 0, prev=None, ts=i, verdict="PRODUCER_SIGNED") for i in range(n)]
+    rows += [dict(rows[0], block_id=f"d{i:05d}", iss="j", seq=1, nonce=f"m{i % 700}", ms_index=i) for i in range(2_000)]  # a large group of one seq
+    spent, want = {}, {}
+    for r in sorted(rows, key=place):
+        a, b = spent.get((r["iss"], r["seq"])), spent.get((r["iss"], r["nonce"]))
+        if a or b:
+            want[r["block_id"]] = (a, b)
+        elif r["spends"]:
+            spent |= {(r["iss"], r["seq"]): r["block_id"], (r["iss"], r["nonce"]): r["block_id"]}
+    got = {r["block_id"]: (r["seq_used_by"], r["nonce_used_by"]) for r in verdicts.resolve_replays(frame(spark, rows)).collect()}
+    assert got == want
+    assert written.count("graph-edges") <= 20 and len(written) < 120  # logarithmic, where there were 5,000 rounds
+
+
 def test_nonce_freed_by_a_replayed_message(spark):
     base = dict(iss="i", ms_index=1, spends=True, prev=None, ts=1, verdict="PRODUCER_SIGNED")
     rows = [dict(base, block_id="a", seq=1, nonce="x", wf_index=0), dict(base, block_id="b", seq=1, nonce="y", wf_index=1),
