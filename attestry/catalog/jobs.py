@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..operators import lifecycle, reconcile
+from ..operators import lifecycle, ordered, reconcile
 from ..plans import proofs, rules, verdicts
 from .joins import AUDIT_SQL, DOC_KIND, HASHED_AUDIT_SQL, TAMPER_SQL, hashed_anchors, records
 from .registry import query
@@ -44,6 +44,25 @@ def r1(t):
     return rules.explained(tables(t)).select(*SHORT)
 
 
+@query("r3_replay_alerts", f"""SELECT 'REPLAY' AS rule, 'high' AS severity, concat('again-', block_id) AS block_id, [block_id] AS earlier
+    FROM messages WHERE {PROVEN} AND n % 19 = 0 AND seq = (SELECT count(*) FROM messages m WHERE m.iss = messages.iss AND m.n <= messages.n)""")
+def r3(t):
+    """Every nineteenth proven message is sent again: same seq and nonce, another block, a later milestone. The verdict is found, not planted."""
+    own = chain_of(t)
+    again = own.filter("n % 19 = 0").withColumns({"block_id": F.concat(F.lit("again-"), "block_id"), "ms_index": F.col("ms_index") + 100_000})
+    both = own.unionByName(again)
+    replays = verdicts.resolve_replays(both.withColumn("spends", F.lit(True))).select("block_id", F.lit("REPLAY").alias("_v"))
+    judged = both.join(replays, "block_id", "left").withColumn("verdict", F.coalesce("_v", "verdict")).drop("_v")
+    found = rules.explained(tables(t, messages=judged)).filter("rule = 'REPLAY'")
+    return found.select("rule", "severity", "block_id", F.from_json(F.get_json_object("evidence", "$.earlierBlocks"), "array<string>").alias("earlier"))
+
+
+def chain_of(t):
+    """Proven messages that keep their place in their issuer's sequence (the fixture gives some the seq of the one before)."""
+    place = t.messages.join(ordered.rank_by(t.messages.select("iss", "n"), ["iss"], ordered.Order(("n",), "n"), "_at"), ["iss", "n"])
+    return place.filter(f"{PROVEN} AND seq = _at + 1").drop("_at")
+
+
 @query("r4_unsigned", "SELECT 'UNSIGNED' AS rule, block_id, tag FROM messages WHERE verdict = 'UNSIGNED_LEGACY' AND tag = 'trust.score'")
 def r4(t):
     a = rules.unsigned(tables(t))

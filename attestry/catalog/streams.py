@@ -68,6 +68,20 @@ def t3(t):
     return J.finish(J.orphan_stream(submissions(t), messages(t))).filter("orphaned").select("sub_id", "block_id")
 
 
+@query("t3_definitive_orphans", """WITH e AS (SELECT *, received_at_ms + 70000 AS answered_ms, max(received_at_ms) OVER () + 70000 AS top FROM submissions)
+    SELECT sub_id, block_id, answered_ms AS orphaned_at_ms FROM e WHERE n % 6 = 0 AND n % 5 <> 0 AND n % 7 <> 0 AND answered_ms < top""")
+def t3b(t):
+    # two polls per submission; every sixth block is never referenced; some first and some second polls go unanswered
+    s = t.submissions.select("block_id", "sub_id", "n", "received_at_ms")
+    row = lambda after, kind, referenced: F.struct((F.col("received_at_ms") + after).alias("at_ms"), F.lit(kind).alias("kind"), referenced.alias("referenced"))
+    early = F.when(F.col("n") % 7 != 0, row(1000, J.ANSWER, F.lit(False)))
+    late = F.when(F.col("n") % 5 != 0, row(70000, J.ANSWER, F.col("n") % 6 != 0))
+    log = s.withColumn("_e", F.explode(F.array_compact(F.array(row(0, J.SUBMITTED, F.lit(False)), early, late)))).select("block_id", "sub_id", "_e.*")
+    last = s.agg(F.max("received_at_ms")).first()[0] or 0
+    clock = t.spark.createDataFrame([("clock", "clock", last + 70000, J.ANSWER, False)], J.ANSWERS)
+    return J.finish(J.definitive_orphans(feed(t, "answers", log.unionByName(clock), "at_ms"))).select("sub_id", "block_id", "orphaned_at_ms")
+
+
 SILENCE_SQL = f"""WITH s AS (SELECT ie_id, ts, lead(ts) OVER (PARTITION BY ie_id ORDER BY ts) AS next_ts FROM messages WHERE score IS NOT NULL AND {PROVEN})
     SELECT ie_id, ts AS last_ts, CAST(120 AS BIGINT) AS threshold_s FROM s WHERE next_ts - ts > 120 OR next_ts IS NULL AND ts + 121 < (SELECT max(ts) FROM s)"""
 

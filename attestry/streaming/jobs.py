@@ -112,6 +112,55 @@ def orphan_stream(submissions: DataFrame, messages: DataFrame, timeout_s: int =
     return s.join(m, cond, "left_outer").select("sub_id", "block_id", "received_at_ms", F.col("m_block").isNull().alias("orphaned"))
 
 
+ANSWERS = "block_id string, sub_id string, at_ms bigint, kind string, referenced boolean"
+SUBMITTED, ANSWER, CONFIRMED = "submission", "answer", "confirmation"
+
+
+def definitive_orphans(log: DataFrame, timeout_s: int = V.ORPHAN_S, delay: str = "0 seconds") -> DataFrame:
+    """Submissions that the node itself says were never referenced: an answer inside the timeout, another at its end or later, and
+    up to that one neither an answer nor a confirmation that a milestone referenced the block. Polls without an answer say nothing.
+
+    log: block_id, sub_id, at_ms, kind (submission, answer, confirmation), referenced; the three kinds of one block meet in one keyed
+    state. A verdict waits on a timer until the watermark has passed its last answer, so the order of arrival within the delay does
+    not matter; what never gets its answers is forgotten a day after its last event without a verdict."""
+    day = 86_400_000
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clock = state.getCurrentWatermarkMs()
+        sub_id, received, seen = None, -1, {ANSWER: [], "yes": []}
+        if state.exists:
+            sub_id, received, answers, yes = state.get[0], state.get[1], *(json.loads(x) for x in state.get[2:4])
+            seen = {ANSWER: answers, "yes": yes}
+        for pdf in ([] if state.hasTimedOut else batches):
+            for sub, at, kind, referenced in zip(pdf["sub_id"], pdf["at_ms"], pdf["kind"], pdf["referenced"]):
+                if kind == SUBMITTED:
+                    if received < 0 or (int(at), sub) < (received, sub_id):
+                        sub_id, received = sub, int(at)
+                elif kind == ANSWER and not referenced:
+                    seen[ANSWER].append(int(at))
+                else:
+                    seen["yes"].append(int(at))
+        end = received + timeout_s * 1000
+        after = min((a for a in seen[ANSWER] if received >= 0 and a >= end), default=None)
+        found = []
+        done = after is not None and after < clock
+        if done and any(received <= a < end for a in seen[ANSWER]) and not any(y <= after for y in seen["yes"]):
+            found.append((sub_id, key[0], received, after))
+        last = max([received, *seen[ANSWER], *seen["yes"]])
+        if done or last + day < clock:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((sub_id, received, json.dumps(seen[ANSWER]), json.dumps(seen["yes"])))
+            state.setTimeoutTimestamp(max(clock, last + day if after is None else after) + 1)
+        yield pd.DataFrame(found, columns=["sub_id", "block_id", "received_at_ms", "orphaned_at_ms"])
+
+    timed = _timed(log, "at_ms", "event_time", delay)
+    return timed.groupBy("block_id").applyInPandasWithState(
+        step, "sub_id string, block_id string, received_at_ms bigint, orphaned_at_ms bigint",
+        "sub_id string, received bigint, answers string, yes string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # -- per-element state --------------------------------------------------------------------------
 
 
