@@ -41,6 +41,27 @@ def i3(t):
     return I.sessions(rows, 36000)
 
 
+SHARED_SQL = """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY ts, ms_index, wf_index, block_id) AS i, block_id, ts * 1000 AS t, verdict = 'PRODUCER_SIGNED' AS proven,
+      ['ie:' || ie_id, 'iss:' || iss] AS keys FROM messages WHERE tag = 'self-orchestrator' AND error_code <> 0 AND verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED')),
+    s AS (SELECT 0::BIGINT AS i, []::STRUCT(name VARCHAR, keys VARCHAR[], opened BIGINT, pinned BIGINT, fin BIGINT, n BIGINT)[] AS st
+      UNION ALL SELECT i, CASE WHEN b IS NULL THEN list_append(st, {'name': keys[1] || '@' || block_id, 'keys': keys, 'opened': t, 'pinned': t, 'fin': t, 'n': 1::BIGINT})
+        ELSE list_transform(st, lambda x, k: CASE WHEN k <> b THEN x ELSE {'name': x.name, 'keys': if(proven, list_distinct(list_concat(x.keys, keys)), x.keys), 'opened': x.opened,
+          'pinned': if(proven, greatest(x.pinned, t), x.pinned), 'fin': greatest(x.fin, if(proven, t, least(t, x.pinned + 600000))), 'n': x.n + 1} END) END
+      FROM (SELECT o.*, st, list_max(list_transform(list_filter(range(1, len(st) + 1), lambda k: list_has_any(st[k].keys, keys) AND t BETWEEN st[k].opened - 600000 AND st[k].fin + 600000),
+        lambda k: {'e': st[k].fin, 'k': k})).k AS b FROM s JOIN o ON o.i = s.i + 1))
+    SELECT x.name AS incident, x.opened AS opened_ms, x.fin AS last_ms, x.n AS events, array_to_string(list_sort(x.keys), ',') AS keys
+    FROM (SELECT unnest(st) AS x FROM s WHERE i = (SELECT count(*) FROM o))"""
+
+
+@query("i3_shared_keys", SHARED_SQL)
+def i3b(t):
+    """Errors gathered by element and issuer, whichever an incident already has."""
+    rows = t.messages.filter("tag = 'self-orchestrator' AND error_code <> 0 AND verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED')")
+    found = I.incidents(I.fold_all(I.numbered(I.plain_observations(rows), "errors"), I.Settings(), AS_OF))
+    keys = F.array_join(F.array_sort(F.from_json("keys", "array<string>")), ",")
+    return found.select("incident", "opened_ms", "last_ms", "events", keys.alias("keys"))
+
+
 @query("i5_incidents")
 def i5(t):
     return I.incidents(run(t)[1])

@@ -153,6 +153,15 @@ def alert_observations(alerts: DataFrame, subjects: DataFrame, known: DataFrame,
     return _complete(out.filter(F.size("keys") > 0))
 
 
+def plain_observations(messages: DataFrame, severity: str = "medium") -> DataFrame:
+    """Messages as events that open incidents and are gathered by element and issuer, their ledger time taken as it is."""
+    level = F.when(F.col("verdict") == "PRODUCER_SIGNED", "proven").otherwise("relayed")
+    keys = F.array_compact(F.array(F.concat(F.lit("ie:"), "ie_id"), F.concat(F.lit("iss:"), "iss")))
+    return _complete(messages.select(
+        (F.col("ts") * 1000).alias("ord_ms"), (F.col("ts") * 1000).alias("at_ms"), "ms_index", "wf_index", F.lit(0).alias("rank"), "block_id", F.lit("security").alias("role"),
+        level.alias("level"), F.lit(True).alias("opens"), F.lit(severity).alias("severity"), C.label(F.col("tag")).alias("title"), "ie_id", keys.alias("keys"), F.lit(False).alias("is_drop")))
+
+
 def distrust_observations(late: DataFrame, counted: DataFrame) -> DataFrame:
     """A late alert on a block that counted, at the alert's own time. `counted` are the observations of messages."""
     block = counted.select("block_id", "ie_id", "keys")
