@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,16 +33,18 @@ from pyspark.sql import functions as F
 from .sampling import share_of
 from .words import slices
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_END = re.compile(r"[>\"']")
+_NAME_END = re.compile(r"[\s/>]")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemtype|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 # tags of the HTML standard
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_RAW = set("script style textarea title noscript template iframe svg math".split())
+_RAW = set("script style textarea title noscript template iframe svg".split())
 _BLOCK = set("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
     frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td
     tfoot th thead tr ul""".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = set("article aside body div dl fieldset footer form header html main nav ol section table ul".split())
+MOST_TRAINED = 1_000_000  # features of one training page
 # what marks main text, and what is never main text, in the labels
 _MARKS = {"<article", "<main", "article", "main", "articlebody"}
 _NEVER_TAGS = set("nav header footer aside form menu button select dialog script style noscript template head".split())
@@ -48,18 +52,65 @@ _NEVER_NAMES = re.compile(r"^(ad|ads|advert\w*|banner|sponsor\w*|sidebar|side|co
                           r"social|related|recommend\w*|breadcrumbs?|menu|nav\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget|footer|header|toolbar|pager|pagination)$")
 
 
+class Node:
+    """An open element: its tag, and what it adds to the features of those above it."""
+
+    __slots__ = ("above", "tag", "fresh", "all", "marked", "never", "head", "score")
+
+    def __init__(self, above: Node | None, tag: str, words: list[str], open_features: Counter) -> None:
+        self.above, self.tag = above, tag
+        self.all = [f"under {tag}", *(f"named {w}" for w in dict.fromkeys(words))]
+        self.fresh = [f for f in self.all if not open_features[f]]
+        never = tag in _NEVER_TAGS or any(_NEVER_NAMES.match(w) for w in words)
+        self.marked = bool(above and above.marked) or "<" + tag in _MARKS or any(w in _MARKS for w in words)
+        self.fresh += ["never"] * (never and not (above and above.never))
+        self.never = never or bool(above and above.never)
+        self.head = tag == "head" or bool(above and above.head)
+        self.score: tuple[float, float] | None = None
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]  # class, id, role and item names above it
+    node: Node | None  # the element it lies in
     linked: int  # characters inside links
 
 
+class _Ends:
+    """Where tags end: the first `>` outside quotes, for every place of a page at once, so that no tag is looked for twice."""
+
+    def __init__(self, page: str) -> None:
+        self.places = [m.start() for m in _END.finditer(page)]
+        self.ends = [-1] * (len(self.places) + 1)
+        partner = {'"': -1, "'": -1}  # the next quote of a kind, as an index
+        for k in range(len(self.places) - 1, -1, -1):
+            at = self.places[k]
+            c = page[at]
+            if c == ">":
+                self.ends[k] = at + 1
+            else:
+                self.ends[k] = self.ends[partner[c] + 1] if partner[c] >= 0 else -1
+                partner[c] = k
+
+    def after(self, at: int) -> int:
+        return self.ends[bisect_left(self.places, at)]
+
+
+def _unescape(text: str) -> str:
+    try:
+        return html.unescape(text)
+    except ValueError:  # a number of thousands of digits: no character
+        text = re.sub(r"&#0*[1-9][0-9]{7,};?", "\ufffd", text)
+        return html.unescape(re.sub(r"&#0+(?=[0-9])", "&#", text))
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The leaf blocks of a page with text, in order."""
+    """The leaf blocks of a page with text, in order. One pass: work grows with the page's length, whatever its tags."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    places: dict[str, list[int]] = {}  # of each tag, where it is open
+    blocks: list[int] = []  # where block-level tags are open
+    features: Counter = Counter()
     pieces: list[str] = []
     linked = 0
 
@@ -67,86 +118,131 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), tuple(n for _, ns in stack for n in ns), min(linked, len(text))))
+            out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
         pieces.clear()
         linked = 0
 
     def add(raw: str):
         nonlocal linked
         if raw:
-            text = html.unescape(raw)
+            text = _unescape(raw)
             pieces.append(text)
-            if any(t == "a" for t, _ in stack):
+            if places.get("a"):
                 linked += len(" ".join(text.split()))
 
+    def push(tag: str, words: list[str]):
+        node = Node(stack[-1] if stack else None, tag, words, features)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _BLOCK:
+            blocks.append(len(stack))
+        features.update(node.all)
+        stack.append(node)
+
+    def cut(to: int):
+        while len(stack) > to:
+            node = stack.pop()
+            places[node.tag].pop()
+            if node.tag in _BLOCK:
+                blocks.pop()
+            features.subtract(node.all)
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def close(names: set[str], fence: set[str]):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in fence:
-                return
+        at = last(names)
+        if at >= 0 and at >= last(fence - names):
+            flush()
+            cut(at)
 
-    at = 0
+    ends, final, at, start, name_end, closers = _Ends(page), page.rfind(">"), 0, 0, -1, {}
     while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            add(page[at:])
+        lt = page.find("<", at)
+        if lt < 0:
+            add(page[start:])
             break
-        add(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                pieces.append(m[0][9:].removesuffix("]]>"))
+        at, c = lt + 1, page[lt + 1:lt + 2]
+        if page.startswith("<!--", lt) or page.startswith("<![CDATA[", lt):
+            opened, closed = (4, "-->") if page[lt + 2] == "-" else (9, "]]>")
+            end = page.find(closed, lt + opened)
+            add(page[start:lt])
+            if opened == 9:
+                pieces.append(page[lt + 9:end if end >= 0 else len(page)])
+            start = at = len(page) if end < 0 else end + 3
+            continue
+        if c in ("!", "?"):
+            end = page.find(">", lt) + 1 if lt < final else 0
+            if end:
+                add(page[start:lt])
+                start = at = end
+            continue
+        first = lt + 2 if c == "/" else lt + 1
+        if not (page[first:first + 1].isascii() and page[first:first + 1].isalpha()):
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if name_end < first:
+            m = _NAME_END.search(page, first)
+            name_end = m.start() if m else len(page)
+        end = ends.after(name_end)
+        if end < 0:
+            continue
+        add(page[start:lt])
+        start = at = end
+        tag = page[first:name_end].lower()
+        if c == "/":
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(t in _BLOCK for t, _ in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
+            i = places[tag][-1] if places.get(tag) else -1
+            if i >= 0:
+                if blocks and blocks[-1] >= i:
+                    flush()
+                cut(i)
             continue
+        inside = page[name_end:end - 1]
         if tag in _BLOCK:
             flush()
             close({"p"}, _FENCE | {"li", "td", "th"})
             close(_CLOSES.get(tag, set()), {"ul", "ol", "dl", "table"} if tag in ("li", "dt", "dd") else {"table", "select"})
         if tag == "br":
             pieces.append(" ")
-        if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
+        if tag in _VOID or inside.endswith("/") and tag not in _BLOCK:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag not in closers:
+                closers[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+            m = closers[tag].search(page, end)
+            start = at = m.end() if m else len(page)
             continue
-        names = tuple(w for k, a, b, c in _ATTRIBUTE.findall(m[3]) for w in re.split(r"[\s/_:.-]+", (a or b or c).lower()) if w)
-        stack.append((tag, names))
+        push(tag, [w for k, x, y, z in _ATTRIBUTE.findall(inside) for w in re.split(r"[\s/_:.-]+", (x or y or z).lower()) if w])
     flush()
     return out
 
 
 def labels_of(blocks: list[Block]) -> list[int] | None:
     """1 for main text, 0 for the rest, by the page's own mark; None without one."""
-    marked = [any("<" + t in _MARKS for t in b.tags) or any(n in _MARKS for n in b.names) for b in blocks]
+    marked = [bool(b.node and b.node.marked) for b in blocks]
     if not any(marked):
         return None
-    return [int(m and not any(t in _NEVER_TAGS for t in b.tags) and not any(_NEVER_NAMES.match(n) for n in b.names)) for m, b in zip(marked, blocks)]
+    return [int(m and not b.node.never) for m, b in zip(marked, blocks)]
 
 
-def features_of(blocks: list[Block]) -> list[list[str]]:
-    out = []
+def own_features(blocks: list[Block]) -> Iterator[list[str]]:
+    """What the block itself looks like."""
     for i, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         marks = sum(b.text.count(c) for c in ".,;!?")
-        f = ["bias", f"parent {b.tags[-1] if b.tags else ''}", f"words {min(words.bit_length(), 8)}", f"links {round(4 * b.linked / len(b.text))}",
-             f"marks {min(4, round(20 * marks / words))}", f"ends {b.text[-1] if b.text[-1] in '.!?:' else 'x'}", f"place {min(3, 4 * i // len(blocks))}",
-             f"digits {min(3, round(10 * sum(c.isdigit() for c in b.text) / len(b.text)))}", f"rights {'©' in b.text or 'copyright' in b.text.lower()}"]
-        f += [f"under {t}" for t in set(b.tags)] + [f"named {n}" for n in set(b.names)]
-        f += ["never"] * (any(t in _NEVER_TAGS for t in b.tags) or any(_NEVER_NAMES.match(n) for n in b.names))
+        yield ["bias", f"parent {b.node.tag if b.node else ''}", f"words {min(words.bit_length(), 8)}", f"links {round(4 * b.linked / len(b.text))}",
+               f"marks {min(4, round(20 * marks / words))}", f"ends {b.text[-1] if b.text[-1] in '.!?:' else 'x'}", f"place {min(3, 4 * i // len(blocks))}",
+               f"digits {min(3, round(10 * sum(c.isdigit() for c in b.text) / len(b.text)))}", f"rights {'©' in b.text or 'copyright' in b.text.lower()}"]
+
+
+def features_of(blocks: list[Block]) -> list[list[str]]:
+    """All features of each block, those of the elements around it included: for training."""
+    out = []
+    for b, f in zip(blocks, own_features(blocks)):
+        node = b.node
+        while node is not None:
+            f += node.fresh
+            node = node.above
         out.append(f)
     return out
 
@@ -161,14 +257,34 @@ class Field:
     weights: dict[str, tuple[float, float]]
     change: np.ndarray
 
+    def scores(self, blocks: list[Block]) -> list[tuple[float, float]]:
+        """Weights of each block's features. Those of the elements around it are added up once per element."""
+        none = (0.0, 0.0)
+        out = []
+        for b, row in zip(blocks, own_features(blocks)):
+            path, node = [], b.node
+            while node is not None and node.score is None:
+                path.append(node)
+                node = node.above
+            x, y = node.score if node is not None else none
+            for node in reversed(path):
+                for w in (self.weights.get(f, none) for f in node.fresh):
+                    x, y = x + w[0], y + w[1]
+                node.score = (x, y)
+            for w in (self.weights.get(f, none) for f in row):
+                x, y = x + w[0], y + w[1]
+            out.append((x, y))
+        return out
+
     def decode(self, rows: list[list[str]]) -> list[int]:
-        """Viterbi: the likeliest row of labels."""
+        """The likeliest row of labels of blocks given by their features."""
         none = (0.0, 0.0)
+        return self.viterbi([tuple(map(sum, zip(*(self.weights.get(f, none) for f in row)))) if row else none for row in rows])
+
+    def viterbi(self, scores: list[tuple[float, float]]) -> list[int]:
         (a, b), (c, d) = self.change.tolist()
         back, s, t = [], 0.0, 0.0
-        for i, row in enumerate(rows):
-            found = [self.weights.get(f, none) for f in row]
-            x, y = sum(w[0] for w in found), sum(w[1] for w in found)
+        for i, (x, y) in enumerate(scores):
             if i:
                 to_0, to_1 = (s + a >= t + c), (s + b > t + d)
                 back.append((0 if to_0 else 1, 0 if to_1 else 1))
@@ -180,7 +296,7 @@ class Field:
         for step in reversed(back):
             label = step[label]
             out.append(label)
-        return out[::-1] if rows else []
+        return out[::-1] if scores else []
 
 
 def fit(pages: list[str], rounds: int = 60) -> Field | None:
@@ -191,6 +307,13 @@ def fit(pages: list[str], rounds: int = 60) -> Field | None:
         labels = labels_of(blocks)
         if not blocks or labels is None:
             continue
+        depth = 0
+        for b in blocks:
+            node = b.node
+            while node is not None and depth <= MOST_TRAINED:
+                depth, node = depth + len(node.fresh) + 1, node.above
+        if depth > MOST_TRAINED:  # nested beyond reason: not a page to learn from
+            continue
         full = features_of(blocks)
         for f in (full, [[x for x in r if not _hidden(x)] for r in full]):
             rows += f
@@ -254,7 +377,7 @@ def extract(pages: DataFrame, field: Field | None) -> DataFrame:
     def main_text(page: str) -> str:
         blocks = blocks_of(page)
         own = shared.value
-        keep = own.decode(features_of(blocks)) if own else [int("head" not in b.tags) for b in blocks]
+        keep = own.viterbi(own.scores(blocks)) if own else [int(not (b.node and b.node.head)) for b in blocks]
         return "\n\n".join(b.text for b, k in zip(blocks, keep) if k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,10 @@
 
 import html
 import re
+import time
+
+import numpy as np
+import pytest
 
 from attestry.llm import html_extract, preference, queries, url_filter
 
@@ -162,3 +166,27 @@ def test_pipeline_over_odd_documents(spark, folder, odd, none):
     assert (False, 0) in left and left.count((True, 1)) == 1 and (True, 12) not in left and (True, 6) not in left and (True, 2) not in left
     for _, stage in c.STAGES:
         assert stage(spark, none, folder).count() == 0
+
+
+@pytest.mark.parametrize("page,n", [("<a " * 350_000, 1), ("<div>x" * 170_000, 170_000), ('<a "' * 260_000, 1), ('<a "' * 260_000 + ">", 0), ("<a '\"" * 200_000 + "<p>x", 1),
+                                    ("<a" * 500_000, 1), ("<b>" * 150_000 + "<hr>" * 150_000, 0), ("<!" * 500_000, 1), ("<p>&#" + "1" * 900_000 + ";", 1),
+                                    ("".join(f"<div class=c{i}>t" for i in range(50_000)), 50_000)])
+def test_pages_of_a_megabyte_take_seconds(page, n):
+    """Unclosed tags, open quotes, deep nesting: one pass, whatever is in it, and as much for scores."""
+    field = html_extract.Field({"bias": (0.1, 0.2), "under div": (0.0, 1.0), "named c7": (3.0, 0.0)}, np.zeros((2, 2)))
+    start = time.monotonic()
+    blocks = html_extract.blocks_of(page)
+    assert len(blocks) == n and len(field.viterbi(field.scores(blocks))) == n
+    assert time.monotonic() - start < 30
+
+
+def test_formulas_are_text_and_scores_are_sums_of_features():
+    page = "<body class='a b'><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.<div class=b><ul id=nav><li>one<li>two</ul></div><article>t"
+    blocks = html_extract.blocks_of(page)
+    assert [b.text for b in blocks] == ["Let x=1 hold.", "one", "two", "t"]
+    rng = np.random.default_rng(1)
+    rows = html_extract.features_of(blocks)
+    weights = {f: tuple(rng.normal(size=2).tolist()) for row in rows for f in row}
+    for got, row in zip(html_extract.Field(weights, np.zeros((2, 2))).scores(blocks), rows):
+        assert len(set(row)) == len(row)
+        assert np.allclose(got, np.sum([weights[f] for f in row], axis=0))
