@@ -5,8 +5,8 @@ its first and last letters, and itself (the lexicon); a learned matrix scores th
 one word to the next. Forward-backward gives every word its language probabilities inside the sentence around it, so
 code-switched text is labelled word by word; a document's language is the one with the most expected words.
 
-The model is fitted on at most `per_language` labelled documents of each language (the first by a hash of doc_id), from
-an excerpt of `excerpt` characters of each. Training sequences splice fragments of different documents, so that
+The model is fitted on about `per_language` labelled documents of each language (chosen by a hash of doc_id), from
+`fragments` stretches of each, anywhere in its whole text. Training sequences splice pieces of different documents, so that
 the transitions see language changes. Prediction reads whole texts and nothing but the text. Chains are cut into blocks of
 32 words whose transfer matrices are multiplied first; that is exact and keeps numpy busy however long a text is.
 
@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import share_of
 from .words import mix, slices
 
 SLOTS = 1 << 15
@@ -225,16 +226,17 @@ def fit(texts: list[str], labels: list[str], *, sequences: int = 4000, rounds: i
     return Model(languages, weights.astype(np.float32), change)
 
 
-def learn(labelled: DataFrame, *, per_language: int = 400, excerpt: int = 2000) -> Model:
-    """Fit on a bounded sample of `labelled` (doc_id, text, lang): at most `per_language` documents of each language."""
+def learn(labelled: DataFrame, *, per_language: int = 400, fragments: int = 8, length: int = 250) -> Model:
+    """Fit on a bounded sample of `labelled` (doc_id, text, lang): about `per_language` documents of each language at most, and of each
+    document `fragments` stretches of `length` characters from anywhere in its text, as the fit works on short sequences only."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language)
-              .select("doc_id", "lang").distinct())
-    begin = F.expr(f"1 + CAST(pmod(xxhash64(doc_id), greatest(char_length(text) - {excerpt}, 0) + 1) AS INT)")
-    rows = (known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", begin, F.lit(excerpt)).alias("text"))
-            .dropDuplicates(["doc_id", "lang"]).collect())
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    chosen = reduce(lambda x, y: x | y, [(F.col("lang") == r["lang"]) & share_of("doc_id", per_language, r["n"]) for r in counts], F.lit(False))
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(fragments - 1)), lambda k: F.pmod(
+        F.xxhash64("doc_id", k), F.greatest(F.char_length("text") - length, F.lit(0)) + 1).cast("int") + 1))
+    rows = known.filter(chosen).select("doc_id", "lang", "text").distinct().select(
+        "doc_id", "lang", F.explode(F.transform(places, lambda at: F.substring("text", at, F.lit(length)))).alias("text")).collect()
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
