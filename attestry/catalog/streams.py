@@ -45,7 +45,8 @@ def t1(t):
     again = s.withColumn("sub_id", F.concat(F.lit("z"), "sub_id")).withColumn("source", F.lit("http")).withColumn("received_at_ms", F.col("received_at_ms") + 3)
     path = scratch_path(t.spark, "ingested")
     J.ingest_submissions(feed(t, "records", s.union(s).union(again), "received_at_ms"), path)
-    return t.spark.read.parquet(path).select("block_id", "received_at_ms")
+    store = J.submission_store(path)
+    return store.rows(t.spark, store.batches(t.spark)).select("block_id", "received_at_ms")
 
 
 @query("t1_dedupe_watermark", "SELECT sub_id, block_id FROM submissions")

@@ -21,6 +21,7 @@ from ..plans import incidents as I
 from ..plans import verdicts
 from ..session import scratch_path, settle
 from ..sources import loads
+from .keystore import KeyStore
 
 
 def event_time(df: DataFrame, seconds: str = "ts", name: str = "event_time") -> DataFrame:
@@ -65,12 +66,19 @@ def dedupe_submissions(stream: DataFrame, delay: str = "10 minutes") -> DataFram
 SUBMISSION = "sub_id string, block_id string, received_at_ms bigint, source string"
 
 
+def submission_store(path: str) -> KeyStore:
+    return KeyStore(path, SUBMISSION, {"sub": ("sub_id",), "block": ("block_id",)})
+
+
 def ingest_submissions(stream: DataFrame, path: str) -> None:
-    """Insert each submission once, whichever transport delivers it first, exactly."""
+    """Insert each submission once, whichever transport delivers it first, exactly. A batch reads only the folders of the store in which
+    its ids may lie."""
+    store = submission_store(path)
+
     def write(batch: DataFrame, n: int) -> None:
-        known = stored(batch.sparkSession, path, SUBMISSION, n)
-        fresh = loads.insert_submissions(known, batch.select("sub_id", "block_id", "received_at_ms", "source"))
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        rows = batch.select("sub_id", "block_id", "received_at_ms", "source")
+        known = store.find(rows, "sub", n).unionByName(store.find(rows, "block", n)).select("stored.*").distinct()
+        store.append(loads.insert_submissions(settle(known, "known-submissions"), rows), n)
 
     each_batch(stream, write)
 
@@ -94,9 +102,9 @@ def shadow_stream(messages: DataFrame, submissions_path: str, waiting_path: str,
         top = rows.select(F.col("confirmed_at_ms").alias("top")).union(waiting.select("top")).agg(F.max("top").alias("top"))
         every = rows.union(waiting.filter("block_id IS NOT NULL").drop("top")).join(F.broadcast(top))  # one row
         due = F.col("confirmed_at_ms") + grace_s * 1000 <= F.col("top")
-        sent = stored(spark, submissions_path, SUBMISSION, 1 << 62).select(F.col("block_id").alias("s_block"), "received_at_ms")
-        known = (F.col("block_id") == F.col("s_block")) & (F.col("received_at_ms") <= F.col("confirmed_at_ms") + grace_s * 1000)
-        every.filter(due).join(sent, known, "left_anti").drop("top").write.mode("overwrite").parquet(f"{out_path}/batch={n}")
+        store, due_rows = submission_store(submissions_path), settle(every.filter(due).drop("top"), "due")
+        sent = store.find(due_rows, "block", store.batches(spark)).filter(F.col("stored.received_at_ms") <= F.col("confirmed_at_ms") + grace_s * 1000)
+        due_rows.join(sent.select("block_id").distinct(), "block_id", "left_anti").select(*due_rows.columns).write.mode("overwrite").parquet(f"{out_path}/batch={n}")
         # the clock is kept even if nothing waits
         clock = top.select(F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("string").alias("ie_id"), F.lit(None).cast("bigint").alias("confirmed_at_ms"), "top")
         every.filter(~due).union(clock).write.mode("overwrite").parquet(f"{waiting_path}/batch={n}")
@@ -220,21 +228,19 @@ SPENT = "iss string, seq bigint, nonce string, block_id string"
 
 
 def replay_stream(candidates: DataFrame, spent_path: str, out_path: str) -> None:
-    """Replays per micro-batch against the spent seqs and nonces of all batches before.
+    """Replays per micro-batch against the spent seqs and nonces of all batches before, of which only the folders that may hold the
+    batch's keys are read."""
+    store = KeyStore(spent_path, SPENT, {"seq": ("iss", "seq"), "nonce": ("iss", "nonce")})
 
-    Both lookups are joins on the key, so a busy issuer is spread like any other rows."""
     def write(batch: DataFrame, n: int) -> None:
-        spent = stored(batch.sparkSession, spent_path, SPENT, n)
-        s = spent.select("iss", "seq", F.col("block_id").alias("_s"))
-        c = spent.filter("nonce IS NOT NULL").select("iss", "nonce", F.col("block_id").alias("_n"))
-        seen = batch.join(s, ["iss", "seq"], "left").join(c, ["iss", "nonce"], "left")
-        old = seen.filter("_s IS NOT NULL OR _n IS NOT NULL").select("block_id", F.coalesce("_s", "_n").alias("earlier"))
-        fresh = seen.filter("_s IS NULL AND _n IS NULL").drop("_s", "_n")
-        again = verdicts.resolve_replays(fresh)
+        hits = store.find(batch, "seq", n).withColumn("_rank", F.lit(0)).unionByName(store.find(batch, "nonce", n).withColumn("_rank", F.lit(1)))
+        old = settle(hits.groupBy("block_id").agg(F.min(F.struct("_rank", F.col("stored.block_id").alias("b")))["b"].alias("earlier")), "replayed")
+        fresh = settle(batch.join(old.select("block_id"), "block_id", "left_anti").select(*batch.columns), "fresh")
+        again = settle(verdicts.resolve_replays(fresh), "again")
         found = old.unionByName(again.select("block_id", F.coalesce("seq_used_by", "nonce_used_by").alias("earlier")))
         found.write.mode("overwrite").parquet(f"{out_path}/batch={n}")
         kept = fresh.filter("spends").join(again.select("block_id"), "block_id", "left_anti")
-        kept.select("iss", "seq", "nonce", "block_id").write.mode("overwrite").parquet(f"{spent_path}/batch={n}")
+        store.append(kept.select("iss", "seq", "nonce", "block_id"), n)
 
     each_batch(candidates, write)
 
