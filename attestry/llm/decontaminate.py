@@ -57,6 +57,9 @@ def _parts(text: str) -> tuple[str, str]:
     return (head, tail) if head.strip() else (tail, "")
 
 
+SUMMED = 1 << 20  # block maxima added up at once
+
+
 def _runs(text: str) -> tuple[int, np.ndarray]:
     """The length of a text's runs (five words, or all it has) and their names."""
     words = _names(pa.array([text]))
@@ -195,6 +198,19 @@ def _share(wanted: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(wanted, there).mean()) if len(wanted) else 1.0
 
 
+def _reached(maxima: np.ndarray, term: np.ndarray, first: np.ndarray, some: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The passages that may reach `least` in a block, with which blocks: sums of block maxima, for a bounded number of terms at once."""
+    at_once, ends = max(1, SUMMED // maxima.shape[1]), first[some + 1]
+    at = 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(ends, first[some[at]] + at_once, side="right")))
+        low, high = first[some[at]], first[some[to - 1] + 1]
+        reach = np.add.reduceat(maxima[term[low:high]], first[some[at:to]] - low, axis=0) >= least
+        for row in np.flatnonzero(reach.any(axis=1)):
+            yield some[at + row], reach[row]
+        at = to
+
+
 def _hits(index: Index, part: pa.RecordBatch, least_score: float, overlap: float, part_overlap: float) -> dict[tuple[int, int], tuple]:
     """Verified pairs (row, item number) with the start of the best passage, its score and the three overlaps."""
     span, step = 2 * index.span, index.span
@@ -212,13 +228,10 @@ def _hits(index: Index, part: pa.RecordBatch, least_score: float, overlap: float
     owner, term = np.divmod(np.unique(asked), len(index.terms))
     first = np.searchsorted(owner, np.arange(len(begin) + 1))
     some = np.flatnonzero(np.diff(first))
-    bound = np.add.reduceat(index.maxima[term], first[some], axis=0) if len(some) else np.zeros((0, 1))
-    reach = bound >= least_score - 1e-5
     hits: dict[tuple[int, int], tuple] = {}
-    for row in np.flatnonzero(reach.any(axis=1)):
-        p = some[row]
+    for p, reach in _reached(index.maxima, term, first, some, least_score - 1e-5):
         terms = term[first[p]:first[p + 1]].tolist()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], reach[row].astype(np.int8), [0]])))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], reach.astype(np.int8), [0]])))
         ranked = [hit for a, z in edge.reshape(-1, 2).tolist() for hit in wand(index, terms, least_score, range(a, z))]
         if not ranked:
             continue

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -357,3 +358,29 @@ def test_odd_documents(spark, folder, odd, none):
     assert language.predict(none, language.learn(none)).count() == packing.pack_documents(none, **names).count() == 0
     assert decontaminate.contaminated(none, items).count() == decontaminate.contaminated(odd, items.limit(0)).count() == 0
     assert quality.score_documents(none, spark.createDataFrame([], "doc_id bigint, quality int")).count() == 0
+
+
+def test_bounds_of_long_texts_take_bounded_memory(monkeypatch):
+    """A text of two megabytes against 2,048 items: the sums of block maxima are made piece by piece, and pieces change nothing."""
+    rng = random.Random(9)
+    names = [f"v{i}" for i in range(20_000)]
+    texts = {i: (i, " ".join(rng.choices(names, k=30))) for i in range(2_048)}
+    rows, df = [], Counter()
+    for i, (_, t) in texts.items():
+        w = words_of(pa.array([t]), lower=True, apart=decontaminate.PUNCTUATION)
+        for term, tf in zip(*np.unique(w.name, return_counts=True)):
+            df[int(term)] += 1
+            rows.append({"item": i, "term": int(term), "tf": int(tf), "words": len(w.name)})
+    index = decontaminate.build([{**r, "df": df[r["term"]]} for r in rows], texts, len(texts), 30.0, 30)
+    long = " ".join(rng.choices(names, k=60_000)) + " " + texts[5][1] + " " + " ".join(rng.choices(names, k=190_000))
+    part = pa.record_batch({"text": pa.array([long, texts[7][1], "", None])})
+    tracemalloc.start()
+    whole = decontaminate._hits(index, part, 0.6, 0.8, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(0, 5), (1, 7)} <= set(whole) and peak < 200 << 20
+    monkeypatch.setattr(decontaminate, "SUMMED", 5_000)
+    short = pa.record_batch({"text": pa.array([texts[7][1], long[:20_000], texts[5][1] + " " + long[:9_000]])})
+    pieces = decontaminate._hits(index, short, 0.3, 0.5, 0.2)
+    monkeypatch.setattr(decontaminate, "SUMMED", 1 << 30)
+    assert pieces == decontaminate._hits(index, short, 0.3, 0.5, 0.2) and len(pieces) > 1
