@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 
-from ..operators import chain, keys, merkle, reports, scoring
+from ..operators import chain, keys, lifecycle, merkle, reports, scoring
 from .registry import query
 
 PROVEN = "verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED')"
@@ -70,7 +70,7 @@ def a8(t):
 
 @query("a9_message_count", "SELECT count(*) AS n FROM messages WHERE ms_index BETWEEN 2000 AND 3000")
 def a9(t):
-    return t.messages.filter("ms_index BETWEEN 2000 AND 3000").agg(F.count(F.lit(1)).alias("n"))
+    return reports.message_count(t.messages, 2000, 3000)
 
 
 @query("a10_issuer_state", f"""SELECT iss, max(seq) AS top_seq, CAST(least(count(*), 500) AS BIGINT) AS nonces, arg_max(nonce, (ts, -n)) AS newest FROM messages WHERE {PROVEN} GROUP BY iss""")
@@ -88,7 +88,7 @@ def a11(t):
 
 @query("a12_first_submission", "SELECT min(received_at_ms) AS baseline_ms FROM submissions")
 def a12(t):
-    return t.submissions.agg(F.min("received_at_ms").alias("baseline_ms"))
+    return lifecycle.first_submission(t.submissions)
 
 
 @query("a13_ledger_clock", """SELECT max(ts) AS latest_ts, CASE WHEN 1706800000 - max(ts) > 120 THEN 'stalled' ELSE 'ok' END AS status FROM milestones""")
@@ -284,9 +284,7 @@ def a32(t):
 
 @query("a34_highest_ids", "SELECT coalesce(max(id), 0) AS last_alert, (SELECT max(seq) FROM messages WHERE iss = 'did:x:4') AS last_seq FROM alerts")
 def a34(t):
-    last = t.alerts.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("last_alert"))
-    seq = t.messages.filter("iss = 'did:x:4'").agg(F.max("seq").alias("last_seq"))
-    return last.join(F.broadcast(seq))  # one row each
+    return reports.highest_ids(t.alerts, t.messages, "did:x:4")
 
 
 @query("w18_detection_latency", """SELECT n AS trial, greatest(0, coalesce(a.at_ms, ts * 1000 + 5000) - (ts * 1000 + 1500)) AS latency_ms, CASE WHEN a.at_ms IS NULL THEN 'poll' ELSE 'alert' END AS source

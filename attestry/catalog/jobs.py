@@ -210,10 +210,8 @@ def r19(t):
 
 @query("r20_distrust_overlay", "SELECT block_id, block_id IN (SELECT block_id FROM alerts WHERE rule IN ('SHADOW', 'UNSIGNED')) AS distrusted FROM messages")
 def r20(t):
-    from ..functions import vocabulary as V
     from ..operators import documents
-    bad = t.alerts.filter(F.col("rule").isin(*V.DISTRUST_RULES)).select("block_id")
-    return documents.flag(t.messages.select("block_id"), "block_id", bad, "distrusted")
+    return documents.distrusted(t.messages.select("block_id"), t.alerts)
 
 
 @query("r21_rules_run", f"""SELECT rule, severity, count(*) AS n FROM (

@@ -191,9 +191,8 @@ def j19(t):
 @query("j22_blocks_with_alert", """SELECT block_id, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules FROM alerts WHERE rule IN ('SHADOW', 'UNSIGNED', 'FORGED')
     AND block_id IN (SELECT block_id FROM messages WHERE ms_index > 3000) GROUP BY block_id""")
 def j22(t):
-    hits = t.alerts.filter(F.col("rule").isin("SHADOW", "UNSIGNED", "FORGED"))
-    hits = hits.join(t.messages.filter("ms_index > 3000").select("block_id"), "block_id", "left_semi")
-    return hits.groupBy("block_id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    found = reports.blocks_with_alerts(t.alerts, ("SHADOW", "UNSIGNED", "FORGED"), t.messages.filter("ms_index > 3000"))
+    return found.select("block_id", F.array_join("rules", ",").alias("rules"))
 
 
 @query("j23_ie_list", f"""WITH h AS ({LATEST_CLEAN}) SELECT a.ie_id, a.count, a.first_ts, a.last_ts, a.last_ms_index, h.score, h.block_id AS score_block_id, h.ts AS score_ts

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import reports
+from ..operators import anchors, reports
 from ..sources import loads, records
 from .registry import query
 
@@ -181,5 +181,10 @@ def s14b(t):
 @query("l7_anchor_rotation", """SELECT seq, CAST(CASE WHEN seq % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS priority FROM anchors""")
 def l7(t):
     # every anchor is audited in each run; the unverified ones only come first
-    return (t.anchors.withColumn("priority", F.when(F.col("status") == "pending", 0).otherwise(1).cast("bigint"))
-            .orderBy("priority", "seq").select("seq", "priority"))
+    return anchors.rotation(t.anchors).select("seq", "priority")
+
+
+@query("l7_anchor_rotation_page", """SELECT seq, 0::BIGINT AS priority FROM anchors WHERE status = 'pending'
+    UNION ALL SELECT * FROM (SELECT seq, 1::BIGINT FROM anchors WHERE status <> 'pending' AND seq > 3 ORDER BY seq LIMIT 4)""")
+def l7b(t):
+    return anchors.rotation(t.anchors, page=4, after=3).select("seq", "priority")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..operators import ordered, textindex
+from ..operators import ordered, reconcile, textindex
 from ..operators import search as S
 from ..session import scratch_path
 from .columns import INCIDENT_ROWS, incident_rows
@@ -205,16 +205,13 @@ def u2(t):
 
 @query("u3_difference", "SELECT block_id FROM blocks EXCEPT SELECT block_id FROM stored_messages")
 def u3(t):
-    return t.blocks.select("block_id").join(t.stored_messages.select("block_id"), "block_id", "left_anti").distinct()
+    return reconcile.not_stored(t.blocks, t.stored_messages)
 
 
 @query("u4_key_overlap", """SELECT DISTINCT a.id, m.corr FROM alerts a JOIN messages m ON m.block_id = a.block_id WHERE m.corr IN ('c3', 'c7')
     OR concat('ie:', m.ie_id) IN ('ie:Dom:000000000009')""")
 def u4(t):
-    keys = F.array_compact(F.array(F.col("corr"), F.concat(F.lit("ie:"), "ie_id")))
-    wanted = F.array(F.lit("c3"), F.lit("c7"), F.lit("ie:Dom:000000000009"))
-    m = t.messages.filter(F.arrays_overlap(keys, wanted)).select("block_id", "corr")
-    return t.alerts.join(m, "block_id").select("id", "corr").distinct()
+    return S.alerts_by_keys(t.alerts, t.messages, ("c3", "c7", "ie:Dom:000000000009"))
 
 
 @query("u5_field_sets", """SELECT block_id, CAST(len(list_filter(json_keys(envelope), lambda k: k NOT IN ('w','tag','iss','kid','seq','iat','nonce','att','body','enc','bix','cmt','prev','corr','sig'))) AS BIGINT) AS unknown,

@@ -159,3 +159,12 @@ def cone_check(blocks: DataFrame, expected_id=None) -> DataFrame:
     return df.select("ms_index", "n", order.alias("in_order"), "bad_hashes")
 
 
+def rotation(anchors: DataFrame, page: int | None = None, after: int | None = None, pending: str = "pending") -> DataFrame:
+    """Anchors to audit next: all that are unverified (priority 0), then the others (priority 1) in order of seq, beginning after the
+    cursor `after` and, with `page`, that many."""
+    waiting = anchors.filter(F.col("status") == pending)
+    others = anchors.filter(~F.coalesce(F.col("status") == pending, F.lit(False)))
+    others = others if after is None else others.filter(F.col("seq") > after)
+    others = others if page is None else others.orderBy("seq").limit(page)
+    first = waiting.withColumn("priority", F.lit(0).cast("bigint")).unionByName(others.withColumn("priority", F.lit(1).cast("bigint")))
+    return first.orderBy("priority", "seq")

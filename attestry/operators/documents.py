@@ -121,3 +121,8 @@ def feed_rows(*, messages: DataFrame | None = None, milestones: DataFrame | None
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def distrusted(messages: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Add `distrusted`: whether an alert takes the block out of evidence."""
+    return flag(messages, "block_id", alerts.filter(F.col("rule").isin(*V.DISTRUST_RULES)).select("block_id"), "distrusted")

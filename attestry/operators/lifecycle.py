@@ -78,3 +78,8 @@ def orphaned(submissions: DataFrame, validations: DataFrame, as_of_ms: int, time
         F.count(F.lit(1)).alias("answered"), F.max("is_solid").alias("solid")))
     late = F.col("received_at_ms") + timeout_s * 1000 <= as_of_ms
     return answers.filter(late & ~F.col("confirmed") & (F.col("inside") > 0) & (F.col("after") > 0))
+
+
+def first_submission(submissions: DataFrame) -> DataFrame:
+    """The time from which messages without a submission can be told: nothing was received before."""
+    return submissions.agg(F.min("received_at_ms").alias("baseline_ms"))

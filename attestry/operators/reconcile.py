@@ -130,3 +130,6 @@ def latest_per_block(log: DataFrame, n: int = 1) -> DataFrame:
     return ordered.latest(log, ["block_id"], F.col("checked_at_ms").desc(), F.col("id").desc(), n=n)
 
 
+def not_stored(ledger: DataFrame, stored: DataFrame, key: str = "block_id") -> DataFrame:
+    """Ids on the ledger that are not among the stored ones."""
+    return ledger.select(key).join(stored.select(key), key, "left_anti").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,3 +165,20 @@ def ledger_clock(milestones: DataFrame, as_of_s: int, threshold_s: int = 120) ->
                          .when(as_of_s - F.col("latest_ts") > threshold_s, "stalled").otherwise("ok"))
 
 
+def blocks_with_alerts(alerts: DataFrame, rules: Sequence[str], among: DataFrame | None = None) -> DataFrame:
+    """Blocks that carry an alert of any of the rules, with those rules; `among` (block_id) keeps only blocks of its own."""
+    hits = alerts.filter(F.col("rule").isin(*rules) & F.col("block_id").isNotNull()).select("block_id", "rule")
+    if among is not None:
+        hits = hits.join(among.select("block_id"), "block_id", "left_semi")
+    return hits.groupBy("block_id").agg(F.array_sort(F.collect_set("rule")).alias("rules"))
+
+
+def message_count(messages: DataFrame, ms_from: int, ms_to: int) -> DataFrame:
+    """How many messages the milestones of a range reference."""
+    return messages.filter(F.col("ms_index").between(ms_from, ms_to)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def highest_ids(alerts: DataFrame, messages: DataFrame, iss: str) -> DataFrame:
+    """The last alert id (0 without alerts) and the last seq of an issuer (null without messages): where readers go on."""
+    last = alerts.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("last_alert"))
+    return last.join(F.broadcast(messages.filter(F.col("iss") == iss).agg(F.max("seq").alias("last_seq"))))  # one row each

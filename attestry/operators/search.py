@@ -121,3 +121,10 @@ def lookup(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of `df` whose key is among `keys`, nulls being equal to nulls."""
     cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(keys[c]) for c in on])
     return df.join(keys, cond, "left_semi")
+
+
+def alerts_by_keys(alerts: DataFrame, messages: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """Alerts on messages that share a correlation key with `wanted`: their own correlation id, or `ie:` and their element."""
+    keys = F.array_compact(F.array(F.col("corr"), F.concat(F.lit("ie:"), "ie_id")))
+    found = messages.filter(F.arrays_overlap(keys, F.array(*map(F.lit, wanted)))).select("block_id", "corr")
+    return alerts.join(found, "block_id").select("id", "corr").distinct()
