@@ -256,10 +256,16 @@ class Fold:
     def __init__(self, s: Settings, books: list[dict] = (), stream: bool = False) -> None:
         self.s, self.stream, self.out = s, stream, []
         self.book = {"open": [], "kept": [], "changes": 0, "block": None, "home": None, "grip": None, "last": None}
+        self.fresh: list[str] = []  # keys that the incident at hand gained since its last row was written
         for book in books:  # of components that have become one
             later = book["last"] and (self.book["last"] is None or book["last"] > self.book["last"])
             self.book = {**(book if later else self.book), "open": self.book["open"] + book["open"], "kept": self.book["kept"] + book["kept"],
                          "changes": max(self.book["changes"], book["changes"])}
+        self.by_key: dict[str, list[dict]] = {}  # the open incidents that hold a key
+        for incident in (*self.book["open"], *self.book["kept"]):
+            incident["keys"] = set(incident["keys"])
+        for incident in self.book["open"]:
+            self.hold(incident, incident["keys"])
         self.wake = None  # nothing becomes quiet before
         self.handlers = (self.distrust, self.alert_on_placed_block, self.alert_without_home, self.score, self.join, self.open)
 
@@ -297,6 +303,7 @@ class Fold:
                 incident |= {"status": "open", "closed": None, "closed_by": None, "reopened": int(o.ord_ms)}
                 self.book["kept"].remove(incident)
                 self.book["open"].append(incident)
+                self.hold(incident, incident["keys"])
                 self.wake = None
             if event["drop"] and event["level"] == "proven":
                 left = sorted((e["at"], b) for b, e in incident["events"].items() if e["drop"] and e["level"] == "proven" and e["role"] != EVIDENCE)
@@ -323,7 +330,7 @@ class Fold:
             event = incident["events"][o.block_id]
             grip = None if event["role"] == EVIDENCE else {"proven": PIN, "relayed": PULL}.get(event["level"])
         if incident is None or incident["status"] != "open":  # closed since
-            self.write("linked", {"name": self.book["home"] if incident is None else incident["name"], "keys": []}, o)
+            self.write("linked", {"name": self.book["home"] if incident is None else incident["name"]}, o)
             return True
         if o.rule in (*V.ATTACK_RULES, *V.INTEGRITY_RULES):
             self.move(incident, at, grip)
@@ -359,7 +366,9 @@ class Fold:
         proven = o.level == "proven"
         self.move(incident, at, PIN if proven else PULL if o.level == "relayed" or o.finding else None)
         if proven:
-            incident["keys"] = sorted(keys.union(incident["keys"]))
+            self.fresh = sorted(keys - incident["keys"])
+            incident["keys"] |= keys
+            self.hold(incident, self.fresh)
             incident["ie"] = incident["ie"] or o.ie_id
             fresh_drop = o.is_drop and incident["low"] is None
             about_it = incident["ie"] and f"ie:{incident['ie']}" in keys
@@ -375,10 +384,12 @@ class Fold:
         if o.opens:
             proven = o.level == "proven"
             incident = {"name": f"{o.primary}@{o.block_id or o.alert_id}", "born": self.now, "status": "open", "severity": o.severity or "low",
-                        "title": o.title, "ie": o.ie_id, "keys": sorted(keys), "opened": at, "pinned": at, "end": at, "closed": None, "closed_by": None,
+                        "title": o.title, "ie": o.ie_id, "keys": set(keys), "opened": at, "pinned": at, "end": at, "closed": None, "closed_by": None,
                         "base": float(o.base) if proven and o.ie_id is not None and not pd.isna(o.base) else None, "low": float(o.score) if proven and o.is_drop else None,
                         "events": {}, "reopened": None}
             self.book["open"].append(incident)
+            self.fresh = sorted(keys)
+            self.hold(incident, keys)
             self.wake = None if self.wake is None else min(self.wake, self.silent_at(incident))
             self.place(incident, o, o.level, "trigger")
             self.write("opened", incident, o, "trigger")
@@ -396,7 +407,12 @@ class Fold:
 
     def nearest(self, keys: set) -> list[dict]:
         """Open incidents that share a key, the one with the latest end first."""
-        return sorted((i for i in self.book["open"] if keys.intersection(i["keys"])), key=lambda i: (i["end"], i["born"]), reverse=True)
+        found = {id(i): i for k in keys for i in self.by_key.get(k, ())}
+        return sorted(found.values(), key=lambda i: (i["end"], i["born"]), reverse=True)
+
+    def hold(self, incident: dict, keys) -> None:
+        for k in keys:
+            self.by_key.setdefault(k, []).append(incident)
 
     def silent_at(self, incident: dict) -> int:
         return max(incident["end"] + self.s.quiet_ms, incident["reopened"] or 0)
@@ -427,6 +443,10 @@ class Fold:
         incident |= {"status": status, "closed": int(at), "closed_by": o.block_id if o else None}
         self.write("closed", incident, o)
         self.book["open"].remove(incident)
+        for k in incident["keys"]:
+            left = [i for i in self.by_key.pop(k) if i is not incident]
+            if left:
+                self.by_key[k] = left
         if any(e["pending"] for e in incident["events"].values()):
             self.book["kept"].append(incident)
 
@@ -435,7 +455,9 @@ class Fold:
         seen = (None,) * 2 if o is None else (o.block_id or None, int(o.alert_id) if linked and o.alert_id >= 0 else None)
         known = (None,) * 3 if o is None else (o.level, o.rule, int(o.at_ms))
         i = incident or {}
-        as_it_is = [i.get(k) for k in ("status", "severity", "title", "ie")] + [json.dumps(sorted(i["keys"])) if incident else None] + [
+        # an incident may gather the keys of the whole ledger: a row tells those that it adds, `incidents` adds them up
+        gained, self.fresh = json.dumps(self.fresh) if self.fresh else None, []
+        as_it_is = [i.get(k) for k in ("status", "severity", "title", "ie")] + [gained] + [
             i.get(k) for k in ("opened", "end", "closed", "closed_by", "base", "low")]
         self.out.append((self.book["changes"], action, i.get("name"), *seen, role, *known, *as_it_is, state))
 
@@ -449,7 +471,7 @@ class Fold:
         self.book["kept"] = [i for i in self.book["kept"] if i["closed"] + self.s.keep_ms >= as_of_ms]
         recent = self.book["last"] and self.book["last"][0] + self.s.quiet_ms >= as_of_ms  # alerts on the last block may still come
         if self.book["open"] or self.book["kept"] or recent:
-            self.write("state", None, state=json.dumps(self.book))
+            self.write("state", None, state=json.dumps(self.book, default=sorted))  # sets of keys as lists
 
 
 def _book_row(state: str) -> tuple[list[str], int, str]:
@@ -571,14 +593,23 @@ def memberships(changes: DataFrame) -> DataFrame:
         "incident", "block_id", "n", "_r.sign", "_r.role", "at_ms", F.col("level").alias("trust"), "rule")
 
 
+def _json_list(texts: Column) -> Column:
+    """A JSON list, spaced as Python writes it."""
+    quoted = F.transform(texts, lambda k: F.regexp_replace(F.to_json(F.array(k)), r"^\[|\]$", ""))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
 def incidents(changes: DataFrame) -> DataFrame:
-    """The incidents as they stand: the last row of each, with how many events and alerts joined."""
+    """The incidents as they stand: the last row of each, with all the keys it gained and how many events and alerts joined."""
     rows = changes.filter("incident IS NOT NULL")
-    final = F.struct("title", "status", "severity", "ie_id", "keys", "opened_ms", "last_ms", "closed_ms", "closed_by", "baseline", "low")
+    final = F.struct("title", "status", "severity", "ie_id", "opened_ms", "last_ms", "closed_ms", "closed_by", "baseline", "low")
     return (rows.groupBy("incident").agg(
         F.max_by(final, F.when(F.col("status").isNotNull(), F.col("n"))).alias("f"),
         F.count_if(F.col("action").isin("opened", "attached") & F.col("block_id").isNotNull()).alias("events"),
-        F.count("alert_id").alias("alerts")).select("incident", "f.*", "events", "alerts"))
+        F.flatten(F.collect_list(F.from_json("keys", "array<string>"))).alias("_keys"),
+        F.count("alert_id").alias("alerts")).select(
+            "incident", "f.title", "f.status", "f.severity", "f.ie_id", _json_list(F.array_sort("_keys")).alias("keys"), "f.opened_ms", "f.last_ms", "f.closed_ms",
+            "f.closed_by", "f.baseline", "f.low", "events", "alerts"))
 
 
 def events(changes: DataFrame) -> DataFrame:

@@ -1,10 +1,15 @@
 """What only larger ledgers show: keys of long incidents, slices of several files, the last second of a key, id ranges."""
 
+import json
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from attestry.catalog import jobs as CJ
 from attestry.fixtures import Ledger
+from attestry.plans import incidents as I
 from attestry.plans import proofs, verdicts
+from tests.test_incidents import full
 
 MID_S = 1704067200 + 15 * 86400  # the first key of each issuer is revoked at this second's beginning
 
@@ -24,3 +29,22 @@ def test_envelope_step_in_the_second_in_which_keys_change(spark, folder):
     t = Ledger.at(spark, folder)
     steps = proofs.envelope_step(at_the_change_of_keys(t), t.key_history)
     assert [r[0] for r in steps.select("envelope_ok").distinct().collect()] == [True]
+
+
+def test_changes_of_a_long_incident_do_not_repeat_its_keys():
+    made = I.Fold(I.Settings())
+    for i in range(400):
+        made.feed(SimpleNamespace(**full(i, dict(at=i * 1000, keys=[f"ie:{i}", "iss:x"]))))
+    made.put_down(10**9)
+    told = [json.loads(k) for k in (r[I.CHANGE_COLUMNS.index("keys") - 1] for r in made.out) if k]
+    assert sum(map(len, told)) == 401
+    assert len({k for ks in told for k in ks}) == 401
+
+
+def test_an_incident_has_all_keys_it_gained(spark):
+    made = I.Fold(I.Settings())
+    for i in range(3):
+        made.feed(SimpleNamespace(**full(i, dict(at=i * 1000, keys=[f"ie:{2 - i}", 'iss:"x'], level="relayed" if i == 1 else "proven"))))
+    made.put_down(10**9)
+    changes = spark.createDataFrame([(0, *r) for r in made.out], I.CHANGE)
+    assert [r[0] for r in I.incidents(changes).select("keys").collect()] == [json.dumps(["ie:0", "ie:2", 'iss:"x'])]
