@@ -80,7 +80,9 @@ def t3b(t):
     log = s.withColumn("_e", F.explode(F.array_compact(F.array(row(0, J.SUBMITTED, F.lit(False)), early, late)))).select("block_id", "sub_id", "_e.*")
     last = s.agg(F.max("received_at_ms")).first()[0] or 0
     clock = t.spark.createDataFrame([("clock", "clock", last + 70000, J.ANSWER, False)], J.ANSWERS)
-    return J.finish(J.definitive_orphans(feed(t, "answers", log.unionByName(clock), "at_ms"))).select("sub_id", "block_id", "orphaned_at_ms")
+    out = scratch_path(t.spark, "orphans")
+    J.definitive_orphans(feed(t, "answers", log.unionByName(clock), "at_ms"), scratch_path(t.spark, "unanswered"), out)
+    return t.spark.read.schema(J.ORPHAN).parquet(out).select("sub_id", "block_id", "orphaned_at_ms")
 
 
 SILENCE_SQL = f"""WITH s AS (SELECT ie_id, ts, lead(ts) OVER (PARTITION BY ie_id ORDER BY ts) AS next_ts FROM messages WHERE score IS NOT NULL AND {PROVEN})

@@ -8,7 +8,6 @@ batch that runs twice writes the same thing.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -124,49 +123,46 @@ ANSWERS = "block_id string, sub_id string, at_ms bigint, kind string, referenced
 SUBMITTED, ANSWER, CONFIRMED = "submission", "answer", "confirmation"
 
 
-def definitive_orphans(log: DataFrame, timeout_s: int = V.ORPHAN_S, delay: str = "0 seconds") -> DataFrame:
+UNANSWERED = "block_id string, submitted struct<at_ms: bigint, sub_id: string>, answers array<bigint>, yes_ms bigint, seen_ms bigint, clock_ms bigint"
+ORPHAN = "sub_id string, block_id string, received_at_ms bigint, orphaned_at_ms bigint"
+DAY_MS = 86_400_000
+
+
+def definitive_orphans(log: DataFrame, waiting_path: str, out_path: str, timeout_s: int = V.ORPHAN_S, delay_s: int = 0) -> None:
     """Submissions that the node itself says were never referenced: an answer inside the timeout, another at its end or later, and
     up to that one neither an answer nor a confirmation that a milestone referenced the block. Polls without an answer say nothing.
 
-    log: block_id, sub_id, at_ms, kind (submission, answer, confirmation), referenced; the three kinds of one block meet in one keyed
-    state. A verdict waits on a timer until the watermark has passed its last answer, so the order of arrival within the delay does
-    not matter; what never gets its answers is forgotten a day after its last event without a verdict."""
-    day = 86_400_000
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clock = state.getCurrentWatermarkMs()
-        sub_id, received, seen = None, -1, {ANSWER: [], "yes": []}
-        if state.exists:
-            sub_id, received, answers, yes = state.get[0], state.get[1], *(json.loads(x) for x in state.get[2:4])
-            seen = {ANSWER: answers, "yes": yes}
-        for pdf in ([] if state.hasTimedOut else batches):
-            for sub, at, kind, referenced in zip(pdf["sub_id"], pdf["at_ms"], pdf["kind"], pdf["referenced"]):
-                if kind == SUBMITTED:
-                    if received < 0 or (int(at), sub) < (received, sub_id):
-                        sub_id, received = sub, int(at)
-                elif kind == ANSWER and not referenced:
-                    seen[ANSWER].append(int(at))
-                else:
-                    seen["yes"].append(int(at))
+    log: block_id, sub_id, at_ms, kind (submission, answer, confirmation), referenced. A micro-batch meets what the batch before left
+    of the blocks without a verdict, one row a block. A verdict waits until the ledger's clock, less the delay, has passed its last
+    answer, so the order of arrival within the delay does not matter; what never gets its answers is forgotten a day after its last
+    event without a verdict."""
+    def write(batch: DataFrame, n: int) -> None:
+        waiting = stored(batch.sparkSession, waiting_path, UNANSWERED, n, latest=True)
+        sent = F.col("kind") == SUBMITTED
+        no = (F.col("kind") == ANSWER) & ~F.coalesce("referenced", F.lit(False))
+        rows = batch.select("block_id", F.when(sent, F.struct("at_ms", "sub_id")).alias("submitted"),
+                            F.when(no, F.array("at_ms")).otherwise(F.array().cast("array<bigint>")).alias("answers"),
+                            F.when(~sent & ~no, F.col("at_ms")).alias("yes_ms"), F.col("at_ms").alias("seen_ms"))
+        tops = rows.select(F.col("seen_ms").alias("clock_ms")).union(waiting.select("clock_ms"))
+        clock = tops.agg(F.max("clock_ms").alias("clock_ms"))
+        known = rows.unionByName(waiting.filter("block_id IS NOT NULL").drop("clock_ms")).groupBy("block_id").agg(
+            F.min("submitted").alias("submitted"), F.flatten(F.collect_list("answers")).alias("answers"), F.min("yes_ms").alias("yes_ms"), F.max("seen_ms").alias("seen_ms"))
+        received = F.col("submitted.at_ms")
         end = received + timeout_s * 1000
-        after = min((a for a in seen[ANSWER] if received >= 0 and a >= end), default=None)
-        found = []
-        done = after is not None and after < clock
-        if done and any(received <= a < end for a in seen[ANSWER]) and not any(y <= after for y in seen["yes"]):
-            found.append((sub_id, key[0], received, after))
-        last = max([received, *seen[ANSWER], *seen["yes"]])
-        if done or last + day < clock:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((sub_id, received, json.dumps(seen[ANSWER]), json.dumps(seen["yes"])))
-            state.setTimeoutTimestamp(max(clock, last + day if after is None else after) + 1)
-        yield pd.DataFrame(found, columns=["sub_id", "block_id", "received_at_ms", "orphaned_at_ms"])
-
-    timed = _timed(log, "at_ms", "event_time", delay)
-    return timed.groupBy("block_id").applyInPandasWithState(
-        step, "sub_id string, block_id string, received_at_ms bigint, orphaned_at_ms bigint",
-        "sub_id string, received bigint, answers string, yes string", "append", GroupStateTimeout.EventTimeTimeout)
+        known = known.join(F.broadcast(clock)).withColumns({  # one row
+            "after": F.array_min(F.filter("answers", lambda a: a >= end)),
+            "before": F.exists("answers", lambda a: (a >= received) & (a < end))})
+        mark = F.col("clock_ms") - delay_s * 1000
+        known = settle(known.withColumn("done", F.coalesce(F.col("after") < mark, F.lit(False))), "answered")
+        orphaned = F.col("done") & F.col("before") & F.coalesce(F.col("yes_ms") > F.col("after"), F.lit(True))
+        known.filter(orphaned).select("submitted.sub_id", "block_id", received.alias("received_at_ms"), F.col("after").alias("orphaned_at_ms")).write.mode(
+            "overwrite").parquet(f"{out_path}/batch={n}")
+        # the clock is kept even if nothing waits
+        empty = clock.select(*[F.lit(None).alias(c) for c in ("block_id", "submitted", "answers", "yes_ms", "seen_ms")], "clock_ms")
+        left = known.filter(~F.col("done") & (F.col("seen_ms") + DAY_MS >= mark)).select("block_id", "submitted", "answers", "yes_ms", "seen_ms", "clock_ms")
+        left.unionByName(empty).write.mode("overwrite").parquet(f"{waiting_path}/batch={n}")
+
+    each_batch(log, write)
 
 
 # -- per-element state --------------------------------------------------------------------------

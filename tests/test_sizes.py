@@ -3,12 +3,15 @@
 import json
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.catalog import jobs as CJ
 from attestry.fixtures import Ledger
 from attestry.plans import incidents as I
 from attestry.plans import proofs, verdicts
+from attestry.session import scratch_path
+from attestry.streaming import jobs as J
 from tests.test_incidents import full
 
 MID_S = 1704067200 + 15 * 86400  # the first key of each issuer is revoked at this second's beginning
@@ -48,3 +51,19 @@ def test_an_incident_has_all_keys_it_gained(spark):
     made.put_down(10**9)
     changes = spark.createDataFrame([(0, *r) for r in made.out], I.CHANGE)
     assert [r[0] for r in I.incidents(changes).select("keys").collect()] == [json.dumps(["ie:0", "ie:2", 'iss:"x'])]
+
+
+@pytest.mark.parametrize("cuts", [(), (50_000,), (1_000, 60_000, 70_000, 80_000)])
+def test_definitive_orphans_however_sliced(spark, cuts):
+    log = [("a", "s1", 0, J.SUBMITTED, False), ("a", "s1", 1_000, J.ANSWER, False), ("a", "s1", 70_000, J.ANSWER, False),  # an orphan
+           ("b", "s2", 0, J.SUBMITTED, False), ("b", "s2", 1_000, J.ANSWER, False), ("b", "s2", 60_000, J.CONFIRMED, True), ("b", "s2", 70_000, J.ANSWER, False),
+           ("c", "s3", 0, J.SUBMITTED, False), ("c", "s3", 70_000, J.ANSWER, False),  # no answer inside the timeout
+           ("d", "s4", 0, J.SUBMITTED, False), ("d", "s4", 1_000, J.ANSWER, False), ("d", "s4", 70_000, J.ANSWER, False), ("d", "s4", 71_000, J.CONFIRMED, True),
+           ("e", "s5", 30_000, J.SUBMITTED, False), ("e", "s5", 31_000, J.ANSWER, False), ("e", "s5", 100_000, J.ANSWER, False),  # answered at the clock
+           ("f", "s6", 1, J.SUBMITTED, False), ("f", "s0", 0, J.SUBMITTED, False), ("f", "s0", 2, J.ANSWER, False), ("f", "s0", 70_000, J.ANSWER, False)]
+    source, out, edges = scratch_path(spark, "log"), scratch_path(spark, "out"), [-1, *cuts, 10**9]
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        spark.createDataFrame([r for r in log if lo < r[2] <= hi], J.ANSWERS).coalesce(1).write.parquet(f"{source}/part={k}")
+    stream = spark.readStream.schema(J.ANSWERS + ", part int").option("maxFilesPerTrigger", 1).parquet(source).drop("part")
+    J.definitive_orphans(stream, scratch_path(spark, "waiting"), out)
+    assert sorted((r.sub_id, r.block_id, r.received_at_ms, r.orphaned_at_ms) for r in spark.read.schema(J.ORPHAN).parquet(out).collect()) == [("s0", "f", 0, 70_000), ("s1", "a", 0, 70_000), ("s4", "d", 0, 70_000)]
