@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import merkle, ordered
@@ -206,19 +206,49 @@ class Ledger:
         return self.raw("events")
 
     def derive_messages(self) -> DataFrame:
-        """The message table. Ids are unique, so id ranges bound every chunk of the scans."""
+        """The message table. What a message says of earlier ones is found on ids and times alone, two shuffles of a few numbers a
+        row; hashes and texts are written out behind them. Ids are unique, so id ranges bound every chunk of an issuer's messages."""
         micros = "unix_micros(CAST(ts AS TIMESTAMP))"
-        e = self.events.selectExpr(*[dialect(c, True).replace("MICROS", micros) for c in EVENT_COLUMNS])
-        e = e.withColumn("proven", F.expr(PROVEN))
-        by_id = ordered.Order(("n",), "n")
-        block = "n div 1048576"
-        s = ordered.scan(e, ["iss"], by_id, {"seq": ordered.count()}, chunk=block)
-        s = s.withColumn("seq", F.expr("seq + 1 - CASE WHEN n % 97 = 0 THEN 1 ELSE 0 END"))
-        s = ordered.rank_by(s, ["ms_index"], by_id, "wf_index", chunk=block)
-        s = ordered.scan(s, ["iss", "proven"], by_id, {"p1": ordered.last(F.col("block_id"))}, chunk=block)
-        s = ordered.scan(s, ["iss", "proven"], by_id, {"p2": ordered.last(F.col("p1"))}, chunk=block)
+        slim = [dialect(c, True).replace("MICROS", micros) for c in EVENT_COLUMNS if not c.endswith((" AS block_id", " AS verdict"))]
+        verdict = dialect(next(c for c in EVENT_COLUMNS if c.endswith(" AS verdict")), True)
+        e = self.events.selectExpr(*slim, verdict)
+        e = e.withColumn("proven", F.expr(PROVEN)).drop("verdict").withColumn("_chunk", F.expr("n div 1048576"))
+        s = self._with_earlier(e)
+        s = ordered.rank_by(s, ["ms_index"], ordered.Order(("n",), "n"), "wf_index", sizes=e)
+        block = "concat('0x', sha2(concat('b', CAST({} AS STRING)), 256))"
+        s = s.withColumns({"block_id": F.expr(block.format("n")), "p1": F.expr(block.format("_n1")), "p2": F.expr(block.format("_n2")),
+                           "verdict": F.expr(verdict.removesuffix(" AS verdict").replace("event_id", "n"))})
         return s.selectExpr(*[dialect(c, True) for c in MESSAGE_COLUMNS])
 
+    @staticmethod
+    def _with_earlier(e: DataFrame) -> DataFrame:
+        """Add `seq`, a message's number among its issuer's, and `_n1`, `_n2`, the two ids before it among those as proven as it is.
+
+        One shuffle by issuer and id range; what came before a range are the last two ids and the counts of the ranges before it."""
+        by_n = lambda *keys: Window.partitionBy(*keys).orderBy("n")
+        s = e.select("*", F.row_number().over(by_n("iss", "_chunk")).cast("bigint").alias("seq"))
+        own = by_n("iss", "_chunk", "proven")
+        s = s.select("*", F.lag("n", 1).over(own).alias("_l1"), F.lag("n", 2).over(own).alias("_l2"))
+        kinds = ["iss", "proven", "_chunk"]
+        ends = e.groupBy(*kinds).agg(F.count(F.lit(1)).alias("_count"), F.max("n").alias("_m1"))
+        least = ends.select(*[F.col(k).alias(f"_r_{k}") for k in kinds], "_m1")
+        second = (ordered._null_safe(e.select(*kinds, "n"), F.broadcast(least), [(k, f"_r_{k}") for k in kinds], "inner").filter("n < _m1")
+                  .groupBy(*kinds).agg(F.max("n").alias("_m2")))
+        ends = ordered._null_safe(ends, second.select(*[F.col(k).alias(f"_r_{k}") for k in kinds], "_m2"), [(k, f"_r_{k}") for k in kinds], "left")
+        along = lambda *keys: Window.partitionBy(*keys).orderBy("_chunk")
+        two = along("iss", "proven")
+        carry = ends.select(*[F.col(k).alias(f"_r_{k}") for k in kinds], F.lag("_m1").over(two).alias("_c1"),
+                            F.coalesce(F.lag("_m2").over(two), F.lag("_m1", 2).over(two)).alias("_c2"))
+        counts = ends.groupBy("iss", "_chunk").agg(F.sum("_count").alias("_n"))
+        before = counts.select(F.col("iss").alias("_r_iss"), F.col("_chunk").alias("_r__chunk"), (F.sum("_n").over(along("iss")) - F.col("_n")).alias("_before"))
+        # both lists have a row or two per issuer and range of a million ids
+        s = ordered._null_safe(s, F.broadcast(carry), [(k, f"_r_{k}") for k in kinds], "left")
+        s = ordered._null_safe(s, F.broadcast(before), [("iss", "_r_iss"), ("_chunk", "_r__chunk")], "left")
+        late = F.when(F.col("_l1").isNull(), F.col("_c2")).otherwise(F.col("_c1"))
+        s = s.withColumns({"seq": F.expr("seq + _before - CASE WHEN n % 97 = 0 THEN 1 ELSE 0 END"),
+                           "_n1": F.coalesce("_l1", "_c1"), "_n2": F.coalesce("_l2", late)})
+        return s.select("n", "user_id", "event_type", "received_ms", "ms_index", "iss", "seq", "_n1", "_n2")
+
     @cached_property
     def messages(self) -> DataFrame:
         return settle(self.derive_messages(), "messages")

@@ -67,3 +67,14 @@ def test_definitive_orphans_however_sliced(spark, cuts):
     stream = spark.readStream.schema(J.ANSWERS + ", part int").option("maxFilesPerTrigger", 1).parquet(source).drop("part")
     J.definitive_orphans(stream, scratch_path(spark, "waiting"), out)
     assert sorted((r.sub_id, r.block_id, r.received_at_ms, r.orphaned_at_ms) for r in spark.read.schema(J.ORPHAN).parquet(out).collect()) == [("s0", "f", 0, 70_000), ("s1", "a", 0, 70_000), ("s4", "d", 0, 70_000)]
+
+
+def test_ids_in_several_ranges(spark, folder):
+    """Earlier messages are found in the id ranges before, single messages of a range included."""
+    e = spark.createDataFrame([(n, "did:x:1", n % 3 != 0, n // 4) for n in (0, 1, 2, 3, 4, 6, 8, 11, 12, 13, 14, 15, 21, 22, 300, 301)], "n bigint, iss string, proven boolean, _chunk bigint")
+    e = e.selectExpr("*", "n AS user_id", "'view' AS event_type", "n AS received_ms", "n AS ms_index")
+    got = {r.n: (r.seq, r._n1, r._n2) for r in Ledger._with_earlier(e).collect()}
+    rows = sorted(e.select("n", "proven").collect())
+    for k, r in enumerate(rows):
+        own = [x.n for x in rows[:k] if x.proven == r.proven]
+        assert got[r.n] == (k + 1 - (r.n % 97 == 0), *([None, None, *own][::-1][:2])), r
