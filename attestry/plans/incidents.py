@@ -61,10 +61,16 @@ def late_distrust(alerts: DataFrame, messages: DataFrame, s: Settings) -> DataFr
     return doubts.join(seen, "block_id").filter(F.lit(not s.hindsight) & (F.col("at_ms") > F.col("_seen") * 1000)).select(*alerts.columns)
 
 
+SUBJECT = ("block_id", "tag", "kind", "verdict", "iss", "ie_id", "service", "score", "error_code", "ms_index", "wf_index", "ts", "confirmed_at_ms", "received_at_ms")
+
+
 def _subjects(messages: DataFrame, policy: DataFrame, alerts: DataFrame, submissions: DataFrame, hosts: DataFrame, s: Settings) -> DataFrame:
     """Messages with trust, event time, subject element, component and host, and trusted previous scores."""
     late = late_distrust(alerts, messages, s)
-    df = scores.trusted_flags(messages, policy, alerts.join(late.select("id"), "id", "left_anti"), submissions)
+    # of the body only one fact is asked; texts and hashes that nothing asks for stay behind
+    event = F.lower(F.trim(F.get_json_object("json", "$.event")))
+    slim = messages.select(*SUBJECT, (F.col("kind").isin(*V.LLO_KINDS) & F.coalesce(event == LLO_FAILED, F.lit(False))).alias("failed"))
+    df = scores.trusted_flags(slim, policy, alerts.join(late.select("id"), "id", "left_anti"), submissions)
     df = documents.flag(df, "block_id", late.select("block_id"), "pending")
     # a score distrusted at any time is nothing to compare others with
     df = df.withColumns({c: F.col(c) & ~F.col("pending") for c in ("ref_proven", "ref_relayed")})
@@ -89,8 +95,7 @@ def message_observations(subjects: DataFrame, s: Settings) -> DataFrame:
     bad_code = F.coalesce(F.col("error_code") != 0, F.lit(False))
     security = ~error & F.col("tag").isin(*s.security_tags) & F.col("ie_id").isNotNull()
     llo = kind.isin(*V.LLO_KINDS) & F.col("sc_key").isNotNull()
-    event = F.lower(F.trim(F.get_json_object("json", "$.event")))
-    failed = llo & F.coalesce(event == LLO_FAILED, F.lit(False))
+    failed = llo & F.col("failed")
     ref = F.when(proven, F.col("_p")).otherwise(F.col("_r"))
     drop = is_score & F.coalesce(ref["score"] - F.col("score") >= s.drop - V.EPS, F.lit(False))
     role = (F.when(drop, "trust-drop").when(is_score & proven, "score").when(error & bad_code, "security").when(error & proven, "remediation")
