@@ -13,21 +13,30 @@ PROVEN = "verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED')"
 _FEEDS: dict[tuple, str] = {}
 
 
-def feed(t, name, df, clock, slices=3):
-    """A folder whose files arrive in time order, as a stream. Written once per ledger."""
+def feed(t, name, df, clock, slices=3, rows_per_file=250_000):
+    """A folder whose files arrive in time order, as a stream. Written once per ledger.
+
+    A trigger takes so many files, so all slices have the same number of them: else a trigger would take the end of one slice with
+    the beginning of the next, and a watermark would drop the rest of that as late."""
     key = (t.spark.sparkContext.applicationId, t.folder, name)
     if key not in _FEEDS:
         path = scratch_path(t.spark, f"feed-{name}")
         df = settle(df, name)
         lo, hi = df.agg(F.min(clock), F.max(clock)).head()
         step = (hi - lo) // slices + 1
+        of_slice = ((F.col(clock) - lo) / step).cast("int")
+        sizes = {r[0]: r[1] for r in df.filter(F.col(clock).isNotNull()).groupBy(of_slice).count().collect()}
+        files = max(1, min(max(sizes.values()) // rows_per_file, min(sizes.get(k, 0) for k in range(slices)) // 1000))  # none empty: rows are dealt round
         for k in range(slices):
             part = df.filter((F.col(clock) >= lo + k * step) & (F.col(clock) < lo + (k + 1) * step))
-            part.write.mode("append").parquet(path)
+            part.repartition(files).write.parquet(f"{path}/slice={k}")
+            found = len(t.spark.read.parquet(f"{path}/slice={k}").inputFiles())
+            if found != files:
+                raise RuntimeError(f"slice {k} of {name} has {found} files, not {files}")
         _FEEDS[key] = path
     arrived = t.spark.read.parquet(_FEEDS[key])
-    per_trigger = max(1, len(arrived.inputFiles()) // slices)
-    return t.spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", per_trigger).parquet(_FEEDS[key])
+    return (t.spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", len(arrived.inputFiles()) // slices).parquet(_FEEDS[key])
+            .drop("slice"))
 
 
 def messages(t):

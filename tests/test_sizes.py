@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.catalog import jobs as CJ
+from attestry.catalog import streams
 from attestry.fixtures import Ledger
 from attestry.plans import incidents as I
 from attestry.plans import proofs, verdicts
@@ -53,6 +54,16 @@ def test_an_incident_has_all_keys_it_gained(spark):
     assert [r[0] for r in I.incidents(changes).select("keys").collect()] == [json.dumps(["ie:0", "ie:2", 'iss:"x'])]
 
 
+def test_a_trigger_takes_a_slice_whole(spark, folder):
+    """Slices of several files and different sizes: every trigger gets the rows of one slice."""
+    t = Ledger.at(spark, folder)
+    rows = spark.range(0, 12_000, 1, 7).select(F.when(F.col("id") < 9000, F.col("id") % 1000).otherwise(F.col("id") - 9000).alias("at"))
+    stream = streams.feed(t, "uneven", rows, "at", rows_per_file=500)
+    got = []
+    J.each_batch(stream, lambda batch, n: got.append(tuple(batch.agg(F.min("at"), F.max("at")).head())))
+    assert got == [(0, 999), (1000, 1999), (2000, 2999)]
+
+
 @pytest.mark.parametrize("cuts", [(), (50_000,), (1_000, 60_000, 70_000, 80_000)])
 def test_definitive_orphans_however_sliced(spark, cuts):
     log = [("a", "s1", 0, J.SUBMITTED, False), ("a", "s1", 1_000, J.ANSWER, False), ("a", "s1", 70_000, J.ANSWER, False),  # an orphan
