@@ -47,7 +47,7 @@ def jumps(messages: DataFrame, threshold: float = V.JUMP, verdicts: Sequence[str
     return df.withColumn("delta", F.col("score") - F.col("previous_score")).filter(F.abs("delta") > threshold)
 
 
-def trusted_flags(messages: DataFrame, policy: DataFrame, alerts: DataFrame, submissions: DataFrame) -> DataFrame:
+def trusted_flags(messages: DataFrame, policy: DataFrame, alerts: DataFrame | None, submissions: DataFrame) -> DataFrame:
     """Which scores may serve as a reference: `ref_proven`, and `ref_relayed` for relayed scores."""
     df = documents.with_trust(messages, policy, alerts, submissions)
     base = F.coalesce(F.col("score").between(0, 1), F.lit(False)) & ~F.col("distrusted")

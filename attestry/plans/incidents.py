@@ -54,11 +54,22 @@ def _keys(ie: Column, sc_key: Column, host: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("ie:"), ie), F.concat(F.lit("sc:"), sc_key), F.concat(F.lit("ie:"), host))))
 
 
-def late_distrust(alerts: DataFrame, messages: DataFrame, s: Settings) -> DataFrame:
-    """Alerts that take away a block's trust after the block was looked at."""
-    doubts = alerts.filter(F.col("rule").isin(*V.DISTRUST_RULES) & F.col("severity").isin("critical", "high"))
-    seen = messages.select("block_id", F.col("ts").alias("_seen"))
-    return doubts.join(seen, "block_id").filter(F.lit(not s.hindsight) & (F.col("at_ms") > F.col("_seen") * 1000)).select(*alerts.columns)
+def _grave() -> Column:
+    return F.coalesce(F.col("severity").isin("critical", "high"), F.lit(False))
+
+
+def _late(at_ms: str, ts: str, s: Settings) -> Column:
+    """Whether an alert that takes a block's trust away came after the block was looked at."""
+    return F.lit(not s.hindsight) & F.coalesce(F.col(at_ms) > F.col(ts) * 1000, F.lit(False))
+
+
+def _doubts(alerts: DataFrame, s: Settings) -> DataFrame:
+    """Per block whether a grave alert names it (`alerted`), and of the alerts that take its trust away: whether one counts from
+    the start (`_at_once`), and the first and last time of those that count from the start or come late, as the block's time decides."""
+    doubt = F.coalesce(F.col("rule").isin(*V.DISTRUST_RULES), F.lit(False))
+    when = F.when(doubt & _grave(), F.col("at_ms"))
+    return alerts.filter("block_id IS NOT NULL").groupBy("block_id").agg(
+        F.bool_or(_grave()).alias("alerted"), F.bool_or(doubt & when.isNull()).alias("_at_once"), F.min(when).alias("_first"), F.max(when).alias("_last"))
 
 
 SUBJECT = ("block_id", "tag", "kind", "verdict", "iss", "ie_id", "service", "score", "error_code", "ms_index", "wf_index", "ts", "confirmed_at_ms", "received_at_ms")
@@ -66,23 +77,29 @@ SUBJECT = ("block_id", "tag", "kind", "verdict", "iss", "ie_id", "service", "sco
 
 def _subjects(messages: DataFrame, policy: DataFrame, alerts: DataFrame, submissions: DataFrame, hosts: DataFrame, s: Settings) -> DataFrame:
     """Messages with trust, event time, subject element, component and host, and trusted previous scores."""
-    late = late_distrust(alerts, messages, s)
     # of the body only one fact is asked; texts and hashes that nothing asks for stay behind
     event = F.lower(F.trim(F.get_json_object("json", "$.event")))
     slim = messages.select(*SUBJECT, (F.col("kind").isin(*V.LLO_KINDS) & F.coalesce(event == LLO_FAILED, F.lit(False))).alias("failed"))
-    df = scores.trusted_flags(slim, policy, alerts.join(late.select("id"), "id", "left_anti"), submissions)
-    df = documents.flag(df, "block_id", late.select("block_id"), "pending")
+    slim = slim.withColumn("sc_key", C.component_key(F.when(F.col("kind").isin(*V.LLO_KINDS), F.col("service"))))
+    # written down, so that Spark knows its size: a small one moves to the messages, not they to it
+    table = settle(hosts.select(C.component_key(F.col("service")).alias("sc_key"), F.col("host_ie")).dropDuplicates(["sc_key"]), "hosts")
+    slim = slim.join(table, "sc_key", "left").withColumn("subject", F.coalesce("ie_id", "host_ie"))
+    # all that is asked of a block by its id, in one place: alerts, then submissions
+    df = slim.join(_doubts(alerts, s), "block_id", "left").withColumn("alerted", F.coalesce("alerted", F.lit(False)))
+    early = F.col("_first").isNotNull() & ~_late("_first", "ts", s)
+    df = df.withColumns({"distrusted": F.coalesce("_at_once", F.lit(False)) | early, "pending": _late("_last", "ts", s)}).drop("_at_once", "_first", "_last")
+    df = scores.trusted_flags(df, policy, None, submissions)
     # a score distrusted at any time is nothing to compare others with
     df = df.withColumns({c: F.col(c) & ~F.col("pending") for c in ("ref_proven", "ref_relayed")})
     df = df.withColumn("at_ms", C.event_time(F.col("ts"), F.col("confirmed_at_ms"), F.col("received_at_ms"), s.window_ms))
-    df = df.withColumn("sc_key", C.component_key(F.when(F.col("kind").isin(*V.LLO_KINDS), F.col("service"))))
-    table = hosts.select(C.component_key(F.col("service")).alias("sc_key"), F.col("host_ie")).dropDuplicates(["sc_key"])
-    df = df.join(table, "sc_key", "left").withColumn("subject", F.coalesce("ie_id", "host_ie"))
+    # what is not trusted counts for nothing and is no reference; only an alert may ask about it
+    df = df.filter("trust <> 'untrusted' OR alerted").drop("verdict", "confirmed_at_ms", "received_at_ms", "may_write", "signature_required", "distrusted", "submitted")
     # references are scores of the subject; rows without one are kept apart from the scan
     named = df.filter("subject IS NOT NULL").withColumn("_own", F.col("ie_id")).withColumn("ie_id", F.col("subject"))
     value = F.struct(F.col("score").alias("score"), F.col("block_id").alias("block"))
+    sizes = slim.filter("subject IS NOT NULL").select(F.col("subject").alias("ie_id"), "ms_index", "wf_index")
     named = ordered.scan(named, ["ie_id"], ordered.BY_POSITION, {
-        "_p": ordered.last(value, F.col("ref_proven")), "_r": ordered.last(value, F.col("ref_relayed"))})
+        "_p": ordered.last(value, F.col("ref_proven")), "_r": ordered.last(value, F.col("ref_relayed"))}, sizes=sizes)
     named = named.withColumn("ie_id", F.col("_own")).drop("_own")
     return named.unionByName(df.filter("subject IS NULL"), allowMissingColumns=True)
 
@@ -125,12 +142,18 @@ def _complete(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(n) if n in df.columns else filled.get(n, F.lit(None))).cast(t).alias(n) for n, t in fields.items()])
 
 
-def alert_observations(alerts: DataFrame, subjects: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
-    """What each critical or high alert means. Alerts on a block are looked at right after the block."""
-    hot = alerts.filter(F.col("severity").isin("critical", "high")).select(
+def alerts_on_blocks(alerts: DataFrame, subjects: DataFrame, s: Settings) -> DataFrame:
+    """Critical and high alerts with what is known of their block, and whether they take its trust away `late`."""
+    hot = alerts.filter(_grave()).select(
         F.col("id").alias("alert_id"), "rule", "severity", "block_id", F.col("ie_id").alias("alert_ie"), F.col("at_ms").alias("alert_ms"))
-    m = subjects.select("block_id", F.col("ts").alias("_ts"), "ms_index", "wf_index", "at_ms", "trust", "ie_id", "iss", "sc_key", "host_ie", "_p")
-    df = hot.join(m, "block_id", "left")
+    m = subjects.filter("alerted").select("block_id", F.col("ts").alias("_ts"), "ms_index", "wf_index", "at_ms", "trust", "ie_id", "iss", "sc_key", "host_ie", "_p")
+    late = F.coalesce(F.col("rule").isin(*V.DISTRUST_RULES), F.lit(False)) & _late("alert_ms", "_ts", s)
+    return hot.join(m, "block_id", "left").withColumn("late", late)
+
+
+def alert_observations(df: DataFrame, known: DataFrame) -> DataFrame:
+    """What each alert that is not late means (`df` of `alerts_on_blocks`). Alerts on a block are looked at right after the block."""
+    df = df.filter(~F.col("late"))
     df = df.withColumn("ie", F.coalesce("alert_ie", "ie_id")).withColumn("target", F.coalesce("ie", "host_ie"))
     df = documents.flag(df, "target", known.select(F.col("ie_id").alias("target")), "resolvable")
     integrity, attack = F.col("rule").isin(*V.INTEGRITY_RULES), F.col("rule").isin(*V.ATTACK_RULES)
@@ -169,9 +192,9 @@ def plain_observations(messages: DataFrame, severity: str = "medium") -> DataFra
 
 def distrust_observations(late: DataFrame, counted: DataFrame) -> DataFrame:
     """A late alert on a block that counted, at the alert's own time. `counted` are the observations of messages."""
-    block = counted.select("block_id", "ie_id", "keys")
+    block = counted.filter("pending").select("block_id", "ie_id", "keys")
     clock = F.floor(F.col("at_ms") / 1000) * 1000
-    rows = late.select("block_id", F.col("id").alias("alert_id"), "rule", "severity", "at_ms", clock.alias("ord_ms")).join(block, "block_id")
+    rows = late.select("block_id", "alert_id", "rule", "severity", F.col("alert_ms").alias("at_ms")).withColumn("ord_ms", clock).join(block, "block_id")
     return _complete(rows.withColumns({"ms_index": F.lit(2**62), "wf_index": F.lit(0), "rank": F.lit(2), "role": F.lit("distrust"), "level": F.lit("untrusted"),
                                        "opens": F.lit(False), "is_drop": F.lit(False), "title": F.lit(None).cast("string")}))
 
@@ -183,12 +206,14 @@ BOOK = "keys array<string>, last_ms bigint, state string"
 
 
 def _runs(held: DataFrame, reach: int) -> DataFrame:
-    """(oid, run, key, ord_ms): the stretches of each key without a pause beyond `reach`; those of a block never end."""
+    """(oid, run, key, ord_ms): the stretches of each key without a pause beyond `reach`; those of a block never end, and go without their key."""
     order = ordered.Order(("ord_ms", "oid"), "ord_ms")
-    seen = ordered.scan(held, ["key"], order, {"_before": ordered.last(F.col("ord_ms"))})
+    cuts = ordered.measure(held, ["key"], order)
+    seen = ordered.scan(held, ["key"], order, {"_before": ordered.last(F.col("ord_ms"))}, cuts=cuts)
     far = F.col("_before").isNull() | ((F.col("ord_ms") - F.col("_before") > reach) & ~F.startswith("key", F.lit(BLOCK_LINK)))
-    marked = ordered.scan(seen.withColumn("_start", F.when(far, F.col("ord_ms"))), ["key"], order, {"_since": ordered.last(F.col("_start"), F.col("_start").isNotNull())})
-    return marked.select("oid", F.xxhash64("key", F.coalesce("_start", "_since")).alias("run"), "key", "ord_ms")
+    marked = ordered.scan(seen.withColumn("_start", F.when(far, F.col("ord_ms"))), ["key"], order, {"_since": ordered.last(F.col("_start"), F.col("_start").isNotNull())}, cuts=cuts)
+    run = F.xxhash64("key", F.coalesce("_start", "_since"))
+    return marked.select("oid", run.alias("run"), F.when(~F.startswith("key", F.lit(BLOCK_LINK)), F.col("key")).alias("key"), "ord_ms")
 
 
 def _relabelled(spans: DataFrame, links: DataFrame) -> DataFrame:
@@ -220,7 +245,7 @@ def place(obs: DataFrame, s: Settings, books: DataFrame | None = None) -> tuple[
     pad, order = reach, ordered.Order(("low", "component"), "low")
     for turn in range(64):
         extents = spans.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        owned = spans.filter(~F.startswith("key", F.lit(BLOCK_LINK))).select("component", "key").distinct().join(extents, "component")
+        owned = spans.filter("key IS NOT NULL").select("component", "key").distinct().join(extents, "component")
         owned = settle(ordered.scan(owned, ["key"], order, {"_last": ordered.running_max(F.struct("high", "component"))}), "incident-extents")
         links = owned.filter(F.col("_last.high") + pad >= F.col("low")).select(F.col("component").alias("a"), F.col("_last.component").alias("b")).distinct()
         if not links.limit(1).count():
@@ -566,10 +591,10 @@ def observe(messages: DataFrame, alerts: DataFrame, submissions: DataFrame, poli
     """All observations, numbered: messages, alerts right after their blocks, late distrust at its own time."""
     subjects = settle(_subjects(messages, policy, alerts, submissions, hosts, s), "subjects")
     known = context.select("ie_id").union(hosts.select("host_ie")).distinct()
-    late = late_distrust(alerts, messages, s)
     counted = settle(message_observations(subjects, s), "message-observations")
-    prompt = alert_observations(alerts.join(late.select("id"), "id", "left_anti"), subjects, known, s)
-    return numbered(counted.unionByName(prompt).unionByName(distrust_observations(late, counted)), "observations")
+    raised = alerts_on_blocks(alerts, subjects, s)
+    late = distrust_observations(raised.filter("late"), counted)
+    return numbered(counted.unionByName(alert_observations(raised, known)).unionByName(late), "observations")
 
 
 def correlate(messages: DataFrame, alerts: DataFrame, submissions: DataFrame, policy: DataFrame, context: DataFrame,

@@ -58,5 +58,5 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage for good."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # hashes as hex halve
     return df.sparkSession.read.parquet(path)

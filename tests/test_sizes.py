@@ -89,3 +89,32 @@ def test_ids_in_several_ranges(spark, folder):
     for k, r in enumerate(rows):
         own = [x.n for x in rows[:k] if x.proven == r.proven]
         assert got[r.n] == (k + 1 - (r.n % 97 == 0), *([None, None, *own][::-1][:2])), r
+
+
+def test_runs_of_blocks_go_without_their_key(spark):
+    """A block's key is as long as its id; behind the scan the run's number says all."""
+    held = spark.createDataFrame([(1, 0, "ie:A"), (1, 0, "block:0xa"), (2, 10**9, "ie:A"), (2, 10**9, "block:0xa")], "oid bigint, ord_ms bigint, key string")
+    runs = I._runs(held, 60_000).collect()
+    assert sorted((r.oid, r.key or "") for r in runs) == [(1, ""), (1, "ie:A"), (2, ""), (2, "ie:A")]
+    assert len({r.run for r in runs if r.key is None}) == 1 and len({r.run for r in runs if r.key}) == 2
+
+
+def test_subjects_are_those_that_something_asks_for(spark, folder):
+    t = Ledger.at(spark, folder)
+    rows = I._subjects(t.messages, t.policy, t.alerts, t.submissions, t.component_host, I.Settings())
+    assert not rows.filter("trust = 'untrusted' AND NOT alerted").count() and rows.filter("trust = 'untrusted'").count() and rows.filter("pending").count()
+    assert "received_at_ms" not in rows.columns
+
+
+@pytest.mark.parametrize("hindsight", [False, True])
+def test_doubts_count_from_the_start_or_come_late(spark, folder, hindsight):
+    t = Ledger.at(spark, folder)
+    some = t.messages.filter("verdict = 'PRODUCER_SIGNED' AND kind = 'self-orchestrator'").select("block_id", "ts").orderBy("block_id").limit(5).collect()
+    kinds = [("SHADOW", "high", 0), ("SHADOW", "high", 1), ("SHADOW", "low", 1), ("CLOCK_SKEW", "high", 1), ("SHADOW", "high", None)]
+    alerts = [(i, r, s, m.block_id, None, None if at is None else m.ts * 1000 + at, None) for i, (m, (r, s, at)) in enumerate(zip(some, kinds))]
+    df = spark.createDataFrame(alerts, t.alerts.schema)
+    rows = I._subjects(t.messages, t.policy, df, t.submissions, t.component_host, I.Settings(hindsight=hindsight)).collect()
+    got = {r.block_id: (r.trust, r.pending) for r in rows}
+    lost, kept = ("untrusted", False), ("proven", False)
+    want = [lost, lost if hindsight else ("proven", True), None, kept, lost]  # the third has no grave alert and no trust: it is left out
+    assert [got.get(m.block_id) for m in some] == want
