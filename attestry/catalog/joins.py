@@ -102,7 +102,7 @@ def j8(t):
     ON a.iss = b.iss AND b.seq < a.seq AND (b.ms_index, b.wf_index) < (a.ms_index, a.wf_index))
     SELECT p.block_id, head_block, head_seq FROM p LEFT JOIN h ON h.block_id = p.block_id AND rn = 1""")
 def j9(t):
-    return chain.heads_on_arrival(t.messages).select("block_id", "head_block", "head_seq")
+    return chain.heads_on_arrival(t.messages.select(*chain.PLACED)).select("block_id", "head_block", "head_seq")
 
 
 @query("j9_settled_head", f"""SELECT block_id, lag(block_id) OVER (PARTITION BY iss ORDER BY seq, block_id) AS head_block FROM messages WHERE {PROVEN}""")

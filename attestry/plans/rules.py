@@ -178,7 +178,7 @@ def chains(t: Tables) -> DataFrame:
     fork = alert(forks, "CHAIN_FORK", _at(), {
         "iss": F.col("iss"), "seq": F.col("seq"), "prev": F.col("prev"), "siblings": F.col("siblings"), "lastSibling": F.col("sibling"),
         "reason": F.lit("two successors of one block")})
-    heads = chain.heads_on_arrival(t.messages).filter("prev IS NOT NULL AND head_block IS NOT NULL AND head_block <> prev")
+    heads = chain.heads_on_arrival(t.messages.select(*chain.PLACED, "prev", "ie_id")).filter("prev IS NOT NULL AND head_block IS NOT NULL AND head_block <> prev")
     gaps = heads.join(forks.select("block_id"), "block_id", "left_anti")
     gaps = documents.flag(gaps, "prev", t.messages.select(F.col("block_id")), "known")
     gap = alert(gaps, "CHAIN_GAP", _at(), {

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,15 @@ def test_heads_on_arrival(spark, hot, seed):
     assert got == want
 
 
+def test_head_search_holds_what_it_keeps_of_one_chunk():
+    """The search takes batches as they come: rows of one chunk in several, columns of others passed on untouched."""
+    rows = [("i", 0, 1, 5, "a", 2**60 + 1), ("i", 0, 2, 9, "b", None), ("i", 0, 2, 7, "c", 3), ("i", 0, 3, 8, "d", 4), ("i", 1, 4, 9, "e", 5), ("j", 1, 5, 10, "f", 6)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("iss", "_chunk", "seq", "_place", "block_id", "other"), r)) for r in part]) for part in (rows[:2], rows[2:])]
+    got = [r for b in chain._search(iter(batches)) for r in b.to_pylist()]
+    assert [(r["head_block"], r["head_seq"], r["other"]) for r in got] == [
+        (None, None, 2**60 + 1), ("a", 1, None), ("a", 1, 3), ("c", 2, 4), (None, None, 5), (None, None, 6)]
+
+
 @pytest.mark.parametrize("backwards", [False, True])
 def test_scan_folds_rows_before(spark, hot, backwards):
     rows = ledger(3)
