@@ -13,15 +13,15 @@ PROVEN = "verdict IN ('PRODUCER_SIGNED', 'RELAY_ATTESTED')"
 _FEEDS: dict[tuple, str] = {}
 
 
-def feed(t, name, df, clock, slices=3, rows_per_file=250_000):
+def feed(t, name, df, clock, slices=3, rows_per_file=250_000, stored=False):
     """A folder whose files arrive in time order, as a stream. Written once per ledger.
 
     A trigger takes so many files, so all slices have the same number of them: else a trigger would take the end of one slice with
-    the beginning of the next, and a watermark would drop the rest of that as late."""
+    the beginning of the next, and a watermark would drop the rest of that as late. Columns of a `stored` table are not stored again."""
     key = (t.spark.sparkContext.applicationId, t.folder, name)
     if key not in _FEEDS:
         path = scratch_path(t.spark, f"feed-{name}")
-        df = settle(df, name)
+        df = df if stored else settle(df, name)
         lo, hi = df.agg(F.min(clock), F.max(clock)).head()
         step = (hi - lo) // slices + 1
         of_slice = ((F.col(clock) - lo) / step).cast("int")
@@ -29,7 +29,7 @@ def feed(t, name, df, clock, slices=3, rows_per_file=250_000):
         files = max(1, min(max(sizes.values()) // rows_per_file, min(sizes.get(k, 0) for k in range(slices)) // 1000))  # none empty: rows are dealt round
         for k in range(slices):
             part = df.filter((F.col(clock) >= lo + k * step) & (F.col(clock) < lo + (k + 1) * step))
-            part.repartition(files).write.parquet(f"{path}/slice={k}")
+            part.repartition(files).write.option("compression", "zstd").parquet(f"{path}/slice={k}")
             found = len(t.spark.read.parquet(f"{path}/slice={k}").inputFiles())
             if found != files:
                 raise RuntimeError(f"slice {k} of {name} has {found} files, not {files}")
@@ -40,11 +40,12 @@ def feed(t, name, df, clock, slices=3, rows_per_file=250_000):
 
 
 def messages(t):
-    return feed(t, "messages", t.messages, "ms_index")
+    """What the streams ask of a message: its texts stay in the message table."""
+    return feed(t, "messages", t.messages.select("block_id", "ie_id", "verdict", "ms_index", "ts", "confirmed_at_ms"), "ms_index", stored=True)
 
 
 def submissions(t):
-    return feed(t, "submissions", t.submissions, "received_at_ms")
+    return feed(t, "submissions", t.submissions.select("sub_id", "block_id", "received_at_ms", "source"), "received_at_ms", stored=True)
 
 
 @query("t1_ingest_once", "SELECT block_id, received_at_ms FROM submissions")

@@ -36,3 +36,20 @@ def test_lookups_equal_all_rows_and_read_few_folders(spark, monkeypatch):
         rows += new
     assert len(store.live(11)) <= 6 and max(read) <= 6  # 3 keys that are there, whatever the number of batches
     assert sorted(map(repr, map(tuple, store.rows(spark, 11).collect()))) == sorted(map(repr, rows))
+
+
+def test_few_keys_that_may_be_there_meet_the_entries(spark, monkeypatch):
+    """New keys hardly pass the filters, and of runs that may hold few of them only those few rows are joined."""
+    settled = {}
+    monkeypatch.setattr(keystore, "settle", lambda df, name, real=keystore.settle: settled.setdefault(name, real(df, name)))
+    store = KeyStore(scratch_path(spark, "spent"), SCHEMA, {"seq": ("iss", "seq"), "nonce": ("iss", "nonce")})
+    rows = [[("i", 1000 * n + k, f"n{n}-{k}", f"b{n}-{k}") for k in range(500)] for n in range(2)]
+    for n in range(2):
+        store.append(spark.createDataFrame(rows[n], SCHEMA), n)
+    new = spark.createDataFrame([("i", 9000 + k, f"x{k}", f"q{k}") for k in range(300)], SCHEMA)
+    assert len(store.parts(new, "seq", 2)) <= 10 and not store.find(new, "seq", 2).count()
+    settled.clear()
+    asked = new.union(spark.createDataFrame([rows[0][7], *rows[1][:200]], SCHEMA))
+    got = sorted((r.block_id, r.stored.block_id) for r in store.find(asked, "seq", 2).collect())
+    assert got == sorted((r[3], r[3]) for r in (rows[0][7], *rows[1][:200]))
+    assert settled["asked"].count() <= 10

@@ -118,3 +118,9 @@ def test_doubts_count_from_the_start_or_come_late(spark, folder, hindsight):
     lost, kept = ("untrusted", False), ("proven", False)
     want = [lost, lost if hindsight else ("proven", True), None, kept, lost]  # the third has no grave alert and no trust: it is left out
     assert [got.get(m.block_id) for m in some] == want
+
+
+def test_feeds_leave_texts_in_the_tables(spark, folder):
+    t = Ledger.at(spark, folder)
+    assert not {"json", "prev", "kid", "nonce"} & set(streams.messages(t).columns)
+    assert not {"message_json", "data_hex"} & set(streams.submissions(t).columns)
