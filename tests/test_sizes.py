@@ -124,3 +124,11 @@ def test_feeds_leave_texts_in_the_tables(spark, folder):
     t = Ledger.at(spark, folder)
     assert not {"json", "prev", "kid", "nonce"} & set(streams.messages(t).columns)
     assert not {"message_json", "data_hex"} & set(streams.submissions(t).columns)
+
+
+def test_message_table_shuffles_no_hashes_or_texts(spark, folder):
+    """Hashes and texts are written out behind the last window, so no shuffle carries them."""
+    plan = Ledger(spark, folder).derive_messages()._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Window [", 1)
+    assert "sha2(" in above and "json" in above
+    assert "sha2(" not in below and "json" not in below
