@@ -13,17 +13,15 @@ RECORD = ("CASE WHEN n % 29 = 0 THEN 'not json' WHEN n % 31 = 0 THEN '{\"subId\"
 GOOD = "n % 29 <> 0 AND n % 31 <> 0 AND n % 37 <> 0 AND n % 41 <> 0 AND n % 43 <> 0"
 
 
-def record_lines(t):
-    return t.submissions.selectExpr("source", RECORD)
+def record_lines(t, *more):
+    return t.submissions.selectExpr("source", RECORD, *more)
 
 
 @query("s1_submission_records", f"SELECT sub_id, block_id, received_at_ms, source, tag, message_json, data_hex, CAST(201 AS BIGINT) AS node_status, relay_verdict, iss, seq FROM submissions WHERE {GOOD}")
 def s1(t):
-    good, _ = records.parse_submissions(record_lines(t), F.col("source"))
+    good, _ = records.parse_submissions(record_lines(t, "message_json AS _sent"), F.col("source"), keep=["_sent"])
     # compared with the text sent: key order inside the message is not part of the record
-    same = t.submissions.select("sub_id", F.col("message_json").alias("_sent"))
-    return (good.join(same, "sub_id").withColumn("message_json", F.when(
-        F.to_json(C.parsed(F.col("_sent"))) == F.col("message_json"), F.col("_sent"))).drop("_sent"))
+    return good.withColumn("message_json", F.when(F.to_json(C.parsed(F.col("_sent"))) == F.col("message_json"), F.col("_sent"))).drop("_sent")
 
 
 @query("s1_quarantine", f"""SELECT CASE WHEN n % 29 = 0 THEN 'submission record must be a JSON object' WHEN n % 31 = 0 THEN 'submission record misses a field'

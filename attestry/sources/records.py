@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ BYTES_HEX = r"^0x(?:[0-9a-fA-F]{2})*$"
 BLOCK_HEX = r"^0x[0-9a-fA-F]{64}$"
 
 
-def parse_submissions(lines: DataFrame, source: str | Column, text: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_submissions(lines: DataFrame, source: str | Column, text: str = "value", keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Submission records (JSON texts, batch or stream) as submission rows, and the rejected ones with a reason.
 
     Every key must be present with its type; hex fields are whole bytes; a block id implies the bytes sent.
+    Columns of `lines` named in `keep` go along with the rows. Do not join the rows for them: Spark takes the maps they are read
+    from for large and the rows for a twentieth of their size, and broadcasts millions of them.
     """
     df = (C.with_fields(lines, text, "_m").withColumn("_relay", C.fields(F.col("_m")["relay"]))
           .withColumn("source", F.lit(source) if isinstance(source, str) else source))
@@ -49,7 +53,7 @@ def parse_submissions(lines: DataFrame, source: str | Column, text: str = "value
         t(m["subId"]).alias("sub_id"), F.lower(t(m["blockId"])).alias("block_id"), number(m["receivedAtMs"]).alias("received_at_ms"),
         "source", t(m["tag"]).alias("tag"), F.when(~null(m["message"]) & ~sealed, F.to_json(m["message"])).alias("message_json"),
         F.lower(t(m["dataHex"])).alias("data_hex"), number(m["status"]).alias("node_status"),
-        t(relay["verdict"]).alias("relay_verdict"), t(relay["iss"]).alias("iss"), number(relay["seq"]).alias("seq"))
+        t(relay["verdict"]).alias("relay_verdict"), t(relay["iss"]).alias("iss"), number(relay["seq"]).alias("seq"), *keep)
     return good, bad
 
 

@@ -6,12 +6,13 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from attestry.catalog import QUERIES, loading, streams
 from attestry.catalog import jobs as CJ
-from attestry.catalog import streams
 from attestry.fixtures import Ledger
 from attestry.plans import incidents as I
 from attestry.plans import proofs, verdicts
 from attestry.session import scratch_path
+from attestry.sources import records
 from attestry.streaming import jobs as J
 from tests.test_incidents import full
 
@@ -132,3 +133,16 @@ def test_message_table_shuffles_no_hashes_or_texts(spark, folder):
     above, below = plan.split("Window [", 1)
     assert "sha2(" in above and "json" in above
     assert "sha2(" not in below and "json" not in below
+
+
+def test_submission_records_are_joined_with_nothing(spark, folder):
+    """Spark takes parsed records for a twentieth of their size, so a join broadcasts millions of them."""
+    plan = QUERIES["s1_submission_records"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_kept_columns_stay_with_their_records(spark, folder):
+    t = Ledger.at(spark, folder)
+    good, bad = records.parse_submissions(loading.record_lines(t, "sub_id AS _own", "n"), F.col("source"), keep=["_own", "n"])
+    rows = good.select("sub_id", "_own", "n").collect()
+    assert rows and all(r.sub_id == r._own == f"sn{r.n}" for r in rows) and bad.columns == ["value", "source", "problem"]
