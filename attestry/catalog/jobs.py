@@ -380,11 +380,11 @@ def r23(t):
     return milestones.audit(t.blocks, t.milestones, roots, H.block_id(F.col("raw"))).select("ms_index", "n", "hashes_ok", "root_ok", "missing")
 
 
-def proof_rows(t):
+def proof_rows(t, **more):
     from ..operators import merkle
     roots = merkle.roots(t.messages, ["ms_index"], "wf_index", "block_id").select(F.col("ms_index").alias("idx"), F.col("root").alias("inclusion_root"))
     ms = t.milestones.join(roots, "idx", "left")
-    return proofs.proof_table(t.blocks, ms, t.anchors)
+    return proofs.proof_table(t.blocks, ms, t.anchors, **more)
 
 
 @query("r24_proofs", """SELECT b.block_id, b.n % 101 <> 0 AS consistent, CASE WHEN a.status = 'anchored' AND a.seq % 5 <> 0 AND w.root IS NOT NULL THEN a.seq END AS anchor_seq
@@ -411,7 +411,7 @@ def r25(t):
 def r25b(t):
     sigs = t.milestones.select(F.col("idx").alias("ms_index"), F.explode(F.array(F.lit("k0"), F.lit("k1"))).alias("pk")).withColumn("ok", (F.col("ms_index") % 3 != 0) | (F.col("pk") == "k0"))
     pinned = t.spark.createDataFrame([("k0",), ("k1",)], "pk string")
-    p = proof_rows(t).join(proofs.envelope_step(signed_envelopes(t), t.key_history), "block_id", "left")
+    p = proof_rows(t, envelopes=proofs.envelope_step(signed_envelopes(t), t.key_history))
     return proofs.audit_proofs(p, sigs, pinned, t.anchors, 2).select("block_id", "envelope", "overall")
 
 

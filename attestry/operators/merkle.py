@@ -72,9 +72,23 @@ def _tops(df: DataFrame, keys: Sequence[str], algorithm: str) -> DataFrame:
 
 
 def _blocks(leaves: DataFrame, keys: Sequence[str], position: str, hash_col: str) -> DataFrame:
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(hash_col).alias("h"))))
+    """Blocks of neighbours with their hashes as `l0`; hashes are shuffled as bytes, half as long as hex."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.unhex(hash_col).alias("h"))))
     return (leaves.withColumn("_block", F.shiftright(F.col(position), BITS)).groupBy(*keys, "_block")
-            .agg(pairs.alias("_p")).select(*keys, "_block", F.transform("_p", lambda x: x["h"]).alias("l0")))
+            .agg(pairs.alias("_p")).select(*keys, "_block", F.transform("_p", lambda x: F.lower(F.hex(x["h"]))).alias("l0")))
+
+
+def _row_blocks(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, algorithm: str) -> DataFrame:
+    """Blocks of neighbours with their hashes as `l0` and, in the same order, their rows as `_rows`."""
+    inside = algorithm == "sha256"  # made where the block is; a Python function cannot be called for the items of an array
+    row = F.struct(*[c for c in leaves.columns if c not in keys])
+    item = F.struct(F.col(position).cast("bigint").alias("p"), (F.lit(None).cast("string") if inside else leaf(F.col(id_col), algorithm)).alias("h"), row.alias("row"))
+    found = leaves.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, position]))
+    met = found.withColumn("_block", F.shiftright(F.col(position).cast("bigint"), BITS)).groupBy(*keys, "_block").agg(F.collect_list(item).alias("_met"))
+    order = F.array_sort(F.transform("_met", lambda x, i: F.struct(x["p"].alias("p"), i.alias("i"))))  # rows need not be orderable
+    met = met.select(*keys, "_block", "_met", order.alias("_order")).select(*keys, "_block", F.transform("_order", lambda o: F.get("_met", o["i"])).alias("_met"))
+    return met.select(*keys, "_block", F.transform("_met", lambda x: x["row"]).alias("_rows"),
+                      F.transform("_met", lambda x: leaf(x["row"][id_col]) if inside else x["h"]).alias("l0"))
 
 
 def _rounds(leaves: DataFrame, position: str) -> int:
@@ -96,32 +110,35 @@ def roots(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *,
     return level.filter("_pos = 0").select(*keys, F.concat(F.lit("0x"), "_h").alias("root")).join(counts, keys)
 
 
-def paths(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *, algorithm: str = "sha256") -> DataFrame:
+def paths(leaves: DataFrame, keys: Sequence[str], position: str, id_col: str, *, algorithm: str = "sha256", windows: DataFrame | None = None,
+          sizes: DataFrame | None = None) -> DataFrame:
     """Per leaf its audit path: array of (side, hash) from the leaf up, and the root.
 
-    Paths of a block come from the block's own levels; the part above is the path of the block
-    among the blocks, joined by (window, block)."""
+    Rows go along with their block, whose levels hold the lower part of their paths. What is above a block (the path of the block
+    among the blocks, the root, and the columns of `windows` for windows that it has) comes in one row a block, dealt as the blocks are:
+    so each row is shuffled once, without a path. Positions of a window are 0, 1, 2, … without holes; the last is looked up in `sizes`, if given."""
     keys = list(keys)
-    level = leaves.select(*keys, F.col(position).cast("bigint").alias("_pos"), leaf(F.col(id_col), algorithm).alias("_h"))
-    tiers = []
-    for _ in range(_rounds(leaves, position)):
-        built = _levels(_blocks(level, keys, "_pos", "_h"), algorithm)
-
-        steps = ", ".join(
-            f"IF((shiftright(i, {k}) ^ 1) < size(l{k}), named_struct('side', IF(shiftright(i, {k}) % 2 = 0, 'R', 'L'),"
-            f" 'hash', get(l{k}, shiftright(i, {k}) ^ 1)), NULL)" for k in range(BITS))
-        each = F.expr(f"explode(transform(sequence(0, size(l0) - 1), i -> named_struct('i', i, 'path', array_compact(array({steps})))))")
-        tiers.append(built.select(*keys, "_block", each.alias("_e")).select(
-            *keys, "_block", (F.shiftleft(F.col("_block"), BITS) + F.col("_e.i")).alias("_pos"), F.col("_e.path").alias("_path")))
-        level = built.select(*keys, F.col("_block").alias("_pos"), F.get(f"l{BITS}", F.lit(0)).alias("_h"))
-    whole = tiers[-1]
-    for lower in reversed(tiers[:-1]):
-        upper = whole.select(*keys, F.col("_pos").alias("_block"), F.col("_path").alias("_up"))
-        whole = lower.join(upper, [*keys, "_block"]).withColumn("_path", F.concat("_path", "_up")).drop("_up")
-    top = level.filter("_pos = 0").select(*keys, F.concat(F.lit("0x"), "_h").alias("root"))
-    out = whole.select(*keys, F.col("_pos"), F.col("_path").alias("path")).join(top, keys)
-    base = leaves.withColumn("_pos", F.col(position).cast("bigint"))
-    return base.join(out, [*keys, "_pos"]).drop("_pos")
+    more = [] if windows is None else [c for c in windows.columns if c not in keys]
+    tiers = [_row_blocks(leaves, keys, position, id_col, algorithm)]
+    for _ in range(_rounds(leaves if sizes is None else sizes, position) - 1):
+        tiers.append(_blocks(_tops(tiers[-1].drop("_rows"), keys, algorithm), keys, "_pos", "_h"))
+    # of the last tier every window has one block, number 0; not a literal, which Spark would take out of the join's keys
+    above = None if windows is None else windows.withColumn("_block", F.xxhash64(*keys).bitwiseAND(0))
+    steps = ", ".join(
+        f"IF((shiftright(i, {k}) ^ 1) < size(l{k}), named_struct('side', IF(shiftright(i, {k}) % 2 = 0, 'R', 'L'),"
+        f" 'hash', get(l{k}, shiftright(i, {k}) ^ 1)), NULL)" for k in range(BITS))
+    for tier in reversed(tiers):
+        last, rows = tier is tiers[-1], tier is tiers[0]
+        blocks = tier if above is None else tier.join(above.hint("shuffle_hash"), [*keys, "_block"])
+        path = f"array_compact(array({steps}))" if last else f"concat(array_compact(array({steps})), _up)"
+        row = ", 'row', get(_rows, i)" if rows else ""
+        each = F.expr(f"explode(transform(sequence(0, size(l0) - 1), i -> named_struct('i', i, 'path', {path}{row})))")
+        root = F.concat(F.lit("0x"), F.get(f"l{BITS}", F.lit(0))).alias("root") if last else F.col("root")
+        out = _levels(blocks, algorithm).select(*keys, "_block", root, *more, each.alias("_e"))
+        if not rows:
+            above = out.select(*keys, (F.shiftleft(F.col("_block"), BITS) + F.col("_e.i")).alias("_block"), F.col("_e.path").alias("_up"), "root", *more)
+    own = [F.col(c) if c in keys else F.col("_e.row")[c].alias(c) for c in leaves.columns]
+    return out.select(*own, F.col("_e.path").alias("path"), "root", *more)
 
 
 def verify(id_hex: Column, path: Column, root: Column) -> Column:

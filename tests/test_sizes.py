@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from attestry.catalog import QUERIES, loading, streams
 from attestry.catalog import jobs as CJ
 from attestry.fixtures import Ledger
+from attestry.operators import merkle
 from attestry.plans import incidents as I
 from attestry.plans import proofs, verdicts
 from attestry.session import scratch_path
@@ -146,3 +147,32 @@ def test_kept_columns_stay_with_their_records(spark, folder):
     good, bad = records.parse_submissions(loading.record_lines(t, "sub_id AS _own", "n"), F.col("source"), keep=["_own", "n"])
     rows = good.select("sub_id", "_own", "n").collect()
     assert rows and all(r.sub_id == r._own == f"sn{r.n}" for r in rows) and bad.columns == ["value", "source", "problem"]
+
+
+def joined(node):
+    """Names of the columns that any join of a plan takes in."""
+    below = [node.children().apply(i) for i in range(node.children().length())]
+    own = {c.output().apply(i).name() for c in below for i in range(c.output().length())} if node.nodeName() == "Join" else set()
+    return own.union(*map(joined, below))
+
+
+def test_paths_of_blocks_are_not_joined(spark, folder):
+    """A path is as long as ten blocks. It is made in the row that uses it, so no join shuffles it."""
+    for name in ("r25_proof_audit_envelope", "r24_proofs"):
+        names = joined(QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan())
+        assert "_rows" in names and not {"path", "_path", "inclusion_path"} & names, name
+
+
+def test_rows_and_windows_travel_with_their_paths(spark):
+    """Two windows of two tiers and one of none; rows with a map, which has no order; a window that is not asked for."""
+    df = spark.range(0, 2500).selectExpr("id % 2 AS w", "id div 2 AS p", "concat('0x', sha2(CAST(id AS STRING), 256)) AS id", "map('k', id) AS more").unionByName(
+        spark.range(2500, 2501).selectExpr("CAST(7 AS BIGINT) AS w", "CAST(0 AS BIGINT) AS p", "concat('0x', sha2(CAST(id AS STRING), 256)) AS id", "map('k', id) AS more"))
+    windows = spark.createDataFrame([(0, "a"), (1, None)], "w bigint, what string")
+    got = merkle.paths(df, ["w"], "p", "id", windows=windows, sizes=df)
+    assert got.columns == ["w", "p", "id", "more", "path", "root", "what"]
+    own = F.concat(F.lit("0x"), F.sha2(F.col("more")["k"].cast("string"), 256)) == F.col("id")
+    r = got.agg(F.count(F.lit(1)), F.bool_and(merkle.verify(F.col("id"), F.col("path"), F.col("root"))), F.bool_and(own & (F.col("more")["k"] == F.col("p") * 2 + F.col("w"))),
+                F.bool_and(F.col("what").eqNullSafe(F.when(F.col("w") == 0, "a")))).head()
+    assert tuple(r) == (2500, True, True, True)
+    roots = {r.w: r.root for r in merkle.roots(df, ["w"], "p", "id").collect()}
+    assert {(r.w, r.root) for r in got.select("w", "root").distinct().collect()} == {(w, roots[w]) for w in (0, 1)}
