@@ -100,6 +100,9 @@ TABLES: dict[str, tuple[str, str | None, list[str]]] = {
     "blocks": ("messages", None, [
         "block_id", "ms_index", "wf_index", "CAST(5 AS BIGINT) AS payload_type", "n",
         "CASE WHEN n % 101 = 0 THEN concat('x', CAST(n AS TEXT)) ELSE concat('b', CAST(n AS TEXT)) END AS raw"]),
+    "served_blocks": ("messages", None, [  # a block as a node serves it, with what it carries
+        "block_id", "ms_index", "wf_index", "CAST(5 AS BIGINT) AS payload_type", "n", "tag", "json AS data",
+        "CASE WHEN n % 101 = 0 THEN concat('x', CAST(n AS TEXT)) ELSE concat('b', CAST(n AS TEXT)) END AS raw"]),
     "ledger_content": ("messages", None, ["block_id", "tag", "json AS data", "ms_index", "n"]),
     "stored_messages": ("messages", "n % 211 <> 0", [
         "block_id", "CASE WHEN n % 103 = 0 THEN concat(tag, '!') ELSE tag END AS tag",

@@ -109,3 +109,15 @@ def hmac_sha256(key: bytes, data: Column) -> Column:
 
 def blind_token(key: bytes, kind: Column, value: Column) -> Column:
     return base64url(hmac_sha256(key, F.concat_ws(":", kind, value)))
+
+
+def packed(id_hex: Column) -> Column:
+    """An id as bytes for a shuffle, half as long where it is `0x` and 64 lower-case hex digits; one to one, and in no order."""
+    plain = id_hex.rlike("^0x[0-9a-f]{64}$")
+    return F.concat(F.when(plain, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.when(plain, F.unhex(F.substr(id_hex, F.lit(3)))).otherwise(id_hex.cast("binary")))
+
+
+def unpacked(id_bytes: Column) -> Column:
+    """The id of `packed` bytes."""
+    rest = F.substring(id_bytes, 2, 2**31 - 1)
+    return F.when(F.hex(F.substring(id_bytes, 1, 1)) == "01", F.concat(F.lit("0x"), F.lower(F.hex(rest)))).otherwise(rest.cast("string"))

@@ -67,11 +67,12 @@ def json_diff(pairs: DataFrame, ids: Sequence[str], expected: str, actual: str)
 def with_writer_rule(messages: DataFrame, policy: DataFrame, default_allowed: Sequence[str] = ()) -> DataFrame:
     """Add `may_write` and `signature_required` from the policy's rule for the tag, else the default.
 
-    A policy lists a few tags; it is joined by tag and Spark broadcasts it when it is small."""
+    A policy lists a few tags, of which one may be in a third of the messages: it is broadcast, as Spark cannot tell the size of a table that was
+    made on the driver and would deal all messages by tag."""
     rules = policy.select(F.col("tag"), F.col("allowed").alias("_allowed"),
                           C.signature_required(F.col("require_signature"), F.col("legacy_grace")).alias("_required"))
     default = F.array(*[F.lit(x) for x in default_allowed]).cast("array<string>")
-    return (messages.join(rules, "tag", "left")
+    return (messages.join(F.broadcast(rules), "tag", "left")
             .withColumn("may_write", C.may_write(F.coalesce("_allowed", default), F.col("iss")))
             .withColumn("signature_required", F.coalesce("_required", F.lit(False)))
             .drop("_allowed", "_required"))

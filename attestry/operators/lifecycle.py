@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
 from ..functions import vocabulary as V
 from . import ordered
 
@@ -69,15 +70,17 @@ def orphaned(submissions: DataFrame, validations: DataFrame, as_of_ms: int, time
     """Submitted blocks no milestone referenced within the timeout, on definitive answers only.
 
     At least one definitive answer lies inside the window and one at or after its end."""
-    answers = (validations.join(submissions.select("block_id", "received_at_ms"), "block_id")
+    key = H.packed(F.col("block_id")).alias("_id")
+    answers = (validations.select(key, "checked_at_ms", "is_solid", "referenced_by_ms").join(submissions.select(key, "received_at_ms"), "_id")
                .withColumn("_end", F.col("received_at_ms") + timeout_s * 1000)
-               .groupBy("block_id", "received_at_ms").agg(
+               .groupBy("_id", "received_at_ms").agg(
         F.max(F.col("referenced_by_ms").isNotNull() & (F.col("checked_at_ms") <= F.col("_end"))).alias("confirmed"),
         F.count_if(F.col("checked_at_ms") < F.col("_end")).alias("inside"),
         F.count_if(F.col("checked_at_ms") >= F.col("_end")).alias("after"),
         F.count(F.lit(1)).alias("answered"), F.max("is_solid").alias("solid")))
     late = F.col("received_at_ms") + timeout_s * 1000 <= as_of_ms
-    return answers.filter(late & ~F.col("confirmed") & (F.col("inside") > 0) & (F.col("after") > 0))
+    found = answers.filter(late & ~F.col("confirmed") & (F.col("inside") > 0) & (F.col("after") > 0))
+    return found.select(H.unpacked(F.col("_id")).alias("block_id"), *[c for c in found.columns if c != "_id"])
 
 
 def first_submission(submissions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import hashing as H
-from . import documents, ordered
+from . import ordered
 from .lifecycle import OUTCOMES
 
 
@@ -28,25 +28,30 @@ def reverify_candidates(content_checks: DataFrame, submissions: DataFrame, messa
     """Candidate blocks with every stored copy, whether they were verified once, and their latest outcome.
 
     `submissions` and `messages` hold (block_id, tag, data); outcomes written for tampering do not count.
+    `block_key` is the packed id, by which the rows are dealt.
     """
-    ids = candidate_blocks(content_checks, submissions, messages, lifecycle)
-    once = (content_checks.filter("result = 'MATCH'").select("block_id")
-            .union(lifecycle.filter("status = 'CONTENT_VERIFIED'").select("block_id")))
-    outcomes = lifecycle.filter(F.col("status").isin(*OUTCOMES))
-    if "cause" in lifecycle.columns:
-        outcomes = outcomes.filter(~F.col("cause").eqNullSafe(F.lit("DB_TAMPER")))
-    outcome = outcomes.groupBy("block_id").agg(F.max_by("status", F.struct("at_ms", "id")).alias("outcome"))
+    key = H.packed(F.col("block_id")).alias("block_key")
+    at = {"verified": F.lit(False), "said": F.lit(None), "place": F.lit(None), "sub": F.lit(None), "msg": F.lit(None)}
+    kinds = {"verified": "boolean", "said": "string", "place": "struct<at_ms: bigint, id: bigint>",
+             "sub": "struct<sub_id: string, tag: string, data: string>", "msg": "struct<tag: string, data: string>"}
+    row = lambda df, **told: df.filter("block_id IS NOT NULL").select(key, *[c.cast(kinds[n]).alias(n) for n, c in {**at, **told}.items()])
+    counts = ~F.col("cause").eqNullSafe(F.lit("DB_TAMPER")) if "cause" in lifecycle.columns else F.lit(True)
+    # each table is dealt once by block, with all that it tells; of a block there is one submission and one message
+    told = (row(content_checks.filter("result = 'MATCH'"), verified=F.lit(True))
+            .unionByName(row(lifecycle.filter(F.col("status").isin(*OUTCOMES)), verified=F.col("status") == "CONTENT_VERIFIED",
+                             said=F.when(counts, F.col("status")), place=F.when(counts, F.struct("at_ms", "id"))))
+            .unionByName(row(submissions, sub=F.struct("sub_id", "tag", "data"))).unionByName(row(messages, msg=F.struct("tag", "data"))))
+    held = told.groupBy("block_key").agg(F.bool_or("verified").alias("verified_once"), F.max_by("said", "place").alias("outcome"),
+                                         F.collect_list("sub").alias("_subs"), F.collect_list("msg").alias("_msgs"))
+    held = held.filter(F.col("verified_once") | (F.size("_subs") > 0) | (F.size("_msgs") > 0))
     raised = (alerts.filter(F.col("rule").isin("CONTENT_MISMATCH", "NOT_FOUND", "ORPHANED") & (
         F.col("severity") == F.when(F.col("rule") == "ORPHANED", "high").otherwise("critical")))
-        .select("block_id", F.col("rule").alias("outcome"), F.lit(True).alias("outcome_alerted")).distinct())
-    s = submissions.select("block_id", "sub_id", F.lit(True).alias("has_submission"), F.col("tag").alias("sub_tag"), F.col("data").alias("sub_data"))
-    m = messages.select("block_id", F.lit(True).alias("has_message"), F.col("tag").alias("msg_tag"), F.col("data").alias("msg_data"))
-    df = documents.flag(ids, "block_id", once, "verified_once")
-    df = df.join(s, "block_id", "left").join(m, "block_id", "left").join(outcome, "block_id", "left")
-    df = df.join(raised, ["block_id", "outcome"], "left")
-    for c in ("has_submission", "has_message", "outcome_alerted"):
-        df = df.withColumn(c, F.coalesce(c, F.lit(False)))
-    return df
+        .groupBy(key).agg(F.collect_set("rule").alias("_raised")))
+    df = held.withColumn("_sub", F.explode_outer("_subs")).withColumn("_msg", F.explode_outer("_msgs")).join(raised, "block_key", "left")
+    return df.select("block_key", H.unpacked(F.col("block_key")).alias("block_id"), "verified_once", "outcome", F.col("_sub.sub_id").alias("sub_id"), F.col("_sub").isNotNull().alias("has_submission"),
+                     F.col("_sub.tag").alias("sub_tag"), F.col("_sub.data").alias("sub_data"), F.col("_msg").isNotNull().alias("has_message"),
+                     F.col("_msg.tag").alias("msg_tag"), F.col("_msg.data").alias("msg_data"),
+                     F.coalesce(F.array_contains("_raised", F.col("outcome")), F.lit(False)).alias("outcome_alerted"))
 
 
 def tampered(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -55,8 +60,10 @@ def tampered(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     Compares hashes of the content, and carries the values only for the fields that differ. A block
     never verified counts only once confirmed; a verified block without any copy is "content removed".
     """
-    real = ledger.select("block_id", F.col("tag").alias("l_tag"), F.col("data").alias("l_data"), F.col("ms_index").alias("l_ms"))
-    df = candidates.join(real, "block_id").filter(F.col("verified_once") | F.col("l_ms").isNotNull())
+    key = H.packed(F.col("block_id")).alias("block_key")
+    real = ledger.select(key, F.col("tag").alias("l_tag"), F.col("data").alias("l_data"), F.col("ms_index").alias("l_ms"))
+    candidates = candidates if "block_key" in candidates.columns else candidates.select("*", key)
+    df = candidates.join(real, "block_key").filter(F.col("verified_once") | F.col("l_ms").isNotNull())
     sub = F.col("has_submission") & ~(F.col("outcome_alerted"))
     held = (F.col("has_submission") & (F.col("sub_tag").isNotNull() | F.col("sub_data").isNotNull())) | (
         F.col("has_message") & (F.col("msg_tag").isNotNull() | F.col("msg_data").isNotNull()))
@@ -81,8 +88,9 @@ def content_check(received: DataFrame, ledger: DataFrame, algorithm: str = "sha2
     """Received (block_id, tag, data) against the block served: result and the fields that differ.
 
     `ledger` holds block_id, raw, payload_type, tag, data; a block it does not hold is NOT_FOUND."""
-    served = ledger.select("block_id", "raw", "payload_type", F.col("tag").alias("l_tag"), F.col("data").alias("l_data"), F.lit(True).alias("_served"))
-    df = received.join(served, "block_id", "left")
+    key = H.packed(F.col("block_id")).alias("_id")
+    served = ledger.select(key, "raw", "payload_type", F.col("tag").alias("l_tag"), F.col("data").alias("l_data"), F.lit(True).alias("_served"))
+    df = received.select(key, "tag", "data").join(served, "_id", "left").withColumn("block_id", H.unpacked(F.col("_id")))
     plain = F.col("payload_type") == 5
     fields = F.array_compact(F.array(
         F.when(H.block_id(F.col("raw"), algorithm) != F.col("block_id"), "blockId"),
@@ -105,14 +113,19 @@ def shadow_candidates(messages: DataFrame, submissions: DataFrame, alerts: DataF
         df = df.join(F.broadcast(base)).filter(F.col("confirmed_ms") >= F.col("baseline_ms"))
     else:
         df = df.filter(F.col("confirmed_ms") >= since_ms).withColumn("baseline_ms", F.lit(since_ms).cast("bigint"))
-    named = submissions.filter("block_id IS NOT NULL").select("block_id")
-    marked = alerts.filter("rule = 'SHADOW' AND block_id IS NOT NULL").select("block_id")
-    return df.join(named, "block_id", "left_anti").join(marked, "block_id", "left_anti")
+    key = H.packed(F.col("block_id"))
+    df = df.withColumn("_id", key)
+    named = submissions.filter("block_id IS NOT NULL").select(key.alias("_id"))
+    marked = alerts.filter("rule = 'SHADOW' AND block_id IS NOT NULL").select(key.alias("_id"))
+    rest = [H.unpacked(F.col("_id")).alias(c) if c == "block_id" else F.col(c) for c in df.columns if c != "_id"]
+    return df.join(named, "_id", "left_anti").join(marked, "_id", "left_anti").select(*rest)
 
 
 def missing_messages(ledger_blocks: DataFrame, messages: DataFrame) -> DataFrame:
     """Confirmed tagged blocks of the ledger without a stored message."""
-    return ledger_blocks.select("block_id").distinct().join(messages.select("block_id"), "block_id", "left_anti")
+    key = H.packed(F.col("block_id")).alias("_id")
+    lost = ledger_blocks.select(key).distinct().join(messages.select(key), "_id", "left_anti")
+    return lost.select(H.unpacked(F.col("_id")).alias("block_id"))
 
 
 def message_detail(messages: DataFrame, submissions: DataFrame, validations: DataFrame, content_checks: DataFrame) -> DataFrame:

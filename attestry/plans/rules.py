@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import hashing as H
 from ..functions import vocabulary as V
 from ..operators import anchors as A
 from ..operators import chain, documents, lifecycle, ordered, reconcile, scores
+from ..session import settle
 from ..sources import loads
 
 
@@ -64,7 +66,7 @@ def explained(t: Tables) -> DataFrame:
     replays = replays.join(by_seq, ["iss", "seq"], "left").join(by_nonce, ["iss", "nonce"], "left")
     empty = F.lit(None).cast("string")
     rest = rows.filter("verdict <> 'REPLAY'").withColumn("_seq_block", empty).withColumn("_nonce_block", empty)
-    rows = rest.unionByName(replays.select(*rest.columns)).join(t.policy.select("tag", F.col("allowed").alias("_allowed")), "tag", "left")
+    rows = rest.unionByName(replays.select(*rest.columns)).join(F.broadcast(t.policy.select("tag", F.col("allowed").alias("_allowed"))), "tag", "left")
     reason = (F.when(F.col("verdict") == "UNAUTHORIZED_WRITER", F.concat(F.lit("policy lets others write "), "tag", F.lit(", not "), "iss"))
               .when(F.col("verdict") == "REVOKED_KEY", "the key was revoked by the end of that second")
               .when(F.col("_seq_block").isNotNull(), F.concat(F.lit("same seq as "), "_seq_block"))
@@ -174,11 +176,13 @@ def clock_skew(t: Tables, limit_s: int = V.SKEW_S) -> DataFrame:
 
 def chains(t: Tables) -> DataFrame:
     """CHAIN_FORK, else CHAIN_GAP, as seen when each message arrived."""
-    forks = chain.siblings(t.messages, arrived=True)
+    linked = t.messages.select(*chain.PLACED, "prev", "ie_id")
+    forks = settle(chain.siblings(linked, arrived=True), "forks")  # few rows, asked twice
     fork = alert(forks, "CHAIN_FORK", _at(), {
         "iss": F.col("iss"), "seq": F.col("seq"), "prev": F.col("prev"), "siblings": F.col("siblings"), "lastSibling": F.col("sibling"),
         "reason": F.lit("two successors of one block")})
-    heads = chain.heads_on_arrival(t.messages.select(*chain.PLACED, "prev", "ie_id")).filter("prev IS NOT NULL AND head_block IS NOT NULL AND head_block <> prev")
+    heads = chain.heads_on_arrival(linked.withColumn("prev", H.packed(F.col("prev")))).withColumn("prev", H.unpacked(F.col("prev")))
+    heads = heads.filter("prev IS NOT NULL AND head_block IS NOT NULL AND head_block <> prev")
     gaps = heads.join(forks.select("block_id"), "block_id", "left_anti")
     gaps = documents.flag(gaps, "prev", t.messages.select(F.col("block_id")), "known")
     gap = alert(gaps, "CHAIN_GAP", _at(), {

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from attestry.catalog import QUERIES, loading, streams
 from attestry.catalog import jobs as CJ
 from attestry.fixtures import Ledger
-from attestry.operators import merkle
+from attestry.functions import hashing as H
+from attestry.operators import merkle, reconcile
 from attestry.plans import incidents as I
 from attestry.plans import proofs, verdicts
 from attestry.session import scratch_path
@@ -176,3 +177,42 @@ def test_rows_and_windows_travel_with_their_paths(spark):
     assert tuple(r) == (2500, True, True, True)
     roots = {r.w: r.root for r in merkle.roots(df, ["w"], "p", "id").collect()}
     assert {(r.w, r.root) for r in got.select("w", "root").distinct().collect()} == {(w, roots[w]) for w in (0, 1)}
+
+
+def nodes(plan, name):
+    below = [plan.children().apply(i) for i in range(plan.children().length())]
+    return (plan.nodeName() == name) + sum(nodes(b, name) for b in below)
+
+
+def test_packed_ids_come_back(spark):
+    ids = ["0x" + "ab" * 32, "0x" + "AB" * 32, "0x" + "ab" * 31, "0x" + "ab" * 32 + "m", "ab" * 32, "", "é", "0x", "a" * 32, "0x" + "61" * 32]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id string").select("id", H.packed(F.col("id")).alias("p"))
+    rows = df.select("id", "p", H.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r.back == r.id for r in rows) and len({bytes(r.p) for r in rows if r.id is not None}) == len(ids)
+    assert {len(r.p) for r in rows if r.id == ids[0]} == {33}
+
+
+def test_rules_deal_no_messages_by_tag(spark, folder):
+    plan = QUERIES["r21_rules_run_all"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" in plan and "hashpartitioning(tag" not in plan
+
+
+def test_candidates_deal_each_table_once(spark, folder):
+    t = Ledger.at(spark, folder)
+    df = reconcile.reverify_candidates(t.content_checks, t.stored_submissions, t.stored_messages, t.lifecycle, t.alerts)
+    assert nodes(df._jdf.queryExecution().optimizedPlan(), "Join") <= 1  # with the alerts
+
+
+def test_candidates_are_what_is_held_or_was_verified(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    checks = table([("a", "MATCH"), ("b", "MISMATCH"), (None, "MATCH")], "block_id string, result string")
+    subs = table([("s1", "c", "t", "x"), ("s2", "c", "t", "y"), ("s3", None, "t", "z")], "sub_id string, block_id string, tag string, data string")
+    messages = table([("c", None, None), ("0x" + "ab" * 32, "t", "x")], "block_id string, tag string, data string")
+    steps = [("d", "ORPHANED", 1, 1, None), ("e", "CONTENT_VERIFIED", 1, 2, None), ("c", "NOT_FOUND", 1, 3, None), ("c", "CONTENT_MISMATCH", 2, 4, "DB_TAMPER"), ("f", "CONFIRMED", 1, 5, None)]
+    lifecycle = table(steps, "block_id string, status string, at_ms bigint, id bigint, cause string")
+    alerts = table([("c", "NOT_FOUND", "critical"), ("c", "CONTENT_MISMATCH", "critical"), ("e", "NOT_FOUND", "low")], "block_id string, rule string, severity string")
+    got = reconcile.reverify_candidates(checks, subs, messages, lifecycle, alerts)
+    cols = ("block_id", "sub_id", "has_submission", "has_message", "verified_once", "outcome", "outcome_alerted")
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == [
+        ("0x" + "ab" * 32, None, False, True, False, None, False), ("a", None, False, False, True, None, False), ("c", "s1", True, True, False, "NOT_FOUND", True),
+        ("c", "s2", True, True, False, "NOT_FOUND", True), ("e", None, False, False, True, "CONTENT_VERIFIED", False)]
